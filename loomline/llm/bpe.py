@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import json
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from loomline.llm.arrow import per_text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_LIMIT = np.int64(1 << 40)
 #: Chunks remembered by a worker; the store is emptied when it is full (speed only).
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Words up to this many bytes are merged in lock-step, longer ones with a heap.
 LOCKSTEP = 32
 
@@ -283,6 +283,7 @@ class Encoder:
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
+        self.odd = np.zeros(1 << 12, bool)
         self.used = 0
 
     def _learn(self) -> None:
@@ -290,11 +291,21 @@ class Encoder:
         chunks, self.known.new = self.known.new, []
         if not chunks:
             return
-        find, words = self.pattern.findall, _Numbered()
-        number = words.__getitem__
-        parts = [(number(c),) if (c[1:] if c[0] == " " else c).isalpha() else (number(c[1:]),) if c[0] == "\0" else tuple(map(number, find(c))) for c in chunks]
-        n_words = np.fromiter(map(len, parts), np.int64, len(parts))
-        of = np.fromiter(chain.from_iterable(parts), np.int64, int(n_words.sum()))
+        find = self.pattern.findall
+        # most chunks are one word: letters, perhaps after a space; the words of the others are numbered after these
+        single = [c[0] == "\0" or (c[1:] if c[0] == " " else c).isalpha() for c in chunks]
+        words = [c[1:] if c[0] == "\0" else c for c in compress(chunks, single)]
+        more, n_single = _Numbered(), len(words)
+        number = more.__getitem__
+        parts = [tuple(map(number, find(c))) for c, one in zip(chunks, single, strict=True) if not one]
+        words += more
+        is_one = np.array(single)
+        n_words = np.ones(len(chunks), np.int64)
+        n_words[~is_one] = np.fromiter(map(len, parts), np.int64, len(parts))
+        of = np.empty(int(n_words.sum()), np.int64)
+        owner_one = np.repeat(is_one, n_words)
+        of[owner_one] = np.arange(n_single)
+        of[~owner_one] = np.fromiter(chain.from_iterable(parts), np.int64, int(n_words[~is_one].sum())) + n_single
         ids, n_ids, exact = self.v.encode_words([w.encode() for w in words])
         self.exact += exact
         self.words += len(words)
@@ -305,12 +316,14 @@ class Encoder:
         size = sums[ends] - sums[ends - n_words]
         n = len(self.known) - len(chunks)
         while len(self.known) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.start, self.size, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.odd))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
         self.start[n : len(self.known)] = self.used + np.cumsum(size) - size
         self.size[n : len(self.known)] = size
+        # white space at either end (or nothing else): cutting there was not exact
+        self.odd[n : len(self.known)] = [c[-1].isspace() or c[1:2].isspace() for c in chunks]
         self.used += len(flat)
 
     def _gather(self, rows: np.ndarray) -> np.ndarray:
@@ -335,14 +348,15 @@ class Encoder:
             self._forget()
         number, rows = self.known.__getitem__, []
         for t in texts:
-            # cutting before each space is exact if no white space touches a space
-            if "\0" in t or _TOUCHING.search(t) or any(s in t for s in self.v.specials):
+            if "\0" in t or any(s in t for s in self.v.specials):
                 rows.append(None)
                 continue
             chunks = t.replace(" ", "\0 ").removeprefix("\0").split("\0") if t else []
             rows.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
         self._learn()
-        return [self._by_pattern(t) if r is None else self._gather(r) for t, r in zip(texts, rows, strict=True)]
+        # cutting before each space is exact if no white space touches a space
+        plain = [r is not None and not self.odd[r].any() for r in rows]
+        return [self._gather(r) if ok else self._by_pattern(t) for t, r, ok in zip(texts, rows, plain, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -354,9 +368,6 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-_TOUCHING = regex.compile(r" [\p{White_Space}\x1c-\x1f]|[\p{White_Space}\x1c-\x1f] ")
-
-
 @lru_cache(maxsize=2)
 def encoder(content: str) -> Encoder:
     """One encoder per worker process."""
