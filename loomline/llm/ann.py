@@ -8,7 +8,9 @@ neighbour. Buckets are probed in the order of the product of these chances until
 the table's share of success. Candidates of all tables are reranked exactly.
 
 A bucket is cut into blocks of bounded size by hash, each query that probes it goes to each of its blocks, and a
-block returns the best candidates of each query. Equal vectors are hashed once.
+block returns the best candidates of each query. The likeliest buckets are probed first: the k-th best score found
+there bounds what the other buckets have to return, which keeps the rows per query level as the table grows. Equal
+vectors are hashed once.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from loomline.scratch import materialize
 
 #: Rows that the scale of distances and the least scores of queries are taken from (bound of what is fitted).
 SAMPLE = 2048
+#: Probes of each table, likeliest first, that are made before the others and bound their results.
+FIRST = 4
 #: Rows of a bucket handled together.
 BLOCK = 2048
 
@@ -96,8 +100,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(is_valid(F.col("v")) & F.col("id").isNotNull())
-    once = lambda d: pick(d).groupBy("id").agg(F.min("v").alias("v"))
-    rows = materialize(once(df), "rows")
+    single = lambda d: pick(d).groupBy("id").agg(F.min("v").alias("v"))
+    rows = materialize(single(df), "rows")
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()]
     if not sample:
         return spark.createDataFrame([], schema)
@@ -124,11 +128,11 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 ids, q = part.column("rep").to_numpy(), _array(part.column("v"))
-                own, bucket = [], []
+                own, bucket, later = [], [], []
                 for i, _, keys in hashing.probes(q, share):
-                    keys = np.unique(keys)
                     own.append(np.full(len(keys), i))
                     bucket.append(keys)
+                    later.append(np.arange(len(keys)) >= FIRST)
                 if not own:
                     continue
                 own = np.concatenate(own)
@@ -136,17 +140,16 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
                 at_least = 2 * k + 1
                 least = np.sort(q @ x.T, axis=1)[:, -at_least] if len(x) >= at_least else np.full(len(q), -np.inf)
                 least = least - 1e-9 * np.abs(least)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.concatenate(bucket)), pa.array(least[own])], names=["rep", "bucket", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.concatenate(bucket)), pa.array(np.concatenate(later)), pa.array(least[own])], names=["rep", "bucket", "later", "least"])
 
     own = rows.where(F.size("v") == dim)
     reps = materialize(own.groupBy("v").agg(F.min("id").alias("rep")), "reps")
-    asked = materialize(once(queries).where(F.size("v") == dim), "asked")
+    asked = materialize(single(queries).where(F.size("v") == dim), "asked")
     q_reps = materialize(asked.groupBy("v").agg(F.min("id").alias("rep")), "q-reps")
     placed = materialize(reps.mapInArrow(index, "rep long, bucket long"), "placed")
     sizes = materialize(placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    data = placed.join(sizes, "bucket").join(reps, "rep").select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "rep", "v", F.lit(0.0).alias("least"))
-    probed = q_reps.mapInArrow(probe, "rep long, bucket long, least double").join(sizes, "bucket")
-    asks = probed.join(q_reps, "rep").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "v", "least")
+    data = materialize(placed.join(sizes, "bucket").join(reps, "rep").select("bucket", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "rep", "v", F.lit(0.0).alias("least")), "data")
+    probed = materialize(q_reps.mapInArrow(probe, "rep long, bucket long, later boolean, least double").join(sizes, "bucket"), "probes")
 
     def best(group: pd.DataFrame) -> pd.DataFrame:
         q, c = group[group["asks"]], group[~group["asks"]]
@@ -169,8 +172,17 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
                 out.append(pd.DataFrame({"q": part["rep"].to_numpy(np.int64)[i], "rep": ids[j], "score": np.einsum("ij,ij->i", z[i], y[j])}))
         return pd.concat(out) if out else pd.DataFrame({"q": pd.Series([], dtype="int64"), "rep": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
 
-    hits = data.unionByName(asks).groupBy("bucket", "block").applyInPandas(best, "q long, rep long, score double").groupBy("q", "rep").agg(F.max("score").alias("score"))
-    near = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1).drop("r")
+    def ask(probes: DataFrame) -> DataFrame:
+        asks = probes.join(q_reps, "rep").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "rep", "v", "least")
+        return data.unionByName(asks).groupBy("bucket", "block").applyInPandas(best, "q long, rep long, score double")
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    once = lambda h: h.groupBy("q", "rep").agg(F.max("score").alias("score"))
+    early = materialize(once(ask(probed.where("not later"))), "early")
+    bound = early.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1).select(F.col("q").alias("rep"), (F.col("score") - 1e-9 * F.abs("score")).alias("bound"))
+    late = ask(probed.where("later").join(bound, "rep", "left").withColumn("least", F.greatest("least", "bound")))
+    hits = once(early.unionByName(late))
+    near = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     # of equal vectors the k+1 least ids suffice; hot vectors are thinned by salt first
     member = own.join(reps, "v").select("rep", "id", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt"))
     member = member.withColumn("r", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("id"))).where(F.col("r") <= k + 1)
