@@ -30,7 +30,7 @@ from loomline.llm.arrow import per_text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_LIMIT = np.int64(1 << 40)
 #: Chunks remembered by a worker; the store is emptied when it is full (speed only).
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Words up to this many bytes are merged in lock-step, longer ones with a heap.
 LOCKSTEP = 32
 
@@ -275,10 +275,11 @@ class Encoder:
         self.v = Vocabulary(content)
         self.pattern = regex.compile(PATTERN)
         self.exact = self.words = 0
-        self._forget()
+        self.forget()
         self.text_of = {i: str(i) for i in self.v.bytes_of}
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empty the store of known chunks."""
         self.known = _Numbered()
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 12, np.int64)
@@ -345,7 +346,7 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED or self.used > 8 * REMEMBERED:
-            self._forget()
+            self.forget()
         number, rows = self.known.__getitem__, []
         for t in texts:
             if "\0" in t or any(s in t for s in self.v.specials):
@@ -395,6 +396,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
             return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32)))}
 
+        f.close = enc.forget
         return f
 
     return per_text(df, id_col, text_col, "ids array<int>", make)
@@ -437,6 +439,7 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 "decoded_sha256": pa.array([sha(b"".join(map(raw, x)).decode("utf-8", "replace").encode()) for x in got], pa.string()),
             }
 
+        f.close = enc.forget
         return f
 
     return per_text(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)

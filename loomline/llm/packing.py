@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.arrow import blocks
+from loomline.llm.arrow import blocks, release
 from loomline.llm.bpe import encoder, load_vocabulary
 from loomline.scratch import materialize
 
@@ -236,6 +236,9 @@ def pack(df: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 1,
                 [b.column(0), b.column(2), pa.array([part] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(block_crcs, pa.list_(pa.int64())), pa.array(rest_crc, pa.int64()), pa.array(local, pa.int64()), pa.array(blocks_before, pa.int64())],
                 names=["id", "h", "part", "n", "block_crcs", "rest_crc", "local", "blocks_before"],
             )
+            del b, texts
+        enc.forget()
+        release()
 
     measured = materialize(src.mapInArrow(sizes, f"id {id_type}, h long, part int, n long, block_crcs array<long>, rest_crc long, local long, blocks_before long"), "lengths")
     rest = (F.col("n") % capacity).cast("int")
