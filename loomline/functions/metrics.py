@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import fixed
 from loomline.functions import text as T
-from loomline.functions.scoring import counts_of, mean
+from loomline.functions.scoring import counts_of, mean, mean_of_rounded
 
 PRONOUNS = {
     "i": ["i", "me", "my", "myself", "mine"], "you": ["you", "your", "yourself", "yours"], "we": ["we", "us", "our", "ourselves", "ours"],
@@ -66,7 +66,7 @@ def pai(low: Column, toks: Column) -> Column:
 
 def gase(compounds: Column, emotions: Column, horsemen: Column, toks: Column, n_sents: Column) -> dict[str, Column]:
     """Composite and its parts s, h_norm, a, g. emotions and horsemen: all tags of the document."""
-    s, counts = mean(compounds), counts_of(emotions)
+    s, counts = mean_of_rounded(compounds), counts_of(emotions)
     k = F.size(counts)
     h = F.when(k > 1, T.entropy(counts) / F.log2(F.greatest(F.lit(2), k).cast("double"))).otherwise(0.0)
     line = F.array_join(toks, " ")
@@ -81,14 +81,14 @@ def teg(scores: Column) -> Column:
     """Mean absolute step between neighbouring scores; 0 for fewer than two."""
     n = F.size(scores)
     steps = F.zip_with(F.slice(scores, 2, F.greatest(n - 1, F.lit(0))), F.slice(scores, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: F.abs(a - b))
-    return F.when(n > 1, T.rounded(mean(steps))).otherwise(0.0)
+    return F.when(n > 1, T.rounded(mean_of_rounded(steps))).otherwise(0.0)
 
 
 def nava(scores: Column) -> Column:
     """First part's mean less the last part's (quarters below nine scores, else thirds); null below four."""
     n = F.size(scores)
     part = F.greatest(F.lit(1), F.when(n < 9, F.floor(n / 4)).otherwise(F.floor(n / 3)).cast("int"))
-    return F.when(n >= 4, T.rounded(mean(F.slice(scores, 1, part)) - mean(F.slice(scores, n - part + 1, part))))
+    return F.when(n >= 4, T.rounded(mean_of_rounded(F.slice(scores, 1, part)) - mean_of_rounded(F.slice(scores, n - part + 1, part))))
 
 
 def nava_arc(value: Column) -> Column:
@@ -119,7 +119,7 @@ def lewi(scores: Column) -> Column:
     index = F.transform(F.transform(F.array(smooth), slopes), at)
 
     def ends(i: Column) -> Column:
-        pre, post = T.rounded(mean(F.slice(scores, 1, i))), T.rounded(mean(F.slice(scores, i + 1, n - i)))
+        pre, post = T.rounded(mean_of_rounded(F.slice(scores, 1, i))), T.rounded(mean_of_rounded(F.slice(scores, i + 1, n - i)))
         return F.struct(i.alias("idx"), pre.alias("pre"), post.alias("post"), T.rounded(pre - post).alias("drop"))
 
     return F.when(n >= 4, F.transform(index, ends)[0])
@@ -142,8 +142,9 @@ def vads_hits(c: Column) -> dict[str, Column]:
 
 def vads(c: Column, toks: Column) -> Column:
     hits = vads_hits(c)
-    load = sum((fixed.DISCLOSURE_TIERS[k][0] * v for k, v in hits.items()), F.lit(0.0))
-    return T.rounded(F.least(F.lit(1.0), load / F.greatest(F.lit(1), F.size(toks)) * 10))
+    # weights are tenths and the load is scaled by ten
+    load = sum((round(fixed.DISCLOSURE_TIERS[k][0] * 10) * v for k, v in hits.items()), F.lit(0))
+    return T.rounded(F.least(F.lit(1.0), load / F.greatest(F.lit(1), F.size(toks))))
 
 
 def ties(c: Column, sents: Column) -> Column:
@@ -222,7 +223,7 @@ def tense(paras: Column) -> Column:
     names = ("past", "present", "future")
     low = F.transform(paras, lambda p: F.struct(*(T.matches(F.lower(p), m).alias(k) for k, m in zip(names, (fixed.PAST_MARKERS, fixed.PRESENT_MARKERS, fixed.FUTURE_MARKERS), strict=True))))
     share = F.transform(low, lambda x: F.struct(*(T.rounded(x[k] / F.greatest(F.lit(1), x["past"] + x["present"] + x["future"]) * 100, 1).alias(k) for k in names)))
-    return F.transform(F.array(share), lambda s: F.struct(*(T.rounded(mean(s[k]), 1).alias(k) for k in names)))[0]
+    return F.transform(F.array(share), lambda s: F.struct(*(T.rounded(mean_of_rounded(s[k], 1), 1).alias(k) for k in names)))[0]
 
 
 def power(low: Column, toks: Column) -> dict[str, Column]:

@@ -82,6 +82,13 @@ def mean(values: Column) -> Column:
     return F.coalesce(F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values)), F.lit(0.0))
 
 
+def mean_of_rounded(values: Column, places: int = 4) -> Column:
+    """Mean of numbers that are rounded already, exact: summed as whole multiples of their last place; 0 of none."""
+    k = float(10**places)
+    whole = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.round(x * k).cast("long"))
+    return F.coalesce(F.try_divide(whole.cast("double"), F.size(values)) / k, F.lit(0.0))
+
+
 def counts_of(values: Column) -> Column:
     """Counts of the distinct strings of an array, in order of first occurrence."""
     return F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)))
@@ -94,7 +101,9 @@ def vader_like(c: Column) -> Column:
 
     def per(toks: Column) -> Column:
         hit = F.array_compact(F.transform(toks, lambda t, i: F.when(t.isin(list(seeds)), F.struct(t.alias("t"), i.alias("i")))))
-        return F.aggregate(hit, F.lit(0.0), lambda a, h: a + F.element_at(weight, h["t"]) * F.when(F.exists(F.slice(toks, F.greatest(h["i"] - 2, F.lit(1)), F.least(h["i"], F.lit(3))), lambda t: t.isin(neg)), -0.74).otherwise(1.0))
+        # weights have one place and the factor two, so the sum is exact in thousandths
+        negated = lambda h: F.exists(F.slice(toks, F.greatest(h["i"] - 2, F.lit(1)), F.least(h["i"], F.lit(3))), lambda t: t.isin(neg))
+        return F.aggregate(hit, F.lit(0).cast("long"), lambda a, h: a + F.round(F.element_at(weight, h["t"]) * F.when(negated(h), -0.74).otherwise(1.0) * 1000).cast("long")) / 1000.0
 
     total = F.transform(F.array(T.plain_tokens(c, True)), per)
     return F.element_at(F.transform(total, lambda s: T.rounded(s / F.sqrt(s * s + 15))), 1)

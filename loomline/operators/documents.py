@@ -77,7 +77,7 @@ def doc_metrics(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: s
     })
     tag = lambda col, k: F.size(F.filter(col, lambda x: x == k))
     return a.select(
-        id_col, *keep, s["n_words"].alias("n_words"), s["n_sents"].alias("n_sents"), s["flesch_re"].alias("flesch_re"), T.rounded(S.mean(F.col("compounds"))).alias("sentiment"),
+        id_col, *keep, s["n_words"].alias("n_words"), s["n_sents"].alias("n_sents"), s["flesch_re"].alias("flesch_re"), T.rounded(S.mean_of_rounded(F.col("compounds"))).alias("sentiment"),
         "gase", M.pti(toks).alias("pti"), M.teg(F.col("compounds")).alias("teg"), "rci", M.pai(low, toks).alias("pai"), "nava", M.nava_arc(F.col("nava")).alias("nava_arc"),
         F.col("lewi.idx").alias("lewi_idx"), F.col("lewi.drop").alias("lewi_drop"), M.cd_index(c, toks).alias("cd_index"), M.vads(c, toks).alias("vads"), M.ties(c, sents).alias("ties"),
         T.first_largest(list(styles.items())).alias("attachment"), F.size("horsemen").alias("horsemen_total"), *(tag("horsemen", h).alias(h) for h in HORSEMEN),
@@ -96,7 +96,7 @@ def score_text(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: st
     """Per document: mean of the rounded compounds, band, emotion totals (map), sarcastic sentences, behaviours (map)."""
     a = annotate(df.select(id_col, text_col), lex, text_col)
     totals = lambda col: F.map_from_entries(F.transform(F.array_distinct(col), lambda v: F.struct(v, F.size(F.filter(col, lambda x: x == v)))))
-    out = a.select(id_col, S.mean(F.col("compounds")).alias("mean"), totals("emotions").alias("emotion_totals"), "n_sarcasm", totals("horsemen").alias("horsemen"), F.size("sents").alias("n_sents"))
+    out = a.select(id_col, S.mean_of_rounded(F.col("compounds")).alias("mean"), totals("emotions").alias("emotion_totals"), "n_sarcasm", totals("horsemen").alias("horsemen"), F.size("sents").alias("n_sents"))
     return out.withColumn("band", S.band(F.col("mean"), *M.BANDS["sentiment"]))
 
 
@@ -164,7 +164,7 @@ def word_migration(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col
     half = F.greatest(F.lit(1), F.floor(F.size("sents") / 2).cast("int"))
     rows = a.select(id_col, half.alias("half"), F.posexplode(F.arrays_zip("sents", "compounds")).alias("ix", "x"))
     found = rows.select(id_col, (F.col("ix") < F.col("half")).alias("early"), F.col("x.compounds").alias("v"), F.explode(F.array_compact(F.array(*(F.when(F.col("x.sents").rlike(rf"(?iu)\b{w}\b"), F.lit(w)) for w in fixed.KEY_RELATIONSHIP_WORDS)))).alias("word"))
-    part = lambda early: F.avg(F.when(F.col("early") == early, F.col("v")))
+    part = lambda early: F.try_divide(F.sum(F.when(F.col("early") == early, F.round(F.col("v") * 10000).cast("long"))).cast("double"), F.count_if(F.col("early") == early)) / 10000.0
     g = found.groupBy(id_col, "word").agg(part(True).alias("m1"), part(False).alias("m2"), F.count_if("early").alias("c1"), F.count_if(~F.col("early")).alias("c2"))
     return g.where("m1 is not null and m2 is not null").select(id_col, "word", T.rounded(F.col("m1")).alias("first_mean"), T.rounded(F.col("m2")).alias("second_mean"), T.rounded(F.col("m2") - F.col("m1")).alias("delta"), "c1", "c2")
 

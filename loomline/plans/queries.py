@@ -137,7 +137,7 @@ def hapax(spark, sf_dir):
 
 @query
 def sentence_scores(spark, sf_dir):
-    return D.sentence_scores(narr(spark, sf_dir), starter()).select("doc_id", "sent_ix", "compound", "sarcasm", F.size("emotions").alias("n_emotions"), F.array_join("horsemen", ",").alias("horsemen"))
+    return D.sentence_scores(narr(spark, sf_dir), starter()).select("doc_id", "sent_ix", "compound", "sarcasm", F.size("emotions").alias("n_emotions"), F.array_join(F.array_sort("horsemen"), ",").alias("horsemen"))
 
 
 @query
@@ -416,7 +416,7 @@ def tf_idf(spark, sf_dir):
 @query
 def sentence_similarity(spark, sf_dir):
     s = Q.sentence_similarity(Q.tf_idf(narr(spark, sf_dir).where("doc_id % 2 = 0")))
-    return s.groupBy("doc_id").agg(F.count("*").alias("pairs"), T.rounded(F.sum("cosine"), 2).alias("total"), F.max("cosine").alias("top"))
+    return s.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.round(F.col("cosine") * 10000).cast("long")).alias("total"), F.max("cosine").alias("top"))
 
 
 @query
@@ -457,7 +457,7 @@ def _orders(spark, sf_dir) -> DataFrame:
 
 def _scored(spark, sf_dir) -> DataFrame:
     """Labels with two scores from their documents: gold pos, neg or neu, and values in [-1, 1]."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.length("text") % 201 / 100.0 - 1.0).alias("s1"), (F.crc32("text") % 101 / 50.0 - 1.0).alias("s2"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.length("text") % 201 / 100.0 - 1.0).alias("s1"), ((F.col("doc_id") * 7919 + F.length("text") * 31) % 101 / 50.0 - 1.0).alias("s2"))
     x = table(spark, sf_dir, "labels").join(d, "doc_id")
     gold = F.when(F.col("toxic") == 1, "neg").when((F.col("quality") == 1) & (F.col("doc_id") % 3 > 0), "pos").otherwise("neu")
     return x.select("doc_id", "lang", gold.alias("gold"), T.rounded(F.col("s1"), 2).alias("s1"), T.rounded(F.col("s2"), 2).alias("s2"))
@@ -503,7 +503,7 @@ def multiclass_auc(spark, sf_dir):
 def baselines(spark, sf_dir):
     """Four systems against gold labels, per dataset."""
     c = F.col("text")
-    x = annotated(spark, sf_dir).select("dataset", F.col("gold").alias("gold_sentiment"), T.rounded(S.mean(F.col("compounds"))).alias("sentiment"), S.vader_like(c).alias("vader_score"), S.nrc_like(c)["compound"].alias("nrc_score"), S.liwc_like(c)["compound"].alias("liwc_score"))
+    x = annotated(spark, sf_dir).select("dataset", F.col("gold").alias("gold_sentiment"), T.rounded(S.mean_of_rounded(F.col("compounds"))).alias("sentiment"), S.vader_like(c).alias("vader_score"), S.nrc_like(c)["compound"].alias("nrc_score"), S.liwc_like(c)["compound"].alias("liwc_score"))
     return E.baselines(x, ["dataset"])
 
 
@@ -699,7 +699,7 @@ def session_runs(spark, sf_dir):
 @query
 def rater_matrix(spark, sf_dir):
     s = _scored(spark, sf_dir)
-    own = lambda c, keep: s.where(keep).select(F.col("doc_id").alias("id"), T.label(F.col(c), 0.3).alias("sentiment"))
+    own = lambda c, keep: s.where(keep).select(F.col("doc_id").cast("string").alias("id"), T.label(F.col(c), 0.3).alias("sentiment"))
     return R.rater_matrix([own("s1", F.lit(True)), own("s2", F.col("doc_id") % 5 > 0), own("s1", F.col("doc_id") % 2 == 0)])
 
 

@@ -75,6 +75,19 @@ def mean(values: str) -> str:
     return f"(case when len({values}) = 0 then 0.0 else list_reduce(list_prepend(0.0::double, {values}), lambda a, b: a + b) / len({values}) end)"
 
 
+def mean4(values: str, places: int = 4) -> str:
+    """Mean of rounded numbers, as whole multiples of their last place."""
+    k = float(10**places)
+    return f"(case when len({values}) = 0 then 0.0 else list_sum(list_transform({values}, lambda z: round(z * {k})::bigint))::double / len({values}) / {k} end)"
+
+
+def avg4(x: str, where: str = "", places: int = 4) -> str:
+    """The same as an aggregate."""
+    f = f" filter ({where})" if where else ""
+    k = float(10**places)
+    return f"((sum(round(({x}) * {k})::bigint){f})::double / nullif(count({x}){f}, 0) / {k})"
+
+
 def explode(rel: str, lst: str, ix: str, name: str, keep: str = "doc_id") -> str:
     return f"select {keep}, generate_subscripts(l, 1) - 1 as {ix}, unnest(l) as {name} from (select {keep}, {lst} as l from {rel})"
 
@@ -82,7 +95,7 @@ def explode(rel: str, lst: str, ix: str, name: str, keep: str = "doc_id") -> str
 def lex_rows(lex: Lexicon, phrases: bool) -> str:
     rows = [e for e in lex.entries if e.is_phrase == phrases]
     if not rows:
-        return "(select null::varchar as term, null::double as w, null::varchar[] as emo, null::varchar as horse where false)"
+        return "(select null::varchar as term, null::double as w, null::varchar[] as emo, null::varchar as horse where false) lx"
     return "(values " + ", ".join(f"({q(e.term)}, ({e.s} * {e.i})::double, {sql_list(e.emotions)}::varchar[], {q(e.horseman) if e.horseman else 'null'})" for e in rows) + ") lx(term, w, emo, horse)"
 
 
