@@ -125,45 +125,46 @@ def lewi(scores: Column) -> Column:
     return F.when(n >= 4, F.transform(index, ends)[0])
 
 
-def cd_parts(c: Column, toks: Column) -> dict[str, Column]:
+def cd_parts(low: Column, toks: Column) -> dict[str, Column]:
     """Rounded load of each distortion: matches against one per 200 tokens, up to 1."""
     cap = F.greatest(F.lit(1.0), F.size(toks) / 200)
-    return {name: T.rounded(F.least(F.lit(1.0), sum((T.matches(c, p, True) for p in ps), F.lit(0)) / cap)) for name, ps in fixed.DISTORTIONS.items()}
+    return {name: T.rounded(F.least(F.lit(1.0), sum((T.matches(low, p) for p in ps), F.lit(0)) / cap)) for name, ps in fixed.DISTORTIONS.items()}
 
 
-def cd_index(c: Column, toks: Column) -> Column:
-    parts = cd_parts(c, toks)
+def cd_index(low: Column, toks: Column) -> Column:
+    parts = cd_parts(low, toks)
     return T.rounded(sum(parts.values(), F.lit(0.0)) / len(parts))
 
 
-def vads_hits(c: Column) -> dict[str, Column]:
-    return {tier: T.matches(c, p, True) for tier, (_, p) in fixed.DISCLOSURE_TIERS.items()}
+def vads_hits(low: Column) -> dict[str, Column]:
+    return {tier: T.matches(low, p.lower()) for tier, (_, p) in fixed.DISCLOSURE_TIERS.items()}
 
 
-def vads(c: Column, toks: Column) -> Column:
-    hits = vads_hits(c)
+def vads(low: Column, toks: Column) -> Column:
+    hits = vads_hits(low)
     # weights are tenths and the load is scaled by ten
     load = sum((round(fixed.DISCLOSURE_TIERS[k][0] * 10) * v for k, v in hits.items()), F.lit(0))
     return T.rounded(F.least(F.lit(1.0), load / F.greatest(F.lit(1), F.size(toks))))
 
 
-def ties(c: Column, sents: Column) -> Column:
+def ties(low: Column, sents: Column) -> Column:
     """Entropy of absolute terms times the density of contradictions within and between neighbouring segments."""
-    paras, long = T.literal_paragraphs(c), F.filter(sents, lambda s: F.length(s) > 8)
-    paras = F.when(F.size(paras) > 0, paras).otherwise(F.array(c))
-    segs = F.when(F.size(paras) >= 2, paras).when(F.size(long) >= 2, long).otherwise(paras)
-    low = lambda s, p: s.rlike("(?iu)" + p)
-    flags = F.transform(segs, lambda s: F.struct(*(low(s, p).alias(f"{side}{k}") for k, pair in enumerate(fixed.ABSOLUTE_PAIRS) for side, p in zip("ab", pair, strict=True))))
+    paras, long = T.literal_paragraphs(low), F.filter(sents, lambda s: F.length(s) > 8)
+    segs = T.bound(F.when(F.size(paras) > 0, paras).otherwise(F.array(low)), lambda p: F.when(F.size(p) >= 2, p).otherwise(T.bound(long, lambda s: F.when(F.size(s) >= 2, F.transform(s, F.lower)).otherwise(p))))
+    # a plain search comes first: the terms are rare
+    word = lambda p: p.replace("\\b", "")
+    has = lambda s, p: s.contains(word(p)) & s.rlike(p)
     n = range(len(fixed.ABSOLUTE_PAIRS))
+    flags = F.transform(segs, lambda s: F.struct(*(has(s, p).alias(f"{side}{k}") for k, pair in enumerate(fixed.ABSOLUTE_PAIRS) for side, p in zip("ab", pair, strict=True))))
 
     def count(x: Column) -> Column:
         own = F.aggregate(x, F.lit(0), lambda a, f: a + sum(((f[f"a{k}"] & f[f"b{k}"]).cast("int") for k in n), F.lit(0)))
         pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda f, g: sum((((f[f"a{k}"] & g[f"b{k}"]) | (f[f"b{k}"] & g[f"a{k}"])).cast("int") for k in n), F.lit(0)))
         return (own + F.aggregate(pairs, F.lit(0), lambda a, v: a + v)) / F.greatest(F.lit(1), F.size(x))
 
-    density = F.transform(F.array(flags), count)[0]
-    h = T.entropy(F.filter(F.array(*(T.matches(c, a, True) + T.matches(c, b, True) for a, b in fixed.ABSOLUTE_PAIRS)), lambda v: v > 0))
-    return T.rounded(h * density)
+    times = lambda p: F.when(low.contains(word(p)), T.matches(low, p)).otherwise(0)
+    h = T.entropy(F.filter(F.array(*(times(a) + times(b) for a, b in fixed.ABSOLUTE_PAIRS)), lambda v: v > 0))
+    return T.rounded(h * T.bound(flags, count))
 
 
 def rci_segments(c: Column, sents: Column) -> Column:

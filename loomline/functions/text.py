@@ -19,8 +19,17 @@ def rounded(x: Column, places: int = 4) -> Column:
     return F.floor(x * k + 0.5) / k + 0.0
 
 
+#: What counts as white space at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def tokens(c: Column) -> Column:
@@ -35,9 +44,12 @@ def plain_tokens(c: Column, apostrophes: bool = False) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces that end in . ! or ? before white space and a capital, or before a line end. Never empty."""
-    parts = F.flatten(F.transform(F.split(strip(c), SENTENCE_GAP), lambda s: F.split(s, SENTENCE_LINE)))
-    kept = F.filter(F.transform(parts, strip), lambda s: s != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(strip(c)))
+
+    def cut(x: Column) -> Column:
+        parts = F.flatten(F.transform(F.split(x, SENTENCE_GAP), lambda s: F.split(s, SENTENCE_LINE)))
+        return bound(F.filter(F.transform(parts, strip), lambda s: s != ""), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(F.array(x)))
+
+    return bound(strip(c), cut)
 
 
 def paragraphs(c: Column) -> Column:

@@ -186,7 +186,7 @@ def pronouns_power(spark, sf_dir):
     """Pronoun triangulation and counts, power asymmetry, disclosure, distortion load."""
     a = D.annotate(narr(spark, sf_dir))
     toks, c = F.col("toks"), F.col("text")
-    return a.select("doc_id", M.pti(toks).alias("pti"), *(v.alias(f"n_{k}") for k, v in M.pronouns(toks).items()), M.pai(F.col("low"), toks).alias("pai"), M.vads(c, toks).alias("vads"), *(v.alias(f"vads_{k.lower()}") for k, v in M.vads_hits(c).items()), M.cd_index(c, toks).alias("cd_index"))
+    return a.select("doc_id", M.pti(toks).alias("pti"), *(v.alias(f"n_{k}") for k, v in M.pronouns(toks).items()), M.pai(F.col("low"), toks).alias("pai"), M.vads(F.col("low"), toks).alias("vads"), *(v.alias(f"vads_{k.lower()}") for k, v in M.vads_hits(F.col("low")).items()), M.cd_index(F.col("low"), toks).alias("cd_index"))
 
 
 @query
@@ -212,7 +212,7 @@ def rci(spark, sf_dir):
 
 @query
 def ties(spark, sf_dir):
-    return D.annotate(narr(spark, sf_dir)).select("doc_id", M.ties(F.col("text"), F.col("sents")).alias("ties"))
+    return D.annotate(narr(spark, sf_dir)).select("doc_id", M.ties(F.col("low"), F.col("sents")).alias("ties"))
 
 
 @query
@@ -641,7 +641,7 @@ def paragraph_correlation(spark, sf_dir):
     p = narr(spark, sf_dir).select("doc_id", F.filter(T.literal_paragraphs(F.col("text")), lambda x: F.length(x) > 30).alias("l")).where(F.size("l") >= 3).select("doc_id", F.explode("l").alias("text"))
     a = D.annotate(p)
     toks, c = F.col("toks"), F.col("text")
-    m = a.select("doc_id", M.pti(toks).alias("pti"), M.cd_index(c, toks).alias("cd_index"), M.vads(c, toks).alias("vads"))
+    m = a.select("doc_id", M.pti(toks).alias("pti"), M.cd_index(F.col("low"), toks).alias("cd_index"), M.vads(F.col("low"), toks).alias("vads"))
     return E.correlation_matrix(m, ["doc_id"], ["pti", "cd_index", "vads"]).where("row < col")
 
 
