@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters handled at a time inside a Python worker. Bounds its memory; results do not depend on it.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 
 
 def release() -> None:

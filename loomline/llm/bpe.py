@@ -30,9 +30,11 @@ from loomline.llm.arrow import per_text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_LIMIT = np.int64(1 << 40)
 #: Chunks remembered by a worker; the store is emptied when it is full (speed only).
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Words up to this many bytes are merged in lock-step, longer ones with a heap.
 LOCKSTEP = 32
+#: Size of the tables of merges, as a power of two.
+HASH_BITS = 20
 
 
 def byte_symbols() -> dict[str, int]:
@@ -64,9 +66,8 @@ class Vocabulary:
             tokens.append(a + b)
         self.left, self.right = np.array(left, np.int64), np.array(right, np.int64)
         n = len(tokens)
-        keys = self.left[256:] * n + self.right[256:]
-        order = np.argsort(keys)
-        self.keys, self.merged, self.n = keys[order], order.astype(np.int64) + 256, n
+        self.n = n
+        self._hash(self.left[256:] * n + self.right[256:])
         self.outer = np.array([vocab.get(t, -1) for t in tokens], np.int64)
         self.bytes_of: dict[int, bytes] = {i: t for t, i in vocab.items()} | {i: s.encode() for s, i in self.specials.items()}
         self._trie()
@@ -79,12 +80,36 @@ class Vocabulary:
                 self.sound[i] = False
         self.special_pattern = regex.compile("|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True))) if self.specials else None
 
+    def _hash(self, keys: np.ndarray) -> None:
+        """Two tables from a pair's key to its merge; keys whose place in the first is taken go to the second."""
+        self.keys = np.append(keys, -1)
+        rng, todo, self.tables = np.random.default_rng(1), np.arange(len(keys)), []
+        while len(todo):
+            while True:
+                mult = int(rng.integers(1 << 61, 1 << 62)) | 1
+                place = self._place(keys[todo], mult)
+                _, at = np.unique(place, return_index=True)
+                if not self.tables or len(at) == len(todo):
+                    break
+            table = np.full(1 << HASH_BITS, len(keys), np.int32)
+            table[place[at]] = todo[at]
+            self.tables.append((mult, table))
+            todo = np.delete(todo, at)
+
+    @staticmethod
+    def _place(k: np.ndarray, mult: int) -> np.ndarray:
+        return (k.astype(np.uint64) * np.uint64(mult)) >> np.uint64(64 - HASH_BITS)
+
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Inner id that merges a and b, or NO_LIMIT."""
         k = a * self.n + b
-        at = np.searchsorted(self.keys, k)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == k, self.merged[at], NO_LIMIT)
+        at = self.tables[0][1][self._place(k, self.tables[0][0])]
+        if len(self.tables) > 1:
+            taken = np.flatnonzero((self.keys[at] != k) & (at < len(self.keys) - 1))
+            if len(taken):
+                mult, table = self.tables[1]
+                at[taken] = table[self._place(k[taken], mult)]
+        return np.where(self.keys[at] == k, at + np.int64(256), NO_LIMIT)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether merging the bytes of a and b gives back a and b, for each pair.
@@ -288,44 +313,62 @@ class Encoder:
         self.used = 0
 
     def _learn(self) -> None:
-        """Encode the chunks met for the first time. A leading NUL marks one that is a match of the pattern already."""
-        chunks, self.known.new = self.known.new, []
-        if not chunks:
+        """Encode the chunks met for the first time.
+
+        A chunk of letters, perhaps after a space, is one word; so is what follows a leading NUL, a match of the pattern
+        kept under a name of its own. Any other chunk is made of words, which are numbered like chunks and
+        encoded with the rest.
+        """
+        known = self.known
+        if not known.new:
             return
-        find = self.pattern.findall
-        # most chunks are one word: letters, perhaps after a space; the words of the others are numbered after these
-        single = [c[0] == "\0" or (c[1:] if c[0] == " " else c).isalpha() for c in chunks]
-        words = [c[1:] if c[0] == "\0" else c for c in compress(chunks, single)]
-        more, n_single = _Numbered(), len(words)
-        number = more.__getitem__
-        parts = [tuple(map(number, find(c))) for c, one in zip(chunks, single, strict=True) if not one]
-        words += more
-        is_one = np.array(single)
-        n_words = np.ones(len(chunks), np.int64)
-        n_words[~is_one] = np.fromiter(map(len, parts), np.int64, len(parts))
-        of = np.empty(int(n_words.sum()), np.int64)
-        owner_one = np.repeat(is_one, n_words)
-        of[owner_one] = np.arange(n_single)
-        of[~owner_one] = np.fromiter(chain.from_iterable(parts), np.int64, int(n_words[~is_one].sum())) + n_single
+        first, number, find = len(known) - len(known.new), known.__getitem__, self.pattern.findall
+        several, parts, odd, k = [], [], [], 0
+        new = known.new  # grows while words of chunks are numbered
+        for c in known.new.copy():
+            if not (c[1:].isalpha() and c[0] in " \0"):
+                if c[0] == "\0":
+                    pass
+                elif c[-1] in ".,;:!?" and c[1:-1].isalpha() and c[0] == " ":
+                    several.append(k)
+                    parts.append((number(c[:-1]), number("\0" + c[-1])))
+                    odd.append(False)
+                elif not c.isalpha():
+                    several.append(k)
+                    parts.append(tuple([number("\0" + w) for w in find(c)]))
+                    # white space at either end (or nothing else): cutting there was not exact
+                    odd.append(c[-1].isspace() or c[1:2].isspace())
+            k += 1
+        known.new = []
+        is_one = np.ones(len(new), bool)
+        is_one[several] = False
+        words = [c[1:] if c[0] == "\0" else c for c in compress(new, is_one.tolist())]
         ids, n_ids, exact = self.v.encode_words([w.encode() for w in words])
         self.exact += exact
         self.words += len(words)
-        begin = np.cumsum(n_ids) - n_ids
-        flat = ids[_spans(begin[of], n_ids[of])]
-        sums = np.concatenate([[0], np.cumsum(n_ids[of])])
-        ends = np.cumsum(n_words)
-        size = sums[ends] - sums[ends - n_words]
-        n = len(self.known) - len(chunks)
-        while len(self.known) > len(self.start):
+        last = len(known)
+        while last > len(self.start):
             self.start, self.size, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.odd))
-        while self.used + len(flat) > len(self.flat):
+        start, size = self.start[first:last], self.size[first:last]
+        self._keep(ids)
+        start[is_one] = self.used - len(ids) + np.cumsum(n_ids) - n_ids
+        size[is_one] = n_ids
+        if several:
+            n_words = np.fromiter(map(len, parts), np.int64, len(parts))
+            of = np.fromiter(chain.from_iterable(parts), np.int64, int(n_words.sum()))
+            self._keep(self._gather(of))
+            sums = np.concatenate([[0], np.cumsum(self.size[of])])
+            ends = np.cumsum(n_words)
+            n = sums[ends] - sums[ends - n_words]
+            start[several] = self.used - int(sums[-1]) + np.cumsum(n) - n
+            size[several] = n
+            self.odd[first:last][several] = odd
+
+    def _keep(self, ids: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.start[n : len(self.known)] = self.used + np.cumsum(size) - size
-        self.size[n : len(self.known)] = size
-        # white space at either end (or nothing else): cutting there was not exact
-        self.odd[n : len(self.known)] = [c[-1].isspace() or c[1:2].isspace() for c in chunks]
-        self.used += len(flat)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def _gather(self, rows: np.ndarray) -> np.ndarray:
         return self.flat[_spans(self.start[rows], self.size[rows])]
