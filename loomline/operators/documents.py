@@ -52,6 +52,10 @@ def mean_jaccard(sets: pd.Series) -> pd.Series:
     return sets.map(one)
 
 
+# a filter on the result stays above it and does not run it a second time
+mean_jaccard = mean_jaccard.asNondeterministic()
+
+
 def content_sets(segments):
     return F.transform(segments, lambda s: F.array_distinct(T.content_words(T.tokens(s))))
 

@@ -37,6 +37,26 @@ def baselines(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment")
     return f.join(r, ks).join(St.multiclass_auc(long, ks, "score", gold), ks)
 
 
+def system_agreement(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment", main: str = "main") -> DataFrame:
+    """Every system's labels against gold (macro-F1, accuracy) and against the main system's (kappa with pooled expected agreement)."""
+    long = df.withColumn("_main", T.label(F.col(SYSTEMS[main]))).select(*keys, gold, "_main", *(F.col(c).cast("double").alias(s) for s, c in SYSTEMS.items())).unpivot([*keys, gold, "_main"], list(SYSTEMS), "system", "score")
+    long = long.withColumn("pred", T.label(F.col("score")))
+    ks = [*keys, "system"]
+    f = St.precision_recall(long, ks, gold, "pred").select(*ks, "n", "macro_f1", "accuracy")
+    share = lambda c, k: F.avg((F.col(c) == k).cast("double"))
+    pe = sum((((share("pred", c) + share("_main", c)) / 2) * ((share("pred", c) + share("_main", c)) / 2) for c in St.CLASSES), F.lit(0.0))
+    k = long.groupBy(*ks).agg(F.avg((F.col("pred") == F.col("_main")).cast("double")).alias("po"), pe.alias("pe"))
+    return f.join(k, ks).select(*ks, "n", "macro_f1", "accuracy", T.rounded(F.coalesce(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")), F.lit(0.0))).alias("kappa"))
+
+
+def statistical_report(df: DataFrame, keys: Sequence[str], x: str, y: str, first) -> DataFrame:
+    """Long table (test, name, value) of the paired and two-sample statistics of two columns."""
+    p, s, w, e = St.pearson(df, keys, x, y), St.spearman(df, keys, x, y), St.wilcoxon(df, keys, x, y), St.effect_size(df, keys, x, first)
+    rows = [(p, "pearson", ("r", "p", "n")), (s, "spearman", ("rho", "p")), (w, "wilcoxon", ("w", "z", "p")), (e, "effect", ("cohens_d", "hedges_g"))]
+    parts = [d.select(*keys, F.lit(t).alias("test"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cs))).alias("v")).select(*keys, "test", "v.name", "v.value") for d, t, cs in rows]
+    return union_all(parts)
+
+
 def metric_pairs(df: DataFrame, keys: Sequence[str], pairs=PAIRS, least: int = 5) -> DataFrame:
     """Pearson and Spearman of each pair on pairwise complete rows, and whether the direction is as expected."""
     x = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(a).alias("metric_1"), F.lit(b).alias("metric_2"), F.lit(h).alias("hypothesis"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b, h in pairs))).alias("t"))

@@ -109,9 +109,9 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 def _ranked(df: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
     """Mean rank of every distinct value of ``v``."""
-    c = df.groupBy(*keys, v).agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.select(*keys, v, (before + (F.col("k") + 1) / 2.0).alias(f"rank_{v}"))
+    c = df.groupBy(*keys, v).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return c.select(*keys, v, (before + (F.col("_n") + 1) / 2.0).alias(f"rank_{v}"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -143,9 +143,9 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     ks = list(keys) or ["_all"]
     src = (df if keys else df.withColumn("_all", F.lit(0))).where(_finite(x, y))
     d = src.select(*ks, (F.col(x).cast("double") - F.col(y).cast("double")).alias("d")).where("d <> 0").select(*ks, F.abs("d").alias("a"), (F.col("d") > 0).alias("up"))
-    c = d.groupBy(*ks, "a").agg(F.count("*").alias("k"), F.count_if("up").alias("up"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy(*ks).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = c.withColumn("rank", before + (F.col("k") + 1) / 2.0).groupBy(*ks).agg(F.sum("k").cast("double").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"))
+    c = d.groupBy(*ks, "a").agg(F.count("*").alias("_n"), F.count_if("up").alias("up"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*ks).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = c.withColumn("rank", before + (F.col("_n") + 1) / 2.0).groupBy(*ks).agg(F.sum("_n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"))
     n = F.col("n")
     s = s.withColumn("w", F.least("plus", n * (n + 1) / 2 - F.col("plus"))).withColumn("z", F.try_divide(F.abs(F.col("w") - n * (n + 1) / 4), F.sqrt(n * (n + 1) * (2 * n + 1) / 24)))
     few = n < 5

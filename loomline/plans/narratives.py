@@ -32,7 +32,9 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda order, c, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, c))), lambda x: x[c]), sep)
     paras = lines.groupBy("l_orderkey").agg(joined("l_linenumber", "s", " ").alias("p"))
     orders = read("orders").select("o_orderkey", "o_custkey").join(paras, F.col("o_orderkey") == F.col("l_orderkey"))
-    docs = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(joined("o_orderkey", "p", "\n\n").alias("text"))
+    # what follows costs far more than its bytes suggest: keep the partitions that coalescing would join
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = orders.repartition(n, "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(joined("o_orderkey", "p", "\n\n").alias("text"))
     who = read("customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("dataset"))
     gold = F.element_at(F.array(F.lit("pos"), F.lit("neg"), F.lit("neu")), (F.pmod(F.col("doc_id") * 7 + F.length("text"), F.lit(3)) + 1).cast("int"))
     return docs.join(who, "doc_id").withColumn("gold", gold)

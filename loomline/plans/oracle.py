@@ -472,6 +472,16 @@ SQL["baselines"] = narr(
     f"bl as (select *, {LABEL('score')} as pred, (case gold when 'pos' then 1 when 'neg' then -1 else 0 end)::double as num from ({_sys}))", f"bf as ({_prf('bl', 'dataset, system', True)})", f"bp as ({_pearson('bl', 'dataset, system', 'score', 'num')})", _multi("bl", "dataset, system", "score"),
 )
 
+_sa = " union all ".join(f"select lang, gold, '{s}' as system, {c} as score, s1 from sd" for s, c in (("main", "s1"), ("vader", "s2"), ("nrc", "-s1"), ("liwc", "0.0::double")))
+SQL["system_agreement"] = f"""with {SCO}, sl as (select lang, gold, system, {LABEL('score')} as pred, {LABEL('s1')} as main from ({_sa})), sf as ({_prf('sl', 'lang, system', True)}),
+sk as (select lang, system, count(*) as n, avg((pred = main)::int) as po, {' + '.join(f"pow((avg((pred = '{c}')::int) + avg((main = '{c}')::int)) / 2, 2)" for c in ('pos', 'neg', 'neu'))} as pe from sl group by lang, system)
+select lang, system, n, macro_f1, accuracy, {r('coalesce((po - pe) / nullif(1 - pe, 0), 0.0)')} as kappa from sf join sk using (lang, system)"""
+_o2 = ORD + ", oy as (select *, n_lines * 25.0::double as y from od)"
+_part = lambda sql, t, cs: " union all ".join(f"select dataset, '{t}' as test, '{c}' as name, {c}::double as value from ({sql})" for c in cs)
+SQL["statistical_report"] = f"""with {_o2}, pp as ({_pearson('oy', 'dataset', 'qty', 'y')}), rk as {_spear('oy', 'dataset', 'qty', 'y')}, ss as ({_pearson('rk', 'dataset', 'rx', 'ry')}), ww as ({SQL['wilcoxon']}),
+ee as ({SQL['effect_size'].replace('price', 'qty').replace('o_totalqty as qty', 'o_totalprice as price')}) select * from ({_part('select * from pp', 'pearson', ('r', 'p', 'n'))} union all {_part('select dataset, r as rho, p from ss', 'spearman', ('rho', 'p'))}
+  union all {_part('select * from ww', 'wilcoxon', ('w', 'z', 'p'))} union all {_part('select * from ee', 'effect', ('cohens_d', 'hedges_g'))}) where value is not null"""
+
 # --- experiments ---
 MET = f"""{ORD}, mr as (select o_orderkey, dataset, {r('o_orderkey * 37 % 101 / 101.0 - qty / 400')} as gase, {r('o_orderkey * 13 % 53 / 53.0 - 0.5')} as pti, {r('o_orderkey * 13 % 53 / 53.0 / 3 + disc')} as pai, {r('case when n_lines > 1 then o_orderkey * 7 % 31 / 31.0 end')} as nava,
   {r('case when n_lines > 1 then o_orderkey * 7 % 31 / 31.0 / 2 + o_orderkey * 11 % 29 / 29.0 end')} as lewi_drop, {r('case when n_lines > 2 then o_orderkey * 17 % 71 / 71.0 else 0.0 end')} as teg, {r('o_orderkey * 5 % 19 / 19.0 * disc')} as ties, {r('o_orderkey * 3 % 7 / 7.0 / 100')} as rci from od)"""
@@ -514,7 +524,7 @@ SQL["rater_matrix"] = f"""with {SCO} select doc_id::varchar as id, 'r1' as rater
 from loomline.sources import readers as R  # noqa: E402
 
 _isin = lambda x, ws: f"coalesce({x} in ({', '.join(map(q, ws))}), false)"
-SQL["multi_label_emotions"] = f"""with x as (select p_name || ' ' || p_type as text, list_extract({sql_list(R.EMOTION_NAMES)}, (l_orderkey % 28 + 1)::int) as a, list_extract({sql_list(R.EMOTION_NAMES)}, (l_partkey % 31 + 1)::int) as b from lineitem join part on l_partkey = p_partkey),
+SQL["multi_label_emotions"] = f"""with x as (select 'a part named ' || p_name || ' ' || p_type as text, list_extract({sql_list(R.EMOTION_NAMES)}, (l_orderkey % 28 + 1)::int) as a, list_extract({sql_list(R.EMOTION_NAMES)}, (l_partkey % 31 + 1)::int) as b from lineitem join part on l_partkey = p_partkey),
 k as (select * from x where len(list_filter(regexp_split_to_array(text, '\\s+'), lambda z: z <> '')) >= 4)
 select sentiment, emotion, count(*) as n from (select case when {_isin('a', R.POSITIVE)} or {_isin('b', R.POSITIVE)} then 'pos' when {_isin('a', R.NEGATIVE)} or {_isin('b', R.NEGATIVE)} then 'neg' else 'neu' end as sentiment, coalesce(a, b, 'neutral') as emotion from k) group by sentiment, emotion"""
 SQL["tweet_lines"] = """select o_orderkey::varchar as id, 'order of customer ' || o_custkey || '~' || o_orderpriority as text, list_extract(['pos', 'neg', 'neu', 'pos', 'neg'], (o_orderkey % 5 + 1)::int) as sentiment from orders"""

@@ -10,6 +10,7 @@ from loomline.functions import metrics as M
 from loomline.functions import scoring as S
 from loomline.functions import text as T
 from loomline.functions.lexicon import starter
+from loomline.layout import spread
 from loomline.operators import documents as D
 from loomline.operators import evaluation as E
 from loomline.operators import frequency as Q
@@ -31,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def narr(spark, sf_dir) -> DataFrame:
@@ -507,6 +508,18 @@ def baselines(spark, sf_dir):
     return E.baselines(x, ["dataset"])
 
 
+@query
+def system_agreement(spark, sf_dir):
+    """Systems against gold and against the main one, over two scores of the labelled documents."""
+    x = _scored(spark, sf_dir).select("lang", F.col("gold").alias("gold_sentiment"), F.col("s1").alias("sentiment"), F.col("s2").alias("vader_score"), (-F.col("s1")).alias("nrc_score"), F.lit(0.0).alias("liwc_score"))
+    return E.system_agreement(x, ["lang"])
+
+
+@query
+def statistical_report(spark, sf_dir):
+    return E.statistical_report(_orders(spark, sf_dir).withColumn("y", F.col("n_lines") * 25.0), ["dataset"], "qty", "y", F.col("n_lines") > 3).where("value is not null")
+
+
 @query
 def pearson(spark, sf_dir):
     return St.pearson(_orders(spark, sf_dir), ["dataset"], "price", "qty")
@@ -707,7 +720,7 @@ def rater_matrix(spark, sf_dir):
 def multi_label_emotions(spark, sf_dir):
     """Multi-label rows made from line items: ids 0-27, and words from the part's name."""
     x = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = x.select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"), F.concat_ws(",", (F.col("l_orderkey") % 28).cast("string"), (F.col("l_partkey") % 31).cast("string")).alias("emotion_ids"))
+    x = x.select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws(" ", F.lit("a part named"), "p_name", "p_type").alias("text"), F.concat_ws(",", (F.col("l_orderkey") % 28).cast("string"), (F.col("l_partkey") % 31).cast("string")).alias("emotion_ids"))
     return R.multi_label(x).groupBy("sentiment", "emotion").agg(F.count("*").alias("n"))
 
 
