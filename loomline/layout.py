@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Bytes per core below which a table is dealt out anew.
+SMALL = 4 << 20
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores.
+    """``df`` dealt evenly over all cores if it is small, by the optimiser's estimate of its size.
 
-    Small tables of one file arrive as one partition; they are dealt out once. A table that is large enough for the
-    cluster has more partitions than cores already and passes unchanged.
+    A small file holds one row group, which one task reads however the file is cut. Larger tables pass
+    unchanged: their files and row groups keep all cores busy, and their bytes do not move.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(n) if int(size.toString()) <= n * SMALL else df
