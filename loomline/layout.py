@@ -16,4 +16,4 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(n) if int(size.toString()) <= n * SMALL else df
+    return df.repartition(n) if int(str(size)) <= n * SMALL else df
