@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.layout import spread
 from loomline.llm import ann, bpe, embed_dedup, langid, packing, quality_crf, secret_scan, simhash, url_filter, warc
 
 #: Rules of op4 (fixed by its contract).
@@ -19,7 +20,7 @@ def vocabulary() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _fold(mod: int, at: int):
