@@ -125,6 +125,18 @@ SQL["hapax"] = f"""with {DOCS}, {TOK}, {COUNTS} select doc_id, count(*)::int as
 TAGS = "tg as (select doc_id, ix, sum(len(emo))::int as n_emotions, coalesce(string_agg(horse, ','), '') as horsemen from tags group by doc_id, ix)"
 SQL["sentence_scores"] = narr("select s.doc_id, s.ix::int as sent_ix, compound, sarcasm, coalesce(n_emotions, 0)::int as n_emotions, coalesce(horsemen, '') as horsemen from sc s left join tg using (doc_id, ix)", seg_sents(), scored(LEX), "tg as (select doc_id, ix, sum(len(emo))::int as n_emotions, coalesce(string_agg(horse, ',' order by horse), '') as horsemen from tags group by doc_id, ix)")
 SQL["sentence_scores_corpus"] = "with " + ",\n".join([DOCS, seg_sents(), scored(CORPUS), TAGS]) + "\nselect s.doc_id, s.ix::int as sent_ix, compound, coalesce(n_emotions, 0)::int as n_emotions from sc s left join tg using (doc_id, ix)"
+SQL["sentence_scores_joined"] = SQL["sentence_scores_corpus"]
+SQL["sentence_scores_joined_phrases"] = narr("select s.doc_id, s.ix::int as sent_ix, compound, coalesce(n_emotions, 0)::int as n_emotions from sc s left join tg using (doc_id, ix)", seg_sents(), scored(LEX), TAGS)
+SQL["stop_word_antijoin"] = f"with {DOCS}, {TOK} select doc_id, count(*) as n, count(distinct token) as types from tok where not {STOP} group by doc_id"
+_both = "list_distinct(list_concat(a, b))"
+SQL["neighbour_sentences"] = narr(
+    f"select doc_id, count(*) as pairs, {r('avg(floor(case when len({0}) = 0 then 0.0 else len(list_intersect(a, b)) / len({0})::double end * 1000) / 1000)'.format(_both), 3)} as mean_jaccard from np where b is not null group by doc_id",
+    seg_sents(), f"nt as (select doc_id, ix, list_distinct({toks('s')}) as a from segs)", "np as (select doc_id, a, lead(a) over (partition by doc_id order by ix) as b from nt)",
+)
+SQL["sentence_pairs"] = narr(
+    "select a.doc_id, count(*) as pairs, count(*) filter (list_has_any(a.w, b.w)) as overlapping, count(*) filter (a.s = b.s) as equal from nt a join nt b on a.doc_id = b.doc_id and a.ix < b.ix group by a.doc_id",
+    seg_sents(), f"nt as (select doc_id, ix, array_to_string({toks('s')}, ' ') as s, {toks('s')} as w from segs where ix < 20)",
+)
 EMO = "em as (select doc_id, e, count(*) as n from (select doc_id, unnest(emo) as e from tags) group by doc_id, e)"
 HOR = "ho as (select doc_id, horse, count(*) as n from tags where horse is not null group by doc_id, horse)"
 ME = f"me as (select doc_id, {avg4('compound')} as m, count(*) as ns, count(*) filter (sarcasm) as n_sarcasm from sc group by doc_id)"

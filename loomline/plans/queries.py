@@ -14,6 +14,7 @@ from loomline.layout import spread
 from loomline.operators import documents as D
 from loomline.operators import evaluation as E
 from loomline.operators import frequency as Q
+from loomline.operators import joined as J
 from loomline.operators import statistics as St
 from loomline.plans.narratives import corpus_lexicon, narratives
 from loomline.sources import readers as R
@@ -147,6 +148,41 @@ def sentence_scores_corpus(spark, sf_dir):
     return D.sentence_scores(documents(spark, sf_dir), corpus_lexicon()).select("doc_id", "sent_ix", "compound", F.size("emotions").alias("n_emotions"))
 
 
+@query
+def sentence_scores_joined(spark, sf_dir):
+    """The same scores by a join with a lexicon table, the form for lexicons of any size."""
+    lex = corpus_lexicon()
+    return J.score_sentences(documents(spark, sf_dir), lex.table(spark).where("not is_phrase").drop("is_phrase"), lex)
+
+
+@query
+def sentence_scores_joined_phrases(spark, sf_dir):
+    lex = starter()
+    return J.score_sentences(narr(spark, sf_dir), lex.table(spark).where("not is_phrase").drop("is_phrase"), lex)
+
+
+@query
+def stop_word_antijoin(spark, sf_dir):
+    t = J.without_words(Q.token_table(documents(spark, sf_dir)), fixed.STOP_WORDS, spark)
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("token").alias("types"))
+
+
+@query
+def neighbour_sentences(spark, sf_dir):
+    """Adjacent-pair join: Jaccard of each sentence's tokens with the next one's."""
+    s = J.neighbours(J.sentence_table(narr(spark, sf_dir)), "doc_id", "sent_ix", "sentence")
+    both = s.select("doc_id", "sent_ix", T.jaccard(F.array_distinct(T.tokens(F.col("sentence"))), F.array_distinct(T.tokens(F.col("next")))).alias("j"))
+    return both.groupBy("doc_id").agg(F.count("*").alias("pairs"), T.rounded(F.avg(F.floor(F.col("j") * 1000) / 1000), 3).alias("mean_jaccard"))
+
+
+@query
+def sentence_pairs(spark, sf_dir):
+    """All-pairs self-join of a document's first twenty sentences: equal ones, and pairs that share a token."""
+    s = J.sentence_table(narr(spark, sf_dir)).withColumn("w", F.array_distinct(T.tokens(F.col("sentence"))))
+    p = J.all_pairs(s, "doc_id", "sent_ix", "w", 20)
+    return p.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("left", "right")).alias("overlapping"), F.count_if(F.col("left") == F.col("right")).alias("equal"))
+
+
 @query
 def score_text(spark, sf_dir):
     s = D.score_text(narr(spark, sf_dir), starter())
