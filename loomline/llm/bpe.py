@@ -33,6 +33,8 @@ NO_LIMIT = np.int64(1 << 40)
 REMEMBERED = 600_000
 #: Words up to this many bytes are merged in lock-step, longer ones with a heap.
 LOCKSTEP = 32
+#: Marks that often end a chunk of letters.
+MARKS = frozenset(".,;:!?")
 #: Size of the tables of merges, as a power of two.
 HASH_BITS = 20
 
@@ -315,34 +317,33 @@ class Encoder:
     def _learn(self) -> None:
         """Encode the chunks met for the first time.
 
-        A chunk of letters, perhaps after a space, is one word; so is what follows a leading NUL, a match of the pattern
-        kept under a name of its own. Any other chunk is made of words, which are numbered like chunks and
-        encoded with the rest.
+        A chunk stands for itself after a space, or at a text's start if it is marked with \\1. Letters only are one
+        word; so is what follows a NUL, any match of the pattern. Every other chunk is made of words, which are
+        numbered like chunks and encoded with the rest.
         """
         known = self.known
         if not known.new:
             return
         first, number, find = len(known) - len(known.new), known.__getitem__, self.pattern.findall
-        several, parts, odd, k = [], [], [], 0
+        several, parts, odd = [], [], []
         new = known.new  # grows while words of chunks are numbered
-        for c in known.new.copy():
-            if not (c[1:].isalpha() and c[0] in " \0"):
-                if c[0] == "\0":
-                    pass
-                elif c[-1] in ".,;:!?" and c[1:-1].isalpha() and c[0] == " ":
-                    several.append(k)
-                    parts.append((number(c[:-1]), number("\0" + c[-1])))
-                    odd.append(False)
-                elif not c.isalpha():
-                    several.append(k)
-                    parts.append(tuple([number("\0" + w) for w in find(c)]))
-                    # white space at either end (or nothing else): cutting there was not exact
-                    odd.append(c[-1].isspace() or c[1:2].isspace())
-            k += 1
+        for k, c in enumerate(known.new.copy()):
+            if c.isalpha() or c[:1] == "\0":
+                continue
+            if c[-1:] in MARKS and c[:-1].isalpha():
+                part, bad = (number(c[:-1]), number("\0" + c[-1])), False
+            else:
+                # white space at either end (or nothing else): cutting at the spaces was not exact
+                bad = not c or c[-1].isspace() or c[0].isspace()
+                found = find(c[1:] if c[:1] == "\1" else " " + c)
+                part = tuple([number(w[1:] if w[0] == " " and w[1:].isalpha() else "\0" + w) for w in found])
+            several.append(k)
+            parts.append(part)
+            odd.append(bad)
         known.new = []
         is_one = np.ones(len(new), bool)
         is_one[several] = False
-        words = [c[1:] if c[0] == "\0" else c for c in compress(new, is_one.tolist())]
+        words = [c[1:] if c[0] == "\0" else " " + c for c in compress(new, is_one.tolist())]
         ids, n_ids, exact = self.v.encode_words([w.encode() for w in words])
         self.exact += exact
         self.words += len(words)
@@ -392,13 +393,17 @@ class Encoder:
             self.forget()
         number, rows = self.known.__getitem__, []
         for t in texts:
-            if "\0" in t or any(s in t for s in self.v.specials):
+            if "\0" in t or "\1" in t or any(s in t for s in self.v.specials):
                 rows.append(None)
                 continue
-            chunks = t.replace(" ", "\0 ").removeprefix("\0").split("\0") if t else []
+            chunks = t.split(" ")
+            if chunks[0]:
+                chunks[0] = "\1" + chunks[0]
+            else:
+                del chunks[0]
             rows.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
         self._learn()
-        # cutting before each space is exact if no white space touches a space
+        # cutting at each space is exact if no white space touches a space
         plain = [r is not None and not self.odd[r].any() for r in rows]
         return [self._gather(r) if ok else self._by_pattern(t) for t, r, ok in zip(texts, rows, plain, strict=True)]
 
