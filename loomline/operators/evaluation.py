@@ -27,6 +27,16 @@ HYPOTHESES = [
 ]
 
 
+#: Range and risk of every metric.
+CATALOG = [
+    ("sentiment", "mean of squashed sentence sums", -1.0, 1.0, "low"), ("gase", "0.30 S + 0.25 (1-H) + 0.25 (1-A) + 0.20 (1-G)", -1.0, 1.0, "high"), ("pti", "(I - You) / (I + You + We + 1)", -1.0, 1.0, "medium"),
+    ("teg", "mean |step| of sentence scores", 0.0, 2.0, "medium"), ("rci", "mean pairwise Jaccard of segments", 0.0, 1.0, "low"), ("pai", "mean of control, imbalance, apology", 0.0, 1.0, "high"),
+    ("nava", "first part less last part", -2.0, 2.0, "medium"), ("lewi_drop", "mean before less mean after the watershed", -2.0, 2.0, "medium"), ("cd_index", "mean capped distortion load", 0.0, 1.0, "high"),
+    ("vads", "10 x weighted disclosure per word", 0.0, 1.0, "medium"), ("ties", "entropy x contradiction density", 0.0, None, "medium"), ("nspl", "layered composite", None, 1.0, "high"), ("ri", "rumination per thousand words", 0.0, None, "medium"),
+]
+CATALOG_COLUMNS = ["metric", "formula", "range_lo", "range_hi", "risk"]
+
+
 def baselines(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment") -> DataFrame:
     """Per system: macro-F1, accuracy, Pearson against gold as 1, 0, -1, and one-versus-rest areas."""
     long = df.select(*keys, gold, *(F.col(c).cast("double").alias(s) for s, c in SYSTEMS.items())).unpivot([*keys, gold], list(SYSTEMS), "system", "score")
@@ -141,13 +151,7 @@ def hypothesis_registry(spark: SparkSession) -> DataFrame:
 
 def metric_catalog(spark: SparkSession) -> DataFrame:
     """Range and risk of every metric. All are linguistic indicators, not diagnoses."""
-    rows = [
-        ("sentiment", "mean of squashed sentence sums", -1.0, 1.0, "low"), ("gase", "0.30 S + 0.25 (1-H) + 0.25 (1-A) + 0.20 (1-G)", -1.0, 1.0, "high"), ("pti", "(I - You) / (I + You + We + 1)", -1.0, 1.0, "medium"),
-        ("teg", "mean |step| of sentence scores", 0.0, 2.0, "medium"), ("rci", "mean pairwise Jaccard of segments", 0.0, 1.0, "low"), ("pai", "mean of control, imbalance, apology", 0.0, 1.0, "high"),
-        ("nava", "first part less last part", -2.0, 2.0, "medium"), ("lewi_drop", "mean before less mean after the watershed", -2.0, 2.0, "medium"), ("cd_index", "mean capped distortion load", 0.0, 1.0, "high"),
-        ("vads", "10 x weighted disclosure per word", 0.0, 1.0, "medium"), ("ties", "entropy x contradiction density", 0.0, None, "medium"), ("nspl", "layered composite", None, 1.0, "high"), ("ri", "rumination per thousand words", 0.0, None, "medium"),
-    ]
-    return spark.createDataFrame(rows, "metric string, formula string, range_lo double, range_hi double, risk string")
+    return spark.createDataFrame(CATALOG, "metric string, formula string, range_lo double, range_hi double, risk string")
 
 
 def banded(df: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -555,6 +555,7 @@ def _static(rows: list[tuple], cols: list[str]) -> str:
     return f"select * from (values {', '.join('(' + ', '.join(map(lit, row)) + ')' for row in rows)}) t({', '.join(cols)})"
 
 
-from loomline.operators.evaluation import HYPOTHESES  # noqa: E402
+from loomline.operators.evaluation import CATALOG, CATALOG_COLUMNS, HYPOTHESES  # noqa: E402
 
 SQL["hypothesis_registry"] = _static(HYPOTHESES, ["id", "claim"])
+SQL["metric_catalog"] = _static(CATALOG, CATALOG_COLUMNS)
