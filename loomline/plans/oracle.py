@@ -559,3 +559,31 @@ from loomline.operators.evaluation import CATALOG, CATALOG_COLUMNS, HYPOTHESES
 
 SQL["hypothesis_registry"] = _static(HYPOTHESES, ["id", "claim"])
 SQL["metric_catalog"] = _static(CATALOG, CATALOG_COLUMNS)
+
+
+def _construct() -> str:
+    def raw(m: str) -> str:
+        p, n = fixed.CONSTRUCT_PROXIES[m]
+        return f"({among('t', p)} - {among('t', n) if n else 0}) / greatest(1, len(t))::double"
+
+    rows = " union all ".join(f"select '{m}' as metric, {'cd_index' if m == 'cds' else m}::double as x, y_{m} as y from m join px using (doc_id)" for m in fixed.CONSTRUCT_PROXIES)
+    proxies = narr(f"select doc_id, {', '.join(f'{raw(m)} as y_{m}' for m in fixed.CONSTRUCT_PROXIES)} from tt", TT)
+    return f"with m as ({SQL['doc_metrics']}), px as ({proxies}), cl as ({rows}), o as ({_pearson('cl', 'metric', 'x', 'y')}) select metric, r, p, sig, n, r > 0 as hit from o"
+
+
+SQL["construct_validity"] = _construct()
+
+
+def _extracts() -> str:
+    """All extractors side by side, from the SQL of each."""
+    parts = {"a": "attachment", "g": "gottman", "d": "dissolution", "b": "blame", "x": "exit_signals", "p": "power_dynamics", "e": "entities", "t": "tense", "f": "red_flags", "u": "rumination", "l": "rules_fired", "c": "coherence_proxies"}
+    cols = [
+        "a.doc_id", *(f"a.{k} as att_{k}" for k in fixed.ATTACHMENT), "a.pct_anxious as att_anxious_pct", "a.dominant as attachment", *(f"g.{h}" for h in fixed.HORSEMAN_WEIGHTS), "g.load as gottman_load", "d.phase", "d.para as phase_para",
+        "b.own as blame_self", "b.other as blame_other", "b.own_pct as blame_self_pct", *(f"x.{k} as exit_{k}" for k in _ex), "x.total as exit_total", "p.control", "p.sacrifice", "p.initiation", "p.apology", *(f"e.role_{k}" for k in fixed.ROLES),
+        "(case when e.dates = '' then 0 else len(string_split(e.dates, '|')) end)::int as n_dates", "t.past", "t.present", "t.future", "t.dominant as tense", *(f"f.{_fl(k)} as flag_{_fl(k)}" for k in fixed.RED_FLAGS), "u.ri", "u.hits as rumination", "u.repeats", "l.rules", "c.coherence",
+    ]
+    joins = " ".join(f"join ({SQL[v]}) {k} on {k}.doc_id = a.doc_id" for k, v in parts.items() if k != "a")
+    return f"select {', '.join(cols)} from ({SQL['attachment']}) a {joins}"
+
+
+SQL["extracts"] = _extracts()

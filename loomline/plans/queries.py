@@ -400,7 +400,7 @@ def failure_modes(spark, sf_dir):
 
 @query
 def extracts(spark, sf_dir):
-    """All extractors in one row (each has its own SQL under its own query)."""
+    """All extractors in one row."""
     return D.extracts(narr(spark, sf_dir), starter())
 
 
@@ -696,7 +696,7 @@ def paragraph_correlation(spark, sf_dir):
 
 @query
 def construct_validity(spark, sf_dir):
-    """Metrics against word-list proxies, over all narratives (no SQL of its own: its parts have theirs)."""
+    """Metrics against word-list proxies, over all narratives."""
     m = D.doc_metrics(narr(spark, sf_dir).withColumn("body", F.col("text")), starter(), keep=("body",))
     return E.construct_validity(m, [], "body")
 
