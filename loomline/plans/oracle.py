@@ -5,14 +5,14 @@ from __future__ import annotations
 from loomline.functions import fixed
 from loomline.functions import metrics as M
 from loomline.functions.lexicon import starter
-from loomline.plans.narratives import TEMPLATES, corpus_lexicon, q, sql_list
+from loomline.operators.evaluation import CATALOG, CATALOG_COLUMNS, HYPOTHESES
+from loomline.plans.narratives import NARRATIVES, corpus_lexicon, q, sql_list
 from loomline.plans.sqltext import among, avg4, band, content, explode, first_max, found, has, hits, mean4, narr, occ, occs, p_of_t, paras, r, scored, seg_sents, sents, stars, toks, trim
+from loomline.sources import readers as R
 
 SQL: dict[str, str] = {}
 LEX, CORPUS = starter(), corpus_lexicon()
 DOCS = "docs as (select doc_id, coalesce(text, '') as text from documents)"
-W = "z"
-del TEMPLATES
 
 # --- text ---
 SQL["text_units"] = f"""with {DOCS}, t as (select doc_id, {toks('text')} as t, {sents('text')} as s, {paras('text')} as p,
@@ -281,8 +281,6 @@ from tt d join me using (doc_id) join ga using (doc_id) join tg using (doc_id) j
     return "with " + ",\n".join(parts) + "\n" + body
 
 
-from loomline.plans.narratives import NARRATIVES  # noqa: E402
-
 SQL["doc_metrics"] = _wide([NARRATIVES], LEX, "dataset, gold,")
 SQL["doc_metrics_corpus"] = _wide([f"docs as (select doc_id, {trim('text')} as text from documents where {trim('coalesce(text, chr(32))')} <> '')"], CORPUS, "")
 
@@ -381,10 +379,6 @@ SQL["capped_rows"] = "select source, doc_id from (select source, doc_id, row_num
 ORD = f"""od as (select o_orderkey, o_custkey, o_orderpriority as dataset, o_totalprice as price, qty, n_lines, {r('disc', 2)} as disc from orders join (select l_orderkey as o_orderkey, sum(l_quantity) as qty, count(*) as n_lines, sum(l_discount) as disc from lineitem group by 1) using (o_orderkey))"""
 
 
-def _crc() -> str:
-    return "s2"
-
-
 _desc = " union all ".join(f"select dataset, '{m}' as metric, {m}::double as v from od" for m in ("price", "qty", "n_lines", "disc"))
 SQL["describe"] = f"""with {ORD}, l as ({_desc}) select dataset, metric, {r(r('avg(v)'), 2)} as mean, {r(r('coalesce(stddev_samp(v), 0.0)'), 2)} as sd, {r('median(v)')} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"""
 SCO = f"""sd as (select d.doc_id, lang, case when toxic = 1 then 'neg' when quality = 1 and d.doc_id % 3 > 0 then 'pos' else 'neu' end as gold, {r('length(text) % 201 / 100.0 - 1.0', 2)} as s1, {r('(d.doc_id * 7919 + length(text) * 31) % 101 / 50.0 - 1.0', 2)} as s2 from labels join documents d using (doc_id))"""
@@ -457,10 +451,6 @@ SQL["cohen_kappa"] = f"""with {SCO}, x as (select lang, {LABEL('s1', 0.3)} as a,
 o as (select lang, count(*) as n, avg((a = b)::int) as po from x group by lang) select lang, n, {r('po')} as accuracy, {r('coalesce((po - pe) / nullif(1 - pe, 0), 0.0)')} as kappa from o join m using (lang)"""
 
 
-def _alpha(dist: str) -> str:
-    return f"(case when n < 2 then null when vals < 2 or de = 0 then 1.0 else {r('1 - dq / de')} end)".replace("dq", dist)
-
-
 SQL["krippendorff"] = f"""with {SCO}, x as (select lang, {LABEL('s1', 0.3)} as a, {LABEL('s2', 0.3)} as b from sd), u as (select lang, a as v from x union all select lang, b from x), c as (select lang, v, count(*)::double as c, row_number() over (partition by lang order by v) as i from u group by lang, v),
 t as (select lang, sum(c) as t, count(*) as vals from c group by lang), e as (select p.lang, sum(p.c * q.c * (p.i <> q.i)::int) as en, sum(p.c * q.c * pow(p.i - q.i, 2)) as eo from c p join c q using (lang) group by p.lang),
 o as (select x.lang, count(*) as n, avg((a <> b)::int) as dn, avg(pow(p.i - q.i, 2)) as dor from x join c p on p.lang = x.lang and p.v = a join c q on q.lang = x.lang and q.v = b group by x.lang)
@@ -533,7 +523,6 @@ SQL["session_transcript"] = "select 's' || conv_id as id, length(string_agg(text
 SQL["session_runs"] = """with e as (select event_id % 50 as file, event_id, user_id, event_type from events where event_type <> 'click'), n as (select *, (coalesce(lag(user_id) over (partition by file order by event_id) <> user_id, true))::int as nw from e),
 r as (select *, sum(nw) over (partition by file order by event_id rows unbounded preceding) as run from n) select file, 's' || user_id as id, run::bigint as run, string_agg(event_type, ' ' order by event_id) as text from r group by file, run, user_id"""
 SQL["rater_matrix"] = f"""with {SCO} select doc_id::varchar as id, 'r1' as rater, {LABEL('s1', 0.3)} as label from sd union all select doc_id::varchar, 'r2', case when doc_id % 5 > 0 then {LABEL('s2', 0.3)} else 'neu' end from sd union all select doc_id::varchar, 'r3', case when doc_id % 2 = 0 then {LABEL('s1', 0.3)} else 'neu' end from sd"""
-from loomline.sources import readers as R  # noqa: E402
 
 _isin = lambda x, ws: f"coalesce({x} in ({', '.join(map(q, ws))}), false)"
 SQL["multi_label_emotions"] = f"""with x as (select 'a part named ' || p_name || ' ' || p_type as text, list_extract({sql_list(R.EMOTION_NAMES)}, (l_orderkey % 28 + 1)::int) as a, list_extract({sql_list(R.EMOTION_NAMES)}, (l_partkey % 31 + 1)::int) as b from lineitem join part on l_partkey = p_partkey),
@@ -555,7 +544,6 @@ def _static(rows: list[tuple], cols: list[str]) -> str:
     return f"select * from (values {', '.join('(' + ', '.join(map(lit, row)) + ')' for row in rows)}) t({', '.join(cols)})"
 
 
-from loomline.operators.evaluation import CATALOG, CATALOG_COLUMNS, HYPOTHESES  # noqa: E402
 
 SQL["hypothesis_registry"] = _static(HYPOTHESES, ["id", "claim"])
 SQL["metric_catalog"] = _static(CATALOG, CATALOG_COLUMNS)
