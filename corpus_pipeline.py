@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import langid, packing, quality_crf, secret_scan, simhash
+from loomline.llm import langid, near_copies, packing, quality_crf, secret_scan
 from loomline.llm.queries import language_model, quality_model, vocabulary
 from loomline.scratch import materialize
 
@@ -38,8 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group; one row of repeated ids, and all rows without an id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keep the document with the least id of each group of texts linked by a five-word Jaccard of 0.8 or more; one row of repeated ids, and all rows without an id."""
+    kept = near_copies.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     rest = [c for c in COLUMNS if c != "doc_id"]
     one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
     return one.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))

@@ -25,20 +25,26 @@ SEGMENT_BITS = 2
 COUNTED = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a whole text; 0 without a word."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hash of each word shingle of a whole text (of all its words, if they are fewer); none without a word."""
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = memoryview(b" ".join(words))
     n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     first = [0, *(ends[: n - 1] + 1).tolist()]
     last = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(line[s:e], SEED) for s, e in zip(first, last, strict=True)], np.uint64)
+    return np.array([digest(line[s:e], SEED) for s, e in zip(first, last, strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash of the word shingles of a whole text; 0 without a word."""
+    h = shingle_hashes(text, width)
+    n = len(h)
     set_in = np.zeros(64, np.int64)
     for s in range(0, n, COUNTED):
         part = h[s : s + COUNTED]
