@@ -24,7 +24,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 #: Context of the added spans: a credential word with a separator, and a value without blanks.
-CONTEXT = re.compile(r"""\b(?:pwd|passphrase|passcode|credentials?|bearer|auth[_-]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_ -]?key)\b["']?(?:\x20*[:=]\x20*|(?<=[Bb]earer)\x20+)["']?([^\s"'<>,;]{8,200})""", re.I | re.A)
+CONTEXT = re.compile(r"""\b(?:pwd|passphrase|passcode|credentials?|bearer|auth[_-]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_ -]?key)\b["']?(?:\x20*[:=]\x20*|(?<=[Bb]earer)\x20+)["']?([^\s"'<>,;]{8,})""", re.I | re.A)
 #: Words one of which any match of CONTEXT or ASSIGN holds, for a quick first look.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 #: Least cost, as a power of ten, from which a value in context is a secret.
@@ -90,22 +90,28 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float,
     words = _RANKS if words is None else words
     n, per_char = len(value), math.log10(max(2, _alphabet(value)))
     ending: dict[int, list[tuple[int, str, float]]] = {}
+    marks = {0, n}
     for i, j, kind, cost in spans_of(value, words):
         ending.setdefault(j, []).append((i, kind, cost))
-    # best[j]: by number of spans, so that the factorial can be part of the cost
-    best: list[dict[int, tuple[float, int, int, str]]] = [{0: (0.0, 0, 0, "")}]
-    for j in range(1, n + 1):
+        marks |= {i, j}
+    # two brute spans side by side cost more than one, so a brute span lies between marks and the work grows with their number;
+    # best[j]: by number of spans, so that the factorial can be part of the cost. open_: the same, less what brute force costs up to j
+    best: dict[int, dict[int, tuple[float, int, int, str]]] = {0: {0: (0.0, 0, 0, "")}}
+    open_: dict[int, tuple[float, int]] = {0: (0.0, 0)}
+    for j in sorted(marks - {0}):
         here: dict[int, tuple[float, int, int, str]] = {}
-        options = ending.get(j, ()) and [*ending[j]] or []
-        for i in range(max(0, j - 40) if n > 40 else 0, j):
-            options.append((i, "brute", per_char * (j - i)))
-        for i, kind, cost in options:
-            for k, (c, _, _, last) in best[i].items():
-                if kind == "brute" and last == "brute" and j - i < 40:
-                    continue
+        for i, kind, cost in ending.get(j, ()):
+            for k, (c, *_) in best[i].items():
                 if k + 1 <= 12 and ((k + 1) not in here or c + cost < here[k + 1][0]):
                     here[k + 1] = (c + cost, i, k, kind)
-        best.append(here)
+        ended = {k: c for k, (c, *_) in here.items()}
+        for k, (c, i) in open_.items():
+            if k + 1 <= 12 and ((k + 1) not in here or c + per_char * j < here[k + 1][0]):
+                here[k + 1] = (c + per_char * j, i, k, "brute")
+        for k, c in ended.items():
+            if k not in open_ or c - per_char * j < open_[k][0]:
+                open_[k] = (c - per_char * j, j)
+        best[j] = here
     if not n:
         return 0.0, []
     k = min(best[n], key=lambda k: best[n][k][0] + math.lgamma(k + 1) / math.log(10))

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 from loomline.llm import secret_scan as S
@@ -67,3 +68,14 @@ def test_edges(spark):
     assert S.spans(no_docs(spark)).count() == 0
     clean = S.redacted(spark.createDataFrame([(1, "token=abcdefgh12345 end", "keep"), (2, None, "keep")], "doc_id long, text string, spans string"))
     assert sorted(tuple(r) for r in clean.collect()) == [(1, "[secret] end", "keep"), (2, None, "keep")]
+
+
+def test_long_values_are_spans_as_a_whole():
+    rng = random.Random(3)
+    for n in (199, 201, 600, 5000, 300_000):
+        token = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNP23456789+/") for _ in range(n))
+        t = f"Authorization: Bearer {token} end"
+        found, most = S.scan(t)
+        assert (22, "guess", 22 + n) in found and most > n
+        assert S.redact(t, found) == "Authorization: Bearer [secret] end"
+    assert S.guess_cost("x" * 100_000)[0] < 8 and S.guess_cost("ab" * 50_000)[0] < 10
