@@ -139,7 +139,7 @@ def scan(text: str | None, least_cost: float = LEAST_COST) -> tuple[list[tuple[i
         for m in CONTEXT.finditer(text):
             cost, _ = guess_cost(m[1])
             most = max(most, cost)
-            if cost >= least_cost and not any(s < m.end(1) and m.start(1) < e for s, e in taken):
+            if cost >= least_cost and not any(s <= m.start(1) and m.end(1) <= e for s, e in taken):
                 found.append((m.start(1), "guess", m.end(1)))
     if "AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]

@@ -79,3 +79,10 @@ def test_long_values_are_spans_as_a_whole():
         assert (22, "guess", 22 + n) in found and most > n
         assert S.redact(t, found) == "Authorization: Bearer [secret] end"
     assert S.guess_cost("x" * 100_000)[0] < 8 and S.guess_cost("ab" * 50_000)[0] < 10
+
+
+def test_guess_longer_than_the_base():
+    t = "password=hunterKq9x!Zw7#Lm2@Vb8 end"
+    found, _ = S.scan(t)
+    assert found == [(0, "assign", 19), (9, "guess", 31)] and S.redact(t, found) == "[secret] end"
+    assert [k for _, k, _ in S.scan("token=kQ9xW2rT7zLm4vB8 end")[0]] == ["assign"]
