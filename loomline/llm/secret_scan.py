@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +24,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
-#: Context of the added spans: a credential word with a separator, and a value without blanks.
-CONTEXT = re.compile(r"""\b(?:pwd|passphrase|passcode|credentials?|bearer|auth[_-]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_ -]?key)\b["']?(?:\x20*[:=]\x20*|(?<=[Bb]earer)\x20+)["']?([^\s"'<>,;]{8,})""", re.I | re.A)
-#: Words one of which any match of CONTEXT or ASSIGN holds, for a quick first look.
+#: Context of the added spans: a name that holds a credential word, a separator, and a value without blanks. A name is one
+#: run of letters, digits, _ and -, looked at once; the first word of a name of two words may stand before it.
+NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?(\x20*[:=]\x20*|(?<=bearer)\x20+)["']?(?=[^\s"'<>,;]{8})""", re.I | re.A)
+CREDENTIAL = re.compile(r"pwd|passphrase|passcode|credential|bearer|auth[_-]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_ -]?key", re.I | re.A)
+BEARER = re.compile(r"(?:.*-)?bearer", re.I | re.A)
+VALUE = re.compile(r"""[^\s"'<>,;]{8,}""", re.A)
+#: Characters before a name in which the first of two words may stand ("private ").
+BEFORE = 8
+#: Words one of which any name with a credential word, and any match of ASSIGN, holds, for a quick first look.
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 #: Least cost, as a power of ten, from which a value in context is a secret.
 LEAST_COST = 10.0
@@ -127,6 +134,21 @@ _RANKS = {w: r for r, w in enumerate(WORDS, 1)}
 KINDS = ("assign", "access", "hex", "guess")
 
 
+def values(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the values that follow a name with a credential word, from left to right."""
+    at = 0
+    while m := NAME.search(text, at):
+        name, at = m[1], m.end(2)
+        if m[2].isspace():
+            known = BEARER.fullmatch(name)
+        else:
+            lead = text[max(0, m.start() - BEFORE) : m.start()] if text[max(0, m.start() - 1) : m.start()] == " " else ""
+            known = any(c.end() > len(lead) for c in CREDENTIAL.finditer(lead + name))
+        if known:
+            at = VALUE.match(text, m.end()).end()
+            yield m.end(), at
+
+
 def scan(text: str | None, least_cost: float = LEAST_COST) -> tuple[list[tuple[int, str, int]], float]:
     """Spans (start, kind, end) in order, code points, end exclusive; and the largest cost of a value in context."""
     if not text:
@@ -136,11 +158,11 @@ def scan(text: str | None, least_cost: float = LEAST_COST) -> tuple[list[tuple[i
     if any(h in low for h in HINTS):
         found += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
         taken = [(s, e) for s, _, e in found]
-        for m in CONTEXT.finditer(text):
-            cost, _ = guess_cost(m[1])
+        for start, end in values(text):
+            cost, _ = guess_cost(text[start:end])
             most = max(most, cost)
-            if cost >= least_cost and not any(s <= m.start(1) and m.end(1) <= e for s, e in taken):
-                found.append((m.start(1), "guess", m.end(1)))
+            if cost >= least_cost and not any(s <= start and end <= e for s, e in taken):
+                found.append((start, "guess", end))
     if "AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]

@@ -86,3 +86,27 @@ def test_guess_longer_than_the_base():
     found, _ = S.scan(t)
     assert found == [(0, "assign", 19), (9, "guess", 31)] and S.redact(t, found) == "[secret] end"
     assert [k for _, k, _ in S.scan("token=kQ9xW2rT7zLm4vB8 end")[0]] == ["assign"]
+
+
+def test_names_that_hold_a_credential_word():
+    v = "kQ9!xW2#rT7z"
+    for name in ("AWS_SECRET_ACCESS_KEY=", "DB_PWD=", "client_secret_key: ", "x-api-key: ", "dbPassword2 = ", "my access key = ", "private key: ", "'pwd': '", "Bearer ", "X: Bearer "):
+        found, _ = S.scan(f"see {name}{v} end")
+        assert S.redact(f"see {name}{v} end", found).endswith("[secret] end"), name
+    assert S.scan(f"url: http://h/?db_pwd={v}")[0] and S.scan(f"see:db_pwd={v}")[0]
+    assert not S.scan(f"the monkey: {v} and bearers {v} and keys {v}")[0] and not S.scan(f"token and name: {v}")[0]
+    long = "token-" * 200_000
+    assert S.scan(long)[0] == [] and S.scan(long + "= " + v)[0]
+
+
+def old_values(text):
+    """The first rule: words between word boundaries, values of any length."""
+    return [m.span(1) for m in re.finditer(r"""(?ai)\b(?:pwd|passphrase|passcode|credentials?|bearer|auth[_-]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_ -]?key)\b["']?(?:\x20*[:=]\x20*|(?<=[Bb]earer)\x20+)["']?([^\s"'<>,;]{8,})""", text)]
+
+
+def test_all_values_of_the_first_rule_are_met(sf):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    assert sum(map(len, map(old_values, texts)))
+    assert all(set(old_values(t)) <= set(S.values(t)) for t in texts)
