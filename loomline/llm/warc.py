@@ -107,11 +107,23 @@ def _headers(data: bytes) -> dict[str, str] | None:
 
 
 def _valid(f, at: int) -> bool:
+    """Whether a member with whole WARC headers, of any length, begins at ``at``; reads no further than they go."""
     f.seek(at)
+    d, out, start = zlib.decompressobj(31), bytearray(), b"WARC/1."
     try:
-        return _headers(zlib.decompressobj(31).decompress(f.read(READ), HEAD)) is not None
+        while not d.eof:
+            data = d.unconsumed_tail or f.read(READ)
+            if not data:
+                break
+            seen = max(0, len(out) - 3)
+            out += d.decompress(data, HEAD)
+            if out[: len(start)] != start[: len(out)]:
+                return False
+            if out.find(b"\r\n\r\n", seen) >= 0:
+                break
     except zlib.error:
         return False
+    return _headers(bytes(out)) is not None
 
 
 def _next(f, at: int, end: int) -> int | None:

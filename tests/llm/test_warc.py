@@ -68,3 +68,14 @@ def test_false_magic_and_damage(spark, tmp_path):
     listing = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, bytes long")
     for split in (len(data), 50, 7):
         assert sorted(r["page"] for r in warc.read(listing, split=split).collect()) == [0, 2, 3]
+
+
+def test_very_long_urls(spark, tmp_path):
+    urls = {1: "data:," + "x" * 200_000, 2: "http://a/" + " " * 100_000, 3: "http://b/" + os.urandom(100_000).hex(), 4: "u"}
+    rows = [(k, u, "same") for k, u in urls.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for split in (1 << 20, 4096):
+        assert got(warc.archive(df, split=split)) == slow([(k, h) for k, _, h in rows])
+    files = warc.write(df, f"file://{tmp_path}/a")
+    back = {r["page"]: r["url"] for r in warc.read(spark.createDataFrame(files.collect(), files.schema), split=1000).collect()}
+    assert back.keys() == urls.keys() and back[1] == urls[1] and back[3] == urls[3] and len(back[2]) >= 100_000
