@@ -71,8 +71,17 @@ def neighbours(segments: DataFrame, id_col: str, ix: str, value: str) -> DataFra
     return segments.withColumn("next", nxt).where("next is not null")
 
 
-def all_pairs(segments: DataFrame, id_col: str, ix: str, value: str, most: int) -> DataFrame:
-    """Pairs i < j of a document's first ``most`` segments; the cap is part of the operator, for pairs grow with its square."""
-    s = segments.where(F.col(ix) < most)
-    a, b = s.select(id_col, F.col(ix).alias("i"), F.col(value).alias("left")), s.select(id_col, F.col(ix).alias("j"), F.col(value).alias("right"))
-    return a.join(b, id_col).where("i < j")
+def pair_counts(segments: DataFrame, id_col: str, value: str) -> DataFrame:
+    """Of all pairs of a document's segments: ``pairs``, those ``overlapping`` (the arrays ``value`` share a token) and those ``equal``.
+
+    Equal arrays are counted as one with their number, so that only different ones meet, by the tokens that they share.
+    """
+    twos = lambda n: F.floor(n * (n - 1) / 2).cast("long")
+    kinds = segments.groupBy(id_col, value).agg(F.count("*").alias("n"))
+    own = kinds.groupBy(id_col).agg(F.sum("n").alias("all"), F.sum(twos(F.col("n"))).alias("equal"), F.sum(F.when(F.size(value) > 0, twos(F.col("n"))).otherwise(0)).alias("same"))
+    t = kinds.select(id_col, F.col(value).alias("w"), "n", F.explode(F.array_distinct(value)).alias("token"))
+    x, y = (t.select(id_col, "token", F.col("w").alias(w), F.col("n").alias(n)) for w, n in (("left", "m"), ("right", "k")))
+    met = x.join(y, [id_col, "token"]).where("left < right").select(id_col, "left", "right", "m", "k").distinct()
+    cross = met.groupBy(id_col).agg(F.sum(F.col("m") * F.col("k")).alias("cross"))
+    out = own.where(F.col("all") > 1).join(cross, id_col, "left")
+    return out.select(id_col, twos(F.col("all")).alias("pairs"), (F.col("same") + F.coalesce("cross", F.lit(0))).alias("overlapping"), "equal")

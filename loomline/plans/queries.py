@@ -177,10 +177,9 @@ def neighbour_sentences(spark, sf_dir):
 
 @query
 def sentence_pairs(spark, sf_dir):
-    """All-pairs self-join of a document's first twenty sentences: equal ones, and pairs that share a token."""
-    s = J.sentence_table(narr(spark, sf_dir)).withColumn("w", F.array_distinct(T.tokens(F.col("sentence"))))
-    p = J.all_pairs(s, "doc_id", "sent_ix", "w", 20)
-    return p.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("left", "right")).alias("overlapping"), F.count_if(F.col("left") == F.col("right")).alias("equal"))
+    """All pairs of a document's sentences: their number, equal ones, and pairs that share a token."""
+    s = J.sentence_table(narr(spark, sf_dir)).select("doc_id", F.array_distinct(T.tokens(F.col("sentence"))).alias("w"))
+    return J.pair_counts(s, "doc_id", "w")
 
 
 @query
