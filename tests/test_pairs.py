@@ -33,3 +33,19 @@ def test_sentence_pairs_over_all_sentences(spark, sf):
 def test_pairs_of_segments_without_tokens(spark):
     df = spark.createDataFrame([(1, []), (1, []), (1, ["a"]), (1, ["a", "b"]), (1, ["a", "b"]), (2, ["a"])], "doc_id long, w array<string>")
     assert [tuple(r) for r in J.pair_counts(df, "doc_id", "w").collect()] == [(1, 10, 3, 2)]
+
+
+def test_sentence_similarity_over_all_narratives(spark, sf):
+    vectors = {}
+    for r in Q.tf_idf(narratives(spark, sf)).collect():
+        vectors.setdefault(r["doc_id"], {}).setdefault(r["sent_ix"], {})[r["token"]] = r["value"]
+    want = {}
+    for k, by in vectors.items():
+        norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in by.items()}
+        cos = [sum(x * by[j].get(t, 0.0) for t, x in by[i].items()) / (norm[i] * norm[j]) for i, j in itertools.combinations(sorted(by), 2) if by[i].keys() & by[j].keys()]
+        if cos:
+            want[k] = (len(cos), sum(cos), max(cos))
+    got = {r["doc_id"]: r for r in queries.sentence_similarity(spark, sf).collect()}
+    assert got.keys() == want.keys() and Counter(k % 2 for k in got)[1] > 0
+    for k, (n, total, top) in want.items():
+        assert got[k]["pairs"] == n and abs(got[k]["total"] / 10000 - total) <= 1e-4 * n and abs(got[k]["top"] - top) <= 1e-4
