@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -93,8 +94,8 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
 
     ``queries`` and ``df`` have the same two columns; a candidate with the query's own id is left out. Ties go to the
     smaller id. Fewer than k candidates give fewer rows. Vectors that are null, empty, zero or hold null or
-    non-finite components, and rows without an id, take no part; so do vectors of another length than
-    the commonest in the sample. Repeated rows of one id count as one (the least vector). An empty table gives no rows.
+    non-finite components, and rows without an id, take no part. Vectors of each length are searched among themselves.
+    Repeated rows of one id count as one (the least vector). An empty table gives no rows.
     share: success that each table aims at; all tables reach 1 - (1 - share)^tables.
     """
     spark = df.sparkSession
@@ -102,13 +103,16 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
     pick = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(is_valid(F.col("v")) & F.col("id").isNotNull())
     single = lambda d: pick(d).groupBy("id").agg(F.min("v").alias("v"))
     rows = materialize(single(df), "rows")
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()]
-    if not sample:
-        return spark.createDataFrame([], schema)
-    dims = [len(v) for v in sample]
-    dim = max(set(dims), key=dims.count)
-    x = np.array([v for v in sample if len(v) == dim])
-    n, top = rows.where(F.size("v") == dim).agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).first()
+    asked = materialize(single(queries), "asked")
+    dims = sorted(r["dim"] for r in asked.select(F.size("v").alias("dim")).distinct().join(rows.select(F.size("v").alias("dim")).distinct(), "dim").collect())
+    found = [_search(rows.where(F.size("v") == d), asked.where(F.size("v") == d), d, k, tables, hashes, width, share) for d in dims]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def _search(own: DataFrame, asked: DataFrame, dim: int, k: int, tables: int, hashes: int, width: float, share: float) -> DataFrame:
+    """The search among valid vectors of length ``dim``, one row an id (columns id and v), of which there is one at least."""
+    x = np.array([r["v"] for r in own.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()])
+    n, top = own.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, y: s + y * y))).first()
     radius = math.sqrt(top)
     # distance of the k-th neighbour of a candidate-long query, as far as the sample shows it
     s = x[:256] * (radius / np.linalg.norm(x[:256], axis=1, keepdims=True)) @ x.T
@@ -142,9 +146,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
                 least = least - 1e-9 * np.abs(least)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.concatenate(bucket)), pa.array(np.concatenate(later)), pa.array(least[own])], names=["rep", "bucket", "later", "least"])
 
-    own = rows.where(F.size("v") == dim)
     reps = materialize(own.groupBy("v").agg(F.min("id").alias("rep")), "reps")
-    asked = materialize(single(queries).where(F.size("v") == dim), "asked")
     q_reps = materialize(asked.groupBy("v").agg(F.min("id").alias("rep")), "q-reps")
     placed = materialize(reps.mapInArrow(index, "rep long, bucket long"), "placed")
     sizes = materialize(placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")

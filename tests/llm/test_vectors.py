@@ -100,3 +100,10 @@ def test_ann_query_few_and_none(spark, sf):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(few, few.where("vec_id % 20 = 0")).collect())
     assert got == [(0, 1, 20, 0.5), (0, 2, 3, 0.0), (20, 1, 0, 0.5), (20, 2, 3, 0.5)]
     assert ann.search(few.limit(0), few.limit(0)).count() == 0
+
+
+def test_ann_searches_each_length(spark):
+    few = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [0.0, 1.0]), (4, [1.0, 1.0]), (40, [1.0, 0.0, 0.0]), (5, [0.5, 0.5, 0.0]), (60, [1.0]), (None, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(few, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect() if r["query_id"] >= 40)
+    assert got == [(40, 5, 0.5)]
