@@ -35,10 +35,10 @@ def blocks(texts: list, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def per_text(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list], dict]]) -> DataFrame:
+def per_text(df: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[list], dict]], limit: int = BLOCK_CHARS) -> DataFrame:
     """Apply a function of whole texts, block by block, keeping the id.
 
-    ``make`` runs once a task on the executor and returns ``f(texts) -> {column: list or Arrow array}``;
+    ``limit`` bounds the characters of a block. ``make`` runs once a task on the executor and returns ``f(texts) -> {column: list or Arrow array}``;
     null texts reach it as ``None``. Only the two columns named are read, so other columns of ``df``,
     whatever they are called, neither travel nor clash. The task's rows stay in order.
     """
@@ -50,7 +50,7 @@ def per_text(df: DataFrame, id_col: str, text_col: str, schema: str, make: Calla
         f = make()
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            for s, e in blocks(["" if t is None else t for t in texts]):
+            for s, e in blocks(["" if t is None else t for t in texts], limit):
                 cols = f(texts[s:e])
                 arrays = [ids.slice(s, e - s)] + [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in cols.values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *cols])

@@ -13,6 +13,7 @@ token, is cut by the full pattern instead.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -21,6 +22,7 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -30,7 +32,9 @@ from loomline.llm.arrow import per_text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NO_LIMIT = np.int64(1 << 40)
 #: Chunks remembered by a worker; the store is emptied when it is full (speed only).
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Characters handled at a time: the more, the fewer chunks are looked up twice.
+BLOCK = 1 << 22
 #: Words up to this many bytes are merged in lock-step, longer ones with a heap.
 LOCKSTEP = 32
 #: Marks that often end a chunk of letters.
@@ -160,12 +164,10 @@ class Vocabulary:
             self.child[row[n], c] = nxt
         self.row, self.ends = row, np.array(ends, np.int64)
 
-    def greedy_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Longest entries from the left, all words in lock-step: flat ids and ids per word."""
-        n = len(words)
-        end = np.cumsum(np.fromiter(map(len, words), np.int64, n))
-        flat = np.append(np.frombuffer(b"".join(words), np.uint8).astype(np.int16), 256)
-        at = np.concatenate([[0], end[:-1]])
+    def greedy_all(self, buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Longest entries from the left, all words in lock-step: flat ids and ids per word. Words are runs of bytes of the buffer."""
+        n = len(start)
+        flat, at, end = np.append(buffer.astype(np.int16), 256), start, start + size
         live = np.flatnonzero(at < end)
         cur, node = at[live], np.zeros(len(live), np.int32)
         stop, entry, last = cur.copy(), np.full(len(live), -1), end[live]
@@ -215,71 +217,102 @@ class Vocabulary:
                 heapq.heappush(heap, (s, prev[i]))
         return [t for t in toks if t >= 0]
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merging of words of at most LOCKSTEP bytes, one merge of each word per step."""
-        width = max(map(len, words))
-        toks = np.zeros((len(words), width), np.int64)
-        size = np.array([len(w) for w in words])
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        inside = np.arange(width) < size[:, None]
-        toks[inside] = flat
-        rank = np.full((len(words), width), NO_LIMIT)
+    def merge_all(self, buffer: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of words of at most LOCKSTEP bytes, one merge of each word per step: flat inner ids and ids per word.
+
+        A token stays in the place of its first byte; places are linked, and those swallowed hold -1.
+        """
+        n, width = len(start), int(size.max())
+        far = np.int32(np.iinfo(np.int32).max)
+        cols = np.arange(width + 1, dtype=np.int32)
+        inside = cols < size[:, None]
+        toks = np.full((n, width + 1), -1, np.int32)
+        toks[inside] = buffer[_spans(start, size)]
+        rank = np.full((n, width + 1), far, np.int32)
         seam = inside[:, 1:]
-        rank[:, :-1][seam] = self.lookup(toks[:, :-1][seam], toks[:, 1:][seam])
-        live, cols = np.arange(len(words)), np.arange(width)
-        while len(live):
-            r = rank[live]
-            j = r.argmin(1)
-            best = r[np.arange(len(live)), j]
-            on = best < NO_LIMIT
-            live, j, best, r = live[on], j[on], best[on], r[on]
-            if not len(live):
+        rank[:, :-1][seam] = np.minimum(self.lookup(toks[:, :-1][seam].astype(np.int64), toks[:, 1:][seam]), far)
+        # the last place of each row is no token: the next of a word's last one
+        after = np.where(cols + 1 < size[:, None], cols + 1, width).astype(np.int32)
+        before = np.repeat(cols[None] - 1, n, 0)
+        done, rows = [], np.arange(n)
+        number = rows
+        while len(rows):
+            j = rank.argmin(1)
+            best = rank[rows, j]
+            on = best < far
+            live = int(on.sum())
+            if live < 0.8 * len(rows):
+                done.append((number[~on], toks[~on]))
+                toks, rank, after, before, number, j, best = (x[on] for x in (toks, rank, after, before, number, j, best))
+                rows = np.arange(live)
+                at = rows
+            else:
+                at, j, best = np.flatnonzero(on), j[on], best[on]
+            if not live:
+                if len(rows):
+                    done.append((number, toks))
                 break
-            t = toks[live]
-            rows = np.arange(len(live))
-            t[rows, j] = best
-            source = np.where(cols > j[:, None], np.minimum(cols + 1, width - 1), cols)
-            t = np.take_along_axis(t, source, 1)
-            r = np.take_along_axis(r, source, 1)
-            r[:, -1] = NO_LIMIT
-            size[live] -= 1
-            has_next = j + 1 < size[live]
-            r[rows, j] = np.where(has_next, self.lookup(t[rows, j], t[rows, np.minimum(j + 1, width - 1)]), NO_LIMIT)
-            has_prev = j > 0
-            p = np.maximum(j - 1, 0)
-            r[rows[has_prev], p[has_prev]] = self.lookup(t[rows[has_prev], p[has_prev]], t[rows[has_prev], j[has_prev]])
-            toks[live], rank[live] = t, r
-        return toks[np.arange(width) < size[:, None]], size
-
-    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-        """The vocabulary's ids of each word as flat ids and ids per word, and how many words were merged exactly."""
-        flat, size = self.greedy_all(words)
-        owner = np.repeat(np.arange(len(words)), size)
+            k = after[at, j]
+            further = after[at, k]
+            toks[at, j], toks[at, k] = best, -1
+            rank[at, k] = far
+            after[at, j] = further
+            before[at, further] = j
+            best = best.astype(np.int64)
+            nxt, prev = toks[at, further], before[at, j]
+            rank[at, j] = np.where(nxt >= 0, np.minimum(self.lookup(best, np.maximum(nxt, 0)), far), far)
+            has = prev >= 0
+            at, prev = at[has], prev[has]
+            rank[at, prev] = np.minimum(self.lookup(toks[at, prev].astype(np.int64), best[has]), far)
+        table = np.full((n, width + 1), -1, np.int32)
+        for i, t in done:
+            table[i] = t
+        kept = table >= 0
+        return table[kept].astype(np.int64), kept.sum(1)
+
+    def encode_words(self, buffer: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The vocabulary's ids of each word (a run of bytes of the buffer) as flat ids and ids per word, and how many words were merged exactly."""
+        flat, size = self.greedy_all(buffer, start, length)
+        owner = np.repeat(np.arange(len(start)), size)
         same = owner[1:] == owner[:-1]
         pairs, at = np.unique((flat[:-1] * self.n + flat[1:])[same], return_inverse=True)
         fine = self.compatible(pairs // self.n, pairs % self.n)[at]
-        bad = np.zeros(len(words), bool)
+        bad = np.zeros(len(start), bool)
         bad[owner[:-1][same][~fine]] = True
         bad[owner[~self.sound[flat]]] = True
         todo = np.flatnonzero(bad)
         if not len(todo):
             return self.outer[flat], size, 0
-        length = np.fromiter((len(words[i]) for i in todo.tolist()), np.int64, len(todo))
-        owners, ids = [owner[~bad[owner]]], [flat[~bad[owner]]]
+        kept = ~bad[owner]
+        owners, ids = [owner[kept]], [flat[kept]]
         for lo, hi in ((0, 8), (8, 12), (12, 16), (16, LOCKSTEP)):
-            which = todo[(length > lo) & (length <= hi)]
+            which = todo[(length[todo] > lo) & (length[todo] <= hi)]
             for s in range(0, len(which), 20_000):
                 part = which[s : s + 20_000]
-                got, n = self.merge_all([words[i] for i in part.tolist()])
+                got, n = self.merge_all(buffer, start[part], length[part])
                 owners.append(np.repeat(part, n))
                 ids.append(got)
-        for i in todo[length > LOCKSTEP].tolist():
-            got = np.array(self.merge_long(words[i]), np.int64)
+        for i in todo[length[todo] > LOCKSTEP].tolist():
+            got = np.array(self.merge_long(buffer[start[i] : start[i] + length[i]].tobytes()), np.int64)
             owners.append(np.full(len(got), i))
             ids.append(got)
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        return self.outer[np.concatenate(ids)[order]], np.bincount(owner, minlength=len(words)), len(todo)
+        return self.outer[np.concatenate(ids)[order]], np.bincount(owner, minlength=len(start)), len(todo)
+
+
+def runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words in a row, and where each starts and how long it is."""
+    raw = [w.encode() for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
+
+
+def spaced(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``runs``, each word after a space; the words hold none themselves."""
+    flat = np.frombuffer((" " + " ".join(words)).encode() if words else b"", np.uint8)
+    start = np.flatnonzero(flat == 32)
+    return flat, start, np.diff(np.append(start, len(flat)))
 
 
 class _Numbered(dict):
@@ -303,7 +336,6 @@ class Encoder:
         self.pattern = regex.compile(PATTERN)
         self.exact = self.words = 0
         self.forget()
-        self.text_of = {i: str(i) for i in self.v.bytes_of}
 
     def forget(self) -> None:
         """Empty the store of known chunks."""
@@ -321,9 +353,19 @@ class Encoder:
         word; so is what follows a NUL, any match of the pattern. Every other chunk is made of words, which are
         numbered like chunks and encoded with the rest.
         """
-        known = self.known
-        if not known.new:
+        if not self.known.new:
             return
+        # many small tuples are made here, and none of them in cycles
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn_new()
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn_new(self) -> None:
+        known = self.known
         first, number, find = len(known) - len(known.new), known.__getitem__, self.pattern.findall
         several, parts, odd = [], [], []
         new = known.new  # grows while words of chunks are numbered
@@ -343,8 +385,12 @@ class Encoder:
         known.new = []
         is_one = np.ones(len(new), bool)
         is_one[several] = False
-        words = [c[1:] if c[0] == "\0" else " " + c for c in compress(new, is_one.tolist())]
-        ids, n_ids, exact = self.v.encode_words([w.encode() for w in words])
+        # letters only stand after a space; what follows a NUL stands as it is. Both are numbered in this order
+        letters = np.fromiter((c[:1] != "\0" for c in new), bool, len(new)) & is_one
+        marked = is_one & ~letters
+        (flat, start, size), (flat2, start2, size2) = spaced(list(compress(new, letters.tolist()))), runs([c[1:] for c in compress(new, marked.tolist())])
+        ids, n_ids, exact = self.v.encode_words(np.concatenate([flat, flat2]), np.concatenate([start, start2 + len(flat)]), np.concatenate([size, size2]))
+        words = np.concatenate([np.flatnonzero(letters), np.flatnonzero(marked)])
         self.exact += exact
         self.words += len(words)
         last = len(known)
@@ -352,8 +398,8 @@ class Encoder:
             self.start, self.size, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.odd))
         start, size = self.start[first:last], self.size[first:last]
         self._keep(ids)
-        start[is_one] = self.used - len(ids) + np.cumsum(n_ids) - n_ids
-        size[is_one] = n_ids
+        start[words] = self.used - len(ids) + np.cumsum(n_ids) - n_ids
+        size[words] = n_ids
         if several:
             n_words = np.fromiter(map(len, parts), np.int64, len(parts))
             of = np.fromiter(chain.from_iterable(parts), np.int64, int(n_words.sum()))
@@ -389,23 +435,28 @@ class Encoder:
         return np.concatenate(out)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. The chunks of all texts are cut and made distinct together, so that each is looked up once."""
         if len(self.known) > REMEMBERED or self.used > 8 * REMEMBERED:
             self.forget()
-        number, rows = self.known.__getitem__, []
-        for t in texts:
-            if "\0" in t or "\1" in t or any(s in t for s in self.v.specials):
-                rows.append(None)
-                continue
-            chunks = t.split(" ")
-            if chunks[0]:
-                chunks[0] = "\1" + chunks[0]
-            else:
-                del chunks[0]
-            rows.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        special = ["\0", "\1", *self.v.specials]
+        plain = np.array([not any(s in t for s in special) for t in texts], bool)
+        # a chunk stands after a space, or is marked as the text's first
+        marked = [t[1:] if t[:1] == " " else "\1" + t for t, ok in zip(texts, plain.tolist(), strict=True) if ok and t]
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        chunks = cut.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.known.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(chunks.dictionary))
         self._learn()
+        rows = numbers[chunks.indices.to_numpy()]
+        ends = np.zeros(len(texts) + 1, np.int64)
+        ends[1:][plain & np.fromiter(map(len, texts), np.int64, len(texts)).astype(bool)] = np.diff(cut.offsets.to_numpy())
+        ends = np.cumsum(ends)
         # cutting at each space is exact if no white space touches a space
-        plain = [r is not None and not self.odd[r].any() for r in rows]
-        return [self._gather(r) if ok else self._by_pattern(t) for t, r, ok in zip(texts, rows, plain, strict=True)]
+        odd = np.concatenate([[0], np.cumsum(self.odd[rows])])[ends]
+        plain &= odd[1:] == odd[:-1]
+        size = self.size[rows]
+        ids = self.flat[_spans(self.start[rows], size)]
+        at = np.concatenate([[0], np.cumsum(size)])[ends].tolist()
+        return [ids[s:e] if ok else self._by_pattern(t) for t, s, e, ok in zip(texts, at[:-1], at[1:], plain.tolist(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.v.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -447,7 +498,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         f.close = enc.forget
         return f
 
-    return per_text(df, id_col, text_col, "ids array<int>", make)
+    return per_text(df, id_col, text_col, "ids array<int>", make, BLOCK)
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -475,7 +526,7 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def make():
         enc = encoder(shared.value)
-        name = enc.text_of.__getitem__
+        name = {i: str(i) for i in enc.v.bytes_of}.__getitem__
         raw = enc.v.bytes_of.__getitem__
 
         def f(texts):
@@ -490,4 +541,4 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
         f.close = enc.forget
         return f
 
-    return per_text(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return per_text(df, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", make, BLOCK)
