@@ -135,7 +135,7 @@ SQL["neighbour_sentences"] = narr(
 )
 SQL["sentence_pairs"] = narr(
     "select a.doc_id, count(*) as pairs, count(*) filter (list_has_any(a.w, b.w)) as overlapping, count(*) filter (a.s = b.s) as equal from nt a join nt b on a.doc_id = b.doc_id and a.ix < b.ix group by a.doc_id",
-    seg_sents(), f"nt as (select doc_id, ix, array_to_string({toks('s')}, ' ') as s, {toks('s')} as w from segs where ix < 20)",
+    seg_sents(), f"nt as (select doc_id, ix, array_to_string(list_sort(list_distinct({toks('s')})), ' ') as s, {toks('s')} as w from segs)",
 )
 EMO = "em as (select doc_id, e, count(*) as n from (select doc_id, unnest(emo) as e from tags) group by doc_id, e)"
 HOR = "ho as (select doc_id, horse, count(*) as n from tags where horse is not null group by doc_id, horse)"
@@ -364,7 +364,7 @@ tf as (select doc_id, total, ix, len, token, count(*) as n from tx where not {ST
 ti0 as (select *, row_number() over (partition by doc_id order by df desc, token) as rn from td), tv as (select tf.doc_id, tf.ix, tf.token, tf.n / tf.len::double * ln(tf.total / ti0.df::double) as value from tf join ti0 on ti0.doc_id = tf.doc_id and ti0.token = tf.token where rn <= 500 and tf.total > df)"""
 SQL["tf_idf"] = narr(f"select doc_id, ix::int as sent_ix, count(*) as n_terms, {r('sum(value)', 6)} as total, {r('max(value)', 6)} as top from tv group by doc_id, ix", seg_sents(), TFIDF)
 SQL["sentence_similarity"] = narr(
-    f"select doc_id, count(*) as pairs, sum(round(cosine * 10000)::bigint)::bigint as total, max(cosine) as top from cs group by doc_id", "dd as (select * from docs where doc_id % 2 = 0)", seg_sents("dd"), TFIDF, "nn as (select doc_id, ix, sqrt(sum(value * value)) as n from tv group by doc_id, ix)",
+    "select doc_id, count(*) as pairs, sum(round(cosine * 10000)::bigint)::bigint as total, max(cosine) as top from cs group by doc_id", seg_sents(), TFIDF, "nn as (select doc_id, ix, sqrt(sum(value * value)) as n from tv group by doc_id, ix)",
     f"cs as (select a.doc_id, a.ix as i, b.ix as j, {r('sum(a.value * b.value) / max(x.n * y.n)')} as cosine from tv a join tv b on a.doc_id = b.doc_id and a.token = b.token and a.ix < b.ix join nn x on x.doc_id = a.doc_id and x.ix = a.ix join nn y on y.doc_id = b.doc_id and y.ix = b.ix group by a.doc_id, a.ix, b.ix)",
 )
 SQL["embedding_cosine"] = f"""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)

@@ -177,8 +177,8 @@ def neighbour_sentences(spark, sf_dir):
 
 @query
 def sentence_pairs(spark, sf_dir):
-    """All pairs of a document's sentences: their number, equal ones, and pairs that share a token."""
-    s = J.sentence_table(narr(spark, sf_dir)).select("doc_id", F.array_distinct(T.tokens(F.col("sentence"))).alias("w"))
+    """All pairs of a document's sentences as sets of tokens: their number, equal ones, and pairs that share a token."""
+    s = J.sentence_table(narr(spark, sf_dir)).select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("sentence")))).alias("w"))
     return J.pair_counts(s, "doc_id", "w")
 
 

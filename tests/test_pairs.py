@@ -23,7 +23,7 @@ def sentences_of(df):
 def test_sentence_pairs_over_all_sentences(spark, sf):
     want = {}
     for k, ws in sentences_of(narratives(spark, sf)).items():
-        pairs = list(itertools.combinations([list(dict.fromkeys(w)) for w in ws], 2))
+        pairs = list(itertools.combinations([sorted(set(w)) for w in ws], 2))
         if pairs:
             want[k] = (len(pairs), sum(bool(set(a) & set(b)) for a, b in pairs), sum(a == b for a, b in pairs))
     got = {r["doc_id"]: (r["pairs"], r["overlapping"], r["equal"]) for r in queries.sentence_pairs(spark, sf).collect()}
