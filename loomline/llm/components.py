@@ -3,7 +3,7 @@
 Each round every node looks at its closed neighbourhood and points to the member whose hash (new in
 every round) is least; the edges are then rewritten to the nodes pointed to, made distinct, and loops
 dropped. A constant share of the nodes vanishes per round whatever the graph's shape, so long chains take
-a logarithmic number of rounds too. Nothing is collected; every round ends in a table of the shared folder.
+a logarithmic number of rounds too. A small rest is finished by one task. Nothing is collected; every round ends in a table of the shared folder.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from loomline.scratch import materialize
 
 
+#: Edges up to which one task finishes a graph (16 bytes each); larger ones are contracted round by round.
+ONE_TASK = 16_384
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star forest (node, root) with the same components as the edges given, by union-find."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -43,6 +47,17 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All nodes of a task's edges with their roots."""
+    parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+    node, root = forest(a, b)
+    top = np.unique(np.setdiff1d(np.concatenate([a, b]), node))
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, top])), pa.array(np.concatenate([root, top]))], names=["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (columns a, b of long); isolated nodes do not occur.
 
@@ -50,8 +65,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     graph = materialize(edges.select("a", "b").where("a <> b").mapInArrow(_thin, "a long, b long").distinct(), "edges")
     steps: list[DataFrame] = []
-    while not graph.isEmpty():
+    while n := graph.count():
         k = len(steps)
+        if n <= ONE_TASK:
+            steps.append(materialize(graph.coalesce(1).mapInArrow(_finish, "node long, root long"), f"hook{k}"))
+            break
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))  # noqa: B023,E731
         both = graph.select("a", order("b").alias("o")).unionByName(graph.select(F.col("b").alias("a"), order("a").alias("o")))
         # the node's own hash takes part through least()

@@ -1,37 +1,50 @@
-"""Near copies by the Jaccard similarity of word shingles: banded minima of hashes find candidates, the whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles, found by SimHash and by minima of hashes, decided on the whole sets.
 
-Texts with the same set of shingles are one class. In each band a class is placed by a few minima; classes in one place
-are compared with the least of them first, which joins large groups in a linear number of pairs; then every pair of
-the place whose two sides are not yet joined is compared too, so no pair that shares a place is left out unless it is joined already.
+Texts with the same set of shingles are one class. Candidates come in three steps, and each leaves out pairs that are joined already:
+SimHash fingerprints within the radius that the grid range-join of segment bit counts can search; then, for what
+differs in more bits, places of a few minima, where in every round each component of a place is compared with one drawn member;
+last, every pair of a place whose sides are in different components still. A sketch of four bits a minimum spares the
+texts of nearly all pairs below the threshold; the others are compared by their whole sets. In large places the last
+step goes tile by tile, a block of members against a block of those outside, and returns links only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loomline.llm import simhash
 from loomline.llm.arrow import per_text, release
 from loomline.llm.components import components
-from loomline.llm.simhash import shingle_hashes
 from loomline.scratch import materialize
 
 WIDTH, THRESHOLD = 5, 0.8
-#: A pair at the threshold misses all bands with a chance of (1 - 0.8^5)^30, 7 in a million.
-BANDS, ROWS = 30, 5
+#: A pair at the threshold misses all bands with a chance of (1 - 0.8^5)^32, 4 in a million.
+BANDS, ROWS = 32, 5
+#: Of the 160 minima of a pair at the threshold, 30 differ in the sketch, give or take 4.9; a pair is dismissed beyond this many, 4.4 deviations.
+DIFFERENT = 52
+#: Rounds in which components meet one drawn member of a place, before all pairs that are left do.
+DRAWS = 2
+#: Pairs of a place, of members with those outside its largest component, up to which they are joined one by one; in larger
+#: places, tiles of so many members and others (about) are compared at once.
+LARGE, MEMBERS, OTHERS = 4096, 512, 256
 _RNG = np.random.default_rng(42)
 _MULTIPLY = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles hashed at a time (memory only).
 AT_ONCE = 1 << 12
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Distinct hashes of the word shingles of a whole text, in order."""
-    return np.unique(shingle_hashes(text, width))
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -41,75 +54,251 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def places(h: np.ndarray) -> list[int]:
-    """The place of a set in each band."""
-    import xxhash
-
+def minima(h: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of the hash functions."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for s in range(0, len(h), AT_ONCE):
         least = np.minimum(least, ((h[s : s + AT_ONCE] ^ _FLIP) * _MULTIPLY).min(1))
+    return least
+
+
+def places(least: np.ndarray) -> list[int]:
+    """The place of a set in each band, from its minima."""
+    import xxhash
+
     return [xxhash.xxh64_intdigest(m.tobytes(), k) - (1 << 63) for k, m in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum, sixteen minima to a word."""
+    nibbles = (least * _MIX >> np.uint64(60)).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(nibbles, axis=1).view(np.int64)
+
+
+def different(a: Column, b: Column) -> Column:
+    """Minima that differ in two sketches."""
+    out = []
+    for k in range(BANDS * ROWS // 16):
+        x = a[k].bitwiseXOR(b[k])
+        x = reduce(lambda p, q: p.bitwiseOR(q), [F.shiftrightunsigned(x, s) for s in (1, 2, 3)], x)
+        out.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
+    return reduce(lambda p, q: p + q, out)
+
+
 def _sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per row the key of its class, the number of shingles, the places and the text."""
+    """Per row the key of its class, the number of shingles, fingerprint, places, sketch and the text."""
 
     def make():
-        import xxhash
-
         def f(texts):
-            sets = [shingle_set(t, width) for t in texts]
-            keys = [xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63) for h in sets]
-            return {"key": pa.array(keys, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "places": pa.array([places(h) if len(h) else [] for h in sets], pa.list_(pa.int64())), "body": pa.array(texts, pa.string())}
+            out = {k: [] for k in ("key", "n", "fp", "places", "sketch")}
+            for t in texts:
+                every = simhash.shingle_hashes(t, width)
+                h = np.unique(every)
+                least = minima(h)
+                out["key"].append(_key(h))
+                out["n"].append(len(h))
+                out["fp"].append(simhash.of_hashes(h))
+                out["places"].append(places(least) if len(h) else [])
+                out["sketch"].append(sketch(least))
+            arrays = {"key": pa.array(out["key"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "fp": pa.array(np.array(out["fp"], np.uint64).view(np.int64))}
+            lists = {k: pa.array(out[k], pa.list_(pa.int64())) for k in ("places", "sketch")}
+            return arrays | lists | {"body": pa.array(texts, pa.string())}
 
         return f
 
-    return per_text(df, id_col, text_col, "key long, n long, places array<bigint>, body string", make)
+    return per_text(df, id_col, text_col, "key long, n long, fp long, places array<bigint>, sketch array<bigint>, body string", make)
+
+
+def with_key(df: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``df`` with the ``key`` of each text's class, as :func:`near_duplicates` returns it."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([_key(shingle_set(t, width)) for t in b.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], names=[*b.schema.names, "key"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("key", T.LongType())]))
+
+
+def _key(h: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63)
+
+
+def _alike(m: Column, n: Column, threshold: float) -> Column:
+    """Whether sets of two sizes can have the threshold at all."""
+    return F.least(m, n) >= F.lit(threshold) * F.greatest(m, n) - 1e-9
+
+
+def _bodies(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """One text of each class of ``used``; texts of a class have one set, so any of them stands for it."""
+    return materialize(rows.select("key", "body").join(used, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body")), "bodies")
 
 
-def _similar(pairs: DataFrame, bodies: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) whose sets have at least the threshold."""
+def _similar(pairs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: keys) whose sets have at least the threshold, by the texts of ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = [jaccard(shingle_set(s, width), shingle_set(t, width)) >= threshold for s, t in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"])
+            for first in range(0, batch.num_rows, 500):
+                a, b, x, y = (c.to_pylist() for c in batch.slice(first, 500).columns)
+                good = []
+                for k, s, t in zip(a, x, y, strict=True):
+                    if k != last:  # pairs with one left side often come together
+                        last, own = k, shingle_set(s, width)
+                    good.append(jaccard(own, shingle_set(t, width)) >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"])
         release()
 
+    used = pairs.select(F.col("a").alias("key")).distinct().unionByName(pairs.select(F.col("b").alias("key")).distinct()).distinct()
+    bodies = _bodies(rows, used)
     side = lambda k, c: bodies.select(F.col("key").alias(k), F.col("body").alias(c))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
+class _Tile:
+    """Members and others of one tile; all their pairs are compared at once by the members' postings."""
+
+    def __init__(self, name: int):
+        self.name, self.members, self.others = name, [], []
+
+    def links(self, threshold: float) -> Iterator[tuple[int, int]]:
+        """Of each other, one link to each component of members that it has a link with."""
+        if not self.members or not self.others:
+            return
+        keys, roots, sets = zip(*self.members, strict=True)
+        roots, size = np.array(roots), np.array([len(h) for h in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        owner, flat = np.repeat(np.arange(len(sets)), size)[order], flat[order]
+        for key, root, h in self.others:
+            lo, hi = np.searchsorted(flat, h), np.searchsorted(flat, h, side="right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+            good = np.flatnonzero((both >= threshold * (size + len(h) - both) - 1e-9) & (roots != root))
+            for i in good[np.unique(roots[good], return_index=True)[1]].tolist():
+                yield keys[i], key
+
+
+def _tiles(here: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links of large places: blocks of members against blocks of the others, by whole sets. Equal pairs of several places may come twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = _Tile(0)
+        out: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out.clear()
+            return got
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                for name, other, key, root, body in zip(*(c.to_pylist() for c in batch.slice(first, 500).columns), strict=True):
+                    if name != tile.name:
+                        out += tile.links(threshold)
+                        tile = _Tile(name)
+                    (tile.others if other else tile.members).append((key, root, shingle_set(body, width)))
+                yield flush()
+        out += tile.links(threshold)
+        yield flush()
+        release()
+
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int")
+    here = here.withColumns({"m": blocks("total", MEMBERS), "o": blocks("outside", OTHERS)})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    member = here.select("place", at("m").alias("i"), every("o").alias("j"), F.lit(False).alias("other"), "key", "root")
+    other = here.where("root <> top").select("place", every("m").alias("i"), at("o").alias("j"), F.lit(True).alias("other"), "key", "root")
+    rows_of = member.unionByName(other).select(F.xxhash64("place", "i", "j").alias("tile"), "other", "key", "root")
+    bodies = _bodies(rows, here.select("key").distinct())
+    full = rows_of.join(bodies, "key").select("tile", "other", "key", "root", "body")
+    return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
+class _Groups:
+    """Classes, and the components that the links found so far make of them."""
+
+    def __init__(self, rows: DataFrame, classes: DataFrame, width: int, threshold: float):
+        self.rows, self.classes, self.width, self.threshold = rows, classes, width, threshold
+        self.roots = classes.select("key", F.col("key").alias("root"))
+
+    def test(self, pairs: DataFrame, name: str) -> None:
+        """Compare candidate pairs (a, b, and sizes m, n and sketches s, t), and join the components of those alike."""
+        pairs = pairs.where(_alike(F.col("m"), F.col("n"), self.threshold) & (different(F.col("s"), F.col("t")) <= DIFFERENT)).select("a", "b").distinct()
+        pairs = materialize(pairs, f"{name}_pairs")
+        if pairs.isEmpty():
+            return
+        self.join(_similar(pairs, self.rows, self.width, self.threshold), name)
+
+    def join(self, found: DataFrame, name: str) -> None:
+        """Join the components of linked classes (a, b: keys)."""
+        found = materialize(found, f"{name}_found")
+        up = lambda k, c: self.roots.select(F.col("key").alias(k), F.col("root").alias(c))
+        # links between components; nodes of this graph are roots
+        links = found.join(up("a", "x"), "a").join(up("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        self.roots = materialize(self.roots.join(moved, "root", "left").select("key", F.coalesce("up", "root").alias("root")), f"{name}_roots")
+
+    def side(self, key: str, size: str, own: str) -> DataFrame:
+        return self.classes.select(F.col("key").alias(key), F.col("n").alias(size), F.col("sketch").alias(own))
+
+    def with_sides(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.side("a", "m", "s"), "a").join(self.side("b", "n", "t"), "b")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id and ``component_id``, the least id reachable over pairs of texts with at least the Jaccard ``threshold``.
+    """Per row: id, ``key`` of the class and ``component_id``, the least id reachable over pairs of texts with at least the Jaccard ``threshold``.
 
     Texts without words are alike. Repeated rows come back repeated; a null id is never a component_id unless its
-    component has no other. An empty table gives no rows.
+    component has no other. An empty table gives no rows; very long texts count as a whole. Only the two columns named are read.
     """
     rows = materialize(_sets(df, id_col, text_col, width), "sets")
-    # one row of a class stands for it: the sets, and with them the places, are equal
-    classes = materialize(rows.groupBy("key").agg(F.min(id_col).alias("least"), F.max("n").alias("n"), F.max("places").alias("places")), "classes")
-    placed = classes.select("key", "n", F.posexplode("places").alias("band", "place")).select("key", "n", F.xxhash64("band", "place").alias("place"))
-    shared = placed.groupBy("place").agg(F.min("key").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    # one row of a class stands for it: the sets, and with them all that is made of them, are equal
+    one = ["n", "fp", "places", "sketch"]
+    classes = materialize(rows.groupBy("key").agg(F.min(id_col).alias("least"), *(F.first(c).alias(c) for c in one)), "classes")
+    groups = _Groups(rows, classes, width, threshold)
+
+    # SimHash: classes of one fingerprint, and fingerprints within the radius
+    prints = classes.groupBy("fp").agg(F.min("key").alias("rep"))
+    same = classes.join(prints, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    rep = lambda f, k: prints.select(F.col("fp").alias(f), F.col("rep").alias(k))
+    near = simhash.links(prints.select("fp")).distinct().select(F.col("a").alias("f"), F.col("b").alias("g")).join(rep("f", "a"), "f").join(rep("g", "b"), "g").select("a", "b")
+    groups.test(groups.with_sides(same.unionByName(near)), "simhash")
+
+    placed = classes.select("key", F.posexplode("places").alias("band", "place")).select("key", F.xxhash64("band", "place").alias("place"))
+    shared = materialize(placed.groupBy("place").agg(F.count("*").alias("many")).where("many > 1").select("place"), "shared")
     placed = materialize(placed.join(shared, "place"), "placed")
-    fits = lambda m, n: F.least(m, n) >= F.lit(threshold) * F.greatest(m, n) - 1e-9
-    sizes = classes.select(F.col("key").alias("a"), F.col("n").alias("m"))
-    stars = placed.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"), "n").distinct().join(sizes, "a").where(fits(F.col("m"), F.col("n"))).select("a", "b")
-    stars = materialize(stars, "stars")
-    used = lambda p: p.select(F.col("a").alias("key")).unionByName(p.select(F.col("b").alias("key"))).distinct()
-    one_of = lambda p: rows.join(used(p), "key", "left_semi").groupBy("key").agg(F.min("body").alias("body"))
-    found = materialize(_similar(stars, one_of(stars), width, threshold), "found")
-    roots = components(found)
-    open_ = placed.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "place", F.coalesce("root", "key").alias("root"))
-    mixed = open_.groupBy("place").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("place")
-    open_ = materialize(open_.join(mixed, "place", "left_semi"), "open")
-    x, y = (open_.select("place", F.col("key").alias(k), F.col("n").alias(n), F.col("root").alias(r)) for k, n, r in (("a", "m", "r"), ("b", "n", "s")))
-    rest = x.join(y, "place").where(F.col("r") != F.col("s")).where("a < b").where(fits(F.col("m"), F.col("n"))).select("a", "b").distinct()
-    rest = materialize(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    more = materialize(_similar(rest, one_of(rest), width, threshold), "more")
-    groups = components(found.unionByName(more)).withColumnRenamed("node", "key")
-    roots = classes.select("key", "least").join(groups, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    for k in range(DRAWS):
+        here = placed.join(groups.roots, "key")
+        # a component's member and a place's: the least hashes, new in every round
+        drawn = here.groupBy("place", "root").agg(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key")).alias("d"))
+        centre = drawn.groupBy("place").agg(F.min(F.struct("d", "root")).alias("c"), F.count("*").alias("many")).where("many > 1")
+        pairs = drawn.join(centre, "place").where(F.col("root") != F.col("c.root")).select(F.col("c.d.key").alias("a"), F.col("d.key").alias("b")).distinct()
+        groups.test(groups.with_sides(pairs), f"draw{k}")
+
+    # all that is left: members outside a place's largest component against all of the place
+    here = placed.join(groups.roots, "key")
+    sizes = here.groupBy("place", "root").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("place").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("total"), F.count("*").alias("many")).where("many > 1")
+    here = here.join(most.select("place", F.col("top.root").alias("top"), "total", (F.col("total") - F.col("top.size")).alias("outside")), "place")
+    here = materialize(here, "left")
+    few = F.col("total") * F.col("outside") <= LARGE
+    large, small = here.where(~few), here.where(few).join(classes.select("key", "n", "sketch"), "key")
+    if not large.isEmpty():
+        groups.join(_tiles(large, rows, width, threshold), "tiles")
+    member = small.select("place", F.col("key").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("s"), F.col("root").alias("x"), "top")
+    other = small.where("root <> top").select("place", F.col("key").alias("b"), "n", F.col("sketch").alias("t"), F.col("root").alias("y"))
+    # of two that are both outside the largest component, the lesser key is the member
+    met = (F.col("x") != F.col("y")) & ((F.col("x") == F.col("top")) | (F.col("a") < F.col("b")))
+    alike = _alike(F.col("m"), F.col("n"), threshold) & (different(F.col("s"), F.col("t")) <= DIFFERENT)
+    pairs = member.join(other, (member["place"] == other["place"]) & met & alike)
+    groups.test(pairs.select("a", "b", "m", "n", "s", "t"), "left")
+
+    roots = classes.select("key", "least").join(groups.roots, "key")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select(id_col, "key").join(roots.select("key", "root").join(least, "root").select("key", "component_id"), "key").select(id_col, "component_id")
+    return rows.select(id_col, "key").join(roots.select("key", "root").join(least, "root").select("key", "component_id"), "key").select(id_col, "key", "component_id")

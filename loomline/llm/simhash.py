@@ -43,7 +43,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash of the word shingles of a whole text; 0 without a word."""
-    h = shingle_hashes(text, width)
+    return of_hashes(shingle_hashes(text, width))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """64-bit SimHash of hashes: each bit as in most of them; 0 without any."""
     n = len(h)
     set_in = np.zeros(64, np.int64)
     for s in range(0, n, COUNTED):

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from loomline.llm import components as module
 from loomline.llm.components import components, forest
 
 
@@ -37,7 +39,9 @@ def test_forest_keeps_components():
         assert groups(plain(zip(u.tolist(), v.tolist(), strict=True))) == want
 
 
-def test_chains_stars_and_clumps(spark):
+@pytest.mark.parametrize("one_task", [0, 16_384])
+def test_chains_stars_and_clumps(spark, monkeypatch, one_task):
+    monkeypatch.setattr(module, "ONE_TASK", one_task)
     rng = random.Random(5)
     e = [(k, k + 1) for k in range(100)] + [(1000, 1000 + k) for k in range(1, 200)] + [(rng.randrange(5000, 5400), rng.randrange(5000, 5400)) for _ in range(300)] + [(7, 7), (None, 1), (2, 1)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(e, "a long, b long").repartition(7)).collect()}

@@ -53,6 +53,31 @@ def test_groups_against_brute_force(spark, sf):
     assert near_copies.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_sketch_counts_minima_that_differ(spark):
+    from pyspark.sql import functions as F
+
+    a, b = near_copies.minima(near_copies.shingle_set("one two three four five six seven eight")), near_copies.minima(near_copies.shingle_set("one two three four five six seven nine"))
+    x, y = near_copies.sketch(a), near_copies.sketch(b)
+    want = sum((int(p) >> 4 * k & 15) != (int(q) >> 4 * k & 15) for p, q in zip(x, y, strict=True) for k in range(16))
+    df = spark.createDataFrame([(x.tolist(), y.tolist())], "a array<long>, b array<long>")
+    assert df.select(near_copies.different(F.col("a"), F.col("b"))).first()[0] == want > 0
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Members that are mostly too far from each other, over several parts of a place, against brute force."""
+    rng, base = random.Random(3), words(random.Random(4), 80).split()
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"zz{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("LARGE", 500), ("MEMBERS", 40), ("OTHERS", 16)):
+        monkeypatch.setattr(near_copies, name, value)
+    assert got(near_copies.near_duplicates(df)) == slow_groups(rows)
+
+
 def test_stage_finds_what_three_bits_miss(spark, sf):
     rows = varied()
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")

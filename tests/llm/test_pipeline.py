@@ -2,7 +2,7 @@ import corpus_pipeline
 from loomline.llm import langid, packing, quality_crf, secret_scan, simhash
 from loomline.llm.queries import language_model, quality_model, vocabulary
 from tests.llm.cases import edge_docs, no_docs
-from tests.llm.test_simhash import slow_groups
+from tests.llm.test_near_copies import slow_groups
 
 
 def test_stages_against_a_plain_version(spark, sf):
@@ -15,7 +15,7 @@ def test_stages_against_a_plain_version(spark, sf):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in rows)
     q = quality_model(kept, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = [r for r, s in zip(rows, q.score([r["text"] for r in rows]), strict=True) if s >= quality_crf.GOOD_FROM]
-    groups = {k: c for k, _, c in slow_groups([(r["doc_id"], r["text"]) for r in rows])}
+    groups = dict(slow_groups([(r["doc_id"], r["text"]) for r in rows]))
     rows = [r for r in rows if groups[r["doc_id"]] == r["doc_id"]]
     for r in rows:
         r["text"] = secret_scan.redact(r["text"], secret_scan.scan(r["text"])[0])
@@ -35,10 +35,31 @@ def test_edges_and_nothing(spark, sf):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, df, sf)
             assert out.columns == corpus_pipeline.COLUMNS and out.count() <= df.count()
+        packed = corpus_pipeline.pack(spark, df, sf)
+        assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in df.collect()}
     one = corpus_pipeline.near_duplicates(spark, edge_docs(spark), sf).collect()
     ids = [r["doc_id"] for r in one if r["doc_id"] is not None]
     assert len(ids) == len(set(ids)) and 5 in ids and 6 not in ids
 
 
+def test_run_on_edges_and_nothing(spark, sf, tmp_path):
+    """run() reads its tables from a folder: rows with null ids and texts, repeated ids, clashing columns; and no rows at all."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    more = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for name, df in (("edges", edge_docs(spark).unionByName(more, allowMissingColumns=True)), ("none", no_docs(spark))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns[0] == "doc_id" and (got.count() > 0) == (name == "edges")
+
+
+def test_different_texts_of_one_id_stay(spark, sf):
+    a, b, c = "one text that says a thing of its own here", "another text that has quite a different thing to say", "a third text with nothing of the other two in it at all"
+    rows = [(5, a), (5, b), (5, a), (7, b), (7, c), (3, "a  third text with nothing of the other two in it at all")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, sf).collect())
+    assert kept == sorted([(5, a), (5, b), (3, rows[-1][1])])
+
+
 def test_without_columns_that_clash(spark):
     assert simhash.near_duplicates(edge_docs(spark)).columns == ["doc_id", "fingerprint", "component_id"]
