@@ -15,7 +15,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language: no letter at all, or an ambiguous decision."""
+    """Drop documents without a recognised language: null texts, texts without a letter, and ambiguous decisions.
+
+    Whole texts of any length count; every row is judged by itself, so repeated rows share their fate. An empty table stays
+    empty, and so does one without a labelled text to learn from.
+    """
     shared = spark.sparkContext.broadcast(language_model(docs))
 
     @F.pandas_udf("boolean")
@@ -27,7 +31,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose quality score is below the operator's threshold."""
+    """Drop documents whose quality score is below the operator's threshold; null and empty texts have the score of no line.
+
+    Whole texts of any length count; every row is judged by itself, repeated rows too. An empty table stays empty.
+    """
     shared = spark.sparkContext.broadcast(quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
     @F.pandas_udf("boolean")
@@ -38,21 +45,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of texts linked by a five-word Jaccard of 0.8 or more; one row of repeated ids, and all rows without an id."""
-    kept = near_copies.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keep one document of each group of texts linked by a five-word Jaccard of 0.8 or more: those with the group's least id.
+
+    Rows that repeat an id are judged each: different texts of one id stay if each leads its group, equal ones leave one
+    row, the least by its other columns. Rows without an id stay. Null, empty and blank texts are one group; long texts
+    count as a whole. An empty table stays empty.
+    """
+    near = materialize(near_copies.near_duplicates(docs), "near")
+    leads = F.col("doc_id") == F.col("component_id")
+    ids = materialize(near.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(leads).alias("kept")).where("rows > 1 or kept = 0"), "ids")
+    # whatever is not listed stays, rows without an id too
+    single = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    # only ids that repeat are grouped
     rest = [c for c in COLUMNS if c != "doc_id"]
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
-    return one.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    several = near_copies.with_key(docs.select(*COLUMNS).join(ids.where("rows > 1 and kept > 0").select("doc_id"), "doc_id", "left_semi"))
+    one = several.join(near.where(leads).select("doc_id", "key"), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
+    return single.unionByName(one.select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask every secret in the texts; n_chars follows the text."""
+    """Mask every secret in the texts, however long; n_chars follows the text (null texts stay null and keep theirs). No row goes."""
     clean = secret_scan.redacted(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all that is left into sequences."""
+    """Pack all that is left into sequences: pieces of every row, null texts as empty ones, rows with one id each by itself."""
     return packing.pack(docs, vocabulary())
 
 
