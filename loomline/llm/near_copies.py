@@ -134,11 +134,12 @@ def _alike(m: Column, n: Column, threshold: float) -> Column:
 
 def _bodies(rows: DataFrame, used: DataFrame) -> DataFrame:
     """One text of each class of ``used``; texts of a class have one set, so any of them stands for it."""
+    used = materialize(used, "used")  # its size is known then, and a small one needs no shuffle of texts
     return materialize(rows.select("key", "body").join(used, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body")), "bodies")
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) whose sets have at least the threshold, by the texts of ``rows``."""
+def _similar(pairs: DataFrame, bodies: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Those of ``pairs`` (a, b: keys) whose sets have at least the threshold, by the texts of ``bodies``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -153,8 +154,6 @@ def _similar(pairs: DataFrame, rows: DataFrame, width: int, threshold: float) ->
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"])
         release()
 
-    used = pairs.select(F.col("a").alias("key")).distinct().unionByName(pairs.select(F.col("b").alias("key")).distinct()).distinct()
-    bodies = _bodies(rows, used)
     side = lambda k, c: bodies.select(F.col("key").alias(k), F.col("body").alias(c))
     both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
@@ -184,7 +183,7 @@ class _Tile:
                 yield keys[i], key
 
 
-def _tiles(here: DataFrame, rows: DataFrame, width: int, threshold: float) -> DataFrame:
+def _tiles(here: DataFrame, bodies: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links of large places: blocks of members against blocks of the others, by whole sets. Equal pairs of several places may come twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +214,6 @@ def _tiles(here: DataFrame, rows: DataFrame, width: int, threshold: float) -> Da
     member = here.select("place", at("m").alias("i"), every("o").alias("j"), F.lit(False).alias("other"), "key", "root")
     other = here.where("root <> top").select("place", every("m").alias("i"), at("o").alias("j"), F.lit(True).alias("other"), "key", "root")
     rows_of = member.unionByName(other).select(F.xxhash64("place", "i", "j").alias("tile"), "other", "key", "root")
-    bodies = _bodies(rows, here.select("key").distinct())
     full = rows_of.join(bodies, "key").select("tile", "other", "key", "root", "body")
     return full.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
@@ -223,8 +221,8 @@ def _tiles(here: DataFrame, rows: DataFrame, width: int, threshold: float) -> Da
 class _Groups:
     """Classes, and the components that the links found so far make of them."""
 
-    def __init__(self, rows: DataFrame, classes: DataFrame, width: int, threshold: float):
-        self.rows, self.classes, self.width, self.threshold = rows, classes, width, threshold
+    def __init__(self, bodies: DataFrame, classes: DataFrame, width: int, threshold: float):
+        self.bodies, self.classes, self.width, self.threshold = bodies, classes, width, threshold
         self.roots = classes.select("key", F.col("key").alias("root"))
 
     def test(self, pairs: DataFrame, name: str) -> None:
@@ -233,7 +231,7 @@ class _Groups:
         pairs = materialize(pairs, f"{name}_pairs")
         if pairs.isEmpty():
             return
-        self.join(_similar(pairs, self.rows, self.width, self.threshold), name)
+        self.join(_similar(pairs, self.bodies, self.width, self.threshold), name)
 
     def join(self, found: DataFrame, name: str) -> None:
         """Join the components of linked classes (a, b: keys)."""
@@ -261,18 +259,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # one row of a class stands for it: the sets, and with them all that is made of them, are equal
     one = ["n", "fp", "places", "sketch"]
     classes = materialize(rows.groupBy("key").agg(F.min(id_col).alias("least"), *(F.first(c).alias(c) for c in one)), "classes")
-    groups = _Groups(rows, classes, width, threshold)
 
     # SimHash: classes of one fingerprint, and fingerprints within the radius
     prints = classes.groupBy("fp").agg(F.min("key").alias("rep"))
     same = classes.join(prints, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
     rep = lambda f, k: prints.select(F.col("fp").alias(f), F.col("rep").alias(k))
     near = simhash.links(prints.select("fp")).distinct().select(F.col("a").alias("f"), F.col("b").alias("g")).join(rep("f", "a"), "f").join(rep("g", "b"), "g").select("a", "b")
-    groups.test(groups.with_sides(same.unionByName(near)), "simhash")
+    close = materialize(same.unionByName(near), "close")
 
     placed = classes.select("key", F.posexplode("places").alias("band", "place")).select("key", F.xxhash64("band", "place").alias("place"))
     shared = materialize(placed.groupBy("place").agg(F.count("*").alias("many")).where("many > 1").select("place"), "shared")
     placed = materialize(placed.join(shared, "place"), "placed")
+    # texts are moved once, and only those of classes that any step may compare
+    each = [d.select(F.col(c).alias("key")) for d, c in ((placed, "key"), (close, "a"), (close, "b"))]
+    bodies = _bodies(rows, reduce(DataFrame.unionByName, each).distinct())
+    groups = _Groups(bodies, classes, width, threshold)
+    groups.test(groups.with_sides(close), "simhash")
     for k in range(DRAWS):
         here = placed.join(groups.roots, "key")
         # a component's member and a place's: the least hashes, new in every round
@@ -290,7 +292,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     few = F.col("total") * F.col("outside") <= LARGE
     large, small = here.where(~few), here.where(few).join(classes.select("key", "n", "sketch"), "key")
     if not large.isEmpty():
-        groups.join(_tiles(large, rows, width, threshold), "tiles")
+        groups.join(_tiles(large, bodies, width, threshold), "tiles")
     member = small.select("place", F.col("key").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("s"), F.col("root").alias("x"), "top")
     other = small.where("root <> top").select("place", F.col("key").alias("b"), "n", F.col("sketch").alias("t"), F.col("root").alias("y"))
     # of two that are both outside the largest component, the lesser key is the member
