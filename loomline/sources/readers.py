@@ -102,9 +102,9 @@ def session_runs(df: DataFrame, line: str, session: str = "session_id", speaker:
 
 
 def multi_label(df: DataFrame, least_words: int = 4, names: Sequence[str] = tuple(EMOTION_NAMES)) -> DataFrame:
-    """``text`` and comma-separated ``emotion_ids``: pos if any is positive, else neg if any is negative, else neu."""
+    """``text`` and comma-separated ``emotion_ids``: pos if any is positive, else neg if any is negative, else neu. Rows without a known id go."""
     ids = F.filter(F.transform(F.split("emotion_ids", ","), lambda x: F.get(F.array(*map(F.lit, names)), F.try_to_number(F.trim(x), F.lit("999")).cast("int"))), lambda x: x.isNotNull())
-    x = words_at_least(df, least_words).withColumn("_e", ids)
+    x = words_at_least(df, least_words).withColumn("_e", ids).where(F.size("_e") > 0)
     any_ = lambda ws: F.exists("_e", lambda e: e.isin(ws))
     return x.withColumns({"sentiment": F.when(any_(POSITIVE), "pos").when(any_(NEGATIVE), "neg").otherwise("neu"), "emotion": F.coalesce(F.get("_e", F.lit(0)), F.lit("neutral"))}).drop("_e")
 

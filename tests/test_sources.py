@@ -117,3 +117,8 @@ def test_registry_tables_and_compare(spark):
     assert E.hypothesis_registry(spark).count() == 7 and E.metric_catalog(spark).where("risk is null").count() == 0
     m = spark.createDataFrame([("a", 1.0, 2.0), ("b", 1.0, 1.0)], "id string, x double, y double")
     assert {(r["metric"], r["winner"]) for r in E.compare(m, "id", "a", "b", ["x", "y"]).collect()} == {("x", "second"), ("y", "first")}
+
+
+def test_multi_label_rows_without_a_known_id_go(spark):
+    df = spark.createDataFrame([("one two three four", "0"), ("one two three four five", "999"), ("one two three four six", "")], "text string, emotion_ids string")
+    assert [r["text"] for r in R.multi_label(df).collect()] == ["one two three four"]
