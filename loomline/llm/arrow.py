@@ -8,20 +8,31 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters handled at a time inside a Python worker. Bounds its memory; results do not depend on it.
 BLOCK_CHARS = 1 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker, in the pipeline. Bounds the buffers of both sides; results do not depend on it.
+BATCH_BYTES = 4 << 20
 
 
 def release() -> None:
     """Give memory freed at a task's end back to the system: workers live on, side by side with the executor's heap."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries trim by themselves
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to ``BATCH_BYTES``; it stays so, and a lower one is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if limit <= 0 or limit > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def blocks(texts: list, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
     """Split ``texts`` into runs of at most ``limit`` characters (a longer text is a run of its own)."""
     start = size = 0

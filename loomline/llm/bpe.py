@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from loomline.llm.arrow import per_text
+from loomline.llm.arrow import per_text, release
 
 #: The published pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -34,7 +34,7 @@ NO_LIMIT = np.int64(1 << 40)
 #: Chunks remembered by a worker; the store is emptied when it is full (speed only).
 REMEMBERED = 300_000
 #: Characters handled at a time: the more, the fewer chunks are looked up twice.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Words up to this many bytes are merged in lock-step, longer ones with a heap.
 LOCKSTEP = 32
 #: Marks that often end a chunk of letters.
@@ -471,7 +471,9 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=2)
 def encoder(content: str) -> Encoder:
     """One encoder per worker process."""
-    return Encoder(content)
+    made = Encoder(content)
+    release()  # building leaves as much behind as it keeps
+    return made
 
 
 def load_vocabulary(path: str) -> str:

@@ -12,11 +12,12 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.arrow import per_text
+from loomline.llm.arrow import per_text, release
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -212,8 +213,10 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     """``df`` with the secrets of ``text_col`` masked; null stays null, all other columns pass unchanged."""
 
     @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else redact(t, scan(t)[0], mask))
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: t if t is None else redact(t, scan(t)[0], mask))
+        release()
 
     return df.withColumn(text_col, clean(text_col))
 
