@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import langid, near_copies, packing, quality_crf, secret_scan
+from loomline.llm.arrow import release, small_batches
 from loomline.llm.queries import language_model, quality_model, vocabulary
 from loomline.scratch import materialize
 
@@ -20,12 +23,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whole texts of any length count; every row is judged by itself, so repeated rows share their fate. An empty table stays
     empty, and so does one without a labelled text to learn from.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(language_model(docs))
 
     @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        lang, score = shared.value.predict(texts.tolist())
-        return pd.Series([v != "und" and s >= langid.AMBIGUOUS for v, s in zip(lang, score, strict=True)], dtype=bool)
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            lang, score = shared.value.predict(texts.tolist())
+            yield pd.Series([v != "und" and s >= langid.AMBIGUOUS for v, s in zip(lang, score, strict=True)], dtype=bool)
+        release()
 
     return docs.where(known("text")).select(*COLUMNS)
 
@@ -35,11 +41,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Whole texts of any length count; every row is judged by itself, repeated rows too. An empty table stays empty.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
     @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist()) >= quality_crf.GOOD_FROM)
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.score(texts.tolist()) >= quality_crf.GOOD_FROM)
+        release()
 
     return docs.where(good("text")).select(*COLUMNS)
 
@@ -51,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row, the least by its other columns. Rows without an id stay. Null, empty and blank texts are one group; long texts
     count as a whole. An empty table stays empty.
     """
+    small_batches(spark)
     near = materialize(near_copies.near_duplicates(docs), "near")
     leads = F.col("doc_id") == F.col("component_id")
     ids = materialize(near.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(leads).alias("kept")).where("rows > 1 or kept = 0"), "ids")
@@ -65,12 +75,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask every secret in the texts, however long; n_chars follows the text (null texts stay null and keep theirs). No row goes."""
+    small_batches(spark)
     clean = secret_scan.redacted(docs.select(*COLUMNS))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all that is left into sequences: pieces of every row, null texts as empty ones, rows with one id each by itself."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary())
 
 
