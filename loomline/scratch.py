@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Folders of the tables that this process wrote and still holds.
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +46,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it reread: lineage ends here."""
     spark = df.sparkSession
-    path = fresh_path(spark, name) + "/t"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_path(spark, name)
+    df.write.parquet(path + "/t")
+    table = spark.read.schema(df.schema).parquet(path + "/t")
+    _TABLES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialize` returned, once nothing unwritten depends on them; other frames are left alone."""
+    for t in tables:
+        path = _TABLES.pop(t, None)
+        if path is not None:
+            p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
