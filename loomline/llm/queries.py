@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.layout import spread
-from loomline.llm import ann, bpe, embed_dedup, langid, packing, quality_crf, secret_scan, simhash, url_filter, warc
+from loomline.llm import ann, bpe, embed_dedup, hamerly, langid, line_rules, packing, quality_crf, secret_scan, simhash, term_tries, url_filter, warc
 
 #: Rules of op4 (fixed by its contract).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -81,13 +81,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the verdict by cross-document line frequency, per document."""
+    return line_rules.rules(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all pairs of sources of a language, and each source's own terms."""
+    return term_tries.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, exact distances and centroid hash, per vector."""
+    return hamerly.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_secret_scan, op3_bpe, op4_url_filter, op5_packing, op6_language_id, op7_ann, op8_simhash, op9_embedding_dedup, op10_warc, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_secret_scan, op3_bpe, op4_url_filter, op5_packing, op6_language_id, op7_ann, op8_simhash, op9_embedding_dedup, op10_warc, op11_line_rules, op12_source_divergence, op13_hamerly_clusters, pipeline)}
 
 
 def _op4_sql() -> str:
@@ -136,4 +151,69 @@ select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links,
 from embeddings e join reach r on r.a = e.vec_id group by e.vec_id"""
 
 
-ORACLE_SQL = {"op4_url_filter": _op4_sql(), "op9_embedding_dedup": _op9_sql(), "op10_warc": _op10_sql()}
+def _op11_sql() -> str:
+    # 10 documents and 0.5 % of the host's are the limits of a line; 10 words and half of all words those of a document
+    word, upper, lower = "'[^\x20\x09-\x0D]+'", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0000000000"
+    return f"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
+w as materialized (select r, doc_id, host, t, regexp_extract_all(t, {word}) as ws from d),
+l as (select r, host, t, unnest(string_split(t, chr(10))) as line from d),
+n as materialized (select r, host, t, line, translate(array_to_string(regexp_extract_all(line, {word}), ' '), '{upper}', '{lower}') as form, len(regexp_extract_all(line, {word})) as k from l),
+dup as (select r, count(*) - count(distinct line) as n_dup_lines from n where k > 0 group by r),
+win as (select r, i, array_to_string(ws[i:i + 4], ' ') as five from (select r, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)),
+twice as (select r, five from win group by r, five having count(*) > 1),
+rep as (select r, count(*) as n_repeat_words from (select distinct r, unnest(range(i, i + 5)) as at from win join twice using (r, five)) group by r),
+hosts as (select host, count(distinct t) as total from d group by host),
+often as (select host, form from (select host, form, count(distinct t) as docs from n where k > 0 group by host, form) join hosts using (host) where docs > 10 and docs > 0.005 * total),
+gone as (select r, sum(k) as n_removed from n join often using (host, form) group by r),
+x as (select doc_id, len(ws) as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_removed, 0)::bigint as n_removed
+  from w left join dup using (r) left join rep using (r) left join gone using (r)),
+y as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from x)
+select *, not base_failed and n_words - n_removed >= 10 and 2 * (n_words - n_removed) >= n_words as kept from y"""
+
+
+def _op12_sql() -> str:
+    p = lambda c, n: f"(1 + (1000000000::hugeint * ({c} + 5)) // ({n} + 5 * v))::bigint"
+    return f"""
+with d as materialized (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as materialized (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as materialized (select lang, term, count(*) as c from w group by lang, term having count(distinct r) >= 30),
+size as (select lang, count(*) as v, sum(c) as n from kept group by lang),
+groups as materialized (select distinct lang, source from d),
+here as materialized (select lang, source, term, count(*) as c from w join kept using (lang, term) group by lang, source, term),
+total as (select lang, source, sum(c) as n from here group by lang, source),
+g as materialized (select lang, source, coalesce(total.n, 0) as n, coalesce(v, 0) as v, coalesce(size.n, 0) as m from groups left join total using (lang, source) left join size using (lang)),
+shares as materialized (select lang, source, term, coalesce(here.c, 0) as c, {p("coalesce(here.c, 0)", "g.n")} as p, {p("kept.c", "g.m")} as q
+  from g join kept using (lang) left join here using (lang, source, term)),
+pairs as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all select lang, source, 'term', term, p - q from shares where c > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from f)
+select lang, source, part, item, value, rank::integer as rank from o where part = 'pair' or rank <= 50"""
+
+
+def _op13_sql() -> str:
+    rounds = ""
+    near = lambda k: f"""
+a{k} as materialized (select r, min(list_dot_product(list_transform(q, lambda x, i: (x - z[i])::double), list_transform(q, lambda x, i: (x - z[i])::double))::bigint * 40 + c) as best from k cross join c{k} group by r)"""
+    for k in range(5):
+        rounds += f""",{near(k)},
+s{k} as (select best % 40 as c, i, sum(q[i])::hugeint as s, count(*) as n from a{k} join k using (r), range(1, 65) t(i) group by all),
+m{k} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as z from s{k} group by c),
+c{k + 1} as materialized (select c, coalesce(m{k}.z, c{k}.z) as z from c{k} left join m{k} using (c))"""
+    return f"""
+with k as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (select c, z from (select row_number() over (order by sha256('2:' || vec_id), q) - 1 as c, q as z from k) where c < 40){rounds},{near(5)},
+x as (select vec_id, (best % 40)::integer as cluster, best // 40 as distance from a5 join k using (r))
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+  sha256(array_to_string(z, ',')) as centroid_sha256
+from x join c5 on c5.c = x.cluster"""
+
+
+ORACLE_SQL = {
+    "op4_url_filter": _op4_sql(), "op9_embedding_dedup": _op9_sql(), "op10_warc": _op10_sql(), "op11_line_rules": _op11_sql(), "op12_source_divergence": _op12_sql(), "op13_hamerly_clusters": _op13_sql(),
+}
