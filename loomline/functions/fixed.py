@@ -421,3 +421,26 @@ WIDE_EMOTIONS = {'anger': ['angry', 'furious', 'rage', 'hate', 'irritated'],
  'disgust': ['disgusted', 'repulsed', 'sick', 'vile', 'revolted']}
 
 PUNCTUATION = '.,!?;:\'"()[]{}—–-'
+
+# What scored texts of known character must show, as (character, claim, condition on the metric row).
+VALIDATION = [
+    ('Pure Positive Baseline', 'sentiment > 0', 'sentiment > 0'),
+    ('Pure Positive Baseline', 'GASE > 0', 'gase > 0'),
+    ('Pure Positive Baseline', 'PTI in [-0.5, 0.5]', 'pti between -0.5 and 0.5'),
+    ('Pure Positive Baseline', 'NAVA near 0 (flat arc)', 'abs(nava) < 0.5'),
+    ('Pure Positive Baseline', 'CD-index < 0.3', 'cd_index < 0.3'),
+    ('Pure Negative Baseline', 'sentiment < 0', 'sentiment < 0'),
+    ('Pure Negative Baseline', 'GASE < 0', 'gase < 0'),
+    ('Pure Negative Baseline', 'CD-index > 0', 'cd_index > 0'),
+    ('Pure Negative Baseline', 'VADS > 0.2', 'vads > 0.2'),
+    ('Tragic Arc', 'NAVA > 0 (tragic)', 'nava > 0'),
+    ('Tragic Arc', 'LEWI drop < 0', 'lewi_drop < 0'),
+    ('Tragic Arc', 'TEG > 0.05', 'teg > 0.05'),
+    ('High PTI', 'PTI > 0.3 (I-dominant)', 'pti > 0.3'),
+    ('High Cognitive Distortion', 'CD-index > 0.4', 'cd_index > 0.4'),
+    ('High Cognitive Distortion', 'VADS > 0.3', 'vads > 0.3'),
+    ('High Contradiction', 'TIES > 0', 'ties > 0'),
+    ('Random Baseline', '|sentiment| < 0.3', 'abs(sentiment) < 0.3'),
+    ('Random Baseline', 'GASE near 0', 'abs(gase) < 0.5'),
+    ('Random Baseline', 'CD-index < 0.2', 'cd_index < 0.2'),
+]

@@ -14,6 +14,7 @@ from loomline.functions import text as T
 from loomline.functions.lexicon import Lexicon
 
 EMOTIONS = ("anger", "sadness", "fear", "joy", "trust", "disgust", "surprise", "anticipation")
+PARAGRAPH_METRICS = ["sentiment", "pti", "teg", "cd_index", "vads", "ties"]
 HORSEMEN = ("criticism", "contempt", "defensiveness", "stonewalling")
 
 
@@ -89,6 +90,13 @@ def doc_metrics(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: s
     )
 
 
+def paragraph_metrics(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The six metrics of paragraphs taken as texts: sentiment, pti, teg, cd_index, vads, ties. One row a row of ``df``."""
+    a = annotate(df.select(id_col, text_col), lex, text_col)
+    toks, low = F.col("toks"), F.col("low")
+    return a.select(id_col, T.rounded(S.mean_of_rounded(F.col("compounds"))).alias("sentiment"), M.pti(toks).alias("pti"), M.teg(F.col("compounds")).alias("teg"), M.cd_index(low, toks).alias("cd_index"), M.vads(low, toks).alias("vads"), M.ties(low, F.col("sents")).alias("ties"))
+
+
 def sentence_scores(df: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per sentence: sent_ix (from 0), sentence, compound, sarcasm, emotions, horsemen."""
     a = annotate(df.select(id_col, text_col), lex, text_col)

@@ -15,16 +15,28 @@ from loomline.operators import statistics as St
 
 SYSTEMS = {"main": "sentiment", "vader": "vader_score", "nrc": "nrc_score", "liwc": "liwc_score"}
 SUMMARY = ["n_words", "flesch_re", "sentiment", "gase", "pti", "teg", "rci", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score"]
-#: Metric pairs tested, with the direction expected.
+# The metric pairs tested with the direction expected, and the hypotheses registered with their thresholds.
 PAIRS = [
-    ("sentiment", "cd_index", "negative"), ("gase", "horsemen_total", "negative"), ("pti", "pai", "positive"), ("teg", "ties", "positive"), ("nava", "lewi_drop", "positive"),
-    ("vads", "sentiment", "negative"), ("rci", "cd_index", "positive"), ("sentiment", "vader_score", "positive"), ("sentiment", "liwc_score", "positive"), ("gase", "sentiment", "positive"),
-]
-#: Hypotheses of the second-level experiments.
+    ("sentiment", "gase", "positive"),
+    ("sentiment", "cd_index", "negative"),
+    ("sentiment", "vads", "positive"),
+    ("pti", "cd_index", "positive"),
+    ("pti", "pai", "positive"),
+    ("gase", "lewi_drop", "negative"),
+    ("teg", "ties", "positive"),
+    ("vads", "gase", "positive"),
+    ("nava", "lewi_drop", "positive"),
+    ("cd_index", "ties", "positive"),
+]
 HYPOTHESES = [
-    ("H1", "every part of the composite contributes"), ("H2", "pti x pai r > 0.25, p < 0.05"), ("H3", "teg x ties r > 0.20, p < 0.05"), ("H4", "nava x lewi_drop r > 0"),
-    ("H5", "cd_index x sentiment r < 0"), ("H6", "vads x sentiment r < 0"), ("H7", "main and vader-like differ, p < 0.05"),
-]
+    ("H1", "lewi_drop", "LEWI correlates with human turning points", "r > 0.30"),
+    ("H2", "pti", "higher PTI correlates with relational dominance", "r > 0.25, p < 0.05"),
+    ("H3", "teg", "TEG correlates with emotional instability", "r > 0.20, p < 0.05"),
+    ("H4", "gase", "GASE is lower in dissolution than in stable narratives", "d > 0.50, p < 0.05"),
+    ("H5", "nava", "NAVA classifies the arc with more than half accuracy", "accuracy > 0.50"),
+    ("H6", "cd_index", "CD-index correlates negatively with sentiment", "r < -0.15, p < 0.05"),
+    ("H7", "sentiment", "the main system and the VADER-like one differ (McNemar)", "p < 0.05"),
+]
 
 
 #: Range and risk of every metric.
@@ -92,10 +104,56 @@ def ablation_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def experiment(df: DataFrame, keys: Sequence[str], x: str, y: str, floor: float | None, least: int = 10) -> DataFrame:
-    """One correlation experiment: r, significance and, with a floor, whether r exceeds it at p < 0.05."""
-    p = St.pearson(df, keys, x, y).where(F.col("n") >= least)
-    return p.withColumn("supported", (F.col("r") > floor) & (F.col("p") <= 0.05)) if floor is not None else p
+def experiment(df: DataFrame, keys: Sequence[str], x: str, y: str, floor: float, least: int = 10, all_keys: bool = False) -> DataFrame:
+    """One correlation experiment: mean of ``x``, r, p, stars, n, and whether r exceeds ``floor`` at p below 0.05 (p is stepped, so 0.05 itself does not do).
+
+    Keys with fewer than ``least`` complete rows are left out, or, with ``all_keys``, have r 0 and p 1.
+    """
+    mean = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(T.rounded(F.avg(x)).alias(f"{x}_mean"))
+    p = St.pearson(df, keys, x, y).join(mean, list(keys), "left")
+    enough = F.col("n") >= least
+    if all_keys:
+        p = df.select(*keys).distinct().join(p, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+        p = p.withColumns({"r": F.when(enough, F.col("r")).otherwise(0.0), "p": F.when(enough, F.col("p")).otherwise(1.0), "sig": F.when(enough, F.col("sig")).otherwise("ns")})
+    else:
+        p = p.where(enough)
+    return p.withColumn("supported", (F.col("r") > floor) & (F.col("p") < 0.05))
+
+
+def drop_validation(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of every key: spread of the drop (sample sd over all values), and the drop against the arc where both exist; supported above r 0.30."""
+    sd = df.groupBy(*keys).agg(T.rounded(F.coalesce(F.stddev_samp("lewi_drop"), F.lit(0.0))).alias("lewi_sd"))
+    return experiment(df, keys, "nava", "lewi_drop", 0.30, all_keys=True).drop("nava_mean").join(sd, list(keys))
+
+
+def systems_differ(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment", least: int = 30) -> DataFrame:
+    """McNemar of the main and the VADER-like system over rows with a gold class, for keys with ``least`` rows: and whether they differ at p below 0.05."""
+    known = df.where(F.col(gold).isin(*St.CLASSES))
+    right = lambda c: T.label(F.coalesce(F.col(c), F.lit(0.0))) == F.col(gold)
+    out = St.mcnemar(known, keys, right(SYSTEMS["main"]), right(SYSTEMS["vader"])).where(F.col("n") >= least)
+    return out.withColumns({"sig": St.stars(F.col("p")), "supported": F.col("p") < 0.05})
+
+
+def hypothesis_results(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment") -> DataFrame:
+    """The registered hypotheses that metric rows can decide, per key: id, statistic, p, n, supported. The others need annotations (H1 in full, H5) or two corpora (H4)."""
+    ks, wide = list(keys), F.col("teg") > 0
+    low = St.pearson(df, ks, "cd_index", "sentiment").where("n >= 10").withColumn("supported", (F.col("r") < -0.15) & (F.col("p") < 0.05))
+    parts = {"H1": drop_validation(df, ks), "H2": experiment(df, ks, "pti", "pai", 0.25), "H3": experiment(df.where(wide), ks, "teg", "ties", 0.20), "H6": low}
+    rows = [d.select(*ks, F.lit(h).alias("id"), F.col("r").alias("statistic"), "p", "n", "supported") for h, d in parts.items()]
+    h7 = systems_differ(df, ks, gold).select(*ks, F.lit("H7").alias("id"), F.col("chi2").alias("statistic"), "p", "n", "supported")
+    return union_all([*rows, h7])
+
+
+def dataset_summary(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment") -> DataFrame:
+    """One row a dataset: n, F1, area and r of the main system, F1 of the VADER-like one, pairs in the expected direction and tested, effect size of positive against negative."""
+    ks = list(keys)
+    b = baselines(df, ks, gold)
+    one = lambda s, c: F.max(F.when(F.col("system") == s, F.col(c)))
+    scores = b.groupBy(*ks).agg(one("main", "macro_f1").alias("main_f1"), one("main", "macro_auc").alias("main_auc"), one("main", "pearson_r").alias("main_r"), one("vader", "macro_f1").alias("vader_f1"))
+    pairs = metric_pairs(df, ks).groupBy(*ks).agg(F.count_if("direction_correct").alias("directions_right"), F.count("*").alias("directions"))
+    d = St.effect_size(df.where(F.col(gold).isin("pos", "neg")), ks, "sentiment", F.col(gold) == "pos").select(*ks, "cohens_d", "hedges_g", F.when(F.abs("cohens_d") >= 0.8, "Large").when(F.abs("cohens_d") >= 0.5, "Medium").otherwise("Small").alias("effect_size"))
+    n = df.groupBy(*ks).agg(F.count("*").alias("n"))
+    return n.join(scores, ks).join(pairs, ks, "left").join(d, ks, "left").na.fill(0, ["directions_right", "directions", "cohens_d", "hedges_g"]).na.fill("Small", ["effect_size"])
 
 
 def rollup(per_dataset: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
@@ -146,7 +204,7 @@ def validation_suite(df: DataFrame, predicates: dict[str, str]) -> DataFrame:
 
 
 def hypothesis_registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HYPOTHESES, "id string, claim string")
+    return spark.createDataFrame(HYPOTHESES, "id string, metric string, claim string, threshold string")
 
 
 def metric_catalog(spark: SparkSession) -> DataFrame:

@@ -98,6 +98,17 @@ def tf_idf(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     return tf.join(idf, [id_col, "token"]).where("idf > 0").select(id_col, "sent_ix", "token", (F.col("n") / F.col("len") * F.col("idf")).alias("value"))
 
 
+def corpus_tf_idf(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 500) -> DataFrame:
+    """Whole documents as the rows of a TF-IDF over the corpus: id, token, value (zero values left out). Definitions as in :func:`tf_idf`."""
+    c = F.coalesce(F.col(text_col), F.lit(""))
+    t = df.select(id_col, T.tokens(c).alias("w")).select(id_col, F.greatest(F.lit(1), F.size("w")).alias("len"), F.explode("w").alias("token")).where(~T.is_stop(F.col("token")) & (F.length("token") > 2))
+    tf = t.groupBy(id_col, "len", "token").agg(F.count("*").alias("n"))
+    top = tf.groupBy("token").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "token").limit(vocabulary)
+    total = df.agg(F.count("*").alias("total"))
+    idf = top.crossJoin(total).select("token", F.log(F.col("total") / F.col("df")).alias("idf")).where("idf > 0")  # one row on the right
+    return tf.join(idf, "token").select(id_col, "token", (F.col("n") / F.col("len") * F.col("idf")).alias("value"))
+
+
 def sentence_similarity(vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Cosine of the sentence pairs i < j of a document that share a term, from :func:`tf_idf` (others are 0).
 

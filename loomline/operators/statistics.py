@@ -103,7 +103,7 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     r = F.when((F.col("n") < 3) | ~(F.col("d") > 1e-15), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c", "d"))))
     m = m.select(*keys, "n", r.alias("r"), (F.col("d") > 1e-15).alias("ok"))
     t = F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))) / F.sqrt(F.greatest(F.lit(1e-9), 1 - F.col("r") * F.col("r")))
-    m = m.withColumn("p", F.when((F.col("n") < 3) | ~F.col("ok"), 1.0).when(t == 0, 0.5).otherwise(p_of_t(t, F.col("n") - 2)))
+    m = m.withColumn("p", F.when((F.col("n") < 3) | ~F.col("ok"), 1.0).otherwise(p_of_t(t, F.col("n") - 2)))
     return m.select(*keys, T.rounded(F.col("r")).alias("r"), "p", stars(F.col("p")).alias("sig"), "n")
 
 
@@ -149,7 +149,7 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     n = F.col("n")
     s = s.withColumn("w", F.least("plus", n * (n + 1) / 2 - F.col("plus"))).withColumn("z", F.try_divide(F.abs(F.col("w") - n * (n + 1) / 4), F.sqrt(n * (n + 1) * (2 * n + 1) / 24)))
     few = n < 5
-    p = F.when(few, 1.0).otherwise(F.when(F.col("z") == 0, 0.5).otherwise(p_of_t(F.col("z"), F.lit(1000))))
+    p = F.when(few, 1.0).otherwise(p_of_t(F.col("z"), F.lit(1000)))
     out = s.select(*ks, n.cast("long").alias("n"), F.when(~few, T.rounded(F.col("w"), 2)).alias("w"), F.when(~few, T.rounded(F.col("z"))).alias("z"), p.alias("p"))
     return out if keys else out.drop("_all")
 
@@ -226,11 +226,11 @@ def percent_agreement(df: DataFrame, keys: Sequence[str], item: str, category: s
 
 
 def mcnemar(df: DataFrame, keys: Sequence[str], right_a: Column, right_b: Column) -> DataFrame:
-    """Two systems on the same rows: discordant counts, chi-square with continuity correction and its p in steps; null below 30 rows."""
+    """Two systems on the same rows: discordant counts, chi-square with continuity correction and its p in steps (0 and 1 without a discordant row); null below 30 rows."""
     s = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(right_a & ~right_b).alias("b"), F.count_if(~right_a & right_b).alias("c"), T.rounded(F.avg(right_a.cast("double"))).alias("acc_a"), T.rounded(F.avg(right_b.cast("double"))).alias("acc_b"))
     chi = _zero(F.try_divide((F.abs(F.col("b") - F.col("c")) - 1) * (F.abs(F.col("b") - F.col("c")) - 1).cast("double"), F.col("b") + F.col("c")))
     s = s.withColumn("chi2", F.when(F.col("n") >= 30, T.rounded(chi, 3)))
-    p = F.when(F.col("chi2").isNull(), None)
+    p = F.when(F.col("chi2").isNull(), None).when(F.col("b") + F.col("c") == 0, 1.0)
     for edge, v in ((10.83, 0.001), (6.63, 0.01), (3.84, 0.05), (2.71, 0.10)):
         p = p.when(F.col("chi2") > edge, v)
     return s.withColumn("p", p.otherwise(0.5))

@@ -367,6 +367,13 @@ SQL["sentence_similarity"] = narr(
     "select doc_id, count(*) as pairs, sum(round(cosine * 10000)::bigint)::bigint as total, max(cosine) as top from cs group by doc_id", seg_sents(), TFIDF, "nn as (select doc_id, ix, sqrt(sum(value * value)) as n from tv group by doc_id, ix)",
     f"cs as (select a.doc_id, a.ix as i, b.ix as j, {r('sum(a.value * b.value) / max(x.n * y.n)')} as cosine from tv a join tv b on a.doc_id = b.doc_id and a.token = b.token and a.ix < b.ix join nn x on x.doc_id = a.doc_id and x.ix = a.ix join nn y on y.doc_id = b.doc_id and y.ix = b.ix group by a.doc_id, a.ix, b.ix)",
 )
+SQL["extreme_pairs"] = narr(
+    f"""select doc_id, n::int as n, {r('total / (n * (n - 1) // 2)::double / 10000')} as coherence, hi.v / 10000.0 as most, hi.i::int as most_i, hi.j::int as most_j, lo.v / 10000.0 as least, -lo.i::int as least_i, -lo.j::int as least_j
+  from (select doc_id, any_value(n) as n, sum(c) as total, max({{'v': c, 'i': i, 'j': j}}) as hi, max({{'w': -c, 'i': -i, 'j': -j, 'v': c}}) as lo from pr group by doc_id)""",
+    seg_sents(), TFIDF, "nn as (select doc_id, ix, sqrt(sum(value * value)) as n from tv group by doc_id, ix)", "ct as (select doc_id, count(*) as n from segs group by doc_id)",
+    "cs as (select a.doc_id, a.ix as i, b.ix as j, floor(sum(a.value * b.value) / max(x.n * y.n) * 10000 + 0.5)::bigint as c from tv a join tv b on a.doc_id = b.doc_id and a.token = b.token and a.ix < b.ix join nn x on x.doc_id = a.doc_id and x.ix = a.ix join nn y on y.doc_id = b.doc_id and y.ix = b.ix group by a.doc_id, a.ix, b.ix)",
+    "pr as (select s.doc_id, n, s.ix as i, t.ix as j, coalesce(c, 0) as c from segs s join segs t on t.doc_id = s.doc_id and s.ix < t.ix join ct on ct.doc_id = s.doc_id left join cs on cs.doc_id = s.doc_id and cs.i = s.ix and cs.j = t.ix)",
+)
 SQL["embedding_cosine"] = f"""with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings)
 select a.vec_id, {r('list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))')} as cosine from e a join e b on b.vec_id = a.vec_id + 1"""
 _vocab = lambda lang: f"select distinct unnest({content(toks('text'))}) as word from documents where lang = '{lang}'"
@@ -485,19 +492,55 @@ ee as ({SQL['effect_size'].replace('price', 'qty').replace('o_totalqty as qty',
   union all {_part('select * from ww', 'wilcoxon', ('w', 'z', 'p'))} union all {_part('select * from ee', 'effect', ('cohens_d', 'hedges_g'))}) where value is not null"""
 
 # --- experiments ---
-MET = f"""{ORD}, mr as (select o_orderkey, dataset, {r('o_orderkey * 37 % 101 / 101.0 - qty / 400')} as gase, {r('o_orderkey * 13 % 53 / 53.0 - 0.5')} as pti, {r('o_orderkey * 13 % 53 / 53.0 / 3 + disc')} as pai, {r('case when n_lines > 1 then o_orderkey * 7 % 31 / 31.0 end')} as nava,
-  {r('case when n_lines > 1 then o_orderkey * 7 % 31 / 31.0 / 2 + o_orderkey * 11 % 29 / 29.0 end')} as lewi_drop, {r('case when n_lines > 2 then o_orderkey * 17 % 71 / 71.0 else 0.0 end')} as teg, {r('o_orderkey * 5 % 19 / 19.0 * disc')} as ties, {r('o_orderkey * 3 % 7 / 7.0 / 100')} as rci from od)"""
-_mp = " union all ".join(f"select dataset, '{a}' as metric_1, '{b}' as metric_2, '{h}' as hypothesis, {a} as x, {b} as y from mr" for a, b, h in (("pti", "pai", "positive"), ("teg", "ties", "positive"), ("nava", "lewi_drop", "positive"), ("gase", "pti", "negative")))
+MET = f"mr as materialized (select * rename (gold as gold_sentiment) from ({SQL['doc_metrics']}))"
+PAIRS = (
+    ("sentiment", "gase", "positive"), ("sentiment", "cd_index", "negative"), ("sentiment", "vads", "positive"), ("pti", "cd_index", "positive"), ("pti", "pai", "positive"),
+    ("gase", "lewi_drop", "negative"), ("teg", "ties", "positive"), ("vads", "gase", "positive"), ("nava", "lewi_drop", "positive"), ("cd_index", "ties", "positive"),
+)
+_mp = " union all ".join(f"select dataset, '{a}' as metric_1, '{b}' as metric_2, '{h}' as hypothesis, {a} as x, {b} as y from mr" for a, b, h in PAIRS)
 _mk = "dataset, metric_1, metric_2, hypothesis"
-SQL["metric_pairs"] = f"""with {MET}, ml as ({_mp}), pe as ({_pearson('ml', _mk, 'x', 'y')}), rk as {_spear('ml', _mk, 'x', 'y')}, sp as ({_pearson('rk', _mk, 'rx', 'ry')})
-select {_mk}, pe.r as pearson_r, pe.p as pearson_p, pe.sig as pearson_sig, pe.n, sp.r as spearman_rho, sp.p as spearman_p, sp.sig as spearman_sig, case when hypothesis = 'positive' then pe.r > 0 else pe.r < 0 end as direction_correct from pe join sp using ({_mk}) where pe.n >= 5"""
+# ranks among the rows where both are numbers
+_PAIRED = f"""mlong as ({_mp}), mq as (select * from mlong where x is not null and y is not null), pe as ({_pearson('mlong', _mk, 'x', 'y')}), rk as {_spear('mq', _mk, 'x', 'y')}, sp as ({_pearson('rk', _mk, 'rx', 'ry')}),
+mpairs as (select {_mk}, pe.r as pearson_r, pe.p as pearson_p, pe.sig as pearson_sig, pe.n, sp.r as spearman_rho, sp.p as spearman_p, sp.sig as spearman_sig, case when hypothesis = 'positive' then pe.r > 0 else pe.r < 0 end as direction_correct from pe join sp using ({_mk}) where pe.n >= 5)"""
+SQL["metric_pairs"] = f"with {MET}, {_PAIRED} select * from mpairs"
 SQL["ablation_table"] = f"""with {MET} select dataset, count(*) as n, {r('avg(gase)')} as gase_mean, {r('coalesce(stddev_samp(gase), 0.0)')} as gase_sd, {r('coalesce(avg(lewi_drop), 0.0)')} as lewi_mean, {r('coalesce(stddev_samp(lewi_drop), 0.0)')} as lewi_sd, {r('100 * avg((abs(rci) > 0.001)::int)', 1)} as rci_nonzero_pct, count(nava) as nava_valid_n from mr group by dataset"""
-SQL["lewi_nava_validation"] = f"with {MET}, o as ({_pearson('mr', 'dataset', 'lewi_drop', 'nava')}) select * from o where n >= 10"
-SQL["dominance_experiment"] = f"with {MET}, o as ({_pearson('mr', 'dataset', 'pti', 'pai')}) select *, r > 0.25 and p <= 0.05 as supported from o where n >= 10"
-SQL["instability_experiment"] = f"with {MET}, m2 as (select * from mr where teg > 0), o as ({_pearson('m2', 'dataset', 'teg', 'ties')}) select *, r > 0.20 and p <= 0.05 as supported from o where n >= 10"
-SQL["dataset_rollup"] = f"""with {MET}, g as (select dataset, avg(gase) as gase, avg(pai) as pai, avg(ties) as ties from mr group by dataset) select dataset, {r('gase', 3)} as gase, {r('pai', 3)} as pai, {r('ties', 3)} as ties from g union all select 'mean', {r('avg(gase)', 3)}, {r('avg(pai)', 3)}, {r('avg(ties)', 3)} from g"""
+
+
+def _trial(name: str, x: str, y: str, floor: float, where: str = "true") -> str:
+    """CTEs that end in ``name``: one correlation experiment, from 10 rows on."""
+    return f"""{name}_in as (select * from mr where {where}), {name}_p as ({_pearson(f'{name}_in', 'dataset', x, y)}), {name}_m as (select dataset, {r(f'avg({x})')} as {x}_mean from {name}_in where {y} is not null group by dataset),
+{name} as (select dataset, {x}_mean, r, p, sig, n, r > {floor} and p < 0.05 as supported from {name}_p join {name}_m using (dataset) where n >= 10)"""
+
+
+_H1 = f"""h1_p as ({_pearson('mr', 'dataset', 'nava', 'lewi_drop')}), h1_s as (select dataset, {r('coalesce(stddev_samp(lewi_drop), 0.0)')} as lewi_sd from mr group by dataset),
+h1 as (select dataset, case when n >= 10 then r else 0.0 end as r, case when n >= 10 then p else 1.0 end as p, case when n >= 10 then sig else 'ns' end as sig, coalesce(n, 0) as n, coalesce(n >= 10 and r > 0.30 and p < 0.05, false) as supported, lewi_sd from h1_s left join h1_p using (dataset))"""
+_H7 = f"""h7_in as (select dataset, gold_sentiment as gold, {LABEL('coalesce(sentiment, 0)')} as a, {LABEL('coalesce(vader_score, 0)')} as b from mr where gold_sentiment in ('pos', 'neg', 'neu')),
+h7_c as (select dataset, count(*) as n, count(*) filter (a = gold and b <> gold) as b, count(*) filter (a <> gold and b = gold) as c, {r('avg((a = gold)::int)')} as acc_a, {r('avg((b = gold)::int)')} as acc_b from h7_in group by dataset having count(*) >= 30),
+h7_k as (select *, case when b + c = 0 then 0.0 else {r('pow(abs(b - c) - 1, 2) / (b + c)::double', 3)} end as chi2 from h7_c),
+h7_p as (select *, (case when b + c = 0 then 1.0 when chi2 > 10.83 then 0.001 when chi2 > 6.63 then 0.01 when chi2 > 3.84 then 0.05 when chi2 > 2.71 then 0.10 else 0.5 end)::double as p from h7_k),
+h7 as (select *, {stars('p')} as sig, p < 0.05 as supported from h7_p)"""
+SQL["lewi_nava_validation"] = f"with {MET}, {_H1} select * from h1"
+SQL["dominance_experiment"] = f"with {MET}, {_trial('h2', 'pti', 'pai', 0.25)} select * from h2"
+SQL["instability_experiment"] = f"with {MET}, {_trial('h3', 'teg', 'ties', 0.20, 'teg > 0')} select * from h3"
+SQL["systems_differ"] = f"with {MET}, {_H7} select * from h7"
+SQL["hypothesis_results"] = f"""with {MET}, {_H1}, {_trial('h2', 'pti', 'pai', 0.25)}, {_trial('h3', 'teg', 'ties', 0.20, 'teg > 0')}, {_H7}, h6 as ({_pearson('mr', 'dataset', 'cd_index', 'sentiment')})
+select dataset, 'H1' as id, r as statistic, p, n, supported from h1 union all select dataset, 'H2', r, p, n, supported from h2 union all select dataset, 'H3', r, p, n, supported from h3
+union all select dataset, 'H6', r, p, n, r < -0.15 and p < 0.05 from h6 where n >= 10 union all select dataset, 'H7', chi2, p, n, supported from h7"""
+_DSUM = f"""{_PAIRED}, ds as (select dataset, gold_sentiment as gold, 'main' as system, sentiment as score from mr union all select dataset, gold_sentiment, 'vader', vader_score from mr),
+dl as (select *, {LABEL('score')} as pred, (case gold when 'pos' then 1 when 'neg' then -1 else 0 end)::double as num from ds), df as ({_prf('dl', 'dataset, system', True)}), dp as ({_pearson('dl', 'dataset, system', 'score', 'num')}), {_multi('dl', 'dataset, system', 'score')},
+dd as (select dataset, count(*) filter (direction_correct) as directions_right, count(*) as directions from mpairs group by dataset),
+dg as (select dataset, count(*) filter (gold_sentiment = 'pos') as n1, count(*) filter (gold_sentiment = 'neg') as n2, avg(sentiment) filter (gold_sentiment = 'pos') - avg(sentiment) filter (gold_sentiment = 'neg') as gap,
+  var_samp(sentiment) filter (gold_sentiment = 'pos') as v1, var_samp(sentiment) filter (gold_sentiment = 'neg') as v2 from mr group by dataset),
+de as (select *, case when n1 < 2 or n2 < 2 then 0.0 else coalesce(gap / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 0), 0.0) end as d from dg),
+dsum as (select dataset, (select count(*) from mr where mr.dataset = m.dataset) as n, m.macro_f1 as main_f1, ma.macro_auc as main_auc, mp.r as main_r, v.macro_f1 as vader_f1, coalesce(directions_right, 0) as directions_right, coalesce(directions, 0) as directions,
+  {r('d')} as cohens_d, {r('d * (1 - 3 / (4 * (n1 + n2) - 9)::double)')} as hedges_g, case when abs({r('d')}) >= 0.8 then 'Large' when abs({r('d')}) >= 0.5 then 'Medium' else 'Small' end as effect_size
+  from df m join df v using (dataset) join mm ma using (dataset) join dp mp using (dataset) left join dd using (dataset) left join de using (dataset) where m.system = 'main' and v.system = 'vader' and ma.system = 'main' and mp.system = 'main')"""
+SQL["dataset_summary"] = f"with {MET}, {_DSUM} select * from dsum"
+SQL["dataset_rollup"] = f"with {MET}, {_DSUM} select dataset, {r('main_f1', 3)} as main_f1, {r('main_auc', 3)} as main_auc, {r('main_r', 3)} as main_r from dsum union all select 'mean', {r('avg(main_f1)', 3)}, {r('avg(main_auc)', 3)}, {r('avg(main_r)', 3)} from dsum"
+_ms = " union all ".join(f"select dataset, '{m}' as metric, {m}::double as v from mr" for m in ("sentiment", "gase", "pti", "teg", "rci", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score", "liwc_score", "n_words"))
+SQL["metric_summary"] = f"with {MET}, l as ({_ms}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, {r('median(v)')} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"
 _dp = " union all ".join(f"select dataset, '{m}' as metric, {m} as v from c" for m in ("gase", "pti", "teg", "pai", "rci"))
-SQL["domain_profile"] = f"with {MET}, c as (select * from (select *, row_number() over (partition by dataset order by o_orderkey) as rn from mr) where rn <= 30), l as ({_dp}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, min(v) as min, max(v) as max, count(*) as n from l group by dataset, metric"
+SQL["domain_profile"] = f"with {MET}, c as (select * from (select *, row_number() over (partition by dataset order by doc_id) as rn from mr) where rn <= 30), l as ({_dp}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, min(v) as min, max(v) as max, count(*) as n from l group by dataset, metric"
 
 
 def _corr(rel: str, key: str, ms) -> str:
@@ -507,16 +550,33 @@ cc as (select cl.{key}, cl.row, cl.col, sum((x - mx) * (y - my)) as c, sqrt(sum(
 
 
 SQL["correlation_matrix"] = f"with {MET}, {_corr('mr', 'dataset', ['gase', 'pti', 'pai', 'ties', 'rci'])} select dataset, row, col, case when d / n > 1e-15 then {r('c / d', 3)} else 0.0 end as r from cc"
-SQL["paragraph_correlation"] = narr(
-    f"select doc_id, row, col, case when d / n > 1e-15 then {r('c / d', 3)} else 0.0 end as r from cc where row < col",
-    f"pg as (select doc_id, unnest(l) as text from (select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda z: {trim('z')}), lambda z: length(z) > 30) as l from docs) where len(l) >= 3)", f"pt as (select *, {toks('text')} as t from pg)",
-    f"pm as (select doc_id, {PTI} as pti, {CD} as cd_index, {VADS} as vads from pt)", _corr("pm", "doc_id", ["pti", "cd_index", "vads"]),
-)
-_cmp = " union all ".join(f"select '{m}' as metric, max({m}) filter (o_orderkey = 1) as first, max({m}) filter (o_orderkey = 2) as second from mr" for m in ("gase", "pti", "pai", "ties"))
+
+
+def _paragraphs() -> str:
+    """Paragraphs stand for documents, with their number in the id, so that the CTEs of documents serve them."""
+    six = ["sentiment", "pti", "teg", "cd_index", "vads", "ties"]
+    whole = NARRATIVES.replace("docs as (select doc_id, text, c_mktsegment", "whole as (select doc_id, text, c_mktsegment")
+    cut = f"select doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda z: {trim('z')}), lambda z: length(z) > 30) as l from whole"
+    parts = [
+        whole, f"docs as (select doc_id * 100000 + generate_subscripts(l, 1) as doc_id, unnest(l) as text from ({cut}) where len(l) >= 3)", seg_sents(), scored(LEX), ME, STEP, TEG, _ties(), TT,
+        f"pm as (select d.doc_id // 100000 as doc_id, {r('m')} as sentiment, {PTI} as pti, teg, {CD} as cd_index, {VADS} as vads, ties from tt d join me using (doc_id) join tg using (doc_id) join ti using (doc_id))", _corr("pm", "doc_id", six),
+    ]
+    return "with " + ",\n".join(parts) + f"\nselect doc_id, row, col, case when d / n > 1e-15 then {r('c / d', 3)} else 0.0 end as r from cc where row < col"
+
+
+SQL["correlation_matrix"] = f"with {MET}, {_corr('mr', 'dataset', ['gase', 'pti', 'pai', 'ties', 'rci'])} select dataset, row, col, case when d / n > 1e-15 then {r('c / d', 3)} else 0.0 end as r from cc"
+SQL["paragraph_correlation"] = _paragraphs()
+_cmp = " union all ".join(f"select '{m}' as metric, max({m}) filter (doc_id = 1) as first, max({m}) filter (doc_id = 2) as second from mr" for m in ("gase", "pti", "pai", "ties"))
 SQL["compare_documents"] = f"with {MET}, c as ({_cmp}) select metric, first, second, case when first > second then 'first' else 'second' end as winner from c where first is not null or second is not null"
-SQL["ranking"] = f"with {MET} select o_orderkey, 1 as n_words, pai as sentiment, gase, pti from mr order by gase desc, o_orderkey"
-SQL["validation_suite"] = f"""with {MET}, v as (select unnest([{{'name': 'balanced', 'ok': coalesce(pti between -0.5 and 0.5, false)}}, {{'name': 'flat', 'ok': coalesce(abs(nava) < 0.05, false)}}, {{'name': 'stable', 'ok': coalesce(teg <= 0.05, false)}}, {{'name': 'declining', 'ok': coalesce(lewi_drop > 0.1, false)}}]) as t from mr)
-select t.name as name, count(*) as n, count(*) filter (t.ok) as passed, {r('avg(t.ok::int)')} as rate from v group by t.name"""
+SQL["ranking"] = f"with {MET} select doc_id, n_words, sentiment, gase, pti from mr order by gase desc, doc_id"
+_CLAIMS = (
+    ("Pure Positive Baseline: sentiment > 0", "sentiment > 0"), ("Pure Positive Baseline: GASE > 0", "gase > 0"), ("Pure Positive Baseline: PTI in [-0.5, 0.5]", "pti >= -0.5 and pti <= 0.5"),
+    ("Pure Positive Baseline: NAVA near 0 (flat arc)", "abs(nava) < 0.5"), ("Pure Positive Baseline: CD-index < 0.3", "cd_index < 0.3"), ("Pure Negative Baseline: sentiment < 0", "sentiment < 0"), ("Pure Negative Baseline: GASE < 0", "gase < 0"),
+    ("Pure Negative Baseline: CD-index > 0", "cd_index > 0"), ("Pure Negative Baseline: VADS > 0.2", "vads > 0.2"), ("Tragic Arc: NAVA > 0 (tragic)", "nava > 0"), ("Tragic Arc: LEWI drop < 0", "lewi_drop < 0"), ("Tragic Arc: TEG > 0.05", "teg > 0.05"),
+    ("High PTI: PTI > 0.3 (I-dominant)", "pti > 0.3"), ("High Cognitive Distortion: CD-index > 0.4", "cd_index > 0.4"), ("High Cognitive Distortion: VADS > 0.3", "vads > 0.3"), ("High Contradiction: TIES > 0", "ties > 0"),
+    ("Random Baseline: |sentiment| < 0.3", "abs(sentiment) < 0.3"), ("Random Baseline: GASE near 0", "abs(gase) < 0.5"), ("Random Baseline: CD-index < 0.2", "cd_index < 0.2"),
+)
+SQL["validation_suite"] = f"with {MET} " + " union all ".join(f"select '{name}' as name, count(*) as n, count(*) filter ({test}) as passed, {r(f'count(*) filter ({test}) / count(*)::double')} as rate from mr" for name, test in _CLAIMS)
 
 # --- sources ---
 SQL["session_transcript"] = "select 's' || conv_id as id, length(string_agg(text, ' ' order by turn, text))::int as chars, md5(string_agg(text, ' ' order by turn, text)) as text_md5 from conversations where role = 'user' group by conv_id"
@@ -545,7 +605,7 @@ def _static(rows: list[tuple], cols: list[str]) -> str:
 
 
 
-SQL["hypothesis_registry"] = _static(HYPOTHESES, ["id", "claim"])
+SQL["hypothesis_registry"] = _static(HYPOTHESES, ["id", "metric", "claim", "threshold"])
 SQL["metric_catalog"] = _static(CATALOG, CATALOG_COLUMNS)
 
 

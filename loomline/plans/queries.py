@@ -15,8 +15,10 @@ from loomline.operators import documents as D
 from loomline.operators import evaluation as E
 from loomline.operators import frequency as Q
 from loomline.operators import joined as J
+from loomline.operators import latent as L
 from loomline.operators import statistics as St
 from loomline.plans.narratives import corpus_lexicon, narratives
+from loomline.scratch import materialize
 from loomline.sources import readers as R
 from loomline.streaming.watch import windowed_labels
 
@@ -455,6 +457,28 @@ def sentence_similarity(spark, sf_dir):
     return s.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.round(F.col("cosine") * 10000).cast("long")).alias("total"), F.max("cosine").alias("top"))
 
 
+@query
+def latent_similarity(spark, sf_dir):
+    """Coherence, most and least similar sentences of every narrative in its latent space, all sentences (no SQL: singular values)."""
+    n = narr(spark, sf_dir)
+    return L.semantic_pairs(Q.tf_idf(n), L.sentence_counts(n))
+
+
+@query
+def extreme_pairs(spark, sf_dir):
+    """The same by the cosine of the TF-IDF rows themselves, over postings."""
+    n = narr(spark, sf_dir)
+    return L.semantic_pairs(Q.tf_idf(n), L.sentence_counts(n), latent=False)
+
+
+@query
+def corpus_latent(spark, sf_dir):
+    """Documents in the latent space of the whole corpus: cosine of each with the document of the next id (no SQL: singular values)."""
+    v = L.corpus_vectors(Q.corpus_tf_idf(documents(spark, sf_dir)), ["doc_id"], "token")
+    nxt = v.select((F.col("doc_id") - 1).alias("doc_id"), F.col("vector").alias("next"))
+    return v.join(nxt, "doc_id").select("doc_id", T.rounded(T.cosine(F.col("vector"), F.col("next"))).alias("cosine"))
+
+
 @query
 def embedding_cosine(spark, sf_dir):
     """Cosine of every vector with the one of the next id."""
@@ -636,15 +660,14 @@ def bootstrap(spark, sf_dir):
 
 
 def _metric_rows(spark, sf_dir) -> DataFrame:
-    """Metric-like columns of every order, for the second-level operators; some are null."""
-    o = _orders(spark, sf_dir)
-    f = lambda k, m: (F.col("o_orderkey") * k % m / float(m))
-    return o.select("o_orderkey", "dataset", T.rounded(f(37, 101) - F.col("qty") / 400).alias("gase"), T.rounded(f(13, 53) - 0.5).alias("pti"), T.rounded(f(13, 53) / 3 + F.col("disc")).alias("pai"), T.rounded(F.when(F.col("n_lines") > 1, f(7, 31))).alias("nava"), T.rounded(F.when(F.col("n_lines") > 1, f(7, 31) / 2 + f(11, 29))).alias("lewi_drop"), T.rounded(F.when(F.col("n_lines") > 2, f(17, 71)).otherwise(0.0)).alias("teg"), T.rounded(f(5, 19) * F.col("disc")).alias("ties"), T.rounded(f(3, 7) / 100).alias("rci"))
+    """Metric rows of all narratives with dataset and gold label, written once: the second level reads them several times."""
+    return materialize(D.doc_metrics(narr(spark, sf_dir).withColumnRenamed("gold", "gold_sentiment"), starter(), keep=("dataset", "gold_sentiment")), "metrics")
 
 
 @query
 def metric_pairs(spark, sf_dir):
-    return E.metric_pairs(_metric_rows(spark, sf_dir), ["dataset"], [("pti", "pai", "positive"), ("teg", "ties", "positive"), ("nava", "lewi_drop", "positive"), ("gase", "pti", "negative")])
+    """The ten registered pairs over the metric rows of every dataset."""
+    return E.metric_pairs(_metric_rows(spark, sf_dir), ["dataset"])
 
 
 @query
@@ -654,7 +677,7 @@ def ablation_table(spark, sf_dir):
 
 @query
 def lewi_nava_validation(spark, sf_dir):
-    return E.experiment(_metric_rows(spark, sf_dir), ["dataset"], "lewi_drop", "nava", None)
+    return E.drop_validation(_metric_rows(spark, sf_dir), ["dataset"])
 
 
 @query
@@ -667,15 +690,39 @@ def instability_experiment(spark, sf_dir):
     return E.experiment(_metric_rows(spark, sf_dir).where("teg > 0"), ["dataset"], "teg", "ties", 0.20)
 
 
+@query
+def systems_differ(spark, sf_dir):
+    """McNemar of two systems over the metric rows of every dataset."""
+    return E.systems_differ(_metric_rows(spark, sf_dir), ["dataset"])
+
+
+@query
+def hypothesis_results(spark, sf_dir):
+    """Verdicts on the registered hypotheses that metric rows can decide."""
+    return E.hypothesis_results(_metric_rows(spark, sf_dir), ["dataset"])
+
+
+@query
+def dataset_summary(spark, sf_dir):
+    """One row a dataset: agreement with gold, directions, effect size."""
+    return E.dataset_summary(_metric_rows(spark, sf_dir), ["dataset"])
+
+
 @query
 def dataset_rollup(spark, sf_dir):
-    per = _metric_rows(spark, sf_dir).groupBy("dataset").agg(F.avg("gase").alias("gase"), F.avg("pai").alias("pai"), F.avg("ties").alias("ties"))
-    return E.rollup(per, "dataset", ["gase", "pai", "ties"])
+    """F1, area and r of every dataset, and their unweighted means."""
+    return E.rollup(E.dataset_summary(_metric_rows(spark, sf_dir), ["dataset"]), "dataset", ["main_f1", "main_auc", "main_r"])
+
+
+@query
+def metric_summary(spark, sf_dir):
+    """Descriptives of the metric rows."""
+    return St.describe(_metric_rows(spark, sf_dir), ["dataset"], ["sentiment", "gase", "pti", "teg", "rci", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score", "liwc_score", "n_words"])
 
 
 @query
 def domain_profile(spark, sf_dir):
-    return E.domain_profile(_metric_rows(spark, sf_dir), ["dataset"], "o_orderkey", ["gase", "pti", "teg", "pai", "rci"])
+    return E.domain_profile(_metric_rows(spark, sf_dir), ["dataset"], "doc_id", ["gase", "pti", "teg", "pai", "rci"])
 
 
 @query
@@ -685,12 +732,9 @@ def correlation_matrix(spark, sf_dir):
 
 @query
 def paragraph_correlation(spark, sf_dir):
-    """Per document with three long paragraphs or more: correlation of paragraph metrics."""
+    """Per document with three long paragraphs or more: correlation of the six paragraph metrics."""
     p = narr(spark, sf_dir).select("doc_id", F.filter(T.literal_paragraphs(F.col("text")), lambda x: F.length(x) > 30).alias("l")).where(F.size("l") >= 3).select("doc_id", F.explode("l").alias("text"))
-    a = D.annotate(p)
-    toks, c = F.col("toks"), F.col("text")
-    m = a.select("doc_id", M.pti(toks).alias("pti"), M.cd_index(F.col("low"), toks).alias("cd_index"), M.vads(F.col("low"), toks).alias("vads"))
-    return E.correlation_matrix(m, ["doc_id"], ["pti", "cd_index", "vads"]).where("row < col")
+    return E.correlation_matrix(D.paragraph_metrics(p, starter()), ["doc_id"], D.PARAGRAPH_METRICS).where("row < col")
 
 
 @query
@@ -702,19 +746,20 @@ def construct_validity(spark, sf_dir):
 
 @query
 def compare_documents(spark, sf_dir):
-    m = _metric_rows(spark, sf_dir).withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
-    return E.compare(m, "o_orderkey", "1", "2", ["gase", "pti", "pai", "ties"])
+    """Two documents side by side."""
+    m = _metric_rows(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return E.compare(m, "doc_id", "1", "2", ["gase", "pti", "pai", "ties"])
 
 
 @query
 def ranking(spark, sf_dir):
-    x = _metric_rows(spark, sf_dir).withColumns({"n_words": F.lit(1), "sentiment": F.col("pai")})
-    return E.ranking(x, "o_orderkey")
+    return E.ranking(_metric_rows(spark, sf_dir), "doc_id")
 
 
 @query
 def validation_suite(spark, sf_dir):
-    return E.validation_suite(_metric_rows(spark, sf_dir), {"balanced": "pti between -0.5 and 0.5", "flat": "abs(nava) < 0.05", "stable": "teg <= 0.05", "declining": "lewi_drop > 0.1"})
+    """Share of the scored narratives that show what each of the 19 claims asks."""
+    return E.validation_suite(_metric_rows(spark, sf_dir), {f"{of}: {claim}": test for of, claim, test in fixed.VALIDATION})
 
 
 @query

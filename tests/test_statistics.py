@@ -119,3 +119,40 @@ def test_describe_and_rollup(spark):
     assert (d["a"]["mean"], d["a"]["median"], d["a"]["n"], d["b"]["sd"]) == (2.0, 2.0, 2, 0.0)
     r = {x["k"]: x["v"] for x in E.rollup(df.where("v is not null").groupBy("k").agg(F.avg("v").alias("v")), "k", ["v"]).collect()}
     assert r == {"a": 2.0, "b": 5.0, "mean": 3.5}
+
+
+def test_p_values_at_their_edges(spark):
+    """No correlation has p 1, no discordant pair chi-square 0 and p 1, and the stepped p of 0.05 does not do for a verdict."""
+    from loomline.operators import evaluation as E
+
+    flat = spark.createDataFrame([(-1.0, 1.0), (1.0, 1.0), (-1.0, -1.0), (1.0, -1.0)], "x double, y double")
+    assert tuple(St.pearson(flat, [], "x", "y").first()) == (0.0, 1.0, "ns", 4)
+    assert St.spearman(flat, [], "x", "y").first()["p"] == 1.0
+    same = spark.createDataFrame([(k % 2 == 0,) for k in range(40)], "a boolean")
+    assert tuple(St.mcnemar(same, [], F.col("a"), F.col("a")).first()[k] for k in ("chi2", "p")) == (0.0, 1.0)
+    even = spark.createDataFrame([(k, float(k)) for k in (-3, -2, -1, 1, 2, 3)], "k int, x double").withColumn("y", F.lit(0.0))
+    assert St.wilcoxon(even, [], "x", "y").first()["p"] == 1.0
+    # t between 1.960 and 2.576
+    rows = [("a", float(k), float(k if k % 10 < 4 else (k * 37) % 61)) for k in range(60)]
+    got = E.experiment(spark.createDataFrame(rows, "d string, x double, y double"), ["d"], "x", "y", 0.2).first()
+    t = got["r"] * (58 / (1 - got["r"] ** 2)) ** 0.5
+    assert (1.960 < t <= 2.576) == (got["p"] == 0.05) and got["supported"] == (got["r"] > 0.2 and got["p"] < 0.05)
+    few = spark.createDataFrame([("a", 1.0, 2.0)], "dataset string, nava double, lewi_drop double")
+    assert tuple(E.drop_validation(few, ["dataset"]).select("r", "p", "n", "supported", "lewi_sd").first()) == (0.0, 1.0, 1, False, 0.0)
+
+
+def test_hypotheses_and_summary(spark):
+    from loomline.operators import evaluation as E
+
+    rng = random.Random(9)
+    names = ["sentiment", "gase", "pti", "teg", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score", "liwc_score"]
+    rows = []
+    for k in range(80):
+        z = rng.uniform(-1, 1)
+        rows.append(("d", ["pos", "neg", "neu"][k % 3], *(round(z + rng.uniform(-0.5, 0.5), 4) for _ in names)))
+    df = spark.createDataFrame(rows, "dataset string, gold_sentiment string, " + ", ".join(f"{n} double" for n in names))
+    got = {r["id"]: r for r in E.hypothesis_results(df, ["dataset"]).collect()}
+    assert set(got) == {"H1", "H2", "H3", "H6", "H7"}
+    assert got["H2"]["supported"] and not got["H6"]["supported"] and got["H1"]["statistic"] == E.drop_validation(df, ["dataset"]).first()["r"]
+    s = E.dataset_summary(df, ["dataset"]).first()
+    assert s["n"] == 80 and s["directions"] == 10 and s["directions_right"] == sum(h == "positive" for _, _, h in E.PAIRS)
