@@ -6,15 +6,19 @@ The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 #: Folders of the tables that this process wrote and still holds.
 _TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Tables written since each :func:`tidy` block that is open began.
+_OPEN: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +54,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path + "/t")
     table = spark.read.schema(df.schema).parquet(path + "/t")
     _TABLES[table] = path
+    if _OPEN:
+        _OPEN[-1].append(table)
     return table
 
 
@@ -60,3 +66,22 @@ def discard(*tables: DataFrame) -> None:
         if path is not None:
             p = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drops the tables that are written inside the block when it ends, but for those passed to the function that it yields."""
+    mine: list[DataFrame] = []
+    _OPEN.append(mine)
+
+    def keep(table: DataFrame) -> DataFrame:
+        mine[:] = [t for t in mine if t is not table]
+        if len(_OPEN) > 1 and _OPEN[-1] is mine:
+            _OPEN[-2].append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(mine)
+        discard(*mine)
