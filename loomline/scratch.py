@@ -83,5 +83,5 @@ def tidy() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _OPEN.remove(mine)
+        _OPEN.pop()
         discard(*mine)
