@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from loomline.llm import simhash
 from loomline.llm.arrow import per_text, release
 from loomline.llm.components import components
-from loomline.scratch import materialize
+from loomline.scratch import materialize, tidy
 
 WIDTH, THRESHOLD = 5, 0.8
 #: A pair at the threshold misses all bands with a chance of (1 - 0.8^5)^32, 4 in a million.
@@ -250,11 +250,18 @@ class _Groups:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id, ``key`` of the class and ``component_id``, the least id reachable over pairs of texts with at least the Jaccard ``threshold``.
+    """Per row: id, ``key`` of the class, ``component_id``, the least id reachable over pairs of texts with at least the Jaccard ``threshold``,
+    and ``leads``: whether the row has the component's least id and, of the classes with that id, the least key.
 
-    Texts without words are alike. Repeated rows come back repeated; a null id is never a component_id unless its
+    Texts without words are alike. Repeated rows come back repeated, and equal ones lead together; a null id is never a component_id unless its
     component has no other. An empty table gives no rows; very long texts count as a whole. Only the two columns named are read.
+    Classes are told apart by 64-bit keys of their sets. Working tables are dropped at the end.
     """
+    with tidy() as keep:
+        return keep(materialize(_near_duplicates(df, id_col, text_col, width, threshold), "near"))
+
+
+def _near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
     rows = materialize(_sets(df, id_col, text_col, width), "sets")
     # one row of a class stands for it: the sets, and with them all that is made of them, are equal
     one = ["n", "fp", "places", "sketch"]
@@ -302,5 +309,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups.test(pairs.select("a", "b", "m", "n", "s", "t"), "left")
 
     roots = classes.select("key", "least").join(groups.roots, "key")
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select(id_col, "key").join(roots.select("key", "root").join(least, "root").select("key", "component_id"), "key").select(id_col, "key", "component_id")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("first")
+    lead = roots.groupBy("root").agg(first).select("root", F.col("first.least").alias("component_id"), F.col("first.key").alias("lead"))
+    found = roots.select("key", "root").join(lead, "root").select("key", "component_id", "lead")
+    leads = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("lead"))
+    return rows.select(id_col, "key").join(found, "key").select(id_col, "key", "component_id", leads.alias("leads"))
