@@ -43,7 +43,7 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.spans(table(spark, sf_dir, "documents")))
+    return secret_scan.digest(secret_scan.spans(table(spark, sf_dir, "documents"), words=secret_scan.read_words(vocabulary(), secret_scan.WORDS)))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

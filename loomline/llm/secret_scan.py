@@ -4,14 +4,23 @@ A value that follows a credential word (``pwd: ...``, ``Authorization: Bearer ..
 is hard to guess. Its cost is the least over all segmentations into spans, each a known word, a date, a
 repetition, a keyboard walk or brute force; the costs of the spans multiply, times the factorial of their
 number (an attacker tries short segmentations first). Values that a person would write as a placeholder or a plain word cost little.
+
+Repetitions are the maximal runs of a block, of any length, taken from the run's left end and up to its right end; a run
+costs what its block costs by its own cheapest segmentation, times the number of blocks.
+
+Where a value ends: one that a quote opens, at that quote; any other, at white space. Of what stands there, the reading runs to the last piece between
+the separators ``, ; < >`` and quotes that is itself hard to guess and is no pair of a name and a value; closing brackets and
+punctuation are no part of it.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +36,20 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 #: Context of the added spans: a name that holds a credential word, a separator, and a value without blanks. A name is one
 #: run of letters, digits, _ and -, looked at once; the first word of a name of two words may stand before it.
-NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?(\x20*[:=]\x20*|(?<=bearer)\x20+)["']?(?=[^\s"'<>,;]{8})""", re.I | re.A)
-CREDENTIAL = re.compile(r"pwd|passphrase|passcode|credential|bearer|auth[_-]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_ -]?key", re.I | re.A)
+NAME = re.compile(r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)["']?([\x20\t]*[:=][\x20\t]*(?:basic[\x20\t]+|bearer[\x20\t]+)?|(?<=bearer)[\x20\t]+)(["']?)(?=\S{8})""", re.I | re.A)
+CREDENTIAL = re.compile(r"pwd|passphrase|passcode|credential|bearer|authorization|auth[_-]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|password|passwd|secret|token|api[_ -]?key", re.I | re.A)
 BEARER = re.compile(r"(?:.*-)?bearer", re.I | re.A)
-VALUE = re.compile(r"""[^\s"'<>,;]{8,}""", re.A)
+#: A name that is a credential word only together with a scheme.
+SCHEME = re.compile(r"(?:.*-)?authorization", re.I | re.A)
+LEAST_VALUE = 8
+WHITE = re.compile(r"\s")
+PIECES = re.compile(r"""[,;<>"']+""")
+PAIR = re.compile(r"[A-Za-z0-9_.-]+[:=].")
+CLOSING = ")]}.:!?"
 #: Characters before a name in which the first of two words may stand ("private ").
 BEFORE = 8
 #: Words one of which any name with a credential word, and any match of ASSIGN, holds, for a quick first look.
-HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
+HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 #: Least cost, as a power of ten, from which a value in context is a secret.
 LEAST_COST = 10.0
 
@@ -47,7 +62,11 @@ WORDS = (
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 KEYPLACE = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row)}
 LEET = str.maketrans("430157$@!", "aeoistsai")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = [
+    re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])"),
+    re.compile(r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d"),
+    re.compile(r"(?:19|20)\d\d"),
+]
 
 
 def _alphabet(s: str) -> int:
@@ -59,28 +78,103 @@ def _near(a: str, b: str) -> bool:
     return p is not None and q is not None and p != q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1
 
 
+class Words(dict):
+    """Words with their ranks, from 1; ``longest`` is the length of the longest."""
+
+    def __init__(self, ranked):
+        super().__init__()
+        for w in ranked:
+            self.setdefault(w, len(self) + 1)
+        self.longest = max(map(len, self), default=0)
+
+
+def read_words(path: str, before: tuple[str, ...] | list[str] = ()) -> Words:
+    """A dictionary from a file, after the words of ``before``: lower-case words of three letters or more, commonest first. A file of a public tokenizer
+    (JSON, model.vocab) gives its pieces by number; any other file holds a word a line."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        vocab = json.loads(text)["model"]["vocab"]
+        lines = [w.lstrip("\u0120") for w in sorted(vocab, key=vocab.get)]
+    else:
+        lines = [line.strip().lower() for line in text.splitlines()]
+    return Words([*before, *(w for w in lines if len(w) >= 3 and w.isascii() and w.isalpha() and w.islower())])
+
+
+#: Periods up to which every period of a value is tried; longer ones are looked for from anchors of so many characters.
+EVERY_PERIOD, ANCHOR = 2048, 64
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of the first elements are equal."""
+    n, done, step = min(len(x), len(y)), 0, ANCHOR
+    while done < n:
+        same = x[done : min(n, done + step)] == y[done : min(n, done + step)]
+        if not same.all():
+            return done + int(same.argmin())
+        done, step = done + len(same), 2 * step
+    return n
+
+
+def runs_of(value: str) -> list[tuple[int, int, int]]:
+    """Maximal runs (start, end, period) of two whole blocks or more (three of one character), of primitive blocks, whatever their length."""
+    n, found = len(value), []
+    codes = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+    seen: set[tuple[int, int]] = set()
+
+    def put(s: int, e: int, p: int) -> None:
+        # a run with a shorter period that divides this one spans the same characters
+        if e - s >= max(2 * p, 3) and (s, e) not in seen and not any(x <= s and e <= y and p % q == 0 for x, y, q in found):
+            seen.add((s, e))
+            found.append((s, e, p))
+
+    for p in range(1, min(n // 2, EVERY_PERIOD) + 1):
+        same = np.concatenate([[0], codes[p:] == codes[:-p], [0]]).astype(np.int8)
+        edge = np.flatnonzero(np.diff(same))
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if e - s >= p:
+                put(s, e + p, p)
+    # a longer run holds, near its left end, an anchor that is not part of a run of short period, and the anchor again a period on
+    covered = np.zeros(n + 1, np.int64)
+    if n // 2 > EVERY_PERIOD:
+        for s, e, p in found:
+            if e - s > ANCHOR:
+                covered[s] += 1
+                covered[e - ANCHOR + 1] -= 1
+        free = np.flatnonzero(np.cumsum(covered)[:n] == 0)
+        step = EVERY_PERIOD // 2
+        for at in range(0, n - EVERY_PERIOD, step):
+            k = int(np.searchsorted(free, at))
+            if k == len(free) or free[k] >= at + step:
+                continue
+            a = int(free[k])
+            anchor = value[a : a + ANCHOR]
+            j = value.find(anchor, a + EVERY_PERIOD + 1)
+            while j >= 0:
+                put(a - _alike(codes[:a][::-1], codes[:j][::-1]), j + _alike(codes[a:], codes[j:]), j - a)
+                j = value.find(anchor, j + 1)
+    return found
+
+
 def spans_of(value: str, words: dict[str, int]) -> list[tuple[int, int, str, float]]:
     """Candidate spans (start, end, kind, log10 of guesses) besides brute force."""
     out, low = [], value.lower()
     plain, n = low.translate(LEET), len(value)
-    longest = max(map(len, words), default=0)
+    longest = words.longest if isinstance(words, Words) else max(map(len, words), default=0)
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
             if (r := words.get(plain[i:j])) is not None:
                 twist = (value[i:j] != low[i:j]) + (plain[i:j] != low[i:j])
                 out.append((i, j, "word", math.log10(r + 1) + 0.5 * twist))
-    for m in DATE.finditer(value):
-        out.append((m.start(), m.end(), "date", math.log10(365 * 120 if m.end() - m.start() > 4 else 120)))
-    i = 0
-    while i < n:  # runs of one character and of a repeated block
-        j = i
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            out.append((i, j, "repeat", math.log10(95 * (j - i))))
-        i = j
-    for m in re.finditer(r"(.{2,20}?)\1+", value):
-        out.append((m.start(), m.end(), "repeat", math.log10(max(2, _alphabet(m[1]))) * len(m[1]) + math.log10((m.end() - m.start()) / len(m[1]))))
+    for i in range(n):  # overlapping ones too
+        for m in filter(None, (d.match(value, i) for d in DATES)):
+            out.append((m.start(), m.end(), "date", math.log10(365 * 120 if m.end() - m.start() > 4 else 120)))
+    for s, e, p in runs_of(value):
+        count = (e - s) // p
+        for start in {s, e - count * p}:
+            block = value[start : start + p]
+            cost = math.log10(95) if p == 1 else guess_cost(block, words)[0]
+            out.append((start, start + count * p, "repeat", cost + math.log10(count)))
     for step in ("keys", 1, -1):  # walks over the keyboard, and ascending or descending runs
         i = 0
         while i < n - 1:
@@ -93,8 +187,22 @@ def spans_of(value: str, words: dict[str, int]) -> list[tuple[int, int, str, flo
     return out
 
 
+def _factorial(k: int) -> float:
+    return math.lgamma(k + 1) / math.log(10)
+
+
+def _undominated(states: dict[int, tuple]) -> dict[int, tuple]:
+    """States by number of spans that can still win: more spans must cost less, their factorial included, than any fewer."""
+    out, least = {}, math.inf
+    for k in sorted(states):
+        total = states[k][0] + _factorial(k)
+        if total < least:
+            out[k], least = states[k], total
+    return out
+
+
 def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
-    """log10 of the guesses that the cheapest segmentation needs, and that segmentation."""
+    """log10 of the guesses that the cheapest segmentation needs, and that segmentation, of any number of spans."""
     words = _RANKS if words is None else words
     n, per_char = len(value), math.log10(max(2, _alphabet(value)))
     ending: dict[int, list[tuple[int, str, float]]] = {}
@@ -103,27 +211,30 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float,
         ending.setdefault(j, []).append((i, kind, cost))
         marks |= {i, j}
     # two brute spans side by side cost more than one, so a brute span lies between marks and the work grows with their number;
-    # best[j]: by number of spans, so that the factorial can be part of the cost. open_: the same, less what brute force costs up to j
+    # best[j]: by number of spans, so that the factorial can be part of the cost. open_: the same, less what brute force costs up to j.
+    # what follows adds the same to two states of a place, and more to the one of more spans: dominated ones go
     best: dict[int, dict[int, tuple[float, int, int, str]]] = {0: {0: (0.0, 0, 0, "")}}
     open_: dict[int, tuple[float, int]] = {0: (0.0, 0)}
     for j in sorted(marks - {0}):
         here: dict[int, tuple[float, int, int, str]] = {}
         for i, kind, cost in ending.get(j, ()):
             for k, (c, *_) in best[i].items():
-                if k + 1 <= 12 and ((k + 1) not in here or c + cost < here[k + 1][0]):
+                if (k + 1) not in here or c + cost < here[k + 1][0]:
                     here[k + 1] = (c + cost, i, k, kind)
         ended = {k: c for k, (c, *_) in here.items()}
         for k, (c, i) in open_.items():
-            if k + 1 <= 12 and ((k + 1) not in here or c + per_char * j < here[k + 1][0]):
+            if (k + 1) not in here or c + per_char * j < here[k + 1][0]:
                 here[k + 1] = (c + per_char * j, i, k, "brute")
         for k, c in ended.items():
             if k not in open_ or c - per_char * j < open_[k][0]:
                 open_[k] = (c - per_char * j, j)
-        best[j] = here
+        if ended:
+            open_ = _undominated(open_)
+        best[j] = _undominated(here)
     if not n:
         return 0.0, []
-    k = min(best[n], key=lambda k: best[n][k][0] + math.lgamma(k + 1) / math.log(10))
-    total, parts, j = best[n][k][0] + math.lgamma(k + 1) / math.log(10), [], n
+    k = min(best[n], key=lambda k: best[n][k][0] + _factorial(k))
+    total, parts, j = best[n][k][0] + _factorial(k), [], n
     while j:
         _, i, before, kind = best[j][k]
         parts.append((i, j, kind))
@@ -131,26 +242,52 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> tuple[float,
     return total, parts[::-1]
 
 
-_RANKS = {w: r for r, w in enumerate(WORDS, 1)}
+_RANKS = Words(WORDS)
 KINDS = ("assign", "access", "hex", "guess")
 
 
-def values(text: str) -> Iterator[tuple[int, int]]:
+def _reading(piece: str, least_cost: float, words: dict[str, int]) -> int:
+    """Length of the value at the start of ``piece``, which holds neither white space nor the quote that opened it."""
+    piece = piece.rstrip(CLOSING)
+    cuts = [(m.start(), m.end()) for m in PIECES.finditer(piece)]
+    # from the last piece to the first: one that is cheap, or a pair of its own, is not part of the value
+    for k in range(len(cuts) - 1, -1, -1):
+        start, end = cuts[k][1], cuts[k + 1][0] if k + 1 < len(cuts) else len(piece)
+        rest = piece[start:end].rstrip(CLOSING)
+        if rest and not PAIR.match(rest) and guess_cost(rest, words)[0] >= least_cost and not any(PAIR.match(piece[s:]) for _, s in cuts[:k]):
+            return start + len(rest)
+    return len(piece[: cuts[0][0]].rstrip(CLOSING)) if cuts else len(piece)
+
+
+def values(text: str, least_cost: float = LEAST_COST, words: dict[str, int] | None = None) -> Iterator[tuple[int, int]]:
     """Places of the values that follow a name with a credential word, from left to right."""
-    at = 0
+    at, words = 0, _RANKS if words is None else words
     while m := NAME.search(text, at):
         name, at = m[1], m.end(2)
+        scheme = m[2].strip(" \t:=") != ""
         if m[2].isspace():
             known = BEARER.fullmatch(name)
+        elif SCHEME.fullmatch(name):
+            known = scheme
         else:
             lead = text[max(0, m.start() - BEFORE) : m.start()] if text[max(0, m.start() - 1) : m.start()] == " " else ""
             known = any(c.end() > len(lead) for c in CREDENTIAL.finditer(lead + name))
-        if known:
-            at = VALUE.match(text, m.end()).end()
+        if not known:
+            if scheme:  # the scheme may be the name of what follows
+                at = m.end(1) + 1
+            continue
+        blank = WHITE.search(text, m.end())
+        stop = blank.start() if blank else len(text)
+        if m[3] and 0 <= (quote := text.find(m[3], m.end(), stop)):
+            length = quote - m.end()
+        else:
+            length = _reading(text[m.end() : stop], least_cost, words)
+        if length >= LEAST_VALUE:
+            at = m.end() + length
             yield m.end(), at
 
 
-def scan(text: str | None, least_cost: float = LEAST_COST) -> tuple[list[tuple[int, str, int]], float]:
+def scan(text: str | None, least_cost: float = LEAST_COST, words: dict[str, int] | None = None) -> tuple[list[tuple[int, str, int]], float]:
     """Spans (start, kind, end) in order, code points, end exclusive; and the largest cost of a value in context."""
     if not text:
         return [], 0.0
@@ -159,8 +296,8 @@ def scan(text: str | None, least_cost: float = LEAST_COST) -> tuple[list[tuple[i
     if any(h in low for h in HINTS):
         found += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
         taken = [(s, e) for s, _, e in found]
-        for start, end in values(text):
-            cost, _ = guess_cost(text[start:end])
+        for start, end in values(text, least_cost, words):
+            cost, _ = guess_cost(text[start:end], words)
             most = max(most, cost)
             if cost >= least_cost and not any(s <= start and end <= e for s, e in taken):
                 found.append((start, "guess", end))
@@ -171,17 +308,19 @@ def scan(text: str | None, least_cost: float = LEAST_COST) -> tuple[list[tuple[i
     return found, most
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = LEAST_COST) -> DataFrame:
-    """``spans`` (array of start, kind, end) and ``max_cost`` of every whole text.
+def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = LEAST_COST, words: dict[str, int] | None = None) -> DataFrame:
+    """``spans`` (array of start, kind, end) and ``max_cost`` of every whole text, by a dictionary of ``words`` (our own short one, if none is given).
 
     Null and empty texts have none. Kinds may overlap; within a kind spans do not. Repeated rows get equal
     results; other columns of ``df`` are not read.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
+    shared = df.sparkSession.sparkContext.broadcast(words)  # as large as its file
+
     def make():
         def f(texts):
-            got = [scan(t, least_cost) for t in texts]
+            got = [scan(t, least_cost, shared.value) for t in texts]
             return {"spans": pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in g] for g, _ in got], kind), "max_cost": pa.array([c for _, c in got], pa.float64())}
 
         return f
