@@ -25,12 +25,24 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def batch_limit(spark: SparkSession) -> Iterator[None]:
+    """Puts the session's limit of an Arrow batch back at the end of the block."""
+    before = spark.conf.get(_LIMIT)
+    try:
+        yield
+    finally:
+        spark.conf.set(_LIMIT, before)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of an Arrow batch to ``BATCH_BYTES``; it stays so, and a lower one is kept."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    """Lower the session's limit of an Arrow batch to ``BATCH_BYTES``; a lower one is kept. It stays so, unless :func:`batch_limit` is around it."""
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_LIMIT))
     if limit <= 0 or limit > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
 
 
 def blocks(texts: list, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

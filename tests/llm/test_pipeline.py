@@ -1,7 +1,10 @@
+import random
+
 import corpus_pipeline
+from loomline import scratch
 from loomline.llm import langid, packing, quality_crf, secret_scan, simhash
 from loomline.llm.queries import language_model, quality_model, vocabulary
-from tests.llm.cases import edge_docs, no_docs
+from tests.llm.cases import edge_docs, no_docs, words
 from tests.llm.test_near_copies import slow_groups
 
 
@@ -63,3 +66,25 @@ def test_different_texts_of_one_id_stay(spark, sf):
 
 def test_without_columns_that_clash(spark):
     assert simhash.near_duplicates(edge_docs(spark)).columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_one_document_a_group_under_equal_and_null_ids(spark, sf):
+    rng = random.Random(7)
+    a, b = words(rng, 200), words(rng, 200)
+    rows = [(5, a), (5, a + " more"), (5, b), (None, b + " more"), (None, a + " much more"), (None, c := words(rng, 200)), (None, c), (None, c + " again"), (9, b)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()]
+    groups = [[x for x in kept if x[1].startswith(t)] for t in (a, b, c)]
+    assert [len(g) for g in groups] == [1, 1, 1] and len(kept) == 3
+    assert groups[0][0][0] == 5 and groups[1][0] == (5, b) and groups[2][0][0] is None
+
+
+def test_run_leaves_nothing_behind(spark, sf, tmp_path):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    made = set(scratch._TABLES.values())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() and set(scratch._TABLES.values()) - made == {scratch._TABLES[out]}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
