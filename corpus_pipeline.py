@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import langid, near_copies, packing, quality_crf, secret_scan
-from loomline.llm.arrow import release, small_batches
+from loomline.llm.arrow import batch_limit, release, small_batches
 from loomline.llm.queries import language_model, quality_model, vocabulary
-from loomline.scratch import materialize
+from loomline.scratch import materialize, tidy
 
 #: Columns that all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,22 +54,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of texts linked by a five-word Jaccard of 0.8 or more: those with the group's least id.
+    """Keep one document of each group of texts linked by a five-word Jaccard of 0.8 or more: the one with the group's least id.
 
-    Rows that repeat an id are judged each: different texts of one id stay if each leads its group, equal ones leave one
-    row, the least by its other columns. Rows without an id stay. Null, empty and blank texts are one group; long texts
-    count as a whole. An empty table stays empty.
+    Of several texts of a group under that id, or of a group without any id, one stays: that of the least key of its shingles, and of
+    equal texts the row that is least by its other columns. Unrelated texts of one id lead groups of their own, and stay. Null,
+    empty and blank texts are one group; long texts count as a whole. An empty table stays empty.
     """
     small_batches(spark)
-    near = materialize(near_copies.near_duplicates(docs), "near")
-    leads = F.col("doc_id") == F.col("component_id")
-    ids = materialize(near.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(leads).alias("kept")).where("rows > 1 or kept = 0"), "ids")
-    # whatever is not listed stays, rows without an id too
-    single = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
-    # only ids that repeat are grouped
+    near = near_copies.near_duplicates(docs)
+    ids = materialize(near.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("leads").alias("kept")).where("rows > 1 or kept = 0"), "ids")
+    # whatever id is not listed has one row, which stays
+    single = docs.where("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    # only rows of ids that repeat, and rows without one, are grouped
     rest = [c for c in COLUMNS if c != "doc_id"]
-    several = near_copies.with_key(docs.select(*COLUMNS).join(ids.where("rows > 1 and kept > 0").select("doc_id"), "doc_id", "left_semi"))
-    one = several.join(near.where(leads).select("doc_id", "key"), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
+    again = docs.select(*COLUMNS).join(ids.where("rows > 1 and kept > 0").select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    several = near_copies.with_key(again.unionByName(docs.select(*COLUMNS).where("doc_id is null")))
+    lead = near.where("leads").select(F.col("doc_id").alias("lead_id"), F.col("key").alias("lead_key")).distinct()
+    mine = F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("key") == F.col("lead_key"))
+    one = several.join(lead, mine, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
     return single.unionByName(one.select(*COLUMNS))
 
 
@@ -93,8 +95,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage, each stage's rows written and reread in between."""
+    """Rows of the last stage, each stage's rows written and reread in between, and dropped with all working tables at the end.
+
+    Every stage but the last returns the five columns of documents (``COLUMNS``) and no others. The session's limit of an Arrow batch, which
+    the stages lower, is as before afterwards.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    with batch_limit(spark), tidy() as keep:
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        return keep(docs)
