@@ -1,11 +1,12 @@
 """Source divergence audit: how far the sources of a language are apart in their terms, by mergeable byte tries.
 
-Every task counts the terms of its documents in radix tries over UTF-8 bytes, one a language, whose leaves have counters of
-occurrences and documents per source. A trie leaves the task cut by prefix ranges: the subtree of a range is one row of
-nodes in byte order, each with the length that it shares with the one before (so a label travels once). Ranges that hold too many
-leaves are cut at a longer prefix, and ranges of very many subtrees are first merged slice by slice, so that no task
-meets more than a bounded part of either. Merged, a subtree yields its kept terms; a traversal of these in byte order streams the
-differences of all pairs of sources, block by block, and the candidates of the term report, for which byte order breaks ties.
+Every task gathers the terms of its documents in a radix trie over UTF-8 bytes, whose leaves have counters of occurrences and documents per
+source (of a language). The trie is kept as arrays: leaves in byte order, each with the depth at which it leaves the path of the leaf before and
+the label from there on, and the counters beside them; so a block of documents is counted at once, and Python meets
+a term once a block, not once an occurrence. A trie leaves the task cut by prefix ranges: the subtree of a range is one row. Ranges that hold too many counters are cut at a longer prefix, and ranges of very many subtrees are first merged
+slice by slice, so that no task meets more than a bounded part of either. Merged, a subtree yields its kept terms; a
+traversal of these in byte order streams the differences of all pairs of sources, block by block, and the candidates of the term report, for
+which byte order breaks ties.
 
 All arithmetic is in integers.
 """
@@ -26,114 +27,120 @@ from loomline.scratch import materialize
 #: Documents of a language that must hold a term; smoothing added to a count; scale of a share; terms of the report.
 LEAST_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of a prefix range at first and at most, and leaf counters of a range above which it is cut at one more byte.
-PREFIX, LONGEST, RANGE_LEAVES = 2, 16, 1 << 18
+PREFIX, LONGEST, RANGE_LEAVES = 2, 16, 1 << 21
 #: Subtrees of a range that one task merges.
 FAN = 1 << 10
 #: Kept terms of one traversal; entries of one block of counts; sources whose pairs are summed together.
 RANGE_TERMS, BLOCK, TILE = 1 << 14, 1 << 18, 256
-#: Characters of texts counted at a time, and leaf counters of a task's tries at which they are handed on (memory only).
-CHARS, LEAVES = 1 << 22, 1 << 18
+#: Bytes of texts counted at a time, and terms of a task's trie at which it is handed on (memory only).
+CHARS, TERMS = 1 << 22, 1 << 19
 #: Bytes of terms as they are (A-Z lower-cased, others beyond ASCII unchanged), all others as a blank.
 _TERM = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 class Trie:
-    """Radix trie over bytes. A node is ``[label, children by first byte, counters or None]``; counters are ``{source: [occurrences, documents]}``."""
+    """Radix trie over bytes. While it grows its leaves are numbered as they come; counters are arrays of (number, group, occurrences, documents), added
+    up when the trie is read. Read, its leaves are in byte order: see :func:`depths`."""
 
     def __init__(self):
-        self.root = [b"", {}, None]
-        self.leaves = 0
-
-    def at(self, term: bytes) -> dict:
-        """The counters of ``term``, made if it is new."""
-        node, pos, end = self.root, 0, len(term)
-        while pos < end:
-            child = node[1].get(term[pos])
-            if child is None:
-                child = node[1][term[pos]] = [term[pos:], {}, {}]
-                return child[2]
-            label = child[0]
-            if not term.startswith(label, pos):
-                n, most = 1, min(len(label), end - pos)
-                while n < most and label[n] == term[pos + n]:
-                    n += 1
-                upper = node[1][term[pos]] = [label[:n], {label[n]: child}, None]
-                child[0] = label[n:]
-                child = upper
-            node, pos = child, pos + len(child[0])
-        if node[2] is None:
-            node[2] = {}
-        return node[2]
-
-    def add(self, term: bytes, source: str, occurrences: int, documents: int) -> None:
-        counters = self.at(term)
-        got = counters.get(source)
-        if got is None:
-            counters[source] = [occurrences, documents]
-            self.leaves += 1
-        else:
-            got[0] += occurrences
-            got[1] += documents
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
-        """Terms with their counters, in byte order."""
-        stack = [(b"", self.root)]
-        while stack:
-            above, (label, children, counters) = stack.pop()
-            term = above + label
-            if counters is not None:
-                yield term, counters
-            stack.extend((term, children[k]) for k in sorted(children, reverse=True))
-
-
-#: A subtree as a row: its range, then terms as (length shared with the term before, rest), and leaf counters of all terms one after another.
-SUBTREE = "lang string, prefix binary, slice long, leaves long, shared array<int>, rest array<binary>, n array<int>, source array<string>, occurrences array<bigint>, documents array<bigint>"
-
-
-class _Subtrees:
-    """Collects subtrees as rows of ``SUBTREE`` and hands them on in batches."""
-
-    def __init__(self):
-        self.rows, self.held = [], 0
-
-    def put(self, lang: str, terms: Iterator[tuple[bytes, dict]], cut: int) -> None:
-        """Rows of the terms, which come in byte order, one a prefix of ``cut`` bytes."""
-        prefix, row, last = None, None, b""
-        for term, counters in terms:
-            if term[:cut] != prefix:
-                prefix, last = term[:cut], b""
-                row = {"lang": lang, "prefix": prefix, "slice": 0, "leaves": 0, "shared": [], "rest": [], "n": [], "source": [], "occurrences": [], "documents": []}
-                self.rows.append(row)
-            k, most = 0, min(len(last), len(term))
-            while k < most and last[k] == term[k]:
-                k += 1
-            row["shared"].append(k)
-            row["rest"].append(term[k:])
-            row["n"].append(len(counters))
-            for source, (o, d) in counters.items():
-                row["source"].append(source)
-                row["occurrences"].append(o)
-                row["documents"].append(d)
-            row["leaves"] += len(counters)
-            self.held += len(counters)
-            last = term
-
-    def batch(self) -> pa.RecordBatch:
-        kinds = {"lang": pa.string(), "prefix": pa.binary(), "slice": pa.int64(), "leaves": pa.int64(), "shared": pa.list_(pa.int32()), "rest": pa.list_(pa.binary()), "n": pa.list_(pa.int32())}
-        kinds |= {"source": pa.list_(pa.string()), "occurrences": pa.list_(pa.int64()), "documents": pa.list_(pa.int64())}
-        got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in self.rows], t) for k, t in kinds.items()], names=list(kinds))
-        self.rows, self.held = [], 0
-        return got
-
-
-def _terms_of(row: dict) -> Iterator[tuple[bytes, list]]:
-    """Terms of a subtree's row, each with its (source, occurrences, documents)."""
-    last, k = b"", 0
-    counters = list(zip(row["source"], row["occurrences"], row["documents"], strict=True))
-    for shared, rest, n in zip(row["shared"], row["rest"], row["n"], strict=True):
-        last = last[:shared] + rest
-        yield last, counters[k : k + n]
-        k += n
+        self.numbers: dict[bytes, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self._parts: list[np.ndarray] = []
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def add(self, terms: list[bytes], term: np.ndarray, group: np.ndarray, occurrences: np.ndarray, documents: np.ndarray) -> None:
+        """Counters of ``terms[term]`` in groups (numbers of ``groups``)."""
+        known = self.numbers
+        numbers = np.fromiter((known.setdefault(t, len(known)) for t in terms), np.int64, len(terms))
+        self._parts.append(np.stack([numbers[term], group, occurrences, documents]))
+
+    def leaves(self) -> tuple[list[bytes], np.ndarray]:
+        """Terms in byte order, and the place of every number among them."""
+        terms = sorted(self.numbers)
+        place = np.empty(len(terms), np.int64)
+        place[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+        return terms, place
+
+    def counters(self, place: np.ndarray) -> np.ndarray:
+        """Rows place, group, occurrences, documents, added up and in order; ``place`` of every number."""
+        if not self._parts:
+            return np.zeros((4, 0), np.int64)
+        number, group, occurrences, documents = np.concatenate(self._parts, axis=1)
+        self._parts = []
+        width = max(1, len(self.groups))
+        key = place[number] * width + group
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return np.stack([key[first] // width, key[first] % width, np.add.reduceat(occurrences[order], first), np.add.reduceat(documents[order], first)])
+
+
+#: Depth up to which paths are shared.
+DEPTH = 64
+
+
+def depths(terms: list[bytes]) -> np.ndarray:
+    """Of leaves in byte order, how many bytes (``DEPTH`` at most) each shares with the one before."""
+    if not terms:
+        return np.zeros(0, np.int64)
+    head = np.array([t[:DEPTH] for t in terms], dtype=f"S{min(DEPTH, max(map(len, terms)))}")
+    letters = head.view(np.uint8).reshape(len(terms), -1)
+    same = letters[1:] == letters[:-1]
+    return np.concatenate([[0], np.where(same.all(1), same.shape[1], same.argmin(1))])
+
+
+#: A subtree as a row: its prefix; its leaves in byte order, as depths shared with the leaf before, lengths of labels and the labels; and the counters of
+#: each leaf, group by group: how many, then which group (of ``langs`` and ``sources``), occurrences and documents, of all leaves one after another.
+SUBTREE = "prefix binary, slice long, leaves long, langs array<string>, sources array<string>, depths binary, lengths binary, labels binary, n binary, groups binary, occurrences binary, documents binary"
+_KINDS = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), *([pa.binary()] * 7)]
+_NAMES = [c.split()[0] for c in SUBTREE.split(", ")]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    got = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_KINDS)], names=_NAMES)
+    rows.clear()
+    return got
+
+
+def _rows(terms: list[bytes], counters: np.ndarray, groups: list[tuple[str, str]], cut: int) -> Iterator[tuple]:
+    """Rows of ``SUBTREE`` of leaves in byte order, one a prefix of ``cut`` bytes."""
+    if not terms:
+        return
+    shared = depths(terms)
+    starts = np.flatnonzero(shared < cut)  # two leaves that share less have different prefixes
+    shared[starts] = 0
+    size = np.fromiter(map(len, terms), np.int64, len(terms))
+    first = np.concatenate([[0], np.cumsum(size)])
+    letters = np.frombuffer(b"".join(terms), np.uint8)
+    label = np.arange(len(letters)) - np.repeat(first[:-1], size) >= np.repeat(shared, size)
+    labels, ends = letters[label], np.concatenate([[0], np.cumsum(size - shared)])
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(terms)], strict=True):
+        a, b = np.searchsorted(counters[0], [start, end])
+        place, group, occurrences, documents = counters[:, a:b]
+        used, group = np.unique(group, return_inverse=True)
+        names = [groups[g] for g in used.tolist()]
+        n = np.bincount(place - start, minlength=end - start)
+        path = (shared[start:end].astype(np.uint8).tobytes(), (size - shared)[start:end].astype(np.int32).tobytes(), labels[ends[start] : ends[end]].tobytes())
+        yield (terms[start][:cut], 0, int(b - a), [x for x, _ in names], [x for _, x in names], *path, *(x.astype(np.int64).tobytes() for x in (n, group, occurrences, documents)))
+
+
+def _cut_rows(trie: Trie, cut: int) -> Iterator[tuple]:
+    """A trie as rows of ``SUBTREE``."""
+    terms, place = trie.leaves()
+    yield from _rows(terms, trie.counters(place), list(trie.groups), cut)
+
+
+def _read(row: dict) -> tuple[list[bytes], np.ndarray, list[tuple[str, str]]]:
+    """Terms, counters (place, group, occurrences, documents) and groups of a subtree's row."""
+    n, group, occurrences, documents = (np.frombuffer(row[k], np.int64) for k in ("n", "groups", "occurrences", "documents"))
+    terms, last, at, labels = [], b"", 0, row["labels"]
+    for depth, size in zip(row["depths"], np.frombuffer(row["lengths"], np.int32).tolist(), strict=True):
+        last = last[:depth] + labels[at : at + size]
+        terms.append(last)
+        at += size
+    return terms, np.stack([np.repeat(np.arange(len(n)), n), group, occurrences, documents]), list(zip(row["langs"], row["sources"], strict=True))
 
 
 def _pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -149,78 +156,64 @@ def _pieces(text: bytes) -> Iterator[list[bytes]]:
     yield text[done:].translate(_TERM).split()
 
 
-def _many(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct terms of a block of texts, and per text and term that occur together (text * terms + term) the occurrences."""
+def _many(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of a block of texts; and of each text and term that occur together both numbers and the occurrences."""
     joined = np.frombuffer(b" ".join(texts).translate(_TERM), np.uint8)
     inside = joined != 32
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    first, last = edge[::2], edge[1::2]
     # the bytes of all terms one after another, cut by their lengths
     ends = np.concatenate([[0], np.cumsum(last - first)]).astype(np.int32)
     terms = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(joined[inside])]).dictionary_encode()
     known, ids = terms.dictionary.to_pylist(), terms.indices.to_numpy()
     # the blank that ends a text belongs to it
     starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    text = np.searchsorted(starts, first, side="right") - 1
-    both, n = np.unique(text * len(known) + ids, return_counts=True)
-    return known, both, n
+    text = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, starts)))
+    both, n = np.unique(text * max(1, len(known)) + ids, return_counts=True)
+    return known, both // max(1, len(known)), both % max(1, len(known)), n
 
 
-def _count(tries: dict[str, Trie], texts: list[bytes], langs: list[str], sources: list[str]) -> None:
-    """Add a block of texts to the tries: distinct terms of a language and source once, however often they occur."""
+def _count(trie: Trie, texts: list[bytes], langs: list[str], sources: list[str]) -> None:
+    """Add a block of texts to the trie."""
+    group = np.array([trie.groups.setdefault(g, len(trie.groups)) for g in zip(langs, sources, strict=True)], np.int64)
     if len(texts) == 1:  # maybe a very long one
         once: Counter = Counter()
         for piece in _pieces(texts[0]):
             once.update(piece)
-        trie = tries.setdefault(langs[0], Trie())
-        for term, n in once.items():
-            trie.add(term, sources[0], n, 1)
-        return
-    known, both, n = _many(texts)
-    if not len(both):
+        n = len(once)
+        trie.add(list(once), np.arange(n), np.repeat(group, n), np.array(list(once.values()), np.int64), np.ones(n, np.int64))
         return
-    names: dict[tuple[str, str], int] = {}
-    group = np.array([names.setdefault(g, len(names)) for g in zip(langs, sources, strict=True)])
-    key = group[both // len(known)] * len(known) + both % len(known)
+    known, text, term, n = _many(texts)
+    # a group's counters of a term: sums over its texts
+    width = len(trie.groups)
+    key = term * width + group[text]
     order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
+    key = key[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    occurrences, documents = np.add.reduceat(n, first), np.diff(np.append(first, len(key)))
-    groups = list(names)
-    for g, t, o, d in zip((key[first] // len(known)).tolist(), (key[first] % len(known)).tolist(), occurrences.tolist(), documents.tolist(), strict=True):
-        lang, source = groups[g]
-        trie = tries.get(lang)
-        if trie is None:
-            trie = tries[lang] = Trie()
-        trie.add(known[t], source, o, d)
+    if len(first):
+        trie.add(known, key[first] // width, key[first] % width, np.add.reduceat(n[order], first), np.diff(np.append(first, len(key))))
 
 
 def subtrees(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
-    """Rows of ``SUBTREE`` for ``docs`` (text, lang, source): each task's tries, cut by prefixes."""
+    """Rows of ``SUBTREE`` for ``docs`` (text, lang, source): each task's trie, cut by prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, Trie] = {}
-        out = _Subtrees()
-
-        def hand_on() -> pa.RecordBatch:
-            for lang, trie in tries.items():
-                out.put(lang, trie.walk(), prefix)
-            tries.clear()
-            return out.batch()
-
+        trie = Trie()
         for b in batches:
             texts, langs, sources = (c.to_pylist() for c in b.columns)
             start = size = 0
             for i, t in enumerate(texts):
                 texts[i] = t = t.encode()
                 if i > start and size + len(t) > CHARS:
-                    _count(tries, texts[start:i], langs[start:i], sources[start:i])
+                    _count(trie, texts[start:i], langs[start:i], sources[start:i])
                     start, size = i, 0
+                    if len(trie) > TERMS:
+                        yield _batch(list(_cut_rows(trie, prefix)))
+                        trie = Trie()
                 size += len(t)
-                if sum(x.leaves for x in tries.values()) > LEAVES:
-                    yield hand_on()
-            _count(tries, texts[start:], langs[start:], sources[start:])
-        yield hand_on()
+            if texts:
+                _count(trie, texts[start:], langs[start:], sources[start:])
+        yield _batch(list(_cut_rows(trie, prefix)))
         release()
 
     return docs.select("text", "lang", "source").mapInArrow(run, SUBTREE)
@@ -230,68 +223,55 @@ def _cut(rows: DataFrame) -> DataFrame:
     """Every subtree cut at one byte more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Subtrees()
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                out.put(row["lang"], ((t, {s: (o, d) for s, o, d in c}) for t, c in _terms_of(row)), len(row["prefix"]) + 1)
-                if out.held > LEAVES:
-                    yield out.batch()
-        yield out.batch()
+                yield _batch(list(_rows(*_read(row), len(row["prefix"]) + 1)))
 
     return rows.mapInArrow(run, SUBTREE)
 
 
 def _merged(rows: DataFrame, keep: int | None) -> DataFrame:
-    """Subtrees of one language, prefix and slice merged into one; with ``keep``, terms of fewer documents are dropped and the others returned one a row."""
+    """Subtrees of one prefix and slice merged into one; with ``keep``, the terms that so many documents of a language hold, a row a language and term."""
+
+    def close(key: tuple, trie: Trie) -> pa.RecordBatch:
+        if keep is None:
+            return _batch(list(_cut_rows(trie, len(key[0]))))
+        terms, place = trie.leaves()
+        at, group, occurrences, documents = trie.counters(place)
+        groups, langs = list(trie.groups), {}
+        lang = np.array([langs.setdefault(x, len(langs)) for x, _ in groups], np.int64)
+        # documents by term and language
+        own = at * max(1, len(langs)) + lang[group] if len(at) else at
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        held = np.add.reduceat(documents[order], first) if len(first) else documents
+        out, names, ends = [], list(langs), np.append(first, len(own))
+        for k in np.flatnonzero(held >= keep).tolist():
+            es = order[ends[k] : ends[k + 1]]
+            out.append((names[int(own[first[k]]) % len(langs)], key[0], terms[int(own[first[k]]) // len(langs)], [groups[g][1] for g in group[es].tolist()], occurrences[es].tolist()))
+        kinds = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["lang", "prefix", "term", "source", "occurrences"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, key, trie = _Subtrees(), None, Trie()
-        kept: dict[str, list] = {k: [] for k in ("lang", "prefix", "term", "source", "occurrences")}
-
-        def close() -> None:
-            if key is None:
-                return
-            if keep is None:
-                out.put(key[0], trie.walk(), len(key[1]))
-                return
-            for term, c in trie.walk():
-                if sum(d for _, d in c.values()) >= keep:
-                    for name, v in zip(kept, (key[0], key[1], term, list(c), [o for o, _ in c.values()]), strict=True):
-                        kept[name].append(v)
-
-        def batch() -> pa.RecordBatch:
-            if keep is None:
-                return out.batch()
-            kinds = (pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            got = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(kept.values(), kinds, strict=True)], names=list(kept))
-            for v in kept.values():
-                v.clear()
-            return got
-
+        key, trie = None, Trie()
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                here = (row["lang"], row["prefix"], row["slice"])
+                here = (row["prefix"], row["slice"])
                 if here != key:
-                    close()
+                    if key is not None:
+                        yield close(key, trie)
                     key, trie = here, Trie()
-                    if out.held > LEAVES or len(kept["term"]) > BLOCK // 8:
-                        yield batch()
-                for term, counters in _terms_of(row):
-                    at = trie.at(term)
-                    for s, o, d in counters:
-                        got = at.get(s)
-                        if got is None:
-                            at[s] = [o, d]
-                        else:
-                            got[0] += o
-                            got[1] += d
-        close()
-        yield batch()
+                terms, (term, group, occurrences, documents), groups = _read(row)
+                mine = np.array([trie.groups.setdefault(g, len(trie.groups)) for g in groups], np.int64)
+                trie.add(terms, term, mine[group], occurrences, documents)
+        if key is not None:
+            yield close(key, trie)
         release()
 
-    by = ["lang", "prefix", "slice"]
+    by = ["prefix", "slice"]
     schema = SUBTREE if keep is None else "lang string, prefix binary, term binary, source array<string>, occurrences array<bigint>"
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
@@ -300,24 +280,24 @@ def kept_terms(docs: DataFrame, least: int = LEAST_DOCS, prefix: int = PREFIX, r
     """``lang, prefix, term`` with ``source`` and ``occurrences`` (arrays) of each term that ``least`` documents of its language hold; ``docs``: text, lang, source."""
     rows = materialize(subtrees(docs, prefix), "tries")
     parts = []
-    size = lambda d: d.groupBy("lang", "prefix").agg(F.sum("leaves").alias("all"), F.count("*").alias("many"))
-    # ranges that hold too many leaves are cut at longer prefixes, as long as that makes them smaller
+    size = lambda d: d.groupBy("prefix").agg(F.sum("leaves").alias("all"), F.count("*").alias("many"))
+    # ranges that hold too many counters are cut at longer prefixes, as long as that makes them smaller
     for cut in range(prefix, LONGEST):
-        large = size(rows).where((F.col("all") > range_leaves) & (F.length("prefix") == cut)).select("lang", "prefix")
+        large = size(rows).where((F.col("all") > range_leaves) & (F.length("prefix") == cut)).select("prefix")
         large = materialize(large, "large")
         if large.isEmpty():
             break
-        parts.append(rows.join(large, ["lang", "prefix"], "left_anti"))
-        rows = materialize(_cut(rows.join(large, ["lang", "prefix"], "left_semi")), f"tries{cut}")
+        parts.append(rows.join(large, "prefix", "left_anti"))
+        rows = materialize(_cut(rows.join(large, "prefix", "left_semi")), f"tries{cut}")
     for p in parts:
         rows = rows.unionByName(p)
     # ranges of very many subtrees: slices of them first
-    many = materialize(size(rows).where(F.col("many") > fan).select("lang", "prefix", "many"), "many")
+    many = materialize(size(rows).where(F.col("many") > fan).select("prefix", "many"), "many")
     while not many.isEmpty():
-        sliced = rows.join(many, ["lang", "prefix"]).withColumn("slice", F.pmod(F.xxhash64("rest", "source", "occurrences"), F.ceil(F.col("many") / fan))).drop("many")
-        rows = rows.join(many, ["lang", "prefix"], "left_anti").unionByName(_merged(sliced, None))
+        sliced = rows.join(many, "prefix").withColumn("slice", F.pmod(F.xxhash64("labels", "groups", "occurrences"), F.ceil(F.col("many") / fan))).drop("many")
+        rows = rows.join(many, "prefix", "left_anti").unionByName(_merged(sliced, None))
         rows = materialize(rows, "sliced")
-        many = materialize(size(rows).where(F.col("many") > fan).select("lang", "prefix", "many"), "many")
+        many = materialize(size(rows).where(F.col("many") > fan).select("prefix", "many"), "many")
     return materialize(_merged(rows.withColumn("slice", F.lit(0).cast("long")), least), "kept")
 
 

@@ -65,7 +65,7 @@ def test_cut_ranges_and_slices_change_nothing(spark, monkeypatch, tries):
 
 
 def test_blocks_and_tiles_change_nothing(spark, monkeypatch):
-    for name, v in (("TILE", 2), ("BLOCK", 40), ("CHARS", 50), ("LEAVES", 30)):
+    for name, v in (("TILE", 2), ("BLOCK", 40), ("CHARS", 50), ("TERMS", 30)):
         monkeypatch.setattr(term_tries, name, v)
     rows = some(2)
     assert got(term_tries.audit(frame(spark, rows), least=2, top=5)) == slow(rows, 2, 5)
@@ -86,20 +86,26 @@ def test_edges(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.binary(min_size=1, max_size=6), st.sampled_from("st"), st.integers(1, 5)), max_size=40))
+@given(st.lists(st.lists(st.tuples(st.binary(min_size=1, max_size=6).map(lambda b: bytes(97 + x % 4 for x in b)), st.sampled_from("st"), st.integers(1, 5)), max_size=20), max_size=3))
 def test_trie_is_a_sorted_table(adds):
-    trie, want = term_tries.Trie(), {}
-    for term, source, n in adds:
-        trie.add(term, source, n, 1)
-        c = want.setdefault(term, {}).setdefault(source, [0, 0])
-        c[0] += n
-        c[1] += 1
-    assert list(trie.walk()) == sorted(want.items())
-    assert trie.leaves == sum(map(len, want.values()))
-    out = term_tries._Subtrees()
-    out.put("en", trie.walk(), 2)
-    back = [(t, {s: [o, d] for s, o, d in c}) for row in out.rows for t, c in term_tries._terms_of(row)]
-    assert back == sorted(want.items())
+    trie, want = term_tries.Trie(), Counter()
+    for block in adds:
+        terms = sorted({t for t, _, _ in block})
+        group = [trie.groups.setdefault(("en", s), len(trie.groups)) for _, s, _ in block]
+        trie.add(terms, np.array([terms.index(t) for t, _, _ in block], np.int64), np.array(group, np.int64), np.array([n for *_, n in block], np.int64), np.ones(len(block), np.int64))
+        for t, s, n in block:
+            want[t, s] += n
+            want[t, s, "docs"] += 1
+    assert trie.leaves()[0] == sorted({k[0] for k in want})
+    back = Counter()
+    for row in term_tries._cut_rows(trie, 2):
+        row = dict(zip(term_tries._NAMES, row, strict=True))
+        terms, counters, groups = term_tries._read(row)
+        assert terms == sorted(terms) and {t[:2] for t in terms} == {row["prefix"]} and row["leaves"] == counters.shape[1]
+        for t, g, o, d in counters.T.tolist():
+            back[terms[t], groups[g][1]] += o
+            back[terms[t], groups[g][1], "docs"] += d
+    assert back == want
 
 
 def test_shares_are_exact():
