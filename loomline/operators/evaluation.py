@@ -56,7 +56,7 @@ def baselines(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment")
     ks = [*keys, "system"]
     f = St.precision_recall(long, ks, gold, "pred").select(*ks, "macro_f1", "accuracy")
     r = St.pearson(long, ks, "score", "number").select(*ks, F.col("r").alias("pearson_r"), F.col("p").alias("pearson_p"))
-    return f.join(r, ks).join(St.multiclass_auc(long, ks, "score", gold), ks)
+    return f.join(r, ks).join(St.multiclass_auc(long, ks, "score", gold, bounded=True), ks)
 
 
 def system_agreement(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentiment", main: str = "main") -> DataFrame:

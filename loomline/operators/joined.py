@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
@@ -34,12 +36,37 @@ def lexicon_hits(sentences: DataFrame, terms: DataFrame, lex: Lexicon, id_col: s
     return toks.select(id_col, "sent_ix", F.explode(ctx).alias("x")).select(id_col, "sent_ix", "x.*").join(terms, "term")
 
 
+#: Characters of a gram.
+GRAM = 3
+
+
+def _grams(c: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` characters."""
+    return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
 def phrase_hits(sentences: DataFrame, phrases: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Join of sentences with phrases that they contain as a substring, one row a phrase and sentence.
+    """Join of sentences (id, sent_ix, sentence) with phrases (``term`` and more) that their lower-cased text contains as a substring, one row a phrase and sentence.
 
-    There is no key: the phrases are sent to every task, so their table must be small (a lexicon has dozens).
+    A phrase is keyed by the one of its grams of three characters that fewest sentences hold (a shorter one by itself), sentences by all
+    of theirs; the join is by equality, and the whole phrase is compared after it. So phrases may be many: no task gets all of them unless Spark
+    finds their table small. A phrase one of whose grams no sentence holds is left out before. Null and empty phrases match nothing; repeated
+    ones match each.
     """
-    return sentences.join(F.broadcast(phrases), F.contains(F.lower("sentence"), F.col("term"))).select(id_col, "sent_ix", *phrases.columns)
+    low = F.lower("sentence")
+    known = phrases.where(F.length("term") > 0).withColumn("_size", F.least(F.lit(GRAM), F.length("term")))
+    sizes = [r[0] for r in known.select("_size").distinct().collect()]  # three at most
+    if not sizes:
+        return sentences.select(id_col, "sent_ix").limit(0).crossJoin(phrases.limit(0))
+    at = lambda c, k: F.transform(_grams(c, k), lambda g: F.struct(F.lit(k).alias("_size"), g.alias("_gram")))
+    held = sentences.select(id_col, "sent_ix", low.alias("_low"), F.explode(F.concat(*(at(low, k) for k in sizes))).alias("_g")).select(id_col, "sent_ix", "_low", "_g.*")
+    own = known.select("term", "_size").distinct().select("term", "_size", F.explode(F.concat(*(F.when(F.col("_size") == k, _grams(F.col("term"), k)).otherwise(F.array().cast("array<string>")) for k in sizes))).alias("_gram"))
+    wanted = own.select("_size", "_gram").distinct()
+    often = held.join(wanted, ["_size", "_gram"], "left_semi").groupBy("_size", "_gram").agg(F.count("*").alias("_n"))
+    # the rarest gram, if sentences hold all of them
+    counted = own.join(often, ["_size", "_gram"], "left").groupBy("term", "_size").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_none")).where("_none = 0")
+    keyed = known.join(counted.drop("_none"), ["term", "_size"])
+    return held.join(keyed, ["_size", "_gram"]).where(F.contains("_low", F.col("term"))).select(id_col, "sent_ix", *phrases.columns)
 
 
 def score_sentences(df: DataFrame, terms: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,17 +98,77 @@ def neighbours(segments: DataFrame, id_col: str, ix: str, value: str) -> DataFra
     return segments.withColumn("next", nxt).where("next is not null")
 
 
+#: Segments whose bits make a block, and segments whose unions are made at a time (memory only).
+BLOCK, ROWS = 8192, 1024
+
+
+def overlapping_pairs(segments: list[list[int]], tokens: int) -> int:
+    """Of all pairs of segments (lists of token numbers below ``tokens``) those that share a token.
+
+    Per block of segments every token has a bitmap of the segments that hold it; a segment's union of these is counted, so no pair is written.
+    """
+    n, total = len(segments), 0
+    size = np.array([len(s) for s in segments], np.int64)
+    flat = np.fromiter((t for s in segments for t in s), np.int64, int(size.sum()))
+    owner, ends = np.repeat(np.arange(n), size), np.concatenate([[0], np.cumsum(size)])
+    for b in range(0, n, BLOCK):
+        e = min(n, b + BLOCK)
+        here, place = np.unique(flat[ends[b] : ends[e]], return_inverse=True)
+        if not len(here):
+            continue
+        bits = np.zeros((len(here) + 1, BLOCK // 8), np.uint8)  # the last row stands for tokens that the block lacks
+        at = owner[ends[b] : ends[e]] - b
+        np.bitwise_or.at(bits, (place, at // 8), (1 << (at % 8)).astype(np.uint8))
+        row = np.full(tokens, len(here), np.int64)
+        row[here] = np.arange(len(here))
+        # pairs (i, j) with j in the block and i before j
+        for s in range(0, e, ROWS):
+            t = min(e, s + ROWS)
+            some = np.flatnonzero(size[s:t])
+            if not len(some):
+                continue
+            union = np.bitwise_or.reduceat(bits[row[flat[ends[s] : ends[t]]]], (ends[s:t] - ends[s])[some])
+            if t > b:  # of a segment of the block itself only later ones count
+                i = some + s - b
+                later = np.arange(BLOCK)[None, :] > i[:, None]
+                union = union & np.packbits(later, axis=1, bitorder="little")
+            total += int(np.bitwise_count(union).sum(dtype=np.int64))
+    return total
+
+
 def pair_counts(segments: DataFrame, id_col: str, value: str) -> DataFrame:
     """Of all pairs of a document's segments: ``pairs``, those ``overlapping`` (the arrays ``value`` share a token) and those ``equal``.
 
-    Equal arrays are counted as one with their number, so that only different ones meet, by the tokens that they share.
+    A document's segments pass through one task, which counts shared tokens in bitmaps of segment numbers: a document of very many
+    segments with a word in all of them costs blocks of bits, not rows of pairs.
     """
     twos = lambda n: F.floor(n * (n - 1) / 2).cast("long")
     kinds = segments.groupBy(id_col, value).agg(F.count("*").alias("n"))
-    own = kinds.groupBy(id_col).agg(F.sum("n").alias("all"), F.sum(twos(F.col("n"))).alias("equal"), F.sum(F.when(F.size(value) > 0, twos(F.col("n"))).otherwise(0)).alias("same"))
-    t = kinds.select(id_col, F.col(value).alias("w"), "n", F.explode(F.array_distinct(value)).alias("token"))
-    x, y = (t.select(id_col, "token", F.col("w").alias(w), F.col("n").alias(n)) for w, n in (("left", "m"), ("right", "k")))
-    met = x.join(y, [id_col, "token"]).where("left < right").select(id_col, "left", "right", "m", "k").distinct()
-    cross = met.groupBy(id_col).agg(F.sum(F.col("m") * F.col("k")).alias("cross"))
-    out = own.where(F.col("all") > 1).join(cross, id_col, "left")
-    return out.select(id_col, twos(F.col("all")).alias("pairs"), (F.col("same") + F.coalesce("cross", F.lit(0))).alias("overlapping"), "equal")
+    own = kinds.groupBy(id_col).agg(F.sum("n").alias("all"), F.sum(twos(F.col("n"))).alias("equal")).where(F.col("all") > 1)
+    kind = segments.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, known = None, [], {}
+        ids, counts = [], []
+
+        def close() -> None:
+            if key is not None:
+                ids.append(key[0])
+                counts.append(overlapping_pairs(held, len(known)))
+
+        for b in batches:
+            for k, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if key != (k,):
+                    close()
+                    key, held, known = (k,), [], {}
+                held.append([known.setdefault(t, len(known)) for t in dict.fromkeys(tokens or ())])
+            if len(ids) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(counts, pa.int64())], names=["id", "overlapping"])
+                ids, counts = [], []
+        close()
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(counts, pa.int64())], names=["id", "overlapping"])
+
+    met = segments.select(F.col(id_col).alias("id"), value).repartition("id").sortWithinPartitions("id").mapInArrow(run, f"id {kind}, overlapping long")
+    both = own.join(met.withColumnRenamed("id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
+    return both.select(id_col, twos(F.col("all")).alias("pairs"), "overlapping", "equal")

@@ -1,7 +1,8 @@
 """Grouped statistics. Every function takes a frame and grouping keys (maybe none) and returns one frame.
 
-Rank-based statistics first collapse to distinct values, so that their windows run over value counts; scores are
-rounded to 4 places in [-1, 1], which bounds these at 20,001 a group however many rows there are.
+Rank-based statistics first collapse to distinct values. Where these may be many they are placed by range partitions
+(:mod:`loomline.operators.ranks`); scores that are rounded to 4 places in [-1, 1] have 20,001 values a group at most, however many rows
+there are, and callers that have such scores may say ``bounded`` for a plain window over them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
+from loomline.operators import ranks
+from loomline.scratch import materialize
 
 CLASSES = ("pos", "neg", "neu")
 
@@ -24,8 +27,8 @@ def p_of_t(t: Column, df: Column) -> Column:
     """Two-tailed p of a t statistic, in the steps that reports use."""
     a = F.abs(t)
     out = F.when(df <= 0, 1.0)
-    # t = 0 leaves nothing to test
-    out = out.when(a == 0, 1.0)
+    # t = 0 leaves nothing to test, nor does one that vanishes beside the degrees of freedom
+    out = out.when(df / (df + a * a) >= 1, 1.0)
     for edge, p in ((4.417, 0.0001), (3.291, 0.001), (2.576, 0.01), (1.960, 0.05), (1.645, 0.10)):
         out = out.when(a > edge, p)
     return out.otherwise(0.5)
@@ -43,7 +46,9 @@ def describe(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Data
     """Per metric: mean, sample sd, median, min, max, n of the non-null values."""
     long = df.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(list(keys), list(metrics), "metric", "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     r = T.rounded
-    return long.groupBy(*keys, "metric").agg(r(F.avg("v")).alias("mean"), r(_zero(F.stddev_samp("v"))).alias("sd"), r(F.median("v")).alias("median"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n"))
+    plain = long.groupBy(*keys, "metric").agg(r(F.avg("v")).alias("mean"), r(_zero(F.stddev_samp("v"))).alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n"))
+    median = ranks.medians(long, [*keys, "metric"], "v").withColumn("median", r(F.col("median")))
+    return ranks.join_on(plain, median, [*keys, "metric"]).select(*keys, "metric", "mean", "sd", "median", "min", "max", "n")
 
 
 def confusion(df: DataFrame, keys: Sequence[str], gold: str, pred: str) -> DataFrame:
@@ -73,56 +78,68 @@ def _value_counts(df: DataFrame, keys: Sequence[str], score: Column, positive: C
     return df.groupBy(*keys, score.alias("v")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
 
 
-def roc_curve(df: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
+def _below(c: DataFrame, keys: Sequence[str], weights: Sequence[str], bounded: bool) -> DataFrame:
+    """Value counts with the sums of ``weights`` over smaller values."""
+    if not bounded:
+        return ranks.positions(c, keys, "v", weights)
+    w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    return c.withColumns({f"before_{k}": F.coalesce(F.sum(k).over(w), F.lit(0)) for k in weights})
+
+
+def roc_curve(df: DataFrame, keys: Sequence[str], score: str, positive: Column, bounded: bool = False) -> DataFrame:
     """Points of the ROC curve: for each distinct score the rates at or above it."""
-    c = _value_counts(df, keys, F.col(score), positive)
-    up, whole = Window.partitionBy(*keys).orderBy(F.desc("v")), Window.partitionBy(*keys)
-    return c.select(*keys, F.col("v").alias("threshold"), _zero(F.try_divide(F.sum("q").over(up), F.sum("q").over(whole))).alias("fpr"), _zero(F.try_divide(F.sum("p").over(up), F.sum("p").over(whole))).alias("tpr"))
+    c = _value_counts(df.where(F.col(score).isNotNull()), keys, F.col(score), positive)
+    total = c.groupBy(*keys).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    x = ranks.join_on(_below(c, keys, ["p", "q"], bounded), total, list(keys))
+    rate = lambda k: _zero(F.try_divide(F.col(f"n{k}") - F.col(f"before_{k}"), f"n{k}"))
+    return x.select(*keys, F.col("v").alias("threshold"), rate("q").alias("fpr"), rate("p").alias("tpr"))
 
 
-def auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column) -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str], score: str, positive: Column, bounded: bool = False) -> DataFrame:
     """Area under the ROC curve by ranks (ties count half); 0.5 if one side is empty."""
     c = _value_counts(df, keys, F.col(score), positive)
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = c.withColumn("win", F.col("p") * (below + F.col("q") / 2.0))
+    x = _below(c, keys, ["q"], bounded).withColumn("win", F.col("p") * (F.col("before_q") + F.col("q") / 2.0))
     return x.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("win").alias("w")).select(*keys, "n_pos", "n_neg", T.rounded(F.coalesce(F.try_divide("w", F.col("n_pos") * F.col("n_neg").cast("double")), F.lit(0.5))).alias("auc"))
 
 
-def multiclass_auc(df: DataFrame, keys: Sequence[str], score: str, gold: str) -> DataFrame:
+def multiclass_auc(df: DataFrame, keys: Sequence[str], score: str, gold: str, bounded: bool = False) -> DataFrame:
     """One-versus-rest areas: the score for pos, its negative for neg, the negative of its size for neu; and their mean."""
     s = F.col(score)
     long = df.select(*keys, gold, F.explode(F.array(*(F.struct(F.lit(c).alias("class"), v.alias("s")) for c, v in zip(CLASSES, (s, -s, -F.abs(s)), strict=True)))).alias("x")).select(*keys, F.col("x.class").alias("class"), (F.col("x.s") + 0.0).alias("s"), (F.col(gold) == F.col("x.class")).alias("is"))
-    a = auc(long, [*keys, "class"], "s", F.col("is"))
+    a = auc(long, [*keys, "class"], "s", F.col("is"), bounded)
     return a.groupBy(*keys).agg(*(F.max(F.when(F.col("class") == c, F.col("auc"))).alias(f"auc_{c}") for c in CLASSES), T.rounded(F.avg("auc")).alias("macro_auc"))
 
 
-def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """r, p, stars, n over rows where both are numbers; r = 0 and p = 1 below three rows or without variance."""
-    rows = df.where(_finite(x, y)).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    m = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), (F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))).alias("d"))
-    r = F.when((F.col("n") < 3) | ~(F.col("d") > 1e-15), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("c", "d"))))
-    m = m.select(*keys, "n", r.alias("r"), (F.col("d") > 1e-15).alias("ok"))
+def _with_p(m: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """r, p, stars and n from n, the covariance and the product of the standard deviations."""
+    r = F.when((F.col("n") < 3) | ~(F.col("_dev") > 1e-15), 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("_cov", "_dev"))))
+    m = m.select(*keys, "n", r.alias("r"), (F.col("_dev") > 1e-15).alias("ok"))
     t = F.col("r") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))) / F.sqrt(F.greatest(F.lit(1e-9), 1 - F.col("r") * F.col("r")))
     m = m.withColumn("p", F.when((F.col("n") < 3) | ~F.col("ok"), 1.0).otherwise(p_of_t(t, F.col("n") - 2)))
     return m.select(*keys, T.rounded(F.col("r")).alias("r"), "p", stars(F.col("p")).alias("sig"), "n")
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
-    """Mean rank of every distinct value of ``v``."""
-    c = df.groupBy(*keys, v).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.select(*keys, v, (before + (F.col("_n") + 1) / 2.0).alias(f"rank_{v}"))
+def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """r, p, stars, n over rows where both are numbers; r = 0 and p = 1 below three rows or without variance."""
+    rows = df.where(_finite(x, y)).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    m = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("_cov"), (F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))).alias("_dev"))
+    return _with_p(m, keys)
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with mean ranks of ties, and its p as in :func:`pearson`."""
-    ks = list(keys) or ["_all"]
-    src = df if keys else df.withColumn("_all", F.lit(0))
-    rows = src.where(_finite(x, y)).groupBy(*ks, (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y")).agg(F.count("*").alias("w"))
-    wide = rows.withColumn("one", F.explode(F.array_repeat(F.lit(1), F.col("w").cast("int"))))
-    ranks = wide.join(_ranked(wide, ks, "x"), [*ks, "x"]).join(_ranked(wide, ks, "y"), [*ks, "y"])
-    out = pearson(ranks, ks, "rank_x", "rank_y").withColumnRenamed("r", "rho")
-    return out if keys else out.drop("_all")
+    """Rank correlation with mean ranks of ties, and its p as in :func:`pearson`.
+
+    Equal pairs are one row with its weight throughout; ranks have a known mean, so their moments are weighted sums.
+    """
+    ks = list(keys)
+    pairs = materialize(df.where(_finite(x, y)).groupBy(*ks, (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y")).agg(F.count("*").alias("w")), "pairs")
+    total = pairs.groupBy(*ks).agg(F.sum("w").alias("n"))
+    side = lambda v: ranks.mean_ranks(pairs.groupBy(*ks, v).agg(F.sum("w").alias("_n")), ks, v).select(*ks, v, F.col("rank").alias(f"rank_{v}"))
+    ranked = ranks.join_on(ranks.join_on(ranks.join_on(pairs, side("x"), [*ks, "x"]), side("y"), [*ks, "y"]), total, ks)
+    off = lambda v: F.col(f"rank_{v}") - (F.col("n") + 1) / 2.0
+    mean = lambda c: F.sum(F.col("w") * c) / F.max("n")
+    m = ranked.groupBy(*ks).agg(F.max("n").alias("n"), mean(off("x") * off("y")).alias("_cov"), (F.sqrt(mean(off("x") * off("x"))) * F.sqrt(mean(off("y") * off("y")))).alias("_dev"))
+    return _with_p(m, ks).withColumnRenamed("r", "rho")
 
 
 def effect_size(df: DataFrame, keys: Sequence[str], v: str, first: Column) -> DataFrame:
@@ -140,18 +157,15 @@ def effect_size(df: DataFrame, keys: Sequence[str], v: str, first: Column) -> Da
 
 def wilcoxon(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Signed-rank test of paired values without zero differences: W, z, p; null below five pairs."""
-    ks = list(keys) or ["_all"]
-    src = (df if keys else df.withColumn("_all", F.lit(0))).where(_finite(x, y))
-    d = src.select(*ks, (F.col(x).cast("double") - F.col(y).cast("double")).alias("d")).where("d <> 0").select(*ks, F.abs("d").alias("a"), (F.col("d") > 0).alias("up"))
+    ks = list(keys)
+    d = df.where(_finite(x, y)).select(*ks, (F.col(x).cast("double") - F.col(y).cast("double")).alias("d")).where("d <> 0").select(*ks, F.abs("d").alias("a"), (F.col("d") > 0).alias("up"))
     c = d.groupBy(*ks, "a").agg(F.count("*").alias("_n"), F.count_if("up").alias("up"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*ks).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = c.withColumn("rank", before + (F.col("_n") + 1) / 2.0).groupBy(*ks).agg(F.sum("_n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"))
+    s = ranks.mean_ranks(c, ks, "a").groupBy(*ks).agg(F.sum("_n").cast("double").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("plus"))
     n = F.col("n")
     s = s.withColumn("w", F.least("plus", n * (n + 1) / 2 - F.col("plus"))).withColumn("z", F.try_divide(F.abs(F.col("w") - n * (n + 1) / 4), F.sqrt(n * (n + 1) * (2 * n + 1) / 24)))
     few = n < 5
     p = F.when(few, 1.0).otherwise(p_of_t(F.col("z"), F.lit(1000)))
-    out = s.select(*ks, n.cast("long").alias("n"), F.when(~few, T.rounded(F.col("w"), 2)).alias("w"), F.when(~few, T.rounded(F.col("z"))).alias("z"), p.alias("p"))
-    return out if keys else out.drop("_all")
+    return s.select(*ks, n.cast("long").alias("n"), F.when(~few, T.rounded(F.col("w"), 2)).alias("w"), F.when(~few, T.rounded(F.col("z"))).alias("z"), p.alias("p"))
 
 
 def icc(df: DataFrame, keys: Sequence[str], item: str, rater: str, value: str) -> DataFrame:

@@ -127,6 +127,8 @@ SQL["sentence_scores"] = narr("select s.doc_id, s.ix::int as sent_ix, compound,
 SQL["sentence_scores_corpus"] = "with " + ",\n".join([DOCS, seg_sents(), scored(CORPUS), TAGS]) + "\nselect s.doc_id, s.ix::int as sent_ix, compound, coalesce(n_emotions, 0)::int as n_emotions from sc s left join tg using (doc_id, ix)"
 SQL["sentence_scores_joined"] = SQL["sentence_scores_corpus"]
 SQL["sentence_scores_joined_phrases"] = narr("select s.doc_id, s.ix::int as sent_ix, compound, coalesce(n_emotions, 0)::int as n_emotions from sc s left join tg using (doc_id, ix)", seg_sents(), scored(LEX), TAGS)
+SQL["phrase_index"] = f"""with {DOCS}, {seg_sents()}, lw as (select doc_id, ix, lower(s) as s from segs), tm as (select distinct term from (select substr(lower(text), 6, 13) as term from docs union all select substr(lower(text), 40, 2) from docs) where length(term) > 0)
+select term, count(*) as n_sentences, count(distinct doc_id) as n_docs from tm join lw on contains(lw.s, tm.term) group by term"""
 SQL["stop_word_antijoin"] = f"with {DOCS}, {TOK} select doc_id, count(*) as n, count(distinct token) as types from tok where not {STOP} group by doc_id"
 _both = "list_distinct(list_concat(a, b))"
 SQL["neighbour_sentences"] = narr(
@@ -428,7 +430,7 @@ SQL["multiclass_auc"] = f"with {SCO}, {_multi('sd', 'lang', 's1')} select * from
 def _pearson(rel: str, keys: str, x: str, y: str) -> str:
     """r, p, sig, n by two passes over centred values."""
     on = " and ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
-    return f"""select {keys}, r, p, {stars('p')} as sig, n from (select *, (case when n < 3 or not ok then 1.0 else {p_of_t('r0 * sqrt(greatest(n - 2, 0)) / sqrt(greatest(1e-9, 1 - r0 * r0))')} end)::double as p, {r('r0')} as r from (
+    return f"""select {keys}, r, p, {stars('p')} as sig, n from (select *, (case when n < 3 or not ok then 1.0 else {p_of_t('r0 * sqrt(greatest(n - 2, 0)) / sqrt(greatest(1e-9, 1 - r0 * r0))', '(n - 2)')} end)::double as p, {r('r0')} as r from (
   select *, case when n < 3 or not ok then 0.0 else greatest(-1.0, least(1.0, sxy / (sqrt(sxx) * sqrt(syy)))) end as r0 from (select *, sqrt(sxx / n) * sqrt(syy / n) > 1e-15 as ok from (
   select {', '.join('a.' + k.strip() for k in keys.split(','))}, count(*) as n, sum((a.x - mx) * (a.y - my)) as sxy, sum(pow(a.x - mx, 2)) as sxx, sum(pow(a.y - my, 2)) as syy
   from (select {keys}, {x}::double as x, {y}::double as y from {rel} where {x} is not null and {y} is not null) a join (select {keys}, avg({x}) as mx, avg({y}) as my from {rel} where {x} is not null and {y} is not null group by {keys}) b on {on} group by {', '.join('a.' + k.strip() for k in keys.split(','))}))))"""
@@ -448,7 +450,7 @@ d as (select *, case when n1 < 2 or n2 < 2 then 0.0 else coalesce((m1 - m2) / nu
 select dataset, n1, n2, {r('d')} as cohens_d, {r('d * (1 - 3 / (4 * (n1 + n2) - 9)::double)')} as hedges_g, case when abs(d) >= 0.8 then 'large' when abs(d) >= 0.5 then 'medium' when abs(d) >= 0.2 then 'small' else 'negligible' end as size from d"""
 SQL["wilcoxon"] = f"""with {ORD}, d as (select dataset, qty - n_lines * 25.0 as d from od where qty <> n_lines * 25.0), k as (select dataset, d > 0 as up, rank() over (partition by dataset order by abs(d)) + (count(*) over (partition by dataset, abs(d)) - 1) / 2.0 as rk from d),
 s as (select dataset, count(*)::double as n, coalesce(sum(rk) filter (up), 0.0) as plus from k group by dataset), w as (select *, least(plus, n * (n + 1) / 2 - plus) as w from s), z as (select *, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24) as z from w)
-select dataset, n::bigint as n, case when n >= 5 then {r('w', 2)} end as w, case when n >= 5 then {r('z')} end as z, case when n < 5 then 1.0::double else {p_of_t('z')} end as p from z"""
+select dataset, n::bigint as n, case when n >= 5 then {r('w', 2)} end as w, case when n >= 5 then {r('z')} end as z, case when n < 5 then 1.0::double else {p_of_t('z', '1000')} end as p from z"""
 RAT = f"""rt as (select lang, doc_id, rater, value, {LABEL('value', 0.3)} as label from (select lang, doc_id, 'r1' as rater, s1 as value from sd union all select lang, doc_id, 'r2', s2 from sd union all select lang, doc_id, 'r3', {r('(s1 + s2) / 2', 2)} from sd))"""
 SQL["icc"] = f"""with {SCO}, {RAT}, g as (select lang, avg(value) as gm, count(distinct doc_id)::double as n, count(distinct rater)::double as k from rt group by lang), i as (select lang, doc_id, avg(value) as rm from rt group by lang, doc_id), j as (select lang, rater, avg(value) as cm from rt group by lang, rater),
 e as (select rt.lang, any_value(n) as n, any_value(k) as k, sum(pow(value - rm - cm + gm, 2)) as sse, sum(pow(rm - gm, 2)) as ssr, sum(pow(cm - gm, 2)) as ssc from rt join g using (lang) join i on i.lang = rt.lang and i.doc_id = rt.doc_id join j on j.lang = rt.lang and j.rater = rt.rater group by rt.lang),

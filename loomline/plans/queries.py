@@ -163,6 +163,15 @@ def sentence_scores_joined_phrases(spark, sf_dir):
     return J.score_sentences(narr(spark, sf_dir), lex.table(spark).where("not is_phrase").drop("is_phrase"), lex)
 
 
+@query
+def phrase_index(spark, sf_dir):
+    """Sentences that hold a phrase, for a phrase out of every document."""
+    d = documents(spark, sf_dir)
+    phrases = d.select(F.substring(F.lower("text"), 6, 13).alias("term")).union(d.select(F.substring(F.lower("text"), 40, 2))).distinct().where("length(term) > 0")
+    hits = J.phrase_hits(J.sentence_table(d), phrases)
+    return hits.groupBy("term").agg(F.count("*").alias("n_sentences"), F.count_distinct("doc_id").alias("n_docs"))
+
+
 @query
 def stop_word_antijoin(spark, sf_dir):
     t = J.without_words(Q.token_table(documents(spark, sf_dir)), fixed.STOP_WORDS, spark)

@@ -128,8 +128,8 @@ def seg_sents(rel: str = "docs") -> str:
     return f"segs as ({explode(rel, sents('text'), 'ix', 's')})"
 
 
-def p_of_t(t: str) -> str:
-    return f"(case when ({t}) = 0 then 1.0 when abs({t}) > 4.417 then 0.0001 when abs({t}) > 3.291 then 0.001 when abs({t}) > 2.576 then 0.01 when abs({t}) > 1.960 then 0.05 when abs({t}) > 1.645 then 0.10 else 0.5 end)::double"
+def p_of_t(t: str, df: str) -> str:
+    return f"(case when {df} / ({df} + pow({t}, 2))::double >= 1 then 1.0 when abs({t}) > 4.417 then 0.0001 when abs({t}) > 3.291 then 0.001 when abs({t}) > 2.576 then 0.01 when abs({t}) > 1.960 then 0.05 when abs({t}) > 1.645 then 0.10 else 0.5 end)::double"
 
 
 def stars(p: str) -> str:

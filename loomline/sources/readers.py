@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 
 CORPUS = "id string, text string, sentiment string, emotion string, attachment string"
-# Header names that hold texts and labels, and what labels of loaders stand for.
+# Header names that hold texts and labels, the names of multi-label emotions by number, and what labels stand for.
 TEXT_HEADERS = ["utterance", "text", "sentence", "utt", "response", "tweet", "content", "comment"]
 LABEL_HEADERS = ["context", "emotion", "label", "emo", "sentiment", "feeling", "tag", "category", "class"]
-EMOTION_NAMES = (
-    "admiration amusement anger annoyance approval caring confusion curiosity desire disappointment disapproval disgust embarrassment excitement "
-    "fear gratitude grief joy love nervousness optimism pride realization relief remorse sadness surprise neutral"
-).split()
-POSITIVE = "admiration amusement approval caring desire excitement gratitude joy love optimism pride relief happy happiness hopeful grateful proud confident trusting content faithful prepared impressed joyful".split()
-NEGATIVE = "anger annoyance disappointment disapproval disgust embarrassment fear grief nervousness remorse sadness angry sad afraid terrified anxious ashamed guilty jealous lonely devastated disgusted furious annoyed embarrassed disappointed shame guilt".split()
+EMOTION_NAMES = [
+    "admiration", "amusement", "anger", "annoyance", "approval", "caring", "confusion", "curiosity", "desire", "disappointment", "disapproval", "disgust", "embarrassment", "excitement",
+    "fear", "gratitude", "grief", "joy", "love", "nervousness", "optimism", "pride", "realization", "relief", "remorse", "sadness", "surprise", "neutral",
+]
+POSITIVE = [
+    "admiration", "amusement", "approval", "caring", "desire", "excitement", "gratitude", "joy", "love", "optimism", "pride", "relief", "happy", "happiness", "hopeful", "grateful", "proud", "confident",
+    "trusting", "content", "faithful", "prepared", "impressed", "joyful",
+]
+NEGATIVE = [
+    "anger", "annoyance", "disappointment", "disapproval", "disgust", "embarrassment", "fear", "grief", "nervousness", "remorse", "sadness", "angry", "sad", "afraid", "terrified", "anxious", "ashamed", "guilty",
+    "jealous", "lonely", "devastated", "disgusted", "furious", "annoyed", "embarrassed", "disappointed", "shame", "guilt",
+]
 DIALOGUE_EMOTIONS = ["none", "anger", "disgust", "fear", "happiness", "sadness", "surprise"]
 
 
@@ -33,22 +39,44 @@ def sentiment_of(emotion: Column) -> Column:
 
 
 def corpus_rows(df: DataFrame) -> DataFrame:
-    """Any frame with a text as corpus rows: labels lower-cased, sentiment cut to 3 letters, defaults neu and none."""
+    """Any frame with a text as corpus rows: labels lower-cased, sentiment cut to 3 letters, defaults neu and none.
+
+    Rows without an ``id`` column are named by their number in the file, where the reader gave one (``_row``, from 0): r0000, r0001 and
+    on. Frames without either have no order to number; their ids are hashes of the text, equal for equal texts.
+    """
     has = set(df.columns)
+    number = F.concat(F.lit("r"), F.when(F.col("_row") < 10000, F.lpad(F.col("_row").cast("string"), 4, "0")).otherwise(F.col("_row").cast("string"))) if "_row" in has else F.concat(F.lit("r"), F.sha1(F.coalesce("text", F.lit(""))).substr(1, 12))
     low = lambda c, d: F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(d)))) if c in has else F.lit(d)
     return df.select(
-        (F.col("id").cast("string") if "id" in has else F.concat(F.lit("r"), F.sha1(F.coalesce("text", F.lit(""))).substr(1, 12))).alias("id"),
+        (F.col("id").cast("string") if "id" in has else number).alias("id"),
         T.strip(F.coalesce("text", F.lit(""))).alias("text"), F.substring(low("sentiment", "neu"), 1, 3).alias("sentiment"), low("emotion", "none").alias("emotion"), low("attachment", "none").alias("attachment"),
     )
 
 
+def numbered(scan: DataFrame, name: str = "_row") -> DataFrame:
+    """The rows of a file scan (a frame as a reader returns it) with their number in their file, from 0, and ``_file``.
+
+    Files are read in byte ranges. A first pass counts the rows of each range and finds the first of them in the task's order; running sums of
+    the counts over a file's ranges (one row a range) say with which number a range begins; the second read numbers its rows from there. No task
+    reads more than its ranges, however long the file is.
+    """
+    columns = scan.columns
+    x = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    ranges = x.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return x.join(starts, ["_file", "_block"]).select(*columns, "_file", (F.col("_start") + F.col("_at") - F.col("_first")).alias(name))
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files (one, a glob, a folder) as documents: id is the file's name."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("id"), F.col("value").alias("text"))
 
 
 def labelled_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    return corpus_rows(spark.read.csv(path, header=True, multiLine=True, escape='"', sep=sep))
+    """Corpus rows of a CSV file; without an ``id`` column the ids are row numbers."""
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', sep=sep)
+    return corpus_rows(raw if "id" in raw.columns else numbered(raw))
 
 
 def labelled_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -175,15 +203,17 @@ def utterances(frames: Sequence[DataFrame], least_words: int = 4) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their number, which text scans do not keep: from the whole file as one value."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "value"))
+    """Lines of one file with their number (``line``, from 0), by byte ranges: see :func:`numbered`. Lines end in a line feed only."""
+    return numbered(spark.read.text(path, lineSep="\n"), "line").select("line", "value")
 
 
-def parallel_files(spark: SparkSession, texts: str, labels: str, least_words: int = 3) -> DataFrame:
-    """Two files matched by line number; labels 0, 1, 2 are neg, neu, pos."""
-    t = numbered_lines(spark, texts).withColumnRenamed("value", "text")
-    y = numbered_lines(spark, labels).select("line", F.element_at(F.create_map(*(F.lit(x) for p in (("0", "neg"), ("1", "neu"), ("2", "pos")) for x in p)), F.trim("value")).alias("sentiment"))
-    x = t.join(y, "line").withColumn("id", F.concat(F.lit("p"), F.col("line").cast("string"))).withColumn("sentiment", F.coalesce("sentiment", F.lit("neu")))
+def parallel_files(spark: SparkSession, texts: str, labels: str, least_words: int = 3, prefix: str = "p") -> DataFrame:
+    """Two files matched by line number; labels 0, 1, 2 are neg, neu, pos, and lines with any other go. Ids are ``prefix`` and the number, in five digits."""
+    t = numbered_lines(spark, texts).select("line", T.strip(F.col("value")).alias("text"))
+    names = F.create_map(*(F.lit(x) for p in (("0", "neg"), ("1", "neu"), ("2", "pos")) for x in p))
+    y = numbered_lines(spark, labels).select("line", F.try_element_at(names, T.strip(F.col("value"))).alias("sentiment")).where("sentiment is not null")
+    number = F.col("line").cast("string")
+    x = t.join(y, "line").withColumn("id", F.concat(F.lit(prefix), F.when(F.col("line") < 100_000, F.lpad(number, 5, "0")).otherwise(number)))
     return corpus_rows(words_at_least(x, least_words))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 from collections import Counter
 
 from loomline.functions import text as T
@@ -49,3 +50,50 @@ def test_sentence_similarity_over_all_narratives(spark, sf):
     assert got.keys() == want.keys() and Counter(k % 2 for k in got)[1] > 0
     for k, (n, total, top) in want.items():
         assert got[k]["pairs"] == n and abs(got[k]["total"] / 10000 - total) <= 1e-4 * n and abs(got[k]["top"] - top) <= 1e-4
+
+
+def test_pair_counts_by_bitmaps(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(d, sorted({rng.choice("abcdefghij") for _ in range(rng.randrange(4))})) for d, n in ((1, 40), (2, 3), (3, 1), (None, 9)) for _ in range(n)] + [(4, None), (4, ["a"]), (4, ["a", "a"])]
+    df = spark.createDataFrame(rows, "doc_id long, w array<string>").repartition(3)
+    want = {}
+    for d in (1, 2, None, 4):
+        pairs = list(itertools.combinations([w for k, w in rows if k == d], 2))
+        want[d] = (len(pairs), sum(bool(set(a or ()) & set(b or ())) for a, b in pairs), sum(a == b for a, b in pairs))
+    for block, at_once in ((J.BLOCK, J.ROWS), (16, 3)):
+        monkeypatch.setattr(J, "BLOCK", block)
+        monkeypatch.setattr(J, "ROWS", at_once)
+        assert {r["doc_id"]: (r["pairs"], r["overlapping"], r["equal"]) for r in J.pair_counts(df, "doc_id", "w").collect()} == want
+    assert J.pair_counts(df.limit(0), "doc_id", "w").collect() == []
+
+
+def test_a_word_in_all_segments_costs_no_pairs():
+    rng = random.Random(6)
+    segments = [[0, *(1 + rng.randrange(200) for _ in range(5))] for _ in range(20_000)]
+    assert J.overlapping_pairs(segments, 201) == 20_000 * 19_999 // 2
+
+
+def test_phrases_of_a_table_of_any_size(spark):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    sents = [(k % 7, k, text(rng.randrange(0, 60)).upper() if k % 3 else text(40)) for k in range(120)]
+    terms = sorted({s[rng.randrange(len(s)) :][: rng.randrange(1, 9)].lower() for _, _, s in sents for _ in range(3) if s} - {""}) + ["zzz", "z", "abcdx", "", "a"]
+    s = spark.createDataFrame(sents, "doc_id long, sent_ix int, sentence string")
+    p = spark.createDataFrame([(t, k) for k, t in enumerate(terms)] + [(None, -1)], "term string, s int")
+    got = sorted((r["doc_id"], r["sent_ix"], r["term"], r["s"]) for r in J.phrase_hits(s, p).collect())
+    assert got == sorted((d, i, t, k) for d, i, x in sents for k, t in enumerate(terms) if t and t in x.lower())
+    assert J.phrase_hits(s, p.limit(0)).columns == ["doc_id", "sent_ix", "term", "s"] and J.phrase_hits(s, p.limit(0)).count() == 0
+
+
+def test_ten_thousand_phrases_without_a_nested_loop(spark):
+    p = spark.range(10_000).selectExpr("concat('term ', id) as term", "id as s")
+    s = spark.range(200).selectExpr("id as doc_id", "0 as sent_ix", "concat('one term ', id * 40, '!') as sentence")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = J.phrase_hits(s, p)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        want = sum(f"term {k}" in f"one term {40 * d}!" for d in range(200) for k in {int(str(40 * d)[:n]) for n in range(1, 5)})
+        assert hits.count() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

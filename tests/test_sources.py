@@ -122,3 +122,34 @@ def test_registry_tables_and_compare(spark):
 def test_multi_label_rows_without_a_known_id_go(spark):
     df = spark.createDataFrame([("one two three four", "0"), ("one two three four five", "999"), ("one two three four six", "")], "text string, emotion_ids string")
     assert [r["text"] for r in R.multi_label(df).collect()] == ["one two three four"]
+
+
+def test_numbers_of_lines_over_byte_ranges(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 97) for k in range(20_000)]
+    lines[5] = lines[6] = ""
+    p = put(tmp_path / "long.txt", "\n".join(lines) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        df = R.numbered_lines(spark, p)
+        assert spark.read.text(p).rdd.getNumPartitions() > 8
+        assert [r["value"] for r in df.orderBy("line").collect()] == lines and sorted(r["line"] for r in df.collect()) == list(range(20_000))
+        labels = put(tmp_path / "labels.txt", "\n".join("021x"[k % 4] for k in range(20_000)))
+        got = {r["id"]: (r["text"], r["sentiment"]) for r in R.parallel_files(spark, p, labels, least_words=2).collect()}
+        want = {f"p{k:05d}": (t.strip(), ("neg", "pos", "neu")[k % 4]) for k, t in enumerate(lines) if k % 4 < 3 and len(t.split()) >= 2}
+        assert got == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_without_an_id_are_numbered(spark, tmp_path):
+    (tmp_path / "n").mkdir()
+    put(tmp_path / "n" / "a.csv", 'text,sentiment\nsame text,pos\n"two\nlines",neg\nsame text,neu\n')
+    rows = R.labelled_csv(spark, str(tmp_path / "n" / "a.csv")).orderBy("id").collect()
+    assert [(r["id"], r["text"], r["sentiment"]) for r in rows] == [("r0000", "same text", "pos"), ("r0001", "two\nlines", "neg"), ("r0002", "same text", "neu")]
+    put(tmp_path / "n" / "b.csv", "text,sentiment\nother,pos\n")
+    several = R.numbered(spark.read.csv(str(tmp_path / "n"), header=True, multiLine=True)).collect()
+    assert sorted((r["_file"][-5:], r["_row"]) for r in several) == [("a.csv", 0), ("a.csv", 1), ("a.csv", 2), ("b.csv", 0)]
+    assert R.labelled_csv(spark, put(tmp_path / "none.csv", "text,sentiment\n")).count() == 0

@@ -156,3 +156,38 @@ def test_hypotheses_and_summary(spark):
     assert got["H2"]["supported"] and not got["H6"]["supported"] and got["H1"]["statistic"] == E.drop_validation(df, ["dataset"]).first()["r"]
     s = E.dataset_summary(df, ["dataset"]).first()
     assert s["n"] == 80 and s["directions"] == 10 and s["directions_right"] == sum(h == "positive" for _, _, h in E.PAIRS)
+
+
+def test_ranks_and_medians_over_range_partitions(spark):
+    from pyspark.sql import Window
+
+    from loomline.operators import ranks
+
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([0.0, -0.0, 1.5, rng.random(), rng.random() * 5]), rng.random()) for _ in range(600)] + [("c", 2.0, 1.0), ("d", 1.0, 0.0), ("d", 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(7)
+    got = {r["k"]: r["median"] for r in ranks.medians(df, ["k"], "x").collect()}
+    for k in ("a", "b", None, "c", "d"):
+        v = sorted(x for key, x, _ in rows if key == k)
+        assert got[k] == (v[(len(v) - 1) // 2] / 2 + v[len(v) // 2] / 2)
+    assert ranks.medians(df, [], "x").first()[0] == (lambda v: v[(len(v) - 1) // 2] / 2 + v[len(v) // 2] / 2)(sorted(x for _, x, _ in rows))
+    counts = df.groupBy("k", "x").agg(F.count("*").alias("n"))
+    plain = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    want = sorted(((r["k"], r["x"], r["n"], r["before"]) for r in plain.collect()), key=repr)
+    assert sorted(((r["k"], r["x"], r["n"], r["before_n"]) for r in ranks.positions(counts, ["k"], "x", ["n"]).collect()), key=repr) == want
+    x, y = ([r[i] for r in rows if r[0] == "a"] for i in (1, 2))
+    assert math.isclose(St.spearman(df.where("k = 'a'"), [], "x", "y").first()["rho"], corr(ranks_of(x), ranks_of(y)), abs_tol=1e-4)
+
+
+def ranks_of(v):
+    return ranks(v)
+
+
+def test_no_window_over_a_whole_key(spark):
+    df = spark.range(1000).selectExpr("id % 2 as k", "rand(1) as x", "rand(2) as y")
+    for out in (St.spearman(df, ["k"], "x", "y"), St.describe(df, ["k"], ["x", "y"]), St.wilcoxon(df, ["k"], "x", "y"), St.auc(df, ["k"], "x", F.col("y") > 0.5), St.roc_curve(df, [], "x", F.col("y") > 0.5)):
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in text.splitlines() if line.strip(" :+-").startswith("Window")]
+        # one over the rows of a range partition, one over the totals of the partitions
+        assert windows and all("_part" in line for line in windows), windows
+        assert "percentile" not in text and "median" not in text.lower().replace("median#", "").replace("as median", "")
