@@ -444,3 +444,6 @@ VALIDATION = [
     ('Random Baseline', 'GASE near 0', 'abs(gase) < 0.5'),
     ('Random Baseline', 'CD-index < 0.2', 'cd_index < 0.2'),
 ]
+
+# Fixed value: a negation that may reach a positive word beyond the window of four tokens.
+LONG_NEGATION = '\\b(no[nt]|never|nobody|nothing)\\b.*\\b(love|happy|good|trust)\\b'

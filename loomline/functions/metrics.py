@@ -219,6 +219,18 @@ def blame(sents: Column) -> dict[str, Column]:
     return {"self": F.size(own), "other": F.size(other), "self_pct": T.rounded(F.size(own) / total * 100, 1), "other_pct": T.rounded(F.size(other) / total * 100, 1), "self_evidence": cut(own), "other_evidence": cut(other)}
 
 
+def blame_band(own: Column, other: Column) -> Column:
+    """Whether more than 70 % of the blaming sentences blame oneself or the other; null without any."""
+    total = own + other
+    share = lambda n: T.rounded(n / total * 100, 1)
+    return F.when(total > 0, F.when(share(own) > 70, "self").when(share(other) > 70, "other").otherwise("balanced"))
+
+
+def pronoun_band(i: Column, you: Column, we: Column) -> Column:
+    """Whose pronouns dominate: self or other (more than twice the other's), else partnership (more we than I), else none."""
+    return F.when(i > you * 2, "self").when(you > i * 2, "other").when(we > i, "partnership").otherwise("none")
+
+
 def tense(paras: Column) -> Column:
     """Struct (past, present, future): means of the paragraphs' rounded percentages."""
     names = ("past", "present", "future")
@@ -269,9 +281,24 @@ def rules_fired(low: Column) -> Column:
     return F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(k)) for k, p in enumerate(fixed.RULE_PATTERNS, 1))))
 
 
+def rule_messages(low: Column, messages: list[str], sensitivity: str = "honest") -> Column:
+    """What the rules that fire have to say, from a list of one message a rule: mild ones end at the first full stop, brutal ones ask to be read again."""
+    if sensitivity not in ("mild", "honest", "brutal"):
+        raise ValueError("sensitivity is mild, honest or brutal")
+    said = {"mild": lambda t: t.split(".")[0] + ".", "honest": lambda t: t, "brutal": lambda t: t + " Read that again."}[sensitivity]
+    return F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(said(m))) for p, m in zip(fixed.RULE_PATTERNS, messages, strict=True))))
+
+
+#: How much each reason to distrust a document's scores weighs.
+SEVERITY = {"short": "high", "low_coverage": "high", "sarcasm": "medium", "negation_scope": "medium", "few_paragraphs": "low", "non_ascii": "low"}
+
+
 def failure_modes(c: Column, n_words: Column, coverage: Column, sarcastic: Column, paras: Column) -> Column:
-    """Reasons to distrust a document's scores."""
-    flags = {"short": n_words < 100, "low_coverage": coverage < 0.08, "sarcasm": sarcastic > 0, "few_paragraphs": F.size(paras) < 3, "non_ascii": c.rlike(r"[^\x00-\x7F]")}
+    """Reasons to distrust a document's scores, with their severities as in ``SEVERITY``."""
+    flags = {
+        "short": n_words < 100, "low_coverage": coverage < 0.08, "sarcasm": sarcastic > 0, "negation_scope": F.lower(c).rlike(fixed.LONG_NEGATION),
+        "few_paragraphs": F.size(paras) < 3, "non_ascii": c.rlike(r"[^\x00-\x7F]"),
+    }
     return F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in flags.items())))
 
 

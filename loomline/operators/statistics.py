@@ -256,36 +256,77 @@ def label_distribution(df: DataFrame, keys: Sequence[str], label: str) -> DataFr
     return g.withColumn("pct", T.rounded(100 * F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 1))
 
 
-def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, draws: int = 500, ci: float = 0.95, seed: int = 11) -> DataFrame:
-    """Percentile interval of the mean: point, lo, hi.
+#: Chances of a Poisson(1) number being at most 0, 1, 2 and so on, as thresholds of 64-bit hashes; beyond the last it is one more.
+_POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217]
+
+
+def _draw_weights(h, draws: int, seed: int):
+    """Poisson(1) weights of rows with hashes ``h`` in each resample: functions of hash, resample and seed only (a SplitMix64 step)."""
+    import numpy as np
+
+    x = h.astype(np.uint64)[:, None] + (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(np.array(_POISSON), ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53), side="right")
+
+
+def bootstrap_sums(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], statistic: Column, draws: int = 500, ci: float = 0.95, seed: int = 11) -> DataFrame:
+    """Percentile interval of any statistic of sums over rows: point, lo, hi, and n.
 
-    A resample gives each row a Poisson(1) weight, made from the row's own hash and the seed, so that all resamples are
-    weighted sums over one pass and a lost task repeats the same draws. Equal rows draw alike unless an id sets them apart.
+    ``sums`` names terms of a row (say s and ss for a value and its square), ``statistic`` is a Column over their sums and ``w``, the number of rows. A resample
+    gives each row a Poisson(1) weight, a function of the row's own hash, the resample and the seed: so all resamples are weighted
+    sums over one pass, partial sums merge over tasks, no task gets a group, and a lost task repeats the same draws. Equal
+    rows draw alike unless an id sets them apart. Rows with a term that is no number are left out; so are resamples without a row or
+    with an undefined statistic. One row has its point as both ends.
     """
     import numpy as np
     import pyarrow as pa
 
-    rows = df.where(_finite(value)).select(F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(*df.columns).alias("h"))
+    names, ks = list(sums), list(keys)
+    terms = df.withColumn("_h", F.xxhash64(*df.columns)).select(*ks, "_h", *(c.cast("double").alias(f"_{n}") for n, c in sums.items())).where(_finite(*(f"_{n}" for n in names)))
+    group = F.struct(*(F.col(k) for k in ks)) if ks else F.struct(F.lit(0).alias("_all"))
+    rows = terms.select(F.to_json(group, {"ignoreNullFields": "false"}).alias("g"), "_h", *(f"_{n}" for n in names))
 
-    def sums(batches):
+    def weighted(batches):
         acc: dict[str, np.ndarray] = {}
         for b in batches:
-            g, v, h = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            for k, x, y in zip(g, v, h, strict=True):
-                w = np.random.Generator(np.random.PCG64([int(y) & (1 << 64) - 1, seed])).poisson(1.0, draws)
-                got = acc.setdefault(k, np.zeros((2, draws)))
-                got[0] += w
-                got[1] += w * x
+            for first in range(0, b.num_rows, 2048):
+                part = b.slice(first, 2048)
+                gs, at = np.unique(np.array(part.column(0).to_pylist(), object), return_inverse=True)
+                w = _draw_weights(part.column(1).to_numpy(zero_copy_only=False), draws, seed).astype(float)
+                values = [np.ones(part.num_rows), *(part.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(names)))]
+                for k, g in enumerate(gs.tolist()):
+                    mine = at == k
+                    got = acc.setdefault(g, np.zeros((len(values), draws)))
+                    for i, v in enumerate(values):
+                        got[i] += v[mine] @ w[mine]
+            if len(acc) > 512:  # many groups: hand partial sums on
+                yield batch(acc)
+                acc = {}
         if acc:
-            yield pa.RecordBatch.from_arrays([pa.array(list(acc)), pa.array([x[0] for x in acc.values()]), pa.array([x[1] for x in acc.values()])], names=["g", "w", "s"])
-
-    part = rows.mapInArrow(sums, "g string, w array<double>, s array<double>").select("g", F.posexplode(F.arrays_zip("w", "s")).alias("i", "x")).groupBy("g", "i").agg(F.sum("x.s").alias("s"), F.sum("x.w").alias("w"))
-    means = part.where("w > 0").groupBy("g").agg(F.sort_array(F.collect_list(F.col("s") / F.col("w"))).alias("m"))  # draws values
-    lo, hi = (1 - ci) / 2, (1 + ci) / 2
-    at = lambda q: F.element_at("m", F.least(F.size("m"), F.floor(F.lit(q) * F.size("m")).cast("int") + 1))
-    point = rows.groupBy("g").agg(F.avg("v").alias("p"), F.count("*").alias("n"))
-    out = point.join(means, "g").select(*(F.split("g", "\x1f")[i].alias(k) for i, k in enumerate(keys)), "n", T.rounded(F.col("p")).alias("point"), F.when(F.col("n") == 1, F.col("p")).otherwise(T.rounded(at(lo))).alias("lo"), F.when(F.col("n") == 1, F.col("p")).otherwise(T.rounded(at(hi))).alias("hi"))
-    return out
+            yield batch(acc)
+
+    def batch(acc):
+        return pa.RecordBatch.from_arrays([pa.array(list(acc)), *(pa.array([x[i].tolist() for x in acc.values()], pa.list_(pa.float64())) for i in range(len(names) + 1))], names=["g", "w", *names])
+
+    parts = rows.mapInArrow(weighted, ", ".join(["g string", "w array<double>", *(f"{n} array<double>" for n in names)]))
+    each = parts.select("g", F.posexplode(F.arrays_zip("w", *names)).alias("i", "x")).groupBy("g", "i").agg(*(F.sum(f"x.{n}").alias(n) for n in ("w", *names)))
+    drawn = each.where("w > 0").select("g", statistic.cast("double").alias("v")).where(_finite("v")).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("m"))  # draws values
+    at = lambda q: F.get("m", F.least(F.size("m") - 1, F.floor(F.lit(q) * F.size("m")).cast("int")))
+    point = rows.groupBy("g").agg(F.count("*").cast("double").alias("w"), *(F.sum(f"_{n}").alias(n) for n in names)).select("g", F.col("w").cast("long").alias("n"), statistic.cast("double").alias("p"))
+    out = point.join(drawn, "g", "left").withColumn("k", F.from_json("g", rows_schema(df, ks)))
+    end = lambda q: F.when(F.col("n") == 1, F.col("p")).otherwise(T.rounded(at(q)))
+    return out.select(*(F.col("k")[k].alias(k) for k in ks), "n", T.rounded(F.col("p")).alias("point"), end((1 - ci) / 2).alias("lo"), end((1 + ci) / 2).alias("hi"))
+
+
+def rows_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    """Columns of a group key as a schema."""
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) or "_all int"
+
+
+def bootstrap_mean(df: DataFrame, keys: Sequence[str], value: str, draws: int = 500, ci: float = 0.95, seed: int = 11) -> DataFrame:
+    """Percentile interval of the mean: n, point, lo, hi. See :func:`bootstrap_sums`."""
+    return bootstrap_sums(df, keys, {"s": F.col(value)}, F.col("s") / F.col("w"), draws, ci, seed)
 
 
 def bootstrap(df: DataFrame, keys: Sequence[str], value: str, statistic, draws: int = 500, ci: float = 0.95, seed: int = 11) -> DataFrame:

@@ -309,13 +309,13 @@ select d.doc_id, coalesce(g.phase, 'unknown') as phase, coalesce((select max(par
 _any = lambda ps: "|".join(f"(?:{p})" for p in ps)
 _ev = lambda k: f"array_to_string(list_transform(list_slice(list(s order by ix) filter ({k}), 1, 5), lambda z: substr(z, 1, 80)), '|')"
 SQL["blame"] = narr(
-    f"select doc_id, o::int as own, t::int as other, {r('o / greatest(1, o + t)::double * 100', 1)} as own_pct, {r('t / greatest(1, o + t)::double * 100', 1)} as other_pct, coalesce(oe, '') as own_evidence, coalesce(te, '') as other_evidence from bg",
+    f"select doc_id, o::int as own, t::int as other, {r('o / greatest(1, o + t)::double * 100', 1)} as own_pct, {r('t / greatest(1, o + t)::double * 100', 1)} as other_pct, coalesce(oe, '') as own_evidence, coalesce(te, '') as other_evidence, case when o + t = 0 then null when {r('o / (o + t)::double * 100', 1)} > 70 then 'self' when {r('t / (o + t)::double * 100', 1)} > 70 then 'other' else 'balanced' end as band from bg",
     seg_sents(), f"bf as (select doc_id, ix, s, {found('lower(s)', _any(fixed.SELF_BLAME_PATTERNS))} as a, {found('lower(s)', _any(fixed.OTHER_BLAME_PATTERNS))} as b from segs)", f"bg as (select doc_id, count(*) filter (a) as o, count(*) filter (b) as t, {_ev('a')} as oe, {_ev('b')} as te from bf group by doc_id)",
 )
 _ex = {k.lower().replace(" ", "_"): has("lower(text)", v) for k, v in fixed.EXIT_SIGNALS.items()}
 SQL["exit_signals"] = narr(f"select *, {band('total', *M.BANDS['exit'])} as band from (select doc_id, {', '.join(f'{v}::int as {k}' for k, v in _ex.items())}, ({' + '.join(_ex.values())})::int as total from docs)")
 _top = "array_to_string(list_slice(list_filter([" + ", ".join(f"case when {among('t', [w])} > 0 then '{w}=' || {among('t', [w])} end" for w in fixed.CONTROL_VERBS) + "], lambda z: z is not null), 1, 5), ',')"
-SQL["power_dynamics"] = narr(f"select doc_id, {among('t', fixed.CONTROL_VERBS)}::int as control, {among('t', fixed.SACRIFICE_VERBS)}::int as sacrifice, {among('t', fixed.INITIATE_VERBS)}::int as initiation, {_apo}::int as apology, {among('t', ['i', 'me', 'my'])}::int as i, {among('t', ['you', 'your'])}::int as you, {among('t', ['we', 'us', 'our'])}::int as we, {_top} as control_top from tt", TT)
+SQL["power_dynamics"] = narr(f"select doc_id, {among('t', fixed.CONTROL_VERBS)}::int as control, {among('t', fixed.SACRIFICE_VERBS)}::int as sacrifice, {among('t', fixed.INITIATE_VERBS)}::int as initiation, {_apo}::int as apology, {among('t', ['i', 'me', 'my'])}::int as i, {among('t', ['you', 'your'])}::int as you, {among('t', ['we', 'us', 'our'])}::int as we, {_top} as control_top, case when i > 2 * you then 'self' when you > 2 * i then 'other' when we > i then 'partnership' else 'none' end as band from tt", TT)
 SQL["entities"] = narr(
     f"select doc_id, array_to_string(list_slice(regexp_extract_all(text, {q(M.DATES.replace('(?:', '(?:'))}, 1), 1, 10), '|') as dates, {', '.join(f'{occ("lower(text)", x)}::int as role_{x}' for x in fixed.ROLES)}, coalesce(names, '') as names from docs left join nt using (doc_id)",
     "nm as (" + explode("docs", "regexp_extract_all(text, '\\b([A-Z][a-z]{2,})\\b', 1)", "ix", "name") + ")", f"nc as (select doc_id, name, count(*) as n, min(ix) as first from nm where not list_contains({sql_list(fixed.COMMON_CAPS)}, name) group by doc_id, name)",
@@ -331,8 +331,12 @@ SQL["tense"] = narr(
 _fl = lambda k: k.lower().replace(" & ", "_").replace(" ", "_")
 SQL["red_flags"] = narr(f"select doc_id, {', '.join(f'({" + ".join(hits("lower(text)", p) for p in ps)})::int as {_fl(k)}' for k, ps in fixed.RED_FLAGS.items())} from docs")
 SQL["rules_fired"] = narr("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {found('lower(text)', p)} then '{k}' end" for k, p in enumerate(fixed.RULE_PATTERNS, 1)) + "], lambda z: z is not null), ',') as rules from docs")
-_fm = {"short": "nw < 100", "low_coverage": "cov / nw::double < 0.08", "sarcasm": "n_sarcasm > 0", "few_paragraphs": "np < 3", "non_ascii": "regexp_matches(text, '[^\\x00-\\x7F]')"}
-SQL["failure_modes"] = narr("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {v} then '{k}' end" for k, v in _fm.items()) + "], lambda z: z is not null), ',') as modes from fx", *SCORED, TT, f"fx as (select doc_id, text, greatest(1, len(t)) as nw, {among('t', [e.term for e in LEX.words])} as cov, n_sarcasm, len({paras('text')}) as np from tt join me using (doc_id))")
+_fm = {"short": "nw < 100", "low_coverage": "cov / nw::double < 0.08", "sarcasm": "n_sarcasm > 0", "negation_scope": r"regexp_matches(lower(text), '\b(no[nt]|never|nobody|nothing)\b.*\b(love|happy|good|trust)\b')", "few_paragraphs": "np < 3", "non_ascii": "regexp_matches(text, '[^\\x00-\\x7F]')"}
+_sev = {"high": ("short", "low_coverage"), "medium": ("sarcasm", "negation_scope"), "low": ("few_paragraphs", "non_ascii")}
+SQL["failure_modes"] = narr(
+    "select doc_id, array_to_string(list_filter([" + ", ".join(f"case when {v} then '{k}' end" for k, v in _fm.items()) + "], lambda z: z is not null), ',') as modes, case " + " ".join(f"when {' or '.join(_fm[k] for k in ks)} then '{v}'" for v, ks in _sev.items()) + " else 'none' end as worst from fx",
+    *SCORED, TT, f"fx as (select doc_id, text, greatest(1, len(t)) as nw, {among('t', [e.term for e in LEX.words])} as cov, n_sarcasm, len({paras('text')}) as np from tt join me using (doc_id))",
+)
 SQL["bands"] = "with v as (select o_orderkey, (o_orderkey * 37 % 2001) / 1000.0 - 1.0 as v from orders) select o_orderkey, " + ", ".join(f"{band('v', *b)} as {k}" for k, b in M.BANDS.items()) + " from v"
 
 # --- frequency ---

@@ -346,7 +346,7 @@ def dissolution(spark, sf_dir):
 def blame(spark, sf_dir):
     b = M.blame(F.col("sents"))
     a = D.annotate(narr(spark, sf_dir))
-    return a.select("doc_id", b["self"].alias("own"), b["other"].alias("other"), b["self_pct"].alias("own_pct"), b["other_pct"].alias("other_pct"), F.array_join(b["self_evidence"], "|").alias("own_evidence"), F.array_join(b["other_evidence"], "|").alias("other_evidence"))
+    return a.select("doc_id", b["self"].alias("own"), b["other"].alias("other"), b["self_pct"].alias("own_pct"), b["other_pct"].alias("other_pct"), F.array_join(b["self_evidence"], "|").alias("own_evidence"), F.array_join(b["other_evidence"], "|").alias("other_evidence"), M.blame_band(b["self"], b["other"]).alias("band"))
 
 
 @query
@@ -362,7 +362,7 @@ def power_dynamics(spark, sf_dir):
     a = D.annotate(narr(spark, sf_dir))
     p = M.power(F.col("low"), F.col("toks"))
     top = F.array_join(F.transform(p.pop("control_top"), lambda x: F.concat_ws("=", x["word"], x["n"].cast("string"))), ",")
-    return a.select("doc_id", *(v.alias(k) for k, v in p.items()), top.alias("control_top"))
+    return a.select("doc_id", *(v.alias(k) for k, v in p.items()), top.alias("control_top"), M.pronoun_band(p["i"], p["you"], p["we"]).alias("band"))
 
 
 @query
@@ -401,11 +401,17 @@ def rules_fired(spark, sf_dir):
     return narr(spark, sf_dir).select("doc_id", F.array_join(M.rules_fired(F.lower("text")).cast("array<string>"), ",").alias("rules"))
 
 
+def _worst(modes):
+    """The highest severity among some failure modes."""
+    of = lambda level: F.arrays_overlap(modes, F.array(*(F.lit(k) for k, v in M.SEVERITY.items() if v == level)))
+    return F.when(of("high"), "high").when(of("medium"), "medium").when(of("low"), "low").otherwise("none")
+
+
 @query
 def failure_modes(spark, sf_dir):
     a = annotated(spark, sf_dir)
     n = F.greatest(F.lit(1), F.size("toks"))
-    return a.select("doc_id", F.array_join(M.failure_modes(F.col("text"), n, T.among(F.col("toks"), [e.term for e in starter().words]) / n, F.col("n_sarcasm"), F.col("paras")), ",").alias("modes"))
+    return a.select("doc_id", F.array_join(M.failure_modes(F.col("text"), n, T.among(F.col("toks"), [e.term for e in starter().words]) / n, F.col("n_sarcasm"), F.col("paras")), ",").alias("modes")).withColumn("worst", _worst(F.split("modes", ",")))
 
 
 @query

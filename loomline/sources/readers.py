@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
+from loomline.scratch import materialize
 
 CORPUS = "id string, text string, sentiment string, emotion string, attachment string"
 # Header names that hold texts and labels, the names of multi-label emotions by number, and what labels stand for.
@@ -120,13 +121,30 @@ def session_transcript(df: DataFrame, order: Sequence[str] = ("turn_id",), sessi
 
 
 def session_runs(df: DataFrame, line: str, session: str = "session_id", speaker: str = "speaker", text: str = "text", keep: str = "C", chunk: str | None = None) -> DataFrame:
-    """Run-length version over a file's line order, per file (``chunk``): a session that comes back starts a new run."""
+    """Run-length version over a file's line order, per file (``chunk``) or over all rows: a session that comes back starts a new run.
+
+    A segmented scan: rows are dealt in ranges of lines; inside a range a run starts where the session differs from the row before, and the first row of
+    a range is compared with the last of the range before (one row a range); run numbers are running sums of starts, carried from range to
+    range. No task gets a whole file. Rows without a session start a run each.
+    """
+    from loomline.operators.ranks import join_on
+
     by = [chunk] if chunk else []
-    w = Window.partitionBy(*by).orderBy(line)
-    kept = df.where(F.upper(speaker) == keep).withColumn("new", (F.coalesce(F.lag(session).over(w) != F.col(session), F.lit(True))).cast("int"))
-    runs = kept.withColumn("run", F.sum("new").over(w))
-    g = runs.groupBy(*by, "run", session).agg(F.sort_array(F.collect_list(F.struct(line, F.col(text).alias("t")))).alias("l"))
-    return g.select(*by, F.concat(F.lit("s"), F.col(session).cast("string")).alias("id"), "run", F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
+    kept = df.where(F.upper(speaker) == keep).select(*by, F.col(line).alias("_line"), F.col(session).alias("_s"), F.col(text).alias("_t"))
+    rows = materialize(kept.repartitionByRange(*by, "_line").withColumn("_part", F.spark_partition_id()), "lines")
+    starts = lambda before: F.coalesce(before != F.col("_s"), F.lit(True)).cast("int")
+    inside = Window.partitionBy(*by, "_part").orderBy("_line")
+    ranges = Window.partitionBy(*by).orderBy("_part")
+    x = rows.withColumns({"_first": F.row_number().over(inside) == 1, "_new": starts(F.lag("_s").over(inside))})
+    ends = rows.groupBy(*by, "_part").agg(F.max_by("_s", "_line").alias("_last"), F.min_by("_s", "_line").alias("_s"))
+    stitched = ends.select(*by, "_part", starts(F.lag("_last").over(ranges)).alias("_head"))
+    own = x.groupBy(*by, "_part").agg(F.sum(F.when(F.col("_first"), 0).otherwise(F.col("_new"))).alias("_more"))
+    heads = join_on(stitched, own, [*by, "_part"])
+    carry = heads.select(*by, "_part", "_head", F.coalesce(F.sum(F.col("_head") + F.col("_more")).over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    run = F.col("_before") + F.sum(F.when(F.col("_first"), F.col("_head")).otherwise(F.col("_new"))).over(inside)
+    runs = join_on(x, carry, [*by, "_part"]).withColumn("run", run)
+    g = runs.groupBy(*by, "run", "_s").agg(F.sort_array(F.collect_list(F.struct("_line", "_t"))).alias("l"))
+    return g.select(*by, F.concat(F.lit("s"), F.col("_s").cast("string")).alias("id"), "run", F.array_join(F.transform("l", lambda x: x["_t"]), " ").alias("text"))
 
 
 def multi_label(df: DataFrame, least_words: int = 4, names: Sequence[str] = tuple(EMOTION_NAMES)) -> DataFrame:

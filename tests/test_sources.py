@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -153,3 +154,29 @@ def test_rows_without_an_id_are_numbered(spark, tmp_path):
     several = R.numbered(spark.read.csv(str(tmp_path / "n"), header=True, multiLine=True)).collect()
     assert sorted((r["_file"][-5:], r["_row"]) for r in several) == [("a.csv", 0), ("a.csv", 1), ("a.csv", 2), ("b.csv", 0)]
     assert R.labelled_csv(spark, put(tmp_path / "none.csv", "text,sentiment\n")).count() == 0
+
+
+def test_session_runs_over_ranges_of_lines(spark):
+    from pyspark.sql import Window
+
+    rng = random.Random(2)
+    rows, session = [], 0
+    for k in range(600):
+        session = rng.choice([session, session, session, rng.randrange(4), None])
+        rows.append((k, session, rng.choice("CCCT"), f"t{k}", k % 2))
+    df = spark.createDataFrame(rows, "line long, session_id long, speaker string, text string, file int").repartition(6)
+
+    def plain(by):
+        w = Window.partitionBy(*by).orderBy("line")
+        x = df.where("speaker = 'C'").withColumn("new", F.coalesce(F.lag("session_id").over(w) != F.col("session_id"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
+        out = {}
+        for r in x.orderBy("line").collect():
+            out.setdefault((*(r[b] for b in by), r["run"], None if r["session_id"] is None else f"s{r['session_id']}"), []).append(r["text"])
+        return sorted(((*k, " ".join(v)) for k, v in out.items()), key=repr)
+
+    for by in ([], ["file"]):
+        got = R.session_runs(df, "line", chunk=by[0] if by else None)
+        assert sorted(((*(r[b] for b in by), r["run"], r["id"], r["text"]) for r in got.collect()), key=repr) == plain(by)
+        windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.strip(" :+-").startswith("Window")]
+        assert windows and all("_part" in x for x in windows)
+    assert R.session_runs(df.limit(0), "line").count() == 0

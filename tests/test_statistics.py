@@ -191,3 +191,25 @@ def test_no_window_over_a_whole_key(spark):
         # one over the rows of a range partition, one over the totals of the partitions
         assert windows and all("_part" in line for line in windows), windows
         assert "percentile" not in text and "median" not in text.lower().replace("median#", "").replace("as median", "")
+
+
+def test_bootstrap_of_sums_against_a_plain_version(spark):
+    import numpy as np
+
+    rng = random.Random(13)
+    rows = [(rng.choice(["a", "b", None]), k, rng.gauss(3, 2)) for k in range(400)] + [("one", 900, 7.25), ("a", 901, float("nan")), ("a", 902, None)]
+    df = spark.createDataFrame(rows, "k string, id long, x double").repartition(5)
+    variance = F.col("ss") / F.col("w") - (F.col("s") / F.col("w")) * (F.col("s") / F.col("w"))
+    got = {r["k"]: r for r in St.bootstrap_sums(df, ["k"], {"s": F.col("x"), "ss": F.col("x") * F.col("x")}, variance, draws=200).collect()}
+    hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("k", "id", "x").alias("h")).collect()}
+    for k in ("a", "b", None, "one"):
+        mine = [(hashes[i], x) for key, i, x in rows if key == k and x is not None and not math.isnan(x)]
+        w = St._draw_weights(np.array([h for h, _ in mine], np.int64), 200, 11)
+        x = np.array([x for _, x in mine])
+        drawn = sorted(float((c * x * x).sum() / c.sum() - ((c * x).sum() / c.sum()) ** 2) for c in w.T if c.sum())
+        assert got[k]["n"] == len(mine) and math.isclose(got[k]["point"], x.var(), abs_tol=1e-4)
+        if len(mine) > 1:
+            assert math.isclose(got[k]["lo"], drawn[int(0.025 * len(drawn))], abs_tol=2e-4) and math.isclose(got[k]["hi"], drawn[min(len(drawn) - 1, int(0.975 * len(drawn)))], abs_tol=2e-4)
+            assert got[k]["lo"] < got[k]["point"] < got[k]["hi"]
+    w = St._draw_weights(np.arange(20_000), 50, 1)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03
