@@ -37,47 +37,57 @@ def language_model(docs: DataFrame) -> langid.Model:
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from labelled rows outside the held-out fold; null and empty texts are scored as texts of no line."""
     docs = table(spark, sf_dir, "documents")
     scored = quality_crf.classify(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", _fold(5, 0).alias("held_out"), "score", "predicted", "good_share", "n_lines")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts by kind, and spans by the base patterns and by guess cost, with a public vocabulary as the dictionary of words; null texts are empty."""
     return secret_scan.digest(secret_scan.spans(table(spark, sf_dir, "documents"), words=secret_scan.read_words(vocabulary(), secret_scan.WORDS)))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and their decoded text, as digests; null texts are empty."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, fitting rule and verdict of every page; null URLs have an empty host and path."""
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, a row a piece; null texts are empty."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out fold; und for texts without a letter."""
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, language_model(docs))
     return found.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for each whose id 20 divides; invalid vectors take no part."""
     rows = table(spark, sf_dir, "embeddings")
     return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; texts without words share fingerprint zero."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector by cosine; invalid vectors link with nothing."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back: digest, record type and what a revisit refers to; null payloads are empty."""
     return warc.archive(table(spark, sf_dir, "pages")).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -97,6 +107,7 @@ def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline, one after the other."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

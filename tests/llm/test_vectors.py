@@ -107,3 +107,21 @@ def test_ann_searches_each_length(spark):
     df = spark.createDataFrame(few, "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect() if r["query_id"] >= 40)
     assert got == [(40, 5, 0.5)]
+
+
+def test_recall_of_the_registered_query(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    found = {}
+    for r in op7_ann(spark, sf).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids, v = np.array([i for i, _ in rows]), np.stack([x for _, x in rows])
+    hit = total = 0
+    for q, x in rows:
+        if q % 20 == 0:
+            score = v @ x
+            score[ids == q] = -np.inf
+            best = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+            assert len(found[q]) == 20
+            hit, total = hit + len(best & found[q]), total + 20
+    assert hit >= 0.9 * total
