@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ NEGATIVE = [
     "anger", "annoyance", "disappointment", "disapproval", "disgust", "embarrassment", "fear", "grief", "nervousness", "remorse", "sadness", "angry", "sad", "afraid", "terrified", "anxious", "ashamed", "guilty",
     "jealous", "lonely", "devastated", "disgusted", "furious", "annoyed", "embarrassed", "disappointed", "shame", "guilt",
 ]
+DIALOGUE_NAMES = ["neu", "anger", "disgust", "fear", "joy", "sadness", "surprise"]
+DIALOGUE_SENTIMENT = {"joy": "pos", "surprise": "pos", "neu": "neu", "anger": "neg", "disgust": "neg", "fear": "neg", "sadness": "neg"}
+DIALOGUE_TEXTS = ["utterance", "text", "sentence"]
+TURN_IDS = ["conv_id", "id", "dialog_id"]
+TURN_NUMBERS = ["utterance_idx", "turn_idx", "idx"]
 DIALOGUE_EMOTIONS = ["none", "anger", "disgust", "fear", "happiness", "sadness", "surprise"]
 
 
@@ -163,11 +170,32 @@ def resolve_headers(columns: Sequence[str]) -> tuple[str, str | None]:
     return text, next((low[n] for n in LABEL_HEADERS if n in low and low[n] != text), None)
 
 
-def aliased(df: DataFrame, least_words: int = 3) -> DataFrame:
-    """Corpus rows of a frame with unknown headers."""
-    text, label = resolve_headers(df.columns)
+def _padded(n: Column, width: int) -> Column:
+    """A number in ``width`` digits at least."""
+    t = n.cast("string")
+    return F.when(F.length(t) < width, F.lpad(t, width, "0")).otherwise(t)
+
+
+def turn_ids(df: DataFrame, split: str, kind: str = "ed") -> Column:
+    """``<kind>_<split>_<conversation>_<turn>`` from the columns that hold them by alias; without a conversation its row number in five digits, without a turn 0."""
+    low = {c.strip().lower(): c for c in df.columns}
+    pick = lambda names: next((low[n] for n in names if n in low), None)
+    conv, turn = pick(TURN_IDS), pick(TURN_NUMBERS)
+    return F.concat_ws("_", F.lit(kind), F.lit(split), F.col(conv).cast("string") if conv else _padded(F.col("_row"), 5), F.col(turn).cast("string") if turn else F.lit("0"))
+
+
+def turn_csv(spark: SparkSession, path: str, split: str, least_words: int = 4) -> DataFrame:
+    """As :func:`aliased_csv`, with ids by :func:`turn_ids`."""
+    raw = numbered(spark.read.csv(path, header=True, multiLine=True, escape='"')).drop("_file")
+    named = raw.withColumn("_id", turn_ids(raw, split))
+    return aliased(named.drop("_row"), least_words, "_id")
+
+
+def aliased(df: DataFrame, least_words: int = 3, id_col: str | None = None) -> DataFrame:
+    """Corpus rows of a frame with unknown headers; ``id_col`` names a column of ids."""
+    text, label = resolve_headers([c for c in df.columns if c != id_col])
     emotion = F.lower(F.trim(F.regexp_replace(F.col(label).cast("string"), "^[\"']+|[\"']+$", ""))) if label else F.lit("none")
-    x = df.select(T.strip(F.regexp_replace(F.col(text).cast("string"), "^[\"']+|[\"']+$", "")).alias("text"), emotion.alias("emotion"))
+    x = df.select(*([F.col(id_col).alias("id")] if id_col else []), T.strip(F.regexp_replace(F.col(text).cast("string"), "^[\"']+|[\"']+$", "")).alias("text"), emotion.alias("emotion"))
     return corpus_rows(words_at_least(x.withColumn("sentiment", sentiment_of(F.col("emotion"))), least_words))
 
 
@@ -176,10 +204,26 @@ def aliased_csv(spark: SparkSession, path: str, least_words: int = 3, sep: str =
 
 
 def sniffed_csv(spark: SparkSession, path: str, least_words: int = 5) -> DataFrame:
-    """As :func:`aliased_csv` with the separator found in the header: the first of comma, bar, tab, semicolon in it."""
+    """As :func:`aliased_csv` with the first of comma, bar, tab and semicolon that cuts a known text header out and yields rows with enough words; comma if none does."""
     head = spark.read.text(path).first()
     line = head[0] if head else ""
-    return aliased_csv(spark, path, least_words, next((s for s in (",", "|", "\t", ";") if s in line), ","))
+    for sep in (",", "|", "\t", ";"):
+        if sep in line and any(c.strip(' "').lower() in TEXT_HEADERS for c in line.split(sep)):
+            rows = aliased_csv(spark, path, least_words, sep)
+            if not rows.isEmpty():
+                return rows
+    return aliased_csv(spark, path, least_words)
+
+
+def corpus_or_folder(spark: SparkSession, table: str, folder: str) -> DataFrame:
+    """Corpus rows of a CSV file with some text; where there is no such file, of the text files of a folder, named by their stems."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        rows = labelled_csv(spark, table)
+    else:
+        files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+        rows = corpus_rows(files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("id"), F.col("value").alias("text")))
+    return rows.where("text <> ''")
 
 
 def parquet_emotions(spark: SparkSession, path: str, least_words: int = 3) -> DataFrame:
@@ -212,6 +256,56 @@ def split_dialogue(df: DataFrame, column: str = "value", least_words: int = 5) -
     return words_at_least(x, least_words)
 
 
+def _dialogue(df: DataFrame, least_words: int) -> DataFrame:
+    """Corpus rows of id, text and the emotion's number as text."""
+    e = F.coalesce(F.get(F.array(*map(F.lit, DIALOGUE_NAMES)), F.expr("try_cast(trim(emotion) as int)")), F.lit("neu"))
+    names = F.create_map(*(F.lit(x) for p in DIALOGUE_SENTIMENT.items() for x in p))
+    x = df.select("id", T.strip(F.col("text")).alias("text"), e.alias("emotion"))
+    return corpus_rows(words_at_least(x, least_words).withColumn("sentiment", names[F.col("emotion")]))
+
+
+def dialogue_csv(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """A CSV file of dialogues in any of three layouts: a dialogue a row, as two lists written out (``dialog``, ``emotion``); an utterance a row
+    (``utterance``, ``text`` or ``sentence``, and ``emotion`` by number); else texts in the first column, without labels. Ids name the split's first two letters,
+    the row and the utterance."""
+    raw = numbered(spark.read.csv(path, header=True, multiLine=True, escape='"')).drop("_file")
+    low = {c.strip().lower(): c for c in raw.columns}
+    tag = F.lit(f"dd_{split[:2]}")
+    if "dialog" in low:
+
+        @F.pandas_udf("array<struct<text:string,emotion:string>>")
+        def turns(dialogs: pd.Series, emotions: pd.Series) -> pd.Series:
+            def one(d: str | None, e: str | None) -> list[dict]:
+                try:
+                    said = [str(u) for u in ast.literal_eval((d or "").strip())]
+                except (ValueError, SyntaxError, TypeError):
+                    said = (d or "").strip().strip("[]'\"").split("__eou__")
+                try:
+                    felt = list(ast.literal_eval((e or "").strip()))
+                except (ValueError, SyntaxError, TypeError):
+                    felt = [0] * len(said)
+                return [{"text": t, "emotion": str(f)} for t, f in zip(said, felt, strict=False)]
+
+            return pd.Series([one(d, e) for d, e in zip(dialogs, emotions, strict=True)])
+
+        felt = F.col(low["emotion"]) if "emotion" in low else F.lit(None).cast("string")
+        x = raw.select("_row", F.posexplode(turns(F.col(low["dialog"]), felt)).alias("_u", "t")).select(F.concat_ws("_", tag, _padded(F.col("_row"), 4), _padded(F.col("_u"), 2)).alias("id"), "t.text", "t.emotion")
+        return _dialogue(x, 5)
+    named = F.concat_ws("_", tag, _padded(F.col("_row"), 5)).alias("id")
+    text = next((low[n] for n in DIALOGUE_TEXTS if n in low), None)
+    if text:
+        return _dialogue(raw.select(named, F.col(text).alias("text"), (F.col(low["emotion"]) if "emotion" in low else F.lit("0")).alias("emotion")), 4)
+    return corpus_rows(words_at_least(raw.select(named, T.strip(F.col(raw.columns[0])).alias("text")), 5))
+
+
+def paired_dialogues(spark: SparkSession, texts: str, emotions: str) -> DataFrame:
+    """Two files by line: utterances ended by ``__eou__``, and as many emotions by number between blanks."""
+    t = numbered_lines(spark, texts).select("line", F.split("value", "__eou__").alias("u"))
+    e = numbered_lines(spark, emotions).select("line", F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("e"))
+    z = t.join(e, "line").select("line", F.posexplode(F.arrays_zip("u", "e")).alias("_u", "z")).where("z.u is not null and z.e is not null")
+    return _dialogue(z.select(F.concat_ws("_", F.lit("dd"), _padded(F.col("line"), 4), _padded(F.col("_u"), 2)).alias("id"), F.col("z.u").alias("text"), F.col("z.e").alias("emotion")), 5)
+
+
 def utterances(frames: Sequence[DataFrame], least_words: int = 4) -> DataFrame:
     """Union of splits with columns Utterance and Emotion."""
     from loomline.operators.evaluation import union_all

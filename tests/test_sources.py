@@ -180,3 +180,33 @@ def test_session_runs_over_ranges_of_lines(spark):
         windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if x.strip(" :+-").startswith("Window")]
         assert windows and all("_part" in x for x in windows)
     assert R.session_runs(df.limit(0), "line").count() == 0
+
+
+def test_dialogue_layouts(spark, tmp_path):
+    rows = lambda df: sorted((r["id"], r["text"], r["emotion"], r["sentiment"]) for r in df.collect())
+    a = put(tmp_path / "train.csv", "dialog,emotion,act\n\"['it is a fine day', \"\"you're late again my friend\"\", 'no']\",\"[4, 1, 0]\",x\n\"what a great surprise this is __eou__ ok __eou__\",\"[6, 0]\",x\n")
+    assert rows(R.dialogue_csv(spark, a, "train")) == [("dd_tr_0000_00", "it is a fine day", "joy", "pos"), ("dd_tr_0000_01", "you're late again my friend", "anger", "neg"), ("dd_tr_0001_00", "what a great surprise this is", "surprise", "pos")]
+    b = put(tmp_path / "test.csv", "Utterance,emotion\nwe are here now,3\ntoo short,1\nand one more line,x\n")
+    assert rows(R.dialogue_csv(spark, b, "test")) == [("dd_te_00000", "we are here now", "fear", "neg"), ("dd_te_00002", "and one more line", "neu", "neu")]
+    c = put(tmp_path / "valid.csv", "what,ever\none two three four five,1\nshort,2\n")
+    assert rows(R.dialogue_csv(spark, c, "valid")) == [("dd_va_00000", "one two three four five", "none", "neu")]
+    t = put(tmp_path / "dialogues_text.txt", "how are you today friend __eou__ ok __eou__\nthat is really very sad news __eou__\n")
+    e = put(tmp_path / "dialogues_emotion.txt", "4 0\n5\n")
+    assert rows(R.paired_dialogues(spark, t, e)) == [("dd_0000_00", "how are you today friend", "joy", "pos"), ("dd_0001_00", "that is really very sad news", "sadness", "neg")]
+
+
+def test_turn_ids_separators_and_fallback(spark, tmp_path):
+    p = put(tmp_path / "ed.csv", "conv_id,utterance_idx,context,utterance\nhit:1,2,joyful,I got a new dog\nhit:1,3,joyful,no\n")
+    assert [(r["id"], r["sentiment"], r["emotion"]) for r in R.turn_csv(spark, p, "train").collect()] == [("ed_train_hit:1_2", "pos", "joyful")]
+    q = put(tmp_path / "no_ids.csv", "text,label\nonly three words,x\nI got a new dog,afraid\n")
+    assert [(r["id"], r["sentiment"]) for r in R.turn_csv(spark, q, "test").collect()] == [("ed_test_00001_0", "neg")]
+    # the comma of the header cuts it, but only the bar yields rows
+    s = put(tmp_path / "bars.csv", "label, old|text\nanger|five words are in here, yes\n")
+    assert [r["text"] for r in R.sniffed_csv(spark, s).collect()] == ["five words are in here, yes"]
+    (tmp_path / "posts").mkdir()
+    put(tmp_path / "posts" / "p1.txt", " a post \n")
+    put(tmp_path / "posts" / "p2.txt", "  ")
+    put(tmp_path / "posts" / "x.md", "no")
+    assert [(r["id"], r["text"], r["sentiment"]) for r in R.corpus_or_folder(spark, str(tmp_path / "none.csv"), str(tmp_path / "posts")).collect()] == [("p1", "a post", "neu")]
+    c = put(tmp_path / "corpus.csv", "id,text,sentiment\n1,one,pos\n2, ,neg\n")
+    assert [r["id"] for r in R.corpus_or_folder(spark, c, str(tmp_path / "posts")).collect()] == ["1"]
