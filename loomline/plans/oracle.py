@@ -389,11 +389,13 @@ SQL["corpus_union"] = """select origin, lang, role, count(*) as n, sum(length(te
 SQL["capped_rows"] = "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as rn from documents) where rn <= 5"
 
 # --- statistics ---
+# the mean of the two middle values, as they stand
+MEDIAN = "(list_sort(list(v))[(count(*) + 1) // 2] + list_sort(list(v))[count(*) // 2 + 1]) / 2.0"
 ORD = f"""od as (select o_orderkey, o_custkey, o_orderpriority as dataset, o_totalprice as price, qty, n_lines, {r('disc', 2)} as disc from orders join (select l_orderkey as o_orderkey, sum(l_quantity) as qty, count(*) as n_lines, sum(l_discount) as disc from lineitem group by 1) using (o_orderkey))"""
 
 
 _desc = " union all ".join(f"select dataset, '{m}' as metric, {m}::double as v from od" for m in ("price", "qty", "n_lines", "disc"))
-SQL["describe"] = f"""with {ORD}, l as ({_desc}) select dataset, metric, {r(r('avg(v)'), 2)} as mean, {r(r('coalesce(stddev_samp(v), 0.0)'), 2)} as sd, {r('median(v)')} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"""
+SQL["describe"] = f"""with {ORD}, l as ({_desc}) select dataset, metric, {r(r('avg(v)'), 2)} as mean, {r(r('coalesce(stddev_samp(v), 0.0)'), 2)} as sd, {r(MEDIAN)} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"""
 SCO = f"""sd as (select d.doc_id, lang, case when toxic = 1 then 'neg' when quality = 1 and d.doc_id % 3 > 0 then 'pos' else 'neu' end as gold, {r('length(text) % 201 / 100.0 - 1.0', 2)} as s1, {r('(d.doc_id * 7919 + length(text) * 31) % 101 / 50.0 - 1.0', 2)} as s2 from labels join documents d using (doc_id))"""
 PRED = f"pd as (select *, {LABEL('s1')} as pred, {LABEL('s2')} as pred2 from sd)"
 SQL["confusion"] = f"with {SCO}, {PRED} select lang, gold, pred, count(*) as n from pd group by lang, gold, pred"
@@ -544,7 +546,7 @@ dsum as (select dataset, (select count(*) from mr where mr.dataset = m.dataset)
 SQL["dataset_summary"] = f"with {MET}, {_DSUM} select * from dsum"
 SQL["dataset_rollup"] = f"with {MET}, {_DSUM} select dataset, {r('main_f1', 3)} as main_f1, {r('main_auc', 3)} as main_auc, {r('main_r', 3)} as main_r from dsum union all select 'mean', {r('avg(main_f1)', 3)}, {r('avg(main_auc)', 3)}, {r('avg(main_r)', 3)} from dsum"
 _ms = " union all ".join(f"select dataset, '{m}' as metric, {m}::double as v from mr" for m in ("sentiment", "gase", "pti", "teg", "rci", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score", "liwc_score", "n_words"))
-SQL["metric_summary"] = f"with {MET}, l as ({_ms}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, {r('median(v)')} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"
+SQL["metric_summary"] = f"with {MET}, l as ({_ms}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, {r(MEDIAN)} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"
 _dp = " union all ".join(f"select dataset, '{m}' as metric, {m} as v from c" for m in ("gase", "pti", "teg", "pai", "rci"))
 SQL["domain_profile"] = f"with {MET}, c as (select * from (select *, row_number() over (partition by dataset order by doc_id) as rn from mr) where rn <= 30), l as ({_dp}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, min(v) as min, max(v) as max, count(*) as n from l group by dataset, metric"
 
