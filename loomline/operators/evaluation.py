@@ -99,7 +99,7 @@ def ablation_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = T.rounded
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return df.groupBy(*keys).agg(
-        F.count("*").alias("n"), r(F.avg("gase")).alias("gase_mean"), r(z(F.stddev_samp("gase"))).alias("gase_sd"), r(z(F.avg("lewi_drop"))).alias("lewi_mean"), r(z(F.stddev_samp("lewi_drop"))).alias("lewi_sd"),
+        F.count("*").alias("n"), r(T.mean_of_places(F.col("gase"))).alias("gase_mean"), r(z(F.stddev_samp("gase"))).alias("gase_sd"), r(z(T.mean_of_places(F.col("lewi_drop")))).alias("lewi_mean"), r(z(F.stddev_samp("lewi_drop"))).alias("lewi_sd"),
         r(100 * F.avg((F.abs("rci") > 0.001).cast("double")), 1).alias("rci_nonzero_pct"), F.count("nava").alias("nava_valid_n"),
     )
 
@@ -109,7 +109,7 @@ def experiment(df: DataFrame, keys: Sequence[str], x: str, y: str, floor: float,
 
     Keys with fewer than ``least`` complete rows are left out, or, with ``all_keys``, have r 0 and p 1.
     """
-    mean = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(T.rounded(F.avg(x)).alias(f"{x}_mean"))
+    mean = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(T.rounded(T.mean_of_places(F.col(x))).alias(f"{x}_mean"))
     p = St.pearson(df, keys, x, y).join(mean, list(keys), "left")
     enough = F.col("n") >= least
     if all_keys:
@@ -158,12 +158,12 @@ def dataset_summary(df: DataFrame, keys: Sequence[str], gold: str = "gold_sentim
 
 def rollup(per_dataset: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
     """The rows of each dataset and one of their unweighted means."""
-    total = per_dataset.agg(*(T.rounded(F.avg(m), 3).alias(m) for m in metrics)).select(F.lit("mean").alias(key), *metrics)
+    total = per_dataset.agg(*(T.rounded(T.mean_of_places(F.col(m)), 3).alias(m) for m in metrics)).select(F.lit("mean").alias(key), *metrics)
     return per_dataset.select(key, *(T.rounded(F.col(m), 3).alias(m) for m in metrics)).unionByName(total)
 
 
 def domain_profile(df: DataFrame, keys: Sequence[str], order: str, metrics: Sequence[str], most: int = 30) -> DataFrame:
-    return St.describe(capped(df, keys, order, most), keys, metrics).drop("median")
+    return St.describe(capped(df, keys, order, most), keys, metrics, 4).drop("median")
 
 
 def correlation_matrix(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -42,11 +42,11 @@ def _finite(*cols: str) -> Column:
     return F.forall(F.array(*(F.col(c).cast("double") for c in cols)), lambda v: v.isNotNull() & ~F.isnan(v))
 
 
-def describe(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Per metric: mean, sample sd, median, min, max, n of the non-null values."""
+def describe(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], places: int | None = None) -> DataFrame:
+    """Per metric: mean, sample sd, median, min, max, n of the non-null values. ``places``: to how many the values are rounded, for an exact mean."""
     long = df.select(*keys, *(F.col(m).cast("double").alias(m) for m in metrics)).unpivot(list(keys), list(metrics), "metric", "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
     r = T.rounded
-    plain = long.groupBy(*keys, "metric").agg(r(F.avg("v")).alias("mean"), r(_zero(F.stddev_samp("v"))).alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n"))
+    plain = long.groupBy(*keys, "metric").agg(r(F.avg("v") if places is None else T.mean_of_places(F.col("v"), places)).alias("mean"), r(_zero(F.stddev_samp("v"))).alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n"))
     median = ranks.medians(long, [*keys, "metric"], "v").withColumn("median", r(F.col("median")))
     return ranks.join_on(plain, median, [*keys, "metric"]).select(*keys, "metric", "mean", "sd", "median", "min", "max", "n")
 

@@ -511,12 +511,12 @@ _mk = "dataset, metric_1, metric_2, hypothesis"
 _PAIRED = f"""mlong as ({_mp}), mq as (select * from mlong where x is not null and y is not null), pe as ({_pearson('mlong', _mk, 'x', 'y')}), rk as {_spear('mq', _mk, 'x', 'y')}, sp as ({_pearson('rk', _mk, 'rx', 'ry')}),
 mpairs as (select {_mk}, pe.r as pearson_r, pe.p as pearson_p, pe.sig as pearson_sig, pe.n, sp.r as spearman_rho, sp.p as spearman_p, sp.sig as spearman_sig, case when hypothesis = 'positive' then pe.r > 0 else pe.r < 0 end as direction_correct from pe join sp using ({_mk}) where pe.n >= 5)"""
 SQL["metric_pairs"] = f"with {MET}, {_PAIRED} select * from mpairs"
-SQL["ablation_table"] = f"""with {MET} select dataset, count(*) as n, {r('avg(gase)')} as gase_mean, {r('coalesce(stddev_samp(gase), 0.0)')} as gase_sd, {r('coalesce(avg(lewi_drop), 0.0)')} as lewi_mean, {r('coalesce(stddev_samp(lewi_drop), 0.0)')} as lewi_sd, {r('100 * avg((abs(rci) > 0.001)::int)', 1)} as rci_nonzero_pct, count(nava) as nava_valid_n from mr group by dataset"""
+SQL["ablation_table"] = f"""with {MET} select dataset, count(*) as n, {r(avg4('gase'))} as gase_mean, {r('coalesce(stddev_samp(gase), 0.0)')} as gase_sd, {r('coalesce(' + avg4('lewi_drop') + ', 0.0)')} as lewi_mean, {r('coalesce(stddev_samp(lewi_drop), 0.0)')} as lewi_sd, {r('100 * avg((abs(rci) > 0.001)::int)', 1)} as rci_nonzero_pct, count(nava) as nava_valid_n from mr group by dataset"""
 
 
 def _trial(name: str, x: str, y: str, floor: float, where: str = "true") -> str:
     """CTEs that end in ``name``: one correlation experiment, from 10 rows on."""
-    return f"""{name}_in as (select * from mr where {where}), {name}_p as ({_pearson(f'{name}_in', 'dataset', x, y)}), {name}_m as (select dataset, {r(f'avg({x})')} as {x}_mean from {name}_in where {y} is not null group by dataset),
+    return f"""{name}_in as (select * from mr where {where}), {name}_p as ({_pearson(f'{name}_in', 'dataset', x, y)}), {name}_m as (select dataset, {r(avg4(x))} as {x}_mean from {name}_in where {y} is not null group by dataset),
 {name} as (select dataset, {x}_mean, r, p, sig, n, r > {floor} and p < 0.05 as supported from {name}_p join {name}_m using (dataset) where n >= 10)"""
 
 
@@ -544,11 +544,11 @@ dsum as (select dataset, (select count(*) from mr where mr.dataset = m.dataset)
   {r('d')} as cohens_d, {r('d * (1 - 3 / (4 * (n1 + n2) - 9)::double)')} as hedges_g, case when abs({r('d')}) >= 0.8 then 'Large' when abs({r('d')}) >= 0.5 then 'Medium' else 'Small' end as effect_size
   from df m join df v using (dataset) join mm ma using (dataset) join dp mp using (dataset) left join dd using (dataset) left join de using (dataset) where m.system = 'main' and v.system = 'vader' and ma.system = 'main' and mp.system = 'main')"""
 SQL["dataset_summary"] = f"with {MET}, {_DSUM} select * from dsum"
-SQL["dataset_rollup"] = f"with {MET}, {_DSUM} select dataset, {r('main_f1', 3)} as main_f1, {r('main_auc', 3)} as main_auc, {r('main_r', 3)} as main_r from dsum union all select 'mean', {r('avg(main_f1)', 3)}, {r('avg(main_auc)', 3)}, {r('avg(main_r)', 3)} from dsum"
+SQL["dataset_rollup"] = f"with {MET}, {_DSUM} select dataset, {r('main_f1', 3)} as main_f1, {r('main_auc', 3)} as main_auc, {r('main_r', 3)} as main_r from dsum union all select 'mean', {r(avg4('main_f1'), 3)}, {r(avg4('main_auc'), 3)}, {r(avg4('main_r'), 3)} from dsum"
 _ms = " union all ".join(f"select dataset, '{m}' as metric, {m}::double as v from mr" for m in ("sentiment", "gase", "pti", "teg", "rci", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score", "liwc_score", "n_words"))
-SQL["metric_summary"] = f"with {MET}, l as ({_ms}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, {r(MEDIAN)} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"
+SQL["metric_summary"] = f"with {MET}, l as ({_ms}) select dataset, metric, {r(avg4('v'))} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, {r(MEDIAN)} as median, min(v) as min, max(v) as max, count(*) as n from l where v is not null group by dataset, metric"
 _dp = " union all ".join(f"select dataset, '{m}' as metric, {m} as v from c" for m in ("gase", "pti", "teg", "pai", "rci"))
-SQL["domain_profile"] = f"with {MET}, c as (select * from (select *, row_number() over (partition by dataset order by doc_id) as rn from mr) where rn <= 30), l as ({_dp}) select dataset, metric, {r('avg(v)')} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, min(v) as min, max(v) as max, count(*) as n from l group by dataset, metric"
+SQL["domain_profile"] = f"with {MET}, c as (select * from (select *, row_number() over (partition by dataset order by doc_id) as rn from mr) where rn <= 30), l as ({_dp}) select dataset, metric, {r(avg4('v'))} as mean, {r('coalesce(stddev_samp(v), 0.0)')} as sd, min(v) as min, max(v) as max, count(*) as n from l group by dataset, metric"
 
 
 def _corr(rel: str, key: str, ms) -> str:

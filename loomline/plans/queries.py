@@ -732,7 +732,7 @@ def dataset_rollup(spark, sf_dir):
 @query
 def metric_summary(spark, sf_dir):
     """Descriptives of the metric rows."""
-    return St.describe(_metric_rows(spark, sf_dir), ["dataset"], ["sentiment", "gase", "pti", "teg", "rci", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score", "liwc_score", "n_words"])
+    return St.describe(_metric_rows(spark, sf_dir), ["dataset"], ["sentiment", "gase", "pti", "teg", "rci", "pai", "nava", "lewi_drop", "cd_index", "vads", "ties", "vader_score", "nrc_score", "liwc_score", "n_words"], 4)
 
 
 @query
