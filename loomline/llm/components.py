@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.layout import unbroadcast
 from loomline.scratch import materialize
 
 
@@ -77,8 +78,8 @@ def components(edges: DataFrame) -> DataFrame:
         rep = materialize(rep, f"hook{k}")
         steps.append(rep)
         moved = (
-            graph.join(rep.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
-            .join(rep.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+            unbroadcast(graph).join(unbroadcast(rep).select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+            .join(unbroadcast(rep).select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
             .where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
@@ -88,5 +89,5 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.sparkSession.createDataFrame([], "node long, root long")
     out = steps[0]
     for rep in steps[1:]:
-        out = out.join(rep.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        out = unbroadcast(out).join(rep.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     return out

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.layout import unbroadcast
 from loomline.llm.arrow import per_text
 from loomline.llm.components import components
 from loomline.scratch import materialize
@@ -88,7 +89,7 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     both = fps.select("fp", F.explode(F.array(*(F.struct(c.alias("cell"), s.alias("steps")) for c, s in zip(cells, steps, strict=True)))).alias("x"))
     probe = both.select(F.col("fp").alias("q"), F.col("x.cell").alias("own"), F.explode(F.array_compact("x.steps")).alias("d")).select("q", (F.col("own") + F.col("d")).alias("cell"), "d")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("q"))) <= radius
-    pairs = index.join(probe, (index["cell"] == probe["cell"]) & near & ((F.col("d") != 0) | (F.col("q") < F.col("fp"))))
+    pairs = unbroadcast(index).join(probe, (index["cell"] == probe["cell"]) & near & ((F.col("d") != 0) | (F.col("q") < F.col("fp"))))
     return pairs.select(F.col("q").alias("a"), F.col("fp").alias("b"))
 
 
@@ -102,7 +103,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = materialize(fingerprints(df, id_col, text_col, width), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     found = components(links(classes.select("fp"), radius))
-    roots = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = unbroadcast(classes).join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = roots.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = unbroadcast(roots.select("fp", "root")).join(least, "root").select("fp", "component_id")
+    return unbroadcast(prints).join(labels, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from loomline.llm import simhash
 from loomline.llm.queries import op8_simhash
@@ -66,3 +67,10 @@ def test_links_at_each_distance(spark):
     for radius in (2, 3):
         want = {frozenset((a, b)) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= radius}
         assert {frozenset((r["a"], r["b"])) for r in simhash.links(df, radius).collect()} == want and want
+
+
+def test_no_exploded_table_is_broadcast(spark):
+    # a small file of fingerprints becomes tens of rows each: Spark's estimate calls that small, and it went through the driver
+    fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
