@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.layout import unbroadcast
 from loomline.llm import langid, near_copies, packing, quality_crf, secret_scan
 from loomline.llm.arrow import batch_limit, release, small_batches
 from loomline.llm.queries import language_model, quality_model, vocabulary
@@ -71,7 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     several = near_copies.with_key(again.unionByName(docs.select(*COLUMNS).where("doc_id is null")))
     lead = near.where("leads").select(F.col("doc_id").alias("lead_id"), F.col("key").alias("lead_key")).distinct()
     mine = F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("key") == F.col("lead_key"))
-    one = several.join(lead, mine, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
+    one = unbroadcast(several).join(lead, mine, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *(f"r.{c}" for c in rest))
     return single.unionByName(one.select(*COLUMNS))
 
 

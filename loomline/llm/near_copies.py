@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomline.layout import unbroadcast
 from loomline.llm import simhash
 from loomline.llm.arrow import per_text, release
 from loomline.llm.components import components
@@ -236,14 +237,14 @@ class _Groups:
     def join(self, found: DataFrame, name: str) -> None:
         """Join the components of linked classes (a, b: keys)."""
         found = materialize(found, f"{name}_found")
-        up = lambda k, c: self.roots.select(F.col("key").alias(k), F.col("root").alias(c))
+        up = lambda k, c: unbroadcast(self.roots).select(F.col("key").alias(k), F.col("root").alias(c))
         # links between components; nodes of this graph are roots
         links = found.join(up("a", "x"), "a").join(up("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
         moved = components(links).select(F.col("node").alias("root"), F.col("root").alias("up"))
-        self.roots = materialize(self.roots.join(moved, "root", "left").select("key", F.coalesce("up", "root").alias("root")), f"{name}_roots")
+        self.roots = materialize(unbroadcast(self.roots).join(moved, "root", "left").select("key", F.coalesce("up", "root").alias("root")), f"{name}_roots")
 
     def side(self, key: str, size: str, own: str) -> DataFrame:
-        return self.classes.select(F.col("key").alias(key), F.col("n").alias(size), F.col("sketch").alias(own))
+        return unbroadcast(self.classes).select(F.col("key").alias(key), F.col("n").alias(size), F.col("sketch").alias(own))
 
     def with_sides(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.side("a", "m", "s"), "a").join(self.side("b", "n", "t"), "b")
@@ -269,35 +270,35 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int, thre
 
     # SimHash: classes of one fingerprint, and fingerprints within the radius
     prints = classes.groupBy("fp").agg(F.min("key").alias("rep"))
-    same = classes.join(prints, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
-    rep = lambda f, k: prints.select(F.col("fp").alias(f), F.col("rep").alias(k))
+    same = unbroadcast(classes).join(prints, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    rep = lambda f, k: unbroadcast(prints).select(F.col("fp").alias(f), F.col("rep").alias(k))
     near = simhash.links(prints.select("fp")).distinct().select(F.col("a").alias("f"), F.col("b").alias("g")).join(rep("f", "a"), "f").join(rep("g", "b"), "g").select("a", "b")
     close = materialize(same.unionByName(near), "close")
 
     placed = classes.select("key", F.posexplode("places").alias("band", "place")).select("key", F.xxhash64("band", "place").alias("place"))
     shared = materialize(placed.groupBy("place").agg(F.count("*").alias("many")).where("many > 1").select("place"), "shared")
-    placed = materialize(placed.join(shared, "place"), "placed")
+    placed = materialize(unbroadcast(placed).join(shared, "place"), "placed")
     # texts are moved once, and only those of classes that any step may compare
     each = [d.select(F.col(c).alias("key")) for d, c in ((placed, "key"), (close, "a"), (close, "b"))]
     bodies = _bodies(rows, reduce(DataFrame.unionByName, each).distinct())
     groups = _Groups(bodies, classes, width, threshold)
     groups.test(groups.with_sides(close), "simhash")
     for k in range(DRAWS):
-        here = placed.join(groups.roots, "key")
+        here = unbroadcast(placed).join(groups.roots, "key")
         # a component's member and a place's: the least hashes, new in every round
         drawn = here.groupBy("place", "root").agg(F.min(F.struct(F.xxhash64("key", F.lit(k)).alias("h"), "key")).alias("d"))
         centre = drawn.groupBy("place").agg(F.min(F.struct("d", "root")).alias("c"), F.count("*").alias("many")).where("many > 1")
-        pairs = drawn.join(centre, "place").where(F.col("root") != F.col("c.root")).select(F.col("c.d.key").alias("a"), F.col("d.key").alias("b")).distinct()
+        pairs = unbroadcast(drawn).join(centre, "place").where(F.col("root") != F.col("c.root")).select(F.col("c.d.key").alias("a"), F.col("d.key").alias("b")).distinct()
         groups.test(groups.with_sides(pairs), f"draw{k}")
 
     # all that is left: members outside a place's largest component against all of the place
-    here = placed.join(groups.roots, "key")
+    here = unbroadcast(placed).join(groups.roots, "key")
     sizes = here.groupBy("place", "root").agg(F.count("*").alias("size"))
     most = sizes.groupBy("place").agg(F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("total"), F.count("*").alias("many")).where("many > 1")
-    here = here.join(most.select("place", F.col("top.root").alias("top"), "total", (F.col("total") - F.col("top.size")).alias("outside")), "place")
+    here = unbroadcast(here).join(most.select("place", F.col("top.root").alias("top"), "total", (F.col("total") - F.col("top.size")).alias("outside")), "place")
     here = materialize(here, "left")
     few = F.col("total") * F.col("outside") <= LARGE
-    large, small = here.where(~few), here.where(few).join(classes.select("key", "n", "sketch"), "key")
+    large, small = here.where(~few), unbroadcast(here.where(few)).join(classes.select("key", "n", "sketch"), "key")
     if not large.isEmpty():
         groups.join(_tiles(large, bodies, width, threshold), "tiles")
     member = small.select("place", F.col("key").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("s"), F.col("root").alias("x"), "top")
@@ -305,12 +306,12 @@ def _near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int, thre
     # of two that are both outside the largest component, the lesser key is the member
     met = (F.col("x") != F.col("y")) & ((F.col("x") == F.col("top")) | (F.col("a") < F.col("b")))
     alike = _alike(F.col("m"), F.col("n"), threshold) & (different(F.col("s"), F.col("t")) <= DIFFERENT)
-    pairs = member.join(other, (member["place"] == other["place"]) & met & alike)
+    pairs = unbroadcast(member).join(other, (member["place"] == other["place"]) & met & alike)
     groups.test(pairs.select("a", "b", "m", "n", "s", "t"), "left")
 
-    roots = classes.select("key", "least").join(groups.roots, "key")
+    roots = unbroadcast(classes.select("key", "least")).join(groups.roots, "key")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("first")
     lead = roots.groupBy("root").agg(first).select("root", F.col("first.least").alias("component_id"), F.col("first.key").alias("lead"))
-    found = roots.select("key", "root").join(lead, "root").select("key", "component_id", "lead")
+    found = unbroadcast(roots.select("key", "root")).join(lead, "root").select("key", "component_id", "lead")
     leads = F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("lead"))
-    return rows.select(id_col, "key").join(found, "key").select(id_col, "key", "component_id", leads.alias("leads"))
+    return unbroadcast(rows.select(id_col, "key")).join(found, "key").select(id_col, "key", "component_id", leads.alias("leads"))
