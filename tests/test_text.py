@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,3 +80,41 @@ def test_entropy_jaccard_cosine(spark):
 def test_rounding_never_gives_minus_zero(spark, values):
     got = spark.createDataFrame([(v,) for v in values], "x double").select(T.rounded(F.col("x")).alias("y")).collect()
     assert all(abs(r["y"] - v) <= 5.0001e-5 and str(r["y"]) != "-0.0" for r, v in zip(got, values, strict=True))
+
+
+def test_guarded_patterns_match_alike(spark):
+    import random
+
+    from loomline.functions import fixed
+
+    ps = [p for v in fixed.DISTORTIONS.values() for p in v] + [p.lower() for _, p in fixed.DISCLOSURE_TIERS.values()] + [p for a in fixed.ABSOLUTE_PAIRS for p in a] + [p for v in (*fixed.HORSEMAN_PATTERNS.values(), *fixed.RED_FLAGS.values()) for p in v]
+    ps += [r"\b(a|ab|abc|b(c|d)?|b[|)]x)\b", r"\b(a?|b)", r"\b(x\|y|xz)", r"\b(ab|ac)+", "plain", r"\bit's\b", r"\b(?i)Ab\b"]
+    ps = [*dict.fromkeys(ps)]
+    assert sum(T.guarded(p) != p for p in ps) > 60 and T.guarded(r"\b(a?|b)") == r"\b(a?|b)"
+    rng, pieces = random.Random(3), sorted({w for p in ps for w in re.findall(r"[a-z']+", p)})
+    texts = ["", "ab abc bc b|x b)x x|y xz abac it's ánever neveré never_ever"] + ["".join(rng.choice(pieces) + rng.choice([" ", " ", " ", ".", "", "é", "_", "\n", "-"]) for _ in range(120)) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    both = df.select(*(F.array(F.regexp_extract_all("t", F.lit(p), F.lit(0)), F.regexp_extract_all("t", F.lit(T.guarded(p)), F.lit(0))).alias(f"p{k}") for k, p in enumerate(ps)))
+    hits = 0
+    for row in both.collect():
+        for k, p in enumerate(ps):
+            assert row[k][0] == row[k][1], p
+            hits += len(row[k][0])
+    assert hits > 1000
+    sarcasm = [*fixed.SARCASM_PATTERNS, "no start", r"\b(yes|no) way"]
+    lines = ["oh, great news", "Oh great", "suddenly  cares", "fantastic! that is right", "fantastic! that", "yeah right", "no way", "a no start", "", "thanks for nothing", "xoh great"]
+    alone = F.lit(False)
+    for p in sarcasm:
+        alone = alone | F.col("t").rlike(p)
+    assert all(a == b for a, b in spark.createDataFrame([(t,) for t in lines], "t string").select(T.any_match(F.col("t"), sarcasm), alone).collect())
+
+
+def test_shared_values_are_computed_once(spark):
+    # an entropy, or occurrences, of a value must not compute it once an element or needle
+    df = spark.createDataFrame([("Abab ba",)], "t string")
+    e, n = T.entropy(F.array(F.length(F.lower("t")), F.lit(14), F.lit(21))), T.total_occurrences(F.lower("t"), ["ab", "b", "zz"])
+    row = df.select(e, n).first()
+    assert abs(row[0] - 1.4591479170272448) < 1e-12 and row[1] == 5
+    for c in (e, n):
+        plan = df.select(c.alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 1, plan
