@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import text as T
 from loomline.functions.lexicon import Lexicon
+from loomline.scratch import materialize
 
 
 def sentence_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,37 +37,45 @@ def lexicon_hits(sentences: DataFrame, terms: DataFrame, lex: Lexicon, id_col: s
     return toks.select(id_col, "sent_ix", F.explode(ctx).alias("x")).select(id_col, "sent_ix", "x.*").join(terms, "term")
 
 
-#: Characters of a gram.
-GRAM = 3
+#: Characters of a gram: a phrase is keyed by grams of the largest of these sizes that it holds.
+GRAMS = (1, 2, 3, 6, 12)
 
 
 def _grams(c: Column, size: int) -> Column:
-    """Distinct substrings of ``size`` characters."""
-    return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, size)))).otherwise(F.array().cast("array<string>"))
+    """Distinct substrings of ``size`` characters, in one pass (a substring by its place reads the text from the start again)."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)))
 
 
 def phrase_hits(sentences: DataFrame, phrases: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Join of sentences (id, sent_ix, sentence) with phrases (``term`` and more) that their lower-cased text contains as a substring, one row a phrase and sentence.
 
-    A phrase is keyed by the one of its grams of three characters that fewest sentences hold (a shorter one by itself), sentences by all
-    of theirs; the join is by equality, and the whole phrase is compared after it. So phrases may be many: no task gets all of them unless Spark
-    finds their table small. A phrase one of whose grams no sentence holds is left out before. Null and empty phrases match nothing; repeated
-    ones match each.
+    A phrase is keyed by the one of its grams of up to twelve characters that fewest sentences hold, sentences by all of theirs of these sizes; the join
+    is by equality and moves ids and grams only. A phrase that is its own gram is found by that; for longer ones the sentences met are
+    read again by id, and the whole phrase is compared. So phrases may be many: no task gets all of them unless Spark finds their table small.
+    A phrase one of whose grams no sentence holds is left out before. Null and empty phrases match nothing; repeated ones match each.
     """
     low = F.lower("sentence")
-    known = phrases.where(F.length("term") > 0).withColumn("_size", F.least(F.lit(GRAM), F.length("term")))
-    sizes = [r[0] for r in known.select("_size").distinct().collect()]  # three at most
+    size = F.greatest(*(F.when(F.length("term") >= k, F.lit(k)) for k in GRAMS))
+    known = phrases.where(F.length("term") > 0).withColumn("_size", size)
+    sizes = [r[0] for r in known.select("_size").distinct().collect()]  # one of GRAMS each
     if not sizes:
         return sentences.select(id_col, "sent_ix").limit(0).crossJoin(phrases.limit(0))
     at = lambda c, k: F.transform(_grams(c, k), lambda g: F.struct(F.lit(k).alias("_size"), g.alias("_gram")))
-    held = sentences.select(id_col, "sent_ix", low.alias("_low"), F.explode(F.concat(*(at(low, k) for k in sizes))).alias("_g")).select(id_col, "sent_ix", "_low", "_g.*")
+    held = sentences.select(id_col, "sent_ix", F.explode(T.bound(low, lambda c: F.concat(*(at(c, k) for k in sizes)))).alias("_g")).select(id_col, "sent_ix", "_g.*")
     own = known.select("term", "_size").distinct().select("term", "_size", F.explode(F.concat(*(F.when(F.col("_size") == k, _grams(F.col("term"), k)).otherwise(F.array().cast("array<string>")) for k in sizes))).alias("_gram"))
-    wanted = own.select("_size", "_gram").distinct()
-    often = held.join(wanted, ["_size", "_gram"], "left_semi").groupBy("_size", "_gram").agg(F.count("*").alias("_n"))
+    # counted before the shuffle, so that grams travel once a task and not once a sentence
+    often = held.groupBy("_size", "_gram").agg(F.count("*").alias("_n"))
     # the rarest gram, if sentences hold all of them
     counted = own.join(often, ["_size", "_gram"], "left").groupBy("term", "_size").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_none")).where("_none = 0")
-    keyed = known.join(counted.drop("_none"), ["term", "_size"])
-    return held.join(keyed, ["_size", "_gram"]).where(F.contains("_low", F.col("term"))).select(id_col, "sent_ix", *phrases.columns)
+    keyed = materialize(counted.select("term", "_size", "_gram"), "keyed")  # its size is known then, and a small one needs no shuffle of grams
+    met = held.join(keyed, ["_size", "_gram"])
+    whole = met.where(F.length("term") == F.col("_size")).select(id_col, "sent_ix", "term")
+    part = met.where(F.length("term") > F.col("_size")).select(id_col, "sent_ix", "term")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("sent_ix") == F.col("_ix"))
+    text = sentences.select(F.col(id_col).alias("_id"), F.col("sent_ix").alias("_ix"), low.alias("_low"))
+    part = part.join(text, same).where(F.contains("_low", F.col("term"))).select(id_col, "sent_ix", "term")
+    found = whole.unionByName(part).withColumnRenamed("term", "_term")
+    return found.join(known.drop("_size"), F.col("_term") == F.col("term")).select(id_col, "sent_ix", *phrases.columns)
 
 
 def score_sentences(df: DataFrame, terms: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,9 +88,7 @@ def score_sentences(df: DataFrame, terms: DataFrame, lex: Lexicon, id_col: str =
     if lex.phrases:
         p = Lexicon.of(lex.phrases).table(df.sparkSession).drop("is_phrase")
         own = own.unionByName(phrase_hits(s, p, id_col).select(id_col, "sent_ix", (F.col("s") * F.col("i")).alias("v"), F.size("emotions").alias("e")))
-    irony = F.lit(False)
-    for pattern in lex.sarcasm:
-        irony = irony | F.lower("sentence").rlike(pattern)
+    irony = T.any_match(F.lower("sentence"), lex.sarcasm)
     total = own.groupBy(id_col, "sent_ix").agg(F.sum("v").alias("plain"), F.sum(F.when(F.col("v") > 0, -F.col("v")).otherwise(F.col("v"))).alias("turned"), F.sum("e").alias("n_emotions"))
     x = s.select(id_col, "sent_ix", irony.alias("sarcasm")).join(total, [id_col, "sent_ix"], "left").withColumn("t", F.coalesce(F.when(F.col("sarcasm"), F.col("turned")).otherwise(F.col("plain")), F.lit(0.0)))
     return x.select(id_col, "sent_ix", T.rounded(F.col("t") / F.sqrt(F.col("t") * F.col("t") + 15)).alias("compound"), F.coalesce("n_emotions", F.lit(0)).cast("int").alias("n_emotions"))

@@ -97,3 +97,11 @@ def test_ten_thousand_phrases_without_a_nested_loop(spark):
         assert hits.count() == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_grams_are_whole_characters(spark):
+    df = spark.createDataFrame([("aXb\n😀cd",), ("",), ("ab",)], "t string")
+    got = [sorted(r[0]) for r in df.select(J._grams(F.col("t"), 3)).collect()]
+    assert got == [sorted(["aXb", "Xb\n", "b\n😀", "\n😀c", "😀cd"]), [], []]
+    plan = df.select(J._grams(F.col("t"), 3).alias("g"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" not in plan  # linear in the text
