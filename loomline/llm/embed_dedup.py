@@ -14,7 +14,9 @@ many vectors is split by hash. A tile returns link counts and a spanning forest
 
 from __future__ import annotations
 
+import io
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.components import components, forest
-from loomline.scratch import materialize
+from loomline.llm.files import open_fs
+from loomline.scratch import fresh_path, materialize
 
 #: Vectors of a block, and rows of a tile multiplied at a time.
 BLOCK, STRIP = 2048, 512
 #: Vectors that the principal direction is estimated from, and ranges at most. Both only order the work.
 SAMPLE, RANGES = 4096, 1024
+#: Blocks at most on a side of a square of tiles that one task computes, and bytes that the blocks of both sides may take.
+SIDE, HELD = 16, 128 << 20
 #: Slack for rounding in the float32 product and in the bounds.
 ROUNDING = 1e-5
 
@@ -53,16 +58,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _prepared(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unit rows, their codes, scales, norms and errors: made once a block."""
+    u = unit(x)
+    return (u, *quantise(u))
+
+
 def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
     """Indexes (i, j) of linked rows of two blocks (i < j if they are the same), and how many pairs were recomputed."""
-    ux, uy = unit(x), unit(y)
-    qx, sx, nx, ex = quantise(ux)
-    qy, sy, ny, ey = quantise(uy)
-    kind = np.float32 if x.shape[1] <= 1040 else np.float64  # sums of 1040 products of int8 are exact in float32
+    return _links(_prepared(x), _prepared(y), threshold, same)
+
+
+def _links(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    (ux, qx, sx, nx, ex), (uy, qy, sy, ny, ey) = left, right
+    kind = np.float32 if ux.shape[1] <= 1040 else np.float64  # sums of 1040 products of int8 are exact in float32
     wide = qy.T.astype(kind)
     rows, cols, tried = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for s in range(0, len(x), STRIP):
-        e = min(s + STRIP, len(x))
+    for s in range(0, len(ux), STRIP):
+        e = min(s + STRIP, len(ux))
         dot = qx[s:e].astype(kind) @ wide
         dot *= sx[s:e, None].astype(kind)
         dot *= sy.astype(kind)
@@ -83,35 +96,57 @@ def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tu
     return np.concatenate(rows), np.concatenate(cols), tried
 
 
-def _stack(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in (column.to_pylist() if isinstance(column, pa.Array) else column)])
+def _write_block(folder: str):
+    """One row for a block: its number, the last block near it, and the file with its ids, weights and components."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        block, dim, buf = int(group["block"].iloc[0]), int(group["dim"].iloc[0]), io.BytesIO()
+        np.savez(buf, ids=group["rep"].to_numpy(np.int64), weights=group["weight"].to_numpy(np.int64), parts=np.stack(group["v"].to_list()))
+        fs, root = open_fs(folder)
+        path = f"{root}/{block}-{dim}-{uuid.uuid4().hex}"  # a name of its own for each attempt
+        with fs.open_output_stream(path) as f:
+            f.write(buf.getbuffer())
+        return pd.DataFrame({"block": [block], "dim": [dim], "last": [int(group["last"].iloc[0])], "path": [path]})
 
+    return run
 
-def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    """One row for a block: ids, weights and components as bytes."""
-    return pd.DataFrame({
-        "block": [int(group["block"].iloc[0])], "dim": [int(group["dim"].iloc[0])], "first": [int(group["first"].iloc[0])], "last": [int(group["last"].iloc[0])],
-        "ids": [group["rep"].to_numpy(np.int64).tobytes()], "weights": [group["weight"].to_numpy(np.int64).tobytes()], "parts": [np.stack(group["v"].to_list()).astype("<f8" if group["v"].iloc[0].dtype == np.float64 else "<f4").tobytes()],
-        "wide": [group["v"].iloc[0].dtype == np.float64],
-    })
 
+def _tile(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], threshold: float, same: bool) -> tuple[np.ndarray, ...] | None:
+    """Of two blocks (ids, weights, prepared rows): ids with their numbers of links, and a forest of the links."""
+    (xi, xw, left), (yi, yw, right) = x, y
+    i, j, _ = _links(left, right, threshold, same)
+    if not len(i):
+        return None
+    near_x, near_y = np.bincount(i, yw[j], len(xi)).astype(np.int64), np.bincount(j, xw[i], len(yi)).astype(np.int64)
+    return np.concatenate([xi[near_x > 0], yi[near_y > 0]]), np.concatenate([near_x[near_x > 0], near_y[near_y > 0]]), *forest(xi[i], yi[j])
 
-def _tile(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group[group["left"]].iloc[0], group[~group["left"]].iloc[0]
-        get = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["weights"], np.int64), np.frombuffer(r["parts"], "<f8" if r["wide"] else "<f4").reshape(-1, r["dim"]).astype(np.float64))
-        (xi, xw, x), (yi, yw, y) = get(left), get(right)
-        none = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="Int64"), "w": pd.Series([], dtype="Int64")})
-        if x.shape[1] != y.shape[1]:
-            return none
-        i, j, _ = tile_links(x, y, threshold, left["block"] == right["block"])
-        if not len(i):
-            return none
-        near_x, near_y = np.bincount(i, yw[j], len(xi)).astype(np.int64), np.bincount(j, xw[i], len(yi)).astype(np.int64)
-        u, v = forest(xi[i], yi[j])
-        a = np.concatenate([xi[near_x > 0], yi[near_y > 0], u])
-        links = np.concatenate([near_x[near_x > 0], near_y[near_y > 0]])
-        return pd.DataFrame({"a": a, "b": pd.array([*[None] * len(links), *v.tolist()], dtype="Int64"), "w": pd.array([*links.tolist(), *[None] * len(u)], dtype="Int64")})
+
+def _squares(folder: str, threshold: float):
+    """Rows (a, null, w) and (a, b, null) of squares of tiles; a task reads a block once a square."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_fs(folder)
+
+        def read(entry: dict) -> tuple[np.ndarray, ...]:
+            with fs.open_input_file(entry["path"]) as f, np.load(io.BytesIO(f.read())) as z:
+                return z["ids"], z["weights"], _prepared(z["parts"].astype(np.float64))
+
+        for b in batches:
+            for one, two in zip(b.column("rows").to_pylist(), b.column("cols").to_pylist(), strict=True):
+                blocks: dict[str, tuple[np.ndarray, ...]] = {}
+                for p in one:
+                    for q in two:
+                        if p["dim"] != q["dim"] or not p["block"] <= q["block"] <= p["last"]:
+                            continue
+                        for x in (p, q):
+                            if x["path"] not in blocks:
+                                blocks[x["path"]] = read(x)
+                        found = _tile(blocks[p["path"]], blocks[q["path"]], threshold, p["block"] == q["block"])
+                        if found:
+                            ids, links, u, v = found
+                            none = lambda n: pa.nulls(n, pa.int64())
+                            yield pa.RecordBatch.from_arrays([pa.array(ids), none(len(ids)), pa.array(links)], names=["a", "b", "w"])
+                            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), none(len(u))], names=["a", "b", "w"])
 
     return run
 
@@ -149,24 +184,19 @@ def _linked(reps: DataFrame, n: int, threshold: float) -> DataFrame:
         begin[k] = total
         total += blocks[k]
     near = {k: [m for m in order if facts[m]["lo"] - facts[k]["hi"] <= reach and facts[k]["lo"] - facts[m]["hi"] <= reach] for k in order}
-    table = F.create_map(*(x for k in order for x in (F.lit(k), F.struct(F.lit(begin[k]).alias("begin"), F.lit(blocks[k]).alias("blocks"), F.lit(begin[near[k][0]]).alias("first"), F.lit(begin[near[k][-1]] + blocks[near[k][-1]] - 1).alias("last")))))
-    row = ranged.withColumn("t", table[F.col("range")]).select("rep", "weight", "dim", "v", (F.col("t.begin") + F.pmod(F.xxhash64("rep"), F.col("t.blocks"))).cast("int").alias("block"), F.col("t.first").alias("first"), F.col("t.last").alias("last"))
-    packed = materialize(row.groupBy("block", "dim").applyInPandas(_pack, "block int, dim int, first int, last int, ids binary, weights binary, parts binary, wide boolean"), "blocks")
-    left = packed.select("*", F.lit(True).alias("left"), F.explode(F.sequence("block", "last")).alias("q")).withColumn("p", F.col("block"))
-    right = packed.select("*", F.lit(False).alias("left"), F.explode(F.sequence("first", "block")).alias("p")).withColumn("q", F.col("block"))
-    both = left.unionByName(right)
-    return both.groupBy("p", "q", "dim").applyInPandas(_paired(threshold), "a long, b long, w long")
-
-
-def _paired(threshold: float):
-    tile = _tile(threshold)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if group["left"].nunique() < 2:  # blocks without a vector of this length
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="Int64"), "w": pd.Series([], dtype="Int64")})
-        return tile(group)
-
-    return run
+    table = F.create_map(*(x for k in order for x in (F.lit(k), F.struct(F.lit(begin[k]).alias("begin"), F.lit(blocks[k]).alias("blocks"), F.lit(begin[near[k][-1]] + blocks[near[k][-1]] - 1).alias("last")))))
+    row = ranged.withColumn("t", table[F.col("range")]).select("rep", "weight", "dim", "v", (F.col("t.begin") + F.pmod(F.xxhash64("rep"), F.col("t.blocks"))).cast("int").alias("block"), F.col("t.last").alias("last"))
+    spark = reps.sparkSession
+    folder = fresh_path(spark, "block-files")
+    packed = materialize(row.groupBy("block", "dim").applyInPandas(_write_block(folder), "block int, dim int, last int, path string"), "blocks")
+    # squares as large as memory allows, but enough of them for all cores
+    side = max(1, min(SIDE, HELD // (2 * BLOCK * 9 * max(dims)), total // math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))))
+    entry = F.struct("block", "dim", "last", "path")
+    strips = packed.groupBy(F.floor(F.col("block") / side).cast("int").alias("p")).agg(F.collect_list(entry).alias("entries"), F.floor(F.max("last") / side).cast("int").alias("q"))
+    rows = strips.select("p", F.col("entries").alias("rows"), F.explode(F.sequence("p", F.greatest("p", "q"))).alias("q"))
+    squares = materialize(rows.join(strips.select(F.col("p").alias("q"), F.col("entries").alias("cols")), "q").select("rows", "cols"), "squares")
+    # a square a task, as long as they are not too many
+    return squares.repartition(max(1, min(squares.count(), 4096))).mapInArrow(_squares(folder, threshold), "a long, b long, w long")
 
 
 def _searched(cuts: np.ndarray) -> Column:

@@ -125,3 +125,12 @@ def test_recall_of_the_registered_query(spark):
             assert len(found[q]) == 20
             hit, total = hit + len(best & found[q]), total + 20
     assert hit >= 0.9 * total
+
+
+def test_tiles_move_names_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 40)
+    reps = spark.createDataFrame([(i, 1, 24, v.tolist()) for i, v in enumerate(planted())], "rep long, weight long, dim int, v array<float>")
+    marked = embed_dedup._linked(reps, 300, 0.95)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "parts" not in plan  # tiles get no vectors by a shuffle
+    assert marked.count() > 0
