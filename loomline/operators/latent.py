@@ -166,6 +166,86 @@ def semantic_pairs(entries: DataFrame, sizes: DataFrame, id_col: str = "doc_id",
     return _by_document(entries, sizes, id_col, "n int, coherence double, most double, most_i int, most_j int, least double, least_i int, least_j int", one)
 
 
+def _matrix(n: int, entries: pa.StructScalar | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows, columns (numbered as they come) and values of a document's entries, and the number of columns."""
+    parts = entries.flatten() if entries is not None and len(entries) else None
+    if parts is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+    token = parts[1].dictionary_encode()
+    return parts[0].to_numpy(), token.indices.to_numpy(), parts[2].to_numpy(), len(token.dictionary)
+
+
+#: Cells of a document's matrix up to which it is held whole; larger ones go by the products of their columns or by postings.
+CELLS = 1 << 22
+
+
+def document_pairs(terms: DataFrame, id_col: str = "doc_id", k: int = COMPONENTS, latent: bool = True) -> DataFrame:
+    """As :func:`semantic_pairs`, from one row a document: ``total`` and ``entries`` as of ``frequency.sentence_terms``. Nothing is shuffled."""
+    kind = terms.schema[id_col].dataType.simpleString()
+    names = ["n", "coherence", "most", "most_i", "most_j", "least", "least_i", "least_j"]
+
+    def report(n: int, entries) -> tuple:
+        r, c, x, m = _matrix(n, entries)
+        if n * max(1, m) > CELLS:
+            document = _Document()
+            for e in entries.to_pylist():
+                document.add(e["sent_ix"], e["token"], e["value"])
+            return pair_report(unit(document.vectors(n, k))) if latent else sparse_report(document, n)
+        dense = np.zeros((n, max(1, m)))
+        dense[r, c] = x
+        if latent and n > 2 and m:
+            u, s, _ = np.linalg.svd(dense, full_matrices=False)
+            keep = min(k, n - 1, int((s > 1e-6 * max(float(s[0]), 1e-150)).sum()))
+            dense = u[:, :keep] * s[:keep]
+        return pair_report(unit(dense))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for i, n in enumerate(b.column("total").to_pylist()):
+                if n > 1:
+                    mean, most, least = report(n, b.column("entries")[i].values)
+                    ids.append(i)
+                    out.append((n, float(np.floor(mean * 10000 + 0.5) / 10000) + 0.0, *most, *least))
+            kinds = [pa.float64() if x in ("coherence", "most", "least") else pa.int32() for x in names]
+            cols = list(zip(*out, strict=True)) or [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", *names])
+
+    got = terms.select(F.col(id_col).alias("id"), "total", "entries").mapInArrow(run, f"id {kind}, n int, coherence double, most double, most_i int, most_j int, least double, least_i int, least_j int")
+    return got.withColumnRenamed("id", id_col)
+
+
+def similar_sentences(terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Cosine (rounded) of the sentence pairs i < j of a document that share a term, from ``frequency.sentence_terms``; others are 0.
+
+    Sentences of a document meet block by block where its row is, so no pair is shuffled to be made.
+    """
+    kind = terms.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            for d, n in enumerate(b.column("total").to_pylist()):
+                r, c, x, m = _matrix(n, b.column("entries")[d].values)
+                norm = np.sqrt(np.bincount(r, x * x, n))
+
+                def block(s: int) -> np.ndarray:
+                    lo, hi = np.searchsorted(r, (s, s + AT_ONCE))  # noqa: B023
+                    out = np.zeros((min(AT_ONCE, n - s), m))  # noqa: B023
+                    out[r[lo:hi] - s, c[lo:hi]] = x[lo:hi]  # noqa: B023
+                    return out
+
+                for s in range(0, n if m else 0, AT_ONCE):
+                    left = block(s)
+                    for t in range(s, n, AT_ONCE):
+                        dot = left @ (left if t == s else block(t)).T
+                        i, j = np.nonzero(np.triu(dot, 1) if t == s else dot)  # values are positive: a product above 0 is a term shared
+                        cos = np.floor(dot[i, j] / (norm[i + s] * norm[j + t]) * 10000 + 0.5) / 10000 + 0.0
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(i), d))), pa.array(i + s, pa.int32()), pa.array(j + t, pa.int32()), pa.array(cos)], names=["id", "i", "j", "cosine"])
+
+    return terms.select(F.col(id_col).alias("id"), "total", "entries").mapInArrow(run, f"id {kind}, i int, j int, cosine double").withColumnRenamed("id", id_col)
+
+
 def sparse_report(document: _Document, n: int) -> tuple[float, tuple[float, int, int], tuple[float, int, int]]:
     """As :func:`pair_report` by postings: only rows that share a column meet; all other pairs have cosine 0 and are counted."""
     rows = {}
@@ -199,16 +279,62 @@ def sparse_report(document: _Document, n: int) -> tuple[float, tuple[float, int,
     return total / (n * (n - 1) // 2) / 10000, most, least
 
 
+#: Columns up to which a matrix is factored by the products of its columns (numbers on the driver: their square).
+FEW = 1024
+
+
+def _by_columns(m: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The vectors of a matrix of few columns from the products of its columns: one pass adds them up, one projects the rows."""
+    names = sorted(r[0] for r in m.select("column").distinct().collect())  # FEW at most
+    at = {c: i for i, c in enumerate(names)}
+    rows = materialize(m.groupBy(*keys, "column").agg(F.sum("value").alias("value")).groupBy(*keys).agg(F.collect_list("column").alias("columns"), F.collect_list("value").alias("values")), "rows")
+    rows_of = lambda b: zip(b.column("columns").to_pylist(), b.column("values").to_pylist(), strict=True)
+
+    def dense(part: list[tuple[list, list]]) -> np.ndarray:
+        out = np.zeros((len(part), len(at)))
+        for i, (cs, xs) in enumerate(part):
+            out[i, [at[c] for c in cs]] = xs
+        return out
+
+    def parts(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        every = list(rows_of(b))
+        for s in range(0, len(every), 1024):
+            yield dense(every[s : s + 1024])
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(at), len(at)))
+        for b in batches:
+            for x in parts(b):
+                total += x.T @ x
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "x"])
+
+    g = np.zeros((len(at), len(at)))
+    for r in rows.mapInArrow(gram, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["x"]
+    v = _eigen(g, k)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = np.concatenate([np.zeros((0, v.shape[1])), *(x @ v for x in parts(b))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(list(y), pa.list_(pa.float64()))], names=[*keys, "vector"])
+
+    kinds = ", ".join(f"`{c}` {m.schema[c].dataType.simpleString()}" for c in keys)
+    return rows.select(*keys, "columns", "values").mapInArrow(project, f"{kinds}, vector array<double>")
+
+
 def corpus_vectors(entries: DataFrame, row: Sequence[str], column: str, value: str = "value", k: int = COMPONENTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Rows of one large sparse matrix in latent space: the ``row`` columns and ``vector`` (k numbers, fewer where the rank is less; signs are arbitrary).
 
-    Block power iteration: k + 10 vectors are multiplied by the matrix and its transpose until the singular values stand still (to
+    Of up to ``FEW`` columns the products are added up in one pass, and their eigenvectors give the vectors exactly. Beyond that, block power iteration: k + 10 vectors are multiplied by the matrix and its transpose until the singular values stand still (to
     ``tolerance`` relative, or ``rounds``), made orthogonal again each round by the block's own Gram matrix, which is all that reaches the
     driver. Directions of vanishing length are deflated: they leave the block. Rows without an entry do not occur; no entries give no rows.
     """
     size, keys = k + BESIDE, list(row)
     m = materialize(entries.select(*keys, F.col(column).alias("column"), F.col(value).cast("double").alias("value")).where("value <> 0"), "matrix")
     start = lambda j: (F.pmod(F.xxhash64("column", F.lit(j)), F.lit(1 << 20)) / float(1 << 19) - 1.0).alias(f"v{j}")
+    if (columns := m.select("column").distinct().limit(FEW + 1).count()) <= FEW:
+        return _by_columns(m, keys, k) if columns else m.select(*keys, F.array().cast("array<double>").alias("vector"))
     v = materialize(m.select("column").distinct().select("column", *(start(j) for j in range(size))), "block")
     product = lambda of, by, n: m.join(of, "column" if by is keys else keys).groupBy(*by).agg(*(F.sum(F.col("value") * F.col(f"v{j}")).alias(f"v{j}") for j in range(n)))
 
