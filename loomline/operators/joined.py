@@ -39,6 +39,8 @@ def lexicon_hits(sentences: DataFrame, terms: DataFrame, lex: Lexicon, id_col: s
 
 #: Characters of a gram: a phrase is keyed by grams of the largest of these sizes that it holds.
 GRAMS = (1, 2, 3, 6, 12)
+#: Phrases up to which every sentence is searched for each of them.
+FEW = 256
 
 
 def _grams(c: Column, size: int) -> Column:
@@ -52,11 +54,15 @@ def phrase_hits(sentences: DataFrame, phrases: DataFrame, id_col: str = "doc_id"
     A phrase is keyed by the one of its grams of up to twelve characters that fewest sentences hold, sentences by all of theirs of these sizes; the join
     is by equality and moves ids and grams only. A phrase that is its own gram is found by that; for longer ones the sentences met are
     read again by id, and the whole phrase is compared. So phrases may be many: no task gets all of them unless Spark finds their table small.
-    A phrase one of whose grams no sentence holds is left out before. Null and empty phrases match nothing; repeated ones match each.
+    Up to ``FEW`` phrases are sent to the sentences instead. A phrase one of whose grams no sentence holds is left out before. Null and empty phrases match nothing; repeated ones match each.
     """
     low = F.lower("sentence")
     size = F.greatest(*(F.when(F.length("term") >= k, F.lit(k)) for k in GRAMS))
     known = phrases.where(F.length("term") > 0).withColumn("_size", size)
+    if known.select("term").limit(FEW + 1).count() <= FEW:
+        # a search each, and neither grams nor sentences are shuffled
+        texts = sentences.select(id_col, "sent_ix", low.alias("_low"))
+        return texts.join(F.broadcast(known.drop("_size")), F.contains("_low", F.col("term"))).select(id_col, "sent_ix", *phrases.columns)
     sizes = [r[0] for r in known.select("_size").distinct().collect()]  # one of GRAMS each
     if not sizes:
         return sentences.select(id_col, "sent_ix").limit(0).crossJoin(phrases.limit(0))

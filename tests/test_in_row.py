@@ -46,3 +46,15 @@ def test_few_columns_are_factored_in_one_pass(spark, monkeypatch):
     got = {r["doc_id"]: r["vector"] for r in L.corpus_vectors(m, ["doc_id"], "token", rounds=0).collect()}
     mine, s = np.array([got[i] for i in sorted(got)]), np.linalg.svd(base, compute_uv=False)
     assert np.allclose(np.linalg.norm(mine, axis=0), s[:5], rtol=1e-9)  # no round of iteration is needed
+
+
+def test_few_phrases_are_searched_where_the_sentence_is(spark, docs, monkeypatch):
+    from loomline.operators import joined as J
+
+    s = J.sentence_table(docs)
+    phrases = spark.createDataFrame([("storm river",), ("a",), ("",), (None,), ("m lantern quiet",), ("a",)], "term string")
+    few = J.phrase_hits(s, phrases)
+    assert exchanges(few) == 0
+    got = sorted(few.where("doc_id is not null").collect())
+    monkeypatch.setattr(J, "FEW", 0)
+    assert got == sorted(J.phrase_hits(s, phrases).where("doc_id is not null").collect()) and got
