@@ -19,28 +19,34 @@ def sentence_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.select(id_col, F.posexplode(T.sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("sent_ix", "sentence"))
 
 
-def lexicon_hits(sentences: DataFrame, terms: DataFrame, lex: Lexicon, id_col: str = "doc_id") -> DataFrame:
-    """Equi-join of tokens with a table ``terms`` (term, s, i, emotions, horseman), each hit with its two tokens before and whether it is negated.
-
-    The context is cut from the token array before the join, so no window is needed and only hits travel on.
-    ``lex`` gives the modifiers. Spark picks the join by the table's size.
-    """
+def _contexts(lex: Lexicon) -> Column:
+    """Of the array ``toks`` each token (``term``) with its place, its two tokens before and whether one of four before is a negator."""
     neg = list(lex.negators)
-    toks = sentences.select(id_col, "sent_ix", T.tokens(F.col("sentence")).alias("toks"))
-    ctx = F.transform(
+    return F.transform(
         "toks",
         lambda t, i: F.struct(
             t.alias("term"), i.alias("tok_ix"), F.array_join(F.slice("toks", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), " ").alias("before"),
             (F.exists(F.slice("toks", F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4))), lambda x: x.isin(neg)) if neg else F.lit(False)).alias("negated"),
         ),
     )
-    return toks.select(id_col, "sent_ix", F.explode(ctx).alias("x")).select(id_col, "sent_ix", "x.*").join(terms, "term")
+
+
+def lexicon_hits(sentences: DataFrame, terms: DataFrame, lex: Lexicon, id_col: str = "doc_id") -> DataFrame:
+    """Equi-join of tokens with a table ``terms`` (term, s, i, emotions, horseman), each hit with its two tokens before and whether it is negated.
+
+    The context is cut from the token array before the join, so no window is needed and only hits travel on.
+    ``lex`` gives the modifiers. Spark picks the join by the table's size.
+    """
+    toks = sentences.select(id_col, "sent_ix", T.tokens(F.col("sentence")).alias("toks"))
+    return toks.select(id_col, "sent_ix", F.explode(_contexts(lex)).alias("x")).select(id_col, "sent_ix", "x.*").join(terms, "term")
 
 
 #: Characters of a gram: a phrase is keyed by grams of the largest of these sizes that it holds.
 GRAMS = (1, 2, 3, 6, 12)
 #: Phrases up to which every sentence is searched for each of them.
 FEW = 256
+#: Terms up to which a lexicon's table is sent to the sentences.
+TERMS = 1 << 17
 
 
 def _grams(c: Column, size: int) -> Column:
@@ -84,20 +90,66 @@ def phrase_hits(sentences: DataFrame, phrases: DataFrame, id_col: str = "doc_id"
     return found.join(known.drop("_size"), F.col("_term") == F.col("term")).select(id_col, "sent_ix", *phrases.columns)
 
 
+def _sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, sent_ix, sarcasm, last, plain, turned, n_emotions) those with ``last``, with the sums of the rows since the one before."""
+    carry = [0.0, 0.0, 0]
+    for b in batches:
+        ends = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
+        values = [b.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6)]
+        done = ends[-1] + 1 if len(ends) else 0
+        if done:
+            sums = [np.add.reduceat(v[:done], np.concatenate([[0], ends[:-1] + 1])) for v in values]
+            for k, s in enumerate(sums):
+                s[0] += carry[k]
+            at = pa.array(ends)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), *map(pa.array, sums)], names=[b.schema.names[k] for k in (0, 1, 2, 4, 5, 6)])
+            carry = [0.0, 0.0, 0]
+        carry = [c + v[done:].sum() for c, v in zip(carry, values, strict=True)]
+
+
+def _scored_in_place(s: DataFrame, terms: DataFrame, lex: Lexicon, modifier: Column, id_col: str) -> DataFrame:
+    """Sums of every sentence without a shuffle: its tokens meet the broadcast lexicon in their order and are followed by a row that closes it.
+
+    A task holds the lexicon and one batch of rows, however many sentences it reads.
+    """
+    listed = F.array(*(F.struct(F.lit(p.term).alias("t"), F.lit(float(p.weight)).alias("w"), F.lit(len(p.emotions)).alias("e")) for p in lex.phrases)).cast("array<struct<t:string,w:double,e:int>>")
+    said = F.filter(listed, lambda p: F.contains(F.lower("sentence"), p["t"]))
+    x = s.select(id_col, "sent_ix", T.any_match(F.lower("sentence"), lex.sarcasm).alias("sarcasm"), T.tokens(F.col("sentence")).alias("toks"), said.alias("said"))
+    end = F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("tok_ix"), F.lit("").alias("before"), F.lit(False).alias("negated"))
+    rows = x.select(id_col, "sent_ix", "sarcasm", "said", F.explode(F.concat(_contexts(lex), F.array(end))).alias("x")).select(id_col, "sent_ix", "sarcasm", "said", "x.*")
+    met = rows.join(F.broadcast(terms.withColumn("_hit", F.lit(True))), "term", "left").where("tok_ix = -1 or _hit")
+    turn = lambda v: F.when(v > 0, -v).otherwise(v)
+    last, v = F.col("tok_ix") == -1, F.coalesce(F.col("s") * F.col("i") * modifier * F.when(F.col("negated"), -0.7).otherwise(1.0), F.lit(0.0))
+    total = lambda f, zero: F.aggregate("said", zero, lambda a, p: a + f(p))
+    parts = met.select(
+        F.col(id_col).alias("id"), "sent_ix", "sarcasm", last.alias("last"), F.when(last, total(lambda p: p["w"], F.lit(0.0))).otherwise(v).alias("plain"), F.when(last, total(lambda p: turn(p["w"]), F.lit(0.0))).otherwise(turn(v)).alias("turned"),
+        F.when(last, total(lambda p: p["e"], F.lit(0))).otherwise(F.coalesce(F.greatest(F.size("emotions"), F.lit(0)), F.lit(0))).cast("long").alias("n_emotions"),
+    )
+    kind = s.schema[id_col].dataType.simpleString()
+    return parts.mapInArrow(_sum_runs, f"id {kind}, sent_ix int, sarcasm boolean, plain double, turned double, n_emotions long").withColumnRenamed("id", id_col)
+
+
 def score_sentences(df: DataFrame, terms: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Sentence compounds as in the array form, with single words from a table of any size and phrases from ``lex``."""
+    """Sentence compounds as in the array form, with single words from a table of any size and phrases from ``lex``.
+
+    Up to ``TERMS`` words and ``FEW`` phrases go to the sentences, and nothing is shuffled; hits of more are joined and summed by sentence.
+    """
     s = sentence_table(df, id_col, text_col)
-    h = lexicon_hits(s, terms, lex, id_col)
     up = F.greatest(F.lit(1.0), *(F.when(F.col("before").contains(w), F.lit(float(m))).otherwise(1.0) for w, m in lex.intensifiers.items())) if lex.intensifiers else F.lit(1.0)
     mod = F.least(up, *(F.when(F.col("before").contains(w), F.lit(float(m))) for w, m in lex.diminishers.items())) if lex.diminishers else up
+    result = lambda x: x.select(id_col, "sent_ix", T.rounded(F.col("t") / F.sqrt(F.col("t") * F.col("t") + 15)).alias("compound"), F.coalesce("n_emotions", F.lit(0)).cast("int").alias("n_emotions"))
+    summed = F.when(F.col("sarcasm"), F.col("turned")).otherwise(F.col("plain"))
+    if len(lex.phrases) <= FEW and terms.select("term").limit(TERMS + 1).count() <= TERMS:
+        return result(_scored_in_place(s, terms, lex, mod, id_col).withColumn("t", summed))
+    h = lexicon_hits(s, terms, lex, id_col)
     own = h.select(id_col, "sent_ix", (F.col("s") * F.col("i") * mod * F.when(F.col("negated"), -0.7).otherwise(1.0)).alias("v"), F.size("emotions").alias("e"))
     if lex.phrases:
         p = Lexicon.of(lex.phrases).table(df.sparkSession).drop("is_phrase")
         own = own.unionByName(phrase_hits(s, p, id_col).select(id_col, "sent_ix", (F.col("s") * F.col("i")).alias("v"), F.size("emotions").alias("e")))
     irony = T.any_match(F.lower("sentence"), lex.sarcasm)
     total = own.groupBy(id_col, "sent_ix").agg(F.sum("v").alias("plain"), F.sum(F.when(F.col("v") > 0, -F.col("v")).otherwise(F.col("v"))).alias("turned"), F.sum("e").alias("n_emotions"))
-    x = s.select(id_col, "sent_ix", irony.alias("sarcasm")).join(total, [id_col, "sent_ix"], "left").withColumn("t", F.coalesce(F.when(F.col("sarcasm"), F.col("turned")).otherwise(F.col("plain")), F.lit(0.0)))
-    return x.select(id_col, "sent_ix", T.rounded(F.col("t") / F.sqrt(F.col("t") * F.col("t") + 15)).alias("compound"), F.coalesce("n_emotions", F.lit(0)).cast("int").alias("n_emotions"))
+    x = s.select(id_col, "sent_ix", irony.alias("sarcasm")).join(total, [id_col, "sent_ix"], "left").withColumn("t", F.coalesce(summed, F.lit(0.0)))
+    return result(x)
 
 
 def without_words(tokens: DataFrame, words: Sequence[str], spark: SparkSession) -> DataFrame:
