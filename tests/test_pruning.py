@@ -26,3 +26,12 @@ def test_a_profile_computes_the_rows_it_describes(spark, sf, monkeypatch):
     plan = queries.domain_profile(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     # read from below: the cap comes before the Jaccard of segments
     assert max(i for i, x in enumerate(plan) if "Window" in x) > max(i for i, x in enumerate(plan) if "mean_jaccard" in x or "one(" in x or "PythonUDF" in x or "ArrowEvalPython" in x)
+
+
+def test_baselines_read_the_texts_once(spark, sf, monkeypatch):
+    from loomline.operators import evaluation as E
+
+    written, real = [], E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df, name: written.append(set(df.columns)) or real(df, name))
+    plan = queries.baselines(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert written == [{"dataset", "gold_sentiment", *E.SYSTEMS}] and "l_orderkey" not in plan
