@@ -48,3 +48,13 @@ def test_blaming_sentences_are_those_of_the_plain_form(spark):
     old = [F.size(F.filter("s", lambda s: F.lower(s).rlike("|".join(f"(?:{p})" for p in ps)))) for ps in (M.fixed.SELF_BLAME_PATTERNS, M.fixed.OTHER_BLAME_PATTERNS)]
     r = d.select(b["self"].alias("a"), b["other"].alias("b"), old[0].alias("c"), old[1].alias("d")).first()
     assert (r["a"], r["b"]) == (r["c"], r["d"]) and r["a"] > 9
+
+
+def test_sets_and_themes_are_those_of_the_plain_forms(spark):
+    sets = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], []), (["a"], []), (["a"], ["a"])], "a array<string>, b array<string>")
+    assert all(r[0] == r[1] for r in sets.select(T.jaccard_of_sets(F.col("a"), F.col("b")), T.jaccard(F.col("a"), F.col("b"))).collect())
+    paras = ["The pain. End", "painful ending", "émpain why", "WHY not", "", "why's the end"]
+    d = spark.createDataFrame([(paras[:k],) for k in range(len(paras) + 1)], "p array<string>")
+    got = d.select(F.size("p"), M.rumination(F.lit(""), F.array(), F.col("p"))["repeats"]).collect()
+    bags = [set(r[0]) for r in d.where(F.size("p") == len(paras)).select(F.explode("p").alias("x")).select(T.tokens(F.col("x"))).collect()]
+    assert [r[1] for r in sorted(got)] == [sum(sum(th in b for b in bags[:n]) > n / 2 for th in M.fixed.RUMINATION_THEMES) for n in range(len(paras) + 1)]
